@@ -46,15 +46,17 @@ def crossref_references(works: DataFrame) -> DataFrame:
 
 
 def reference_counts(
+    asked: DataFrame,
     crossref_refs: DataFrame,
     crossref_known: DataFrame,
     opencitations_refs: DataFrame,
     opencitations_known: DataFrame,
 ) -> DataFrame:
-    """Per DOI and source: number of references, or an error where it gave no record.
+    """Per asked DOI and source: number of references, or an error without a record.
 
-    The four inputs each have a ``doi`` column. One union and one partially
-    aggregated count answer both sources; there is no join to skew.
+    Every input has a ``doi`` column; the ``known`` ones list the DOIs a source
+    has a record for. One union and one partially aggregated count answer both
+    sources, so there is no join to skew.
     """
 
     def tagged(df: DataFrame, source: str, refs: int) -> DataFrame:
@@ -65,12 +67,21 @@ def reference_counts(
         .unionByName(tagged(crossref_known, "crossref", 0))
         .unionByName(tagged(opencitations_refs, "opencitations", 1))
         .unionByName(tagged(opencitations_known, "opencitations", 0))
+        .unionByName(tagged(asked, "asked", 0))
     )
-    per_source = rows.groupBy("doi").agg(
-        *(
-            F.sum(F.when(F.col("src") == s, F.col("n"))).alias(f"{s}_count")
-            for s in ("crossref", "opencitations")
+
+    def count_of(source: str) -> Column:
+        mine = F.col("src") == source
+        known = F.count(F.when(mine & (F.col("n") == 0), 1)) > 0
+        return F.when(known, F.sum(F.when(mine, F.col("n"))))
+
+    per_source = (
+        rows.groupBy("doi")
+        .agg(
+            *(count_of(s).alias(f"{s}_count") for s in ("crossref", "opencitations")),
+            F.count(F.when(F.col("src") == "asked", 1)).alias("_asked"),
         )
+        .where("_asked > 0")
     )
     return per_source.select(
         "doi",

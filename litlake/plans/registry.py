@@ -27,6 +27,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
+    """Import every query module; importing registers its queries."""
     from litlake.plans import (  # noqa: F401
+        bibliography_queries,
+        document_queries,
+        graph_queries,
+        identifier_queries,
+        metadata_queries,
+        record_queries,
         search_queries,
+        telemetry_queries,
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from litlake.functions import text as tx
 from litlake.operators.bibliography import ENTRY_TYPES
+from litlake.session import balanced
 
 NAMESPACES = ("openalex", "crossref", "wikipedia", "arxiv", "biorxiv", "opencitations", "acl_anthology")
 CORPUS_NAMESPACES = ("arxiv", "biorxiv", "acl_anthology", "manual")
@@ -30,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text table; its rows are costly, so a small one is spread over the cores."""
+    return balanced(table(spark, sf_dir, "documents"))
+
+
 def _pick(values, index: Column) -> Column:
     return F.get(F.array(*(F.lit(v) for v in values)), index.cast("int"))
 
@@ -84,7 +90,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         _cat("10.18653/v1/2023.acl-long.", d),
         _cat("my-paper-", d),
     ]
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         _pick(CORPUS_NAMESPACES, d % 4).alias("namespace"),
         F.get(F.array(*names), (d % 4).cast("int")).alias("canonical_id"),
         markdown_of(d, F.col("text")).alias("markdown"),
@@ -185,7 +191,7 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Work records: documents joined to the order, customer and nation of their number."""
     k = F.col("o_orderkey")
     joined = (
-        table(spark, sf_dir, "documents")
+        documents(spark, sf_dir)
         .join(table(spark, sf_dir, "orders"), F.col("doc_id") == k)
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -268,7 +274,7 @@ def arxiv_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     link = lambda href, rel, title: F.struct(
         href.alias("href"), F.lit(rel).alias("rel"), F.lit(title).cast("string").alias("title")
     )
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.concat(F.lit("http://arxiv.org/abs/"), number).alias("id"),
         _title(text).alias("title"),
         F.array_join(tx.words(text), " ").alias("summary"),

@@ -45,6 +45,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/litlake/{label}-{uuid.uuid4().hex}"
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a small scan over all cores.
+
+    A big table is split into more scan partitions than there are cores and is
+    returned as it is; only a few files with one row group each are repartitioned.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def pin(df: DataFrame, label: str = "pinned") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

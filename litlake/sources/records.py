@@ -17,8 +17,8 @@ SCHEMA = (
 )
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int")
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
 
 
 def read_records(
@@ -44,16 +44,17 @@ def _stored(spark: SparkSession, root: str) -> DataFrame:
         raise
 
 
-def upsert_records(df: DataFrame, root: str) -> None:
+def upsert_records(df: DataFrame, root: str, buckets: int = BUCKETS) -> None:
     """Put: the newest ``stored_at`` per key wins, a later batch wins ties.
 
     Only the (namespace, entity, bucket) folders the batch touches are read and
-    rewritten. The merge is written to scratch first, so a job that dies leaves
-    the store as it was.
+    rewritten; ``buckets`` belongs to the store and must not change over its
+    life. The merge is written to scratch first, so a job that dies leaves the
+    store as it was. Ranges over (folder, key) split a big folder over tasks.
     """
     spark = df.sparkSession
     incoming = df.select("key", "payload", "stored_at", "namespace", "entity").withColumn(
-        "bucket", _bucket()
+        "bucket", _bucket(buckets)
     )
     touched = incoming.select(*PARTS).distinct()
     old = _stored(spark, root).join(touched, PARTS, "left_semi")
@@ -63,7 +64,7 @@ def upsert_records(df: DataFrame, root: str) -> None:
     )
     merged = pin(latest.drop("_new"), "merge")
     (
-        merged.repartition(*PARTS)
+        merged.repartitionByRange(*PARTS, "key")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*PARTS)

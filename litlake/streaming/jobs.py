@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from litlake.operators.records import (
+    NEGATIVE_TTL_BY_NAMESPACE,
+    NEGATIVE_TTL_SECONDS,
+    _per_namespace,
+    seconds,
+)
 from litlake.operators.telemetry import METRICS
-from litlake.sources.records import upsert_records
+from litlake.sources.records import BUCKETS, upsert_records
 
 
-def stream_counters(
-    log: DataFrame, window: str = "1 hour", watermark: str = "1 day", salts: int = 1
-) -> DataFrame:
+def stream_counters(log: DataFrame, window: str = "1 hour", watermark: str = "1 day") -> DataFrame:
     """Provider counters per tumbling window on a live log.
 
     Counts combine map-side before the shuffle, so a busy provider sends one
-    row per task and window.
+    row per task and window. Closed windows leave the state with the watermark.
     """
     return (
         log.withWatermark("ts", watermark)
@@ -30,39 +31,50 @@ def stream_counters(
 
 
 def coalesce_requests(stream: DataFrame, horizon: str = "10 minutes") -> DataFrame:
-    """One request per (kind, key) within the horizon; repeats join the first."""
-    return stream.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["kind", "key"])
+    """One request per (kind, key) within the horizon; repeats join the first.
+
+    Only the two key columns and the time are shuffled and kept as state.
+    """
+    return (
+        stream.select("ts", "kind", "key")
+        .withWatermark("ts", horizon)
+        .dropDuplicatesWithinWatermark(["kind", "key"])
+    )
+
 
+def ingest_stream(
+    records: DataFrame, root: str, checkpoint: str, buckets: int = BUCKETS
+) -> StreamingQuery:
+    """Continuous put into the record store, newest entry wins.
 
-def ingest_stream(records: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Continuous put into the record store, newest entry wins."""
+    A batch that is replayed after a failure gives the same store again,
+    because the merge depends on the entries alone.
+    """
     return (
-        records.writeStream.foreachBatch(lambda batch, _: upsert_records(batch, root))
+        records.writeStream.foreachBatch(lambda batch, _: upsert_records(batch, root, buckets))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-STATE_SCHEMA = "stored_at double, expires_at double"
-STATUS_SCHEMA = "key string, request_id bigint, at double, status string"
-
+def ttl_state(feed: DataFrame, longest_ttl: str = "30 days", bucket: str = "1 day") -> DataFrame:
+    """Freshness state per key from a feed of ``put`` and ``negative`` entries.
 
-def _answer_key(key: tuple, batches: Iterator[pd.DataFrame], state, ttl: float) -> Iterator[pd.DataFrame]:
-    """Answer one key's lookups in time order while its puts update the state."""
-    stored, expires = state.get if state.exists else (None, None)
-    rows = pd.concat(list(batches)).sort_values(["at", "request_id"], kind="stable")
-    ids, times, answers = [], [], []
-    for kind, at, rid in zip(rows["kind"], rows["at"], rows["request_id"]):
-        if kind == "put":
-            stored = float(at)
-        elif kind == "negative":
-            expires = float(at)
-        else:
-            fresh = stored is not None and at - stored <= ttl
-            absent = expires is not None and expires >= at
-            ids.append(rid)
-            times.append(float(at))
-            answers.append("hit" if fresh else "negative" if absent else "miss")
-    state.update((stored, expires))
-    yield pd.DataFrame({"key": key[0], "request_id": ids, "at": times, "status": answers})
+    ``feed(namespace, entity, key, at, kind)``. State is one row per key and
+    day; once the watermark, which trails by the longest age limit, passes a
+    day, all its entries are stale and leave the state. Maxima combine map-side,
+    so a key that is written all the time is not one task's work.
+    """
+    life = _per_namespace(NEGATIVE_TTL_BY_NAMESPACE, NEGATIVE_TTL_SECONDS)
+    put, negative = F.col("kind") == "put", F.col("kind") == "negative"
+    return (
+        feed.withColumn("expires", F.when(negative, F.col("at") + seconds(life)))
+        .withWatermark("at", longest_ttl)
+        .groupBy("namespace", "entity", "key", F.window("at", bucket).alias("w"))
+        .agg(
+            F.max(F.when(put, F.col("at"))).alias("stored_at"),
+            F.max("expires").alias("expires_at"),
+        )
+        .select("namespace", "entity", "key", F.col("w.start").alias("day"), "stored_at", "expires_at")
+    )
