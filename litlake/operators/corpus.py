@@ -36,7 +36,7 @@ def import_markdown(files: DataFrame, corpus: DataFrame) -> tuple[DataFrame, Dat
     )
     fresh = first_per_key(
         marked.where(F.col("_stored").isNull() & valid), DOC, [F.col("pos").asc()]
-    ).select(*DOC, F.decode("content", F.lit("UTF-8")).alias("markdown"))
+    ).select(*DOC, F.decode("content", "UTF-8").alias("markdown"))
     return corpus.select(*DOC, "markdown").unionByName(fresh), outcome
 
 

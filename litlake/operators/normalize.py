@@ -122,10 +122,10 @@ def normalize_biorxiv(df: DataFrame) -> DataFrame:
     )
 
 
-def latest_version(df: DataFrame, position: str) -> DataFrame:
-    """One row per DOI: the highest numeric version, the earliest row on ties."""
+def latest_version(df: DataFrame, *position: str) -> DataFrame:
+    """One row per DOI: the highest numeric version, the first in ``position`` on ties."""
     number = F.coalesce(F.col("version").try_cast("int"), F.lit(0))
-    return first_per_key(df, ["doi"], [number.desc(), F.col(position).asc()])
+    return first_per_key(df, ["doi"], [number.desc(), *(F.col(c).asc() for c in position)])
 
 
 def parse_ids(c: Column) -> Column:

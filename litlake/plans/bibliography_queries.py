@@ -16,13 +16,11 @@ _SKIP = ", ".join(f"'{w}'" for w in KEY_SKIP)
 
 
 def _last_start(name: str) -> str:
-    """Index of the first surname word; the views put at most two particles."""
+    """Index of the first surname word: only particles lie between it and the last word."""
     w = sql.words(name)
-    is_particle = lambda i: f"list_contains([{_PARTICLES}], lower({w}[len({w}) - {i}]))"
+    between = f"list_filter({w}[i:len({w}) - 1], lambda x: NOT list_contains([{_PARTICLES}], lower(x)))"
     return (
-        f"CASE WHEN len({w}) > 1 AND {is_particle(1)} THEN "
-        f"CASE WHEN len({w}) > 2 AND {is_particle(2)} THEN len({w}) - 2 ELSE len({w}) - 1 END "
-        f"ELSE len({w}) END"
+        f"coalesce(list_min(list_filter(range(1, len({w})), lambda i: len({between}) = 0)), len({w}))"
     )
 
 
@@ -75,7 +73,7 @@ _OPENALEX = _entry(
     f"'  title={{' || {_esc('title')} || '}}'",
     _authors("names"),
     *(_f(field, "venue", f"kind = '{kind}'") for kind, field in op.VENUE_FIELDS.items()),
-    _f("school", "n_name".replace("n_name", _esc("n_name")), "kind = 'phdthesis' AND len(names) > 0"),
+    _f("school", _esc("n_name"), "kind = 'phdthesis' AND len(names) > 0"),
     _f("volume", "CAST(k % 50 AS VARCHAR)"),
     _f("number", "CAST(k % 12 AS VARCHAR)"),
     _f("pages", "k || '--' || (k + 9)"),
@@ -98,8 +96,7 @@ _ARXIV = _entry(
 )
 _BIORXIV = _entry(
     "CASE WHEN published_doi IS NULL THEN 'misc' ELSE 'article' END",
-    "'vanberg'".replace("'vanberg'", "lower(replace(first_author, 'Anna van Berg', 'vanBerg'))")
-    + " || date[1:4] || 'preprint'",
+    "lower(replace(first_author, 'Anna van Berg', 'vanBerg')) || date[1:4] || 'preprint'",
     f"'  title={{' || {_esc('title')} || '}}'",
     "'  author={' || replace(first_author, 'Anna van Berg', 'van Berg') || ', Anna and ' || second_author || ' and Solo}'",
     _f("doi", "published_doi"),

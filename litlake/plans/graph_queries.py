@@ -29,7 +29,10 @@ def citations_normalized(spark, sf_dir):
     )
     ids = F.col("ids")
     return normalize_citations(raw, "ids").select(
-        *(["ord", *views.EDGE_ORDER]),
+        "ord",
+        "line",
+        "part",
+        "supp",
         ids["omid"].alias("omid"),
         ids["doi"].alias("doi"),
         ids["openalex"].alias("openalex"),
@@ -96,7 +99,7 @@ def citation_counts(spark, sf_dir):
 def _page_sql(listed: str, key: str, size: int, page: int, item: str) -> str:
     """``listed`` rows numbered per key, one page of them joined to a string."""
     return f"""numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY line, part, supp, ord) AS r FROM {listed}),
+  SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY line, part, supp, creation, journal_sc, author_sc, ord) AS r FROM {listed}),
 pages AS (
   SELECT {key}, count(*) AS total,
     string_agg({item}, '|' ORDER BY r) FILTER (WHERE r > {(page - 1) * size} AND r <= {page * size}) AS items
@@ -108,7 +111,7 @@ def _joined(items: str, *fields: str):
     return F.array_join(F.transform(items, parts), "|")
 
 
-ORDER = ["line", "part", "supp", "ord"]
+ORDER = [*views.EDGE_ORDER, "ord"]
 
 
 @query(
@@ -162,7 +165,7 @@ def citations_page(spark, sf_dir):
     sql.with_(
         sql.EDGES,
         sql.CROSSREF_EDGES,
-        body="""SELECT citing, row_number() OVER (PARTITION BY citing ORDER BY line, part, supp, ord) - 1 AS ref_pos,
+        body="""SELECT citing, row_number() OVER (PARTITION BY citing ORDER BY line, part, supp, creation, journal_sc, author_sc, ord) - 1 AS ref_pos,
   CASE WHEN author_sc = 'yes' THEN cited END AS doi, creation[1:4] AS year, 'Vol ' || supp AS volume,
   CASE WHEN author_sc = 'no' THEN 'Cited ' || part END AS unstructured
 FROM crossref_edges""",
@@ -204,9 +207,9 @@ FROM edges e LEFT JOIN works w ON w.canonical_id = '10.1234/o' || e.part""",
 )
 def enrich_references(spark, sf_dir):
     edges = views.edges(spark, sf_dir).select(
-        "ord", *views.EDGE_ORDER, "citing", F.concat(F.lit("10.1234/o"), F.col("part")).alias("cited")
+        "ord", "line", "part", "supp", "citing", F.concat(F.lit("10.1234/o"), F.col("part")).alias("cited")
     )
     papers = unified_metadata(views.works(spark, sf_dir), "openalex").select(
         "_canonical_id", "title", "publication_year", "venue"
     )
-    return op.enrich_references(edges, papers, spread=["ord", *views.EDGE_ORDER])
+    return op.enrich_references(edges, papers, spread=["ord", "line", "part", "supp"])

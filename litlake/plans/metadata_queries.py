@@ -12,7 +12,7 @@ from litlake.sources import dumps
 
 
 def preprints(spark, sf_dir):
-    raw = norm.latest_version(views.preprints_raw(spark, sf_dir), "pos").drop("pos")
+    raw = norm.latest_version(views.preprints_raw(spark, sf_dir), "pos", "date").drop("pos")
     return norm.normalize_biorxiv(raw)
 
 
@@ -21,7 +21,7 @@ def preprints(spark, sf_dir):
     sql.with_(sql.PREPRINTS, body="SELECT doi, title, version, date, pos FROM preprints"),
 )
 def latest_version(spark, sf_dir):
-    return norm.latest_version(views.preprints_raw(spark, sf_dir), "pos").select(
+    return norm.latest_version(views.preprints_raw(spark, sf_dir), "pos", "date").select(
         "doi", "title", "version", "date", "pos"
     )
 
@@ -81,6 +81,9 @@ def read_biorxiv_details(spark, sf_dir):
     )
 
 
+FEED_SIZE = 1000  # entries per written feed file
+
+
 def _escape(c):
     for plain, mark in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         c = F.replace(c, F.lit(plain), F.lit(mark))
@@ -94,7 +97,7 @@ def _element(tag: str, c):
 
 
 def _write_atom(papers, path: str) -> None:
-    """Papers as Atom entries, with line breaks inside titles and one error entry each ten."""
+    """Papers as Atom entries, one feed per file; titles hold line breaks, some entries are errors."""
     author = F.array_join(
         F.transform(
             "authors",
@@ -143,7 +146,19 @@ def _write_atom(papers, path: str) -> None:
         category,
         F.lit("</entry>"),
     )
-    papers.select(entry.alias("value")).write.text(path)
+    feed = F.concat(
+        F.lit('<feed xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://arxiv.org/schemas/atom">\n'),
+        F.array_join(F.collect_list("entry"), "\n"),
+        F.lit("\n</feed>"),
+    )
+    (
+        papers.select(F.floor(F.col("doc_id") / FEED_SIZE).alias("part"), entry.alias("entry"))
+        .groupBy("part")
+        .agg(feed.alias("value"))
+        .select("value")
+        .write.option("maxRecordsPerFile", 1)
+        .text(path)
+    )
 
 
 ARXIV_FIELDS = """arxiv_id, title, summary, published, updated, array_to_string(names, '|') AS authors,
@@ -564,8 +579,8 @@ def _names_joined(df):
     sql.with_(
         sql.PREPRINTS,
         sql.ARXIV,
-        body="""SELECT 'biorxiv' AS _source, lower(doi) AS _canonical_id, 3 AS author_count, 2 AS page, 2 AS page_size,
-  false AS has_more, 'Solo' AS authors, first_author AS author_corresponding FROM preprints
+        body="""SELECT 'biorxiv' AS _source, lower(doi) AS _canonical_id, 4 AS author_count, 2 AS page, 2 AS page_size,
+  false AS has_more, '|Solo' AS authors, first_author AS author_corresponding FROM preprints
 UNION ALL SELECT 'arxiv', canonical_id, len(names), 2, 2, false, array_to_string(names[3:4], '|'), NULL FROM arxiv""",
     ),
 )

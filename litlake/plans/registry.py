@@ -30,6 +30,7 @@ def load() -> None:
     """Import every query module; importing registers its queries."""
     from litlake.plans import (  # noqa: F401
         bibliography_queries,
+        corpus_queries,
         document_queries,
         graph_queries,
         identifier_queries,

@@ -199,7 +199,7 @@ PREPRINTS = """versions AS (
   SELECT l_orderkey AS k, '10.1101/2024.01.01.' || l_orderkey AS doi,
     'Preprint ' || l_orderkey || ' on part_' || l_partkey AS title,
     'Anna van Berg' || l_suppkey AS first_author, 'Li' || l_partkey AS second_author,
-    'Anna van Berg' || l_suppkey || '|Li' || l_partkey || '|Solo' AS authors,
+    'Anna van Berg' || l_suppkey || '|Li' || l_partkey || '||Solo' AS authors,
     'Institute ' || l_suppkey AS institution,
     strftime(l_shipdate, '%Y-%m-%d') AS date, CAST(l_linenumber AS VARCHAR) AS version,
     lower(l_returnflag) AS category, 'Abstract of ' || l_orderkey AS abstract,
@@ -209,7 +209,7 @@ PREPRINTS = """versions AS (
   FROM lineitem),
 preprints AS (
   SELECT *, 'https://www.' || server || '.org/content/' || doi || 'v' || version || '.full.pdf' AS pdf_url
-  FROM versions QUALIFY row_number() OVER (PARTITION BY doi ORDER BY n DESC, pos) = 1)"""
+  FROM versions QUALIFY row_number() OVER (PARTITION BY doi ORDER BY n DESC, pos, date) = 1)"""
 
 _NS = _case("user_id % 7", NAMESPACES)
 _KEYED = "user_id || '-' || CAST(json_extract(props, '$.k') AS VARCHAR)"

@@ -98,11 +98,11 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-EDGE_ORDER = ["line", "part", "supp"]
+EDGE_ORDER = ["line", "part", "supp", "creation", "journal_sc", "author_sc"]
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citation edges; ``line, part, supp`` order the references of a paper."""
+    """Citation edges; the columns of ``EDGE_ORDER`` order the references of a paper."""
     p = F.col("l_partkey")
     return table(spark, sf_dir, "lineitem").select(
         _cat("10.1234/o", F.col("l_orderkey")).alias("citing"),
