@@ -165,7 +165,7 @@ def import_outcomes(spark, sf_dir):
         LANG,
         sql.SECTIONS,
         body="""SELECT l.namespace, l.canonical_id, lang <> 'en' AS refreshed, count(s.index) AS n_sections,
-  coalesce(sum(s.approx_tokens), 0) AS tokens, sha256(any_value(markdown)) AS md_sha256
+  CAST(coalesce(sum(s.approx_tokens), 0) AS BIGINT) AS tokens, sha256(any_value(markdown)) AS md_sha256
 FROM langs l LEFT JOIN sections s ON l.namespace = s.namespace AND l.canonical_id = s.canonical_id
 GROUP BY l.namespace, l.canonical_id, lang""",
     ),

@@ -38,7 +38,7 @@ def section_content(spark, sf_dir):
     "section_totals",
     _with_sections(
         body="""SELECT namespace, canonical_id, count(*) AS total_sections,
-  sum(approx_tokens) AS total_approx_tokens FROM sections GROUP BY namespace, canonical_id"""
+  CAST(sum(approx_tokens) AS BIGINT) AS total_approx_tokens FROM sections GROUP BY namespace, canonical_id"""
     ),
 )
 def section_totals(spark, sf_dir):
@@ -132,29 +132,22 @@ def select_sections(spark, sf_dir):
     "titles",
     sql.with_(
         sql.CORPUS,
-        body=f"""SELECT namespace, canonical_id,
-  nullif({sql.strip("regexp_replace(regexp_extract(markdown, '(?m)^#{1,2}[ ].+$'), '^#+', '')")}, '') AS title
-FROM corpus""",
+        body=f"SELECT namespace, canonical_id, {sql.first_title('markdown')} AS title FROM corpus",
     ),
 )
 def titles(spark, sf_dir):
     return op.titles(views.corpus(spark, sf_dir))
 
 
-HEADS = r"""heads AS (
-  SELECT namespace, canonical_id, start_at, line FROM (
-    SELECT namespace, canonical_id, i, line,
-      coalesce(sum(length(line) + 1) OVER (PARTITION BY namespace, canonical_id ORDER BY i
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_at
-    FROM lines) WHERE regexp_matches(line, '^#{1,2}\s.')),
-offsets AS (
+OFFSETS = """offsets AS (
   SELECT namespace, canonical_id, unnest([0, length(markdown) // 3, length(markdown) - 1]) AS offset FROM corpus)"""
 
 
 @query(
     "section_at_offset",
     _with_sections(
-        HEADS,
+        sql.HEADS,
+        OFFSETS,
         body=f"""SELECT o.namespace, o.canonical_id, o.offset,
   {sql.strip("regexp_replace(max_by(line, start_at), '^#+', '')")} AS section
 FROM offsets o LEFT JOIN heads h ON o.namespace = h.namespace AND o.canonical_id = h.canonical_id AND start_at <= o.offset
@@ -222,7 +215,8 @@ placed AS (
 found AS (
   SELECT *, row_number() OVER (PARTITION BY namespace, canonical_id ORDER BY index, i) - 1 AS hit
   FROM placed WHERE i < n AND {keep})""",
-        body=f"""SELECT namespace, canonical_id, hit, index AS section_index, title AS section, char_offset,
+        body=f"""SELECT namespace, canonical_id, hit, index AS section_index, title AS section,
+  CAST(char_offset AS BIGINT) AS char_offset,
   content[char_offset + 1 : char_offset + 4] AS match,
   {sql.strip("replace(content[greatest(char_offset - 60, 0) + 1 : char_offset + 64], chr(10), ' ')")} AS snippet
 FROM found WHERE hit < {limit}""",

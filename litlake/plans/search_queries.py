@@ -83,7 +83,48 @@ def bm25_namespace(spark, sf_dir):
     return ranked.withColumn("score", F.round("score", 6))
 
 
-@query("bm25_search")
+SNIPPETS = f"""ranked AS (
+  SELECT namespace, canonical_id, sum({sql.SCORE}) AS score
+  FROM postings JOIN dfs USING (term), size WHERE term IN ('ering', 'queque', 'license')
+  GROUP BY namespace, canonical_id ORDER BY round(score, 9) DESC, namespace, {_stem()} LIMIT 20),
+cut AS (
+  SELECT namespace, canonical_id, markdown, term, unnest(p) AS piece, generate_subscripts(p, 1) AS i, len(p) AS n
+  FROM (SELECT *, string_split(lower(markdown), term) AS p FROM ranked JOIN corpus USING (namespace, canonical_id),
+    (VALUES ('ering'), ('queque'), ('license')) t(term))),
+spots AS (
+  SELECT *, CAST(sum(length(piece) + length(term))
+    OVER (PARTITION BY namespace, canonical_id, term ORDER BY i) - length(term) AS BIGINT) AS pos FROM cut),
+hits AS (
+  SELECT namespace, canonical_id, term, pos FROM spots WHERE i < n
+    AND NOT regexp_matches(substr(markdown, pos, 1), '[\\pL\\pN_]')
+    AND NOT regexp_matches(substr(markdown, pos + length(term) + 1, 1), '[\\pL\\pN_]')),
+near AS (
+  SELECT namespace, canonical_id, a.pos, count(DISTINCT b.term) AS d
+  FROM hits a JOIN hits b USING (namespace, canonical_id) WHERE abs(a.pos - b.pos) <= 100
+  GROUP BY namespace, canonical_id, a.pos),
+best AS (
+  SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY namespace, canonical_id ORDER BY d DESC, pos) = 1),
+sections_of AS (
+  SELECT namespace, canonical_id, max_by(line, start_at) AS line
+  FROM best JOIN heads USING (namespace, canonical_id) WHERE start_at <= pos GROUP BY namespace, canonical_id)"""
+
+
+@query(
+    "bm25_search",
+    sql.with_(
+        sql.CORPUS,
+        sql.POSTINGS,
+        sql.SECTIONS,
+        sql.HEADS,
+        SNIPPETS,
+        body=f"""SELECT namespace, canonical_id, round(score, 3) AS score, {sql.first_title('markdown')} AS title,
+  CASE WHEN pos IS NULL THEN {sql.strip('markdown[1:200]')}
+    ELSE {sql.strip(f"regexp_replace(markdown[greatest(pos - 100, 0) + 1 : greatest(pos - 100, 0) + 200], '{sql.WS}+', ' ', 'g')")} END AS snippet,
+  {sql.strip("regexp_replace(line, '^#+', '')")} AS section, length(markdown) AS char_count
+FROM ranked JOIN corpus USING (namespace, canonical_id) LEFT JOIN best USING (namespace, canonical_id)
+LEFT JOIN sections_of USING (namespace, canonical_id)""",
+    ),
+)
 def bm25_search(spark, sf_dir):
     return search.bm25_search(views.corpus(spark, sf_dir), QUERY, 20)
 

@@ -135,6 +135,20 @@ sections AS (
     greatest(1, length(raw) // 4) AS approx_tokens, {strip('raw')} AS content
   FROM grouped WHERE {strip('raw')} <> '')"""
 
+# Section-opening lines with their character offset; needs ``lines`` of SECTIONS.
+HEADS = r"""heads AS (
+  SELECT namespace, canonical_id, start_at, line FROM (
+    SELECT namespace, canonical_id, i, line,
+      coalesce(sum(length(line) + 1) OVER (PARTITION BY namespace, canonical_id ORDER BY i
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_at
+    FROM lines) WHERE regexp_matches(line, '^#{1,2}\s.'))"""
+
+
+def first_title(md: str) -> str:
+    line = f"regexp_extract({md}, '(?m)^#{{1,2}}[ ].+$')"
+    return f"nullif({strip(f"regexp_replace({line}, '^#+', '')")}, '')"
+
+
 EDGES = """edges AS (
   SELECT '10.1234/o' || l_orderkey AS citing, '10.1234/p' || l_partkey AS cited,
     'omid:br/06' || l_partkey || ' doi:10.1234/p' || l_partkey || ' openalex:W' || l_partkey AS ids,

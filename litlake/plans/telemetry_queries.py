@@ -28,7 +28,7 @@ def counters_snapshot(spark, sf_dir):
     "in_flight",
     sql.with_(
         sql.LOG,
-        body="""SELECT provider, sum(CASE phase WHEN 'start' THEN 1 WHEN 'finish' THEN -1 ELSE 0 END) AS in_flight
+        body="""SELECT provider, CAST(sum(CASE phase WHEN 'start' THEN 1 WHEN 'finish' THEN -1 ELSE 0 END) AS BIGINT) AS in_flight
 FROM log WHERE ts <= TIMESTAMP '2024-01-15' GROUP BY provider""",
     ),
 )
