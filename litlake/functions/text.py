@@ -12,8 +12,15 @@ from pyspark.sql import functions as F
 WS = r"[\s\x1c-\x1f]"
 WS_INLINE = r"[\s\x1c-\x1f&&[^\n]]"
 
-_STRIP = rf"(?U)\A{WS}+|{WS}+\z"
 _RUN = rf"(?U){WS}+"
+# The same characters spelled out, for trimming without a regex.
+SPACES = "".join(
+    chr(c)
+    for c in (
+        *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+        0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+    )
+)
 
 # Token shape and the words that never become index terms.
 TOKEN = r"[a-z0-9][a-z0-9\-.]*[a-z0-9]|[a-z0-9]"
@@ -43,7 +50,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _STRIP, "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from litlake.operators.identifiers import resolve_identifiers
 from litlake.operators.normalize import clean_converted_markdown
-from litlake.operators.sections import DOC
-from litlake.operators.spread import first_per_key
+from litlake.operators.sections import DOC, document_key
+from litlake.operators.spread import first_per_key, match_keys, salted_join
 
 DECODE_ERROR = "Could not decode the file as UTF-8. Re-save it as UTF-8 and retry."
 
@@ -21,22 +21,26 @@ def import_markdown(files: DataFrame, corpus: DataFrame) -> tuple[DataFrame, Dat
 
     ``files(pos, identifier, content binary)``. Text that is not UTF-8 is
     reported, never stored. A document that is already stored wins over new
-    bytes; among new files for one id the earliest wins.
+    bytes; among new files for one id the earliest wins. File contents are cut
+    to one per id before they are shuffled; outcomes use narrow rows.
     """
-    routed = resolve_identifiers(files, "identifier")
-    stored = corpus.select(*DOC, F.lit(True).alias("_stored"))
-    marked = routed.join(stored, DOC, "left")
-    valid = F.is_valid_utf8(F.col("content").cast("string"))
-    outcome = marked.select(
+    routed = resolve_identifiers(files, "identifier").withColumn(
+        "_valid", F.is_valid_utf8(F.col("content").cast("string"))
+    )
+    stored = corpus.select(document_key().alias("_doc"), F.lit(True).alias("_stored"))
+    narrow = routed.select("pos", "identifier", *DOC, document_key().alias("_doc"), "_valid")
+    known = salted_join(narrow, stored, "_doc", "left", spread=["pos"])
+    outcome = known.select(
         "pos",
         "identifier",
         *DOC,
         F.coalesce("_stored", F.lit(False)).alias("cached"),
-        F.when(F.col("_stored").isNull() & ~valid, F.lit(DECODE_ERROR)).alias("error"),
+        F.when(F.col("_stored").isNull() & ~F.col("_valid"), F.lit(DECODE_ERROR)).alias("error"),
+    )
+    first = first_per_key(routed.where("_valid"), DOC, [F.col("pos").asc()])
+    fresh = match_keys(first, corpus, DOC, "left_anti").select(
+        *DOC, F.decode("content", "UTF-8").alias("markdown")
     )
-    fresh = first_per_key(
-        marked.where(F.col("_stored").isNull() & valid), DOC, [F.col("pos").asc()]
-    ).select(*DOC, F.decode("content", "UTF-8").alias("markdown"))
     return corpus.select(*DOC, "markdown").unionByName(fresh), outcome
 
 
@@ -52,7 +56,7 @@ def convert_documents(
     batches on the executors, and its failures become error rows. With
     ``force`` stored documents are converted again.
     """
-    todo = blobs if force else blobs.join(corpus.select(*DOC), DOC, "left_anti")
+    todo = blobs if force else match_keys(blobs, corpus, DOC, "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litlake.functions import identifiers as ids
@@ -22,25 +22,47 @@ def resolve_identifiers(df: DataFrame, col: str = "raw") -> DataFrame:
     """Add ``normalized, source, namespace, canonical_id, key_sha`` for each raw id.
 
     Metadata routing (``source``) and storage routing (``namespace``) differ:
-    an arbitrary DOI has work metadata but is stored under ``manual``.
+    an arbitrary DOI has work metadata but is stored under ``manual``. The
+    steps build on each other so that every pattern runs once per row.
     """
-    c = F.col(col)
-    canonical = ids.canonical_id(c)
-    return df.select(
-        "*",
-        _normalized(c).alias("normalized"),
-        ids.metadata_source(c).alias("source"),
-        ids.storage_namespace(c).alias("namespace"),
-        canonical.alias("canonical_id"),
-        ids.key_sha(canonical).alias("key_sha"),
+    bare, arxiv, preprint = F.col("_bare"), F.col("_arxiv"), F.col("_preprint")
+    steps = (
+        df.withColumns({"_bare": ids.bare_doi(F.col(col)), "_arxiv": ids.bare_arxiv(F.col(col))})
+        .withColumns(
+            {
+                "_preprint": ids.content_doi(bare),
+                "_is_arxiv": arxiv.rlike(ids.ARXIV_NEW) | arxiv.rlike(ids.ARXIV_OLD),
+                "_is_doi": bare.rlike(ids.DOI),
+            }
+        )
+        .withColumns(
+            {
+                "_route": F.when(F.col("_is_arxiv"), F.lit("arxiv"))
+                .when(bare.startswith(ids.ANTHOLOGY_PREFIX), F.lit("acl_anthology"))
+                .when(preprint.startswith(ids.PREPRINT_PREFIX), F.lit("biorxiv"))
+                .otherwise(F.lit("manual")),
+            }
+        )
+        .withColumns(
+            {
+                "_normal": F.when(F.col("_route") == "arxiv", arxiv)
+                .when(F.col("_route") == "biorxiv", preprint)
+                .otherwise(bare),
+                "_canonical": F.when(F.col("_route") == "arxiv", ids.unversioned(arxiv))
+                .when(F.col("_route") == "biorxiv", F.lower(preprint))
+                .otherwise(F.lower(bare)),
+            }
+        )
     )
-
-
-def _normalized(c: Column) -> Column:
-    return (
-        F.when(ids.is_arxiv(c), ids.bare_arxiv(c))
-        .when(ids.is_preprint(c), ids.preprint_doi(c))
-        .otherwise(ids.bare_doi(c))
+    return steps.select(
+        *df.columns,
+        F.col("_normal").alias("normalized"),
+        F.when(F.col("_route").isin("arxiv", "biorxiv"), F.col("_route"))
+        .when(F.col("_is_doi"), F.lit("openalex"))
+        .alias("source"),
+        F.col("_route").alias("namespace"),
+        F.col("_canonical").alias("canonical_id"),
+        ids.key_sha(F.col("_canonical")).alias("key_sha"),
     )
 
 
@@ -77,7 +99,7 @@ def plan_downloads(df: DataFrame, col: str = "raw") -> DataFrame:
         )
         .when(
             F.col("namespace") == "acl_anthology",
-            F.concat(F.lit("https://aclanthology.org/"), ids.anthology_id(F.col(col)), F.lit(".pdf")),
+            F.concat(F.lit("https://aclanthology.org/"), ids.anthology_id(F.col("normalized")), F.lit(".pdf")),
         )
         .when(
             F.col("namespace") == "biorxiv",

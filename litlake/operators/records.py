@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litlake.functions.identifiers import canonical_doi
-from litlake.operators.spread import first_per_key, salted_join, with_ordinal
+from litlake.operators.spread import first_per_key, match_keys, salted_join, with_ordinal
 
 KEY = ["namespace", "entity", "key"]
 
@@ -101,8 +101,7 @@ def invalidate(
     records: DataFrame, negatives: DataFrame, keys: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Remove both halves of the given keys; unknown keys are ignored."""
-    drop = keys.select(*KEY).distinct()
-    return records.join(drop, KEY, "left_anti"), negatives.join(drop, KEY, "left_anti")
+    return match_keys(records, keys, KEY, "left_anti"), match_keys(negatives, keys, KEY, "left_anti")
 
 
 def record_negatives(requested: DataFrame, returned: DataFrame, now: str) -> DataFrame:

@@ -13,7 +13,13 @@ from litlake.functions import text as tx
 from litlake.functions.identifiers import stem
 from litlake.operators.metadata import triage_arxiv, triage_crossref
 from litlake.operators.sections import DOC
-from litlake.operators.spread import first_n_per_key, first_per_key, salted_join
+from litlake.operators.spread import (
+    first_n_per_key,
+    first_per_key,
+    fits,
+    heavy_keys,
+    salted_join,
+)
 from litlake.session import pin
 
 # Ranking constants, snippet width and result caps.
@@ -24,6 +30,8 @@ MAX_TOP_K = 50
 MAX_ARXIV = 50
 MAX_CROSSREF = 20
 MAX_PAGES = 10
+# A query term list up to this length is broadcast (a few megabytes).
+BROADCAST_TERMS = 100_000
 
 
 def clamp(n: int, top: int) -> int:
@@ -48,16 +56,15 @@ def term_index(corpus: DataFrame) -> DataFrame:
     document, which makes corpus statistics a plain aggregate.
     """
     counted = corpus.select(
-        *DOC, tx.term_counts(tx.tokens(F.col("markdown"))).alias("terms")
-    )
-    sized = counted.select(
         *DOC,
-        "terms",
-        F.aggregate("terms", F.lit(0), lambda n, t: n + t["tf"]).alias("doc_len"),
-    )
-    return sized.select(*DOC, "doc_len", F.posexplode("terms").alias("ord", "t")).select(
-        *DOC, "ord", "t.term", "t.tf", "doc_len"
+        tx.let(
+            tx.tokens(F.col("markdown")),
+            lambda t: F.struct(F.size(t).alias("doc_len"), tx.term_counts(t).alias("terms")),
+        ).alias("_c"),
     )
+    return counted.select(
+        *DOC, F.col("_c.doc_len").alias("doc_len"), F.posexplode("_c.terms").alias("ord", "t")
+    ).select(*DOC, "ord", "t.term", "t.tf", "doc_len")
 
 
 def corpus_size(index: DataFrame) -> DataFrame:
@@ -99,10 +106,7 @@ def build_index(corpus: DataFrame, path: str) -> None:
     Range clustering on (term, document) spreads a common term over several
     files and lets a search read only the row groups of its own terms.
     """
-    spark = corpus.sparkSession
-    unsorted = f"{path}/unsorted"
-    term_index(corpus).write.mode("overwrite").parquet(unsorted)
-    index = spark.read.parquet(unsorted)
+    index = pin(term_index(corpus), "postings")
     index.repartitionByRange("term", *DOC).sortWithinPartitions("term", *DOC).write.mode(
         "overwrite"
     ).parquet(f"{path}/postings")
@@ -290,23 +294,34 @@ def describe_hits(ranked: DataFrame, corpus: DataFrame, query: str) -> DataFrame
 
 
 def bm25_batch(index: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
-    """Many queries over one index: ``(query_id, rank, doc, score)``.
+    """Many queries over one stored index: ``(query_id, rank, doc, score)``.
 
-    ``queries(query_id, query)`` are tokenised like documents. Frequent terms
-    are salted over documents; per query a group limit keeps ``top_k`` rows
-    per task before the shuffle.
+    ``queries(query_id, query)`` are tokenised like documents. Their term list
+    is broadcast when a count shows that it is short; a longer one is joined by
+    term, with frequent terms salted over documents. Per query a group limit
+    keeps ``top_k`` rows per task before the shuffle.
     """
     asked = queries.select(
         "query_id", F.explode(F.array_distinct(tx.tokens(F.col("query")))).alias("term")
     )
-    weights = corpus_stats(index)
-    wanted = asked.select("term").distinct()
-    weights = weights.join(wanted, "term", "left_semi").select(
-        "term", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl"
+    if fits(asked, BROADCAST_TERMS):
+
+        def meet(postings: DataFrame, terms: DataFrame, how: str) -> DataFrame:
+            return postings.join(F.broadcast(terms), "term", how)
+
+    else:
+        hot = heavy_keys(index, "term")
+
+        def meet(postings: DataFrame, terms: DataFrame, how: str) -> DataFrame:
+            return salted_join(postings, terms, "term", how, spread=DOC, hot=hot)
+
+    hits = meet(index, asked.select("term").distinct(), "left_semi")
+    n = corpus_size(index).select(F.struct("n_docs", "avgdl")).scalar()
+    weights = document_frequency(hits).withColumn("_n", n).select(
+        "term", idf(F.col("_n.n_docs"), F.col("df")).alias("idf"), "_n.avgdl"
     )
-    lists = asked.join(weights, "term")
     scored = (
-        salted_join(index, lists, "term", "inner", spread=DOC)
+        meet(index, asked.join(weights, "term"), "inner")
         .groupBy("query_id", *DOC)
         .agg(
             F.sum(

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litlake.functions import text as tx
-from litlake.operators.spread import salted_join
+from litlake.operators.spread import match_keys, salted_join
+from litlake.session import pin
 
 DOC = ["namespace", "canonical_id"]
 DEFAULT_SLICE = 16000
@@ -96,17 +97,19 @@ def select_sections(
     """Resolve ``(namespace, canonical_id, section)`` requests to section slices.
 
     ``section`` is an index when it is all digits (optionally signed), else a
-    case-insensitive part of a title. Each request meets its document once, as
-    an array of sections, so a document's sections never multiply the rows.
+    case-insensitive part of a title. Only requested documents are cut up, and
+    each request meets its document once, as an array of sections, so a
+    document's sections never multiply the rows.
     ``request_id`` identifies a request.
     """
-    docs = corpus.select(
+    wanted = match_keys(corpus, requests, DOC, "left_semi")
+    docs = wanted.select(
         document_key().alias("_doc"), tx.section_array(F.col("markdown")).alias("_sections")
     )
     asked = requests.withColumn("_doc", document_key())
     joined = salted_join(asked, docs, "_doc", "left", spread=["request_id"])
 
-    number = F.try_cast(F.col("section"), "int") if hasattr(F, "try_cast") else F.col("section").try_cast("int")
+    number = F.col("section").try_cast("int")
     numeric = F.col("section").rlike(r"^\s*[+-]?\d+\s*$")
     count = F.size("_sections")
     titles = F.array_join(F.transform("_sections", lambda s: s["title"]), ", ")
@@ -151,7 +154,8 @@ def titles(corpus: DataFrame) -> DataFrame:
 
 def section_at_offset(corpus: DataFrame, offsets: DataFrame) -> DataFrame:
     """``offsets(namespace, canonical_id, offset)`` with the section they fall in."""
-    docs = corpus.select(document_key().alias("_doc"), "markdown")
+    wanted = match_keys(corpus, offsets, DOC, "left_semi")
+    docs = wanted.select(document_key().alias("_doc"), "markdown")
     asked = offsets.withColumn("_doc", document_key())
     joined = salted_join(asked, docs, "_doc", "left", spread=["offset"])
     return joined.select(
@@ -187,16 +191,24 @@ def section_index(corpus: DataFrame) -> DataFrame:
 def refresh_sections(corpus: DataFrame, stored: DataFrame) -> DataFrame:
     """Re-segment only documents whose stored checksum is missing or different.
 
-    Only keys and checksums meet in the comparison; text is parsed for stale
-    documents alone. ``refreshed`` tells which rows were recomputed.
+    Keys and checksums alone decide (a stored ``md_sha256`` of the corpus is
+    used where there is one); text is read for stale documents only.
+    ``refreshed`` tells which rows were recomputed.
     """
-    current = corpus.select(*DOC, F.sha2("markdown", 256).alias("_now"))
-    fresh = (
-        stored.join(current, DOC)
-        .where(F.col("md_sha256") == F.col("_now"))
-        .select(*DOC, "sections", "md_sha256", F.lit(False).alias("refreshed"))
+    checksum = (
+        F.col("md_sha256") if "md_sha256" in corpus.columns else F.sha2("markdown", 256)
     )
-    stale = corpus.join(fresh.select(*DOC), DOC, "left_anti")
+    current = corpus.select(*DOC, checksum.alias("_now"))
+    checked = pin(
+        current.join(stored.select(*DOC, "md_sha256"), DOC, "left").select(
+            *DOC, F.coalesce(F.col("md_sha256") == F.col("_now"), F.lit(False)).alias("_same")
+        ),
+        "checked",
+    )
+    fresh = stored.join(checked.where("_same").select(*DOC), DOC).select(
+        *DOC, "sections", "md_sha256", F.lit(False).alias("refreshed")
+    )
+    stale = match_keys(corpus, checked.where("not _same"), DOC, "left_semi")
     return fresh.unionByName(section_index(stale).withColumn("refreshed", F.lit(True)))
 
 
@@ -211,6 +223,8 @@ def cascade_invalidate(
     replaced = (
         downloads.where(F.col("forced") & F.col("error").isNull() & (F.col("cached") == F.lit(False)))
         .select(*DOC)
-        .distinct()
     )
-    return corpus.join(replaced, DOC, "left_anti"), stored.join(replaced, DOC, "left_anti")
+    return (
+        match_keys(corpus, replaced, DOC, "left_anti"),
+        match_keys(stored, replaced, DOC, "left_anti"),
+    )

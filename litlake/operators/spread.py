@@ -106,6 +106,26 @@ def with_ordinal(
     )
 
 
+def fits(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` has at most ``rows`` rows; counts no further than that."""
+    return df.limit(rows + 1).count() <= rows
+
+
+# A key list up to this length is broadcast (some tens of megabytes).
+BROADCAST_KEYS = 500_000
+
+
+def match_keys(df: DataFrame, keys: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """``left_semi`` or ``left_anti`` join of wide rows against a list of keys.
+
+    A key list that a count shows to be short is broadcast, so the wide rows
+    (texts, files) are filtered where they are read. A longer one is joined by
+    key with a shuffle.
+    """
+    keys = keys.select(*on).distinct()
+    return df.join(F.broadcast(keys) if fits(keys, BROADCAST_KEYS) else keys, list(on), how)
+
+
 def heavy_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
     """Keys that may hold at least ``share`` of the rows: at most about ``1/share`` values.
 

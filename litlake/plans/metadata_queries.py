@@ -451,7 +451,9 @@ def author_profiles(spark, sf_dir):
             ).alias("affiliations"),
         )
     )
-    return op.author_profiles(raw).select(
+    out = scratch_path(spark, "authors")
+    raw.write.json(out)
+    return op.author_profiles(dumps.read_openalex(spark, out, "authors")).select(
         "name",
         "openalex_id",
         "works_count",

@@ -27,13 +27,13 @@ METRIC_OF_EVENT = {
 NOW = "2024-01-31 00:00:00"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Tables that grow with the data and feed costly expressions.
+LARGE = ("documents", "events", "lineitem", "orders")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text table; its rows are costly, so a small one is spread over the cores."""
-    return balanced(table(spark, sf_dir, "documents"))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return balanced(df) if name in LARGE else df
 
 
 def _pick(values, index: Column) -> Column:
@@ -90,7 +90,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         _cat("10.18653/v1/2023.acl-long.", d),
         _cat("my-paper-", d),
     ]
-    return documents(spark, sf_dir).select(
+    return table(spark, sf_dir, "documents").select(
         _pick(CORPUS_NAMESPACES, d % 4).alias("namespace"),
         F.get(F.array(*names), (d % 4).cast("int")).alias("canonical_id"),
         markdown_of(d, F.col("text")).alias("markdown"),
@@ -191,7 +191,7 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Work records: documents joined to the order, customer and nation of their number."""
     k = F.col("o_orderkey")
     joined = (
-        documents(spark, sf_dir)
+        table(spark, sf_dir, "documents")
         .join(table(spark, sf_dir, "orders"), F.col("doc_id") == k)
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -274,7 +274,7 @@ def arxiv_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     link = lambda href, rel, title: F.struct(
         href.alias("href"), F.lit(rel).alias("rel"), F.lit(title).cast("string").alias("title")
     )
-    return documents(spark, sf_dir).select(
+    return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("http://arxiv.org/abs/"), number).alias("id"),
         _title(text).alias("title"),
         F.array_join(tx.words(text), " ").alias("summary"),
