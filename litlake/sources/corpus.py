@@ -51,7 +51,8 @@ def read_pdf_blobs(spark: SparkSession, path: str, max_bytes: int = MAX_PDF_BYTE
     """PDF files with ``content``; rejects keep an ``error`` and no content.
 
     The size check comes first and only needs the listing; over-size files are
-    never opened.
+    never opened. Files of zero length do not appear: Spark's file sources skip
+    them when they plan the scan.
     """
     files = (
         spark.read.format("binaryFile")
