@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from litlake.functions import text as tx
 from litlake.operators import graph as op
 from litlake.operators.metadata import unified_metadata
 from litlake.operators.normalize import normalize_citations
@@ -162,34 +163,28 @@ def citations_page(spark, sf_dir):
 
 @query(
     "crossref_references",
-    sql.with_(
-        sql.EDGES,
-        sql.CROSSREF_EDGES,
-        body="""SELECT citing, row_number() OVER (PARTITION BY citing ORDER BY line, part, supp, creation, journal_sc, author_sc, ord) - 1 AS ref_pos,
-  CASE WHEN author_sc = 'yes' THEN cited END AS doi, creation[1:4] AS year, 'Vol ' || supp AS volume,
-  CASE WHEN author_sc = 'no' THEN 'Cited ' || part END AS unstructured
-FROM crossref_edges""",
-    ),
+    f"""SELECT citing, i - 1 AS ref_pos, CASE WHEN length(w) % 2 = 0 THEN '10.1234/' || w END AS doi,
+  CAST(1990 + (i - 1) % 30 AS VARCHAR) AS year, 'Vol ' || (i - 1) AS volume,
+  CASE WHEN length(w) % 2 = 1 THEN w END AS unstructured
+FROM (SELECT '10.1234/o' || doc_id AS citing, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+  FROM (SELECT doc_id, {sql.words('text')} AS ws FROM documents))""",
 )
 def crossref_references(spark, sf_dir):
-    """Reference arrays of bounded papers, rebuilt from edges and exploded again."""
+    """Work records whose reference list has one entry per word of a document."""
     none = F.lit(None).cast("string")
-    self_cited = F.col("author_sc") == "yes"
-    ref = F.struct(
-        F.when(self_cited, F.col("cited")).otherwise("").alias("DOI"),
+    reference = lambda w, i: F.struct(
+        F.when(F.length(w) % 2 == 0, F.concat(F.lit("10.1234/"), w)).otherwise("").alias("DOI"),
         none.alias("author"),
         F.lit("").alias("article-title"),
-        F.substring("creation", 1, 4).alias("year"),
+        (i % 30 + 1990).cast("string").alias("year"),
         none.alias("journal-title"),
-        F.concat(F.lit("Vol "), F.col("supp")).alias("volume"),
+        F.concat(F.lit("Vol "), i.cast("string")).alias("volume"),
         none.alias("first-page"),
-        F.when(~self_cited, F.concat(F.lit("Cited "), F.col("part"))).alias("unstructured"),
+        F.when(F.length(w) % 2 == 1, w).alias("unstructured"),
     )
-    works = (
-        views.crossref_edges(spark, sf_dir)
-        .groupBy(F.col("citing").alias("DOI"))
-        .agg(F.array_sort(F.collect_list(F.struct(*ORDER, ref.alias("ref")))).alias("rows"))
-        .select("DOI", F.transform("rows", lambda r: r["ref"]).alias("reference"))
+    works = views.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("10.1234/O"), "doc_id").alias("DOI"),
+        F.transform(tx.words(F.col("text")), reference).alias("reference"),
     )
     return op.crossref_references(works).select(
         "citing", "ref_pos", "doi", "year", "volume", "unstructured"

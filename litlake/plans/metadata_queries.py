@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from litlake.operators import metadata as op, normalize as norm
 from litlake.plans import sql, views
 from litlake.plans.registry import query
-from litlake.session import scratch_path
+from litlake.session import pin, scratch_path
 from litlake.sources import dumps
 
 
@@ -54,22 +54,32 @@ def normalize_biorxiv(spark, sf_dir):
 
 @query(
     "read_biorxiv_details",
-    sql.with_(
-        sql.PREPRINTS,
-        body="SELECT doi, title, authors, version, server, published_doi FROM preprints",
-    ),
+    """SELECT '10.1101/2024.01.01.' || o_orderkey AS doi, 'Version ' || n || ' of ' || o_orderkey AS title,
+  'Anna Last' || o_custkey || '|Solo' AS authors, CAST(n AS VARCHAR) AS version,
+  CASE WHEN o_orderstatus = 'F' THEN 'medrxiv' ELSE 'biorxiv' END AS server,
+  CASE WHEN o_orderstatus = 'O' THEN '10.1234/O' || o_orderkey END AS published_doi
+FROM (SELECT *, 8 + o_custkey % 4 AS n FROM orders)""",
 )
 def read_biorxiv_details(spark, sf_dir):
-    """Version lists written as provider answers, read back, newest kept."""
+    """Version lists written as provider answers (the newest twice), read back, newest kept."""
     out = scratch_path(spark, "biorxiv")
-    raw = views.preprints_raw(spark, sf_dir)
-    fields = [c for c in raw.columns if c != "pos"]
-    (
-        raw.groupBy(F.col("doi").alias("_d"))
-        .agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(*fields).alias("r")))).alias("rows"))
-        .select(F.transform("rows", lambda x: x["r"]).alias("collection"))
-        .write.json(out)
+    k = F.col("o_orderkey")
+    last = (F.col("o_custkey") % 4 + 8).cast("int")
+    text = lambda *parts: F.concat(
+        *(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts)
+    )
+    version = lambda v, i: F.struct(
+        text("10.1101/2024.01.01.", k).alias("doi"),
+        F.when(i > last, F.lit("Repeat")).otherwise(text("Version ", v, " of ", k)).alias("title"),
+        text("Last", F.col("o_custkey"), ", Anna; Solo").alias("authors"),
+        v.cast("string").alias("version"),
+        F.when(F.col("o_orderstatus") == "F", "medRxiv").otherwise("bioRxiv").alias("server"),
+        F.when(F.col("o_orderstatus") == "O", text("10.1234/O", k)).otherwise("NA").alias("published"),
     )
+    numbers = F.concat(F.sequence(F.lit(0), last), F.array(last))
+    views.table(spark, sf_dir, "orders").select(
+        F.transform(numbers, version).alias("collection")
+    ).write.json(out)
     latest = norm.latest_version(dumps.read_biorxiv_details(spark, out), "pos").drop("pos")
     return norm.normalize_biorxiv(latest).select(
         "doi",
@@ -511,7 +521,8 @@ FROM preprints p LEFT JOIN works w ON lower(p.published_doi) = w.canonical_id"""
     ),
 )
 def follow_published(spark, sf_dir):
-    return op.follow_published(preprints(spark, sf_dir), views.works(spark, sf_dir)).select(
+    latest = pin(preprints(spark, sf_dir), "preprints")
+    return op.follow_published(latest, views.works(spark, sf_dir)).select(
         "_source", "_canonical_id", "preprint_doi", "doi", "title", "publication_year", "venue",
         "version", "published_doi",
     )

@@ -28,12 +28,16 @@ NOW = "2024-01-31 00:00:00"
 
 
 # Tables that grow with the data and feed costly expressions.
+_schemas: dict = {}
 LARGE = ("documents", "events", "lineitem", "orders")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return balanced(df) if name in LARGE else df
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:  # footers are read once per table
+        _schemas[path] = spark.read.parquet(path).schema
+    df = spark.read.schema(_schemas[path]).parquet(path)
+    return balanced(df, path) if name in LARGE else df
 
 
 def _pick(values, index: Column) -> Column:
@@ -108,7 +112,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         _cat("10.1234/o", F.col("l_orderkey")).alias("citing"),
         _cat("10.1234/p", p).alias("cited"),
         _cat("omid:br/06", p, " doi:10.1234/p", p, " openalex:W", p).alias("ids"),
-        F.date_format("l_shipdate", "yyyy-MM-dd").alias("creation"),
+        F.col("l_shipdate").cast("date").cast("string").alias("creation"),
         F.when(F.col("l_returnflag") == "R", "yes").otherwise("no").alias("journal_sc"),
         F.when(F.col("l_linestatus") == "O", "yes").otherwise("no").alias("author_sc"),
         F.col("l_orderkey").alias("ord"),
@@ -205,7 +209,7 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
         _cat("https://doi.org/10.1234/O", k).alias("doi"),
         _title(F.col("text")).alias("title"),
         F.year("o_orderdate").alias("publication_year"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("publication_date"),
+        F.col("o_orderdate").cast("date").cast("string").alias("publication_date"),
         _pick(tuple(ENTRY_TYPES), k % len(ENTRY_TYPES)).alias("type"),
         F.col("lang").alias("language"),
         F.transform(
@@ -254,7 +258,7 @@ def preprints_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         _cat("van Berg", s, ", Anna; Li", p, "; , ; Solo,").alias("authors"),
         _cat("Anna van Berg", s).alias("author_corresponding"),
         _cat("Institute ", s).alias("author_corresponding_institution"),
-        F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"),
+        F.col("l_shipdate").cast("date").cast("string").alias("date"),
         F.col("l_linenumber").cast("string").alias("version"),
         F.lit("new results").alias("type"),
         F.lit("cc_by").alias("license"),

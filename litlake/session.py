@@ -32,27 +32,37 @@ def build_session(app: str = "litlake", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_local_roots: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by the session; a local one only where none is set."""
-    root = spark.conf.get(CHECKPOINT_CONF, None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(CHECKPOINT_CONF, root)
-    return root.rstrip("/")
+    shared = spark.conf.get(CHECKPOINT_CONF, None)
+    if shared:
+        return shared.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="spark-")
+    return _local_roots[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/litlake/{label}-{uuid.uuid4().hex}"
 
 
-def balanced(df: DataFrame) -> DataFrame:
-    """Spread a small scan over all cores.
+_scan_splits: dict[str, int] = {}
+
+
+def balanced(df: DataFrame, path: str) -> DataFrame:
+    """Spread the small table read from ``path`` over all cores.
 
     A big table is split into more scan partitions than there are cores and is
     returned as it is; only a few files with one row group each are repartitioned.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    if path not in _scan_splits:
+        _scan_splits[path] = df.rdd.getNumPartitions()
+    return df if _scan_splits[path] >= cores else df.repartition(cores)
 
 
 def pin(df: DataFrame, label: str = "pinned") -> DataFrame:

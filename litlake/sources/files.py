@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,7 +24,7 @@ def write_files(df: DataFrame, root: str) -> DataFrame:
 
         from pyarrow import fs
 
-        files, base = fs.FileSystem.from_uri(root)
+        files, base = fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", root))
         made: set[str] = set()
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
