@@ -88,14 +88,17 @@ def plan_downloads(df: DataFrame, col: str = "raw") -> DataFrame:
     """PDF address where one can be derived from the id alone, else error + hint.
 
     Preprints take their version from an optional ``version`` column (1 if
-    absent); arXiv addresses follow from the bare id.
+    absent). arXiv addresses come from an optional ``links`` column, as the
+    paper's record lists them, and otherwise follow from the bare id.
     """
     resolved = resolve_identifiers(df, col)
     version = F.coalesce(F.col("version"), F.lit("1")) if "version" in df.columns else F.lit("1")
     url = (
         F.when(
             F.col("namespace") == "arxiv",
-            F.concat(F.lit("https://arxiv.org/pdf/"), F.col("normalized")),
+            F.get(F.filter("links", lambda k: k["title"] == "pdf"), F.lit(0))["href"]
+            if "links" in df.columns
+            else F.concat(F.lit("https://arxiv.org/pdf/"), F.col("normalized")),
         )
         .when(
             F.col("namespace") == "acl_anthology",

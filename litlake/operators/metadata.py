@@ -123,12 +123,20 @@ def abstracts(df: DataFrame, source: str) -> DataFrame:
     )
 
 
-def author_profiles(df: DataFrame) -> DataFrame:
-    named = F.filter(
-        F.transform("last_known_institutions", lambda i: i["display_name"]),
+def _display_names(institutions: Column) -> Column:
+    """Institution names that are neither null nor empty."""
+    return F.filter(
+        F.transform(institutions, lambda i: i["display_name"]),
         lambda n: n.isNotNull() & (n != ""),
     )
-    none = F.array().cast("array<string>")
+
+
+def _or_none(items: Column, kind: str) -> Column:
+    """A missing list is an empty one."""
+    return F.coalesce(items, F.array().cast(f"array<{kind}>"))
+
+
+def author_profiles(df: DataFrame) -> DataFrame:
     return df.select(
         F.col("display_name").alias("name"),
         F.col("id").alias("openalex_id"),
@@ -137,18 +145,26 @@ def author_profiles(df: DataFrame) -> DataFrame:
         "cited_by_count",
         F.col("summary_stats.h_index").alias("h_index"),
         F.col("summary_stats.i10_index").alias("i10_index"),
-        F.coalesce(named, none).alias("current_institutions"),
-        F.transform(
-            F.slice("topics", 1, TOP_TOPICS),
-            lambda t: F.struct(t["display_name"].alias("name"), t["count"].alias("count")),
+        _or_none(_display_names(F.col("last_known_institutions")), "string").alias(
+            "current_institutions"
+        ),
+        _or_none(
+            F.transform(
+                F.slice("topics", 1, TOP_TOPICS),
+                lambda t: F.struct(t["display_name"].alias("name"), t["count"].alias("count")),
+            ),
+            "struct<name:string,count:int>",
         ).alias("top_topics"),
-        F.transform(
-            "affiliations",
-            lambda a: F.struct(
-                a["institution"]["display_name"].alias("institution"),
-                a["institution"]["country_code"].alias("country_code"),
-                F.array_sort(a["years"]).alias("years"),
+        _or_none(
+            F.transform(
+                "affiliations",
+                lambda a: F.struct(
+                    a["institution"]["display_name"].alias("institution"),
+                    a["institution"]["country_code"].alias("country_code"),
+                    F.array_sort(_or_none(a["years"], "int")).alias("years"),
+                ),
             ),
+            "struct<institution:string,country_code:string,years:array<int>>",
         ).alias("affiliations"),
     )
 
@@ -298,11 +314,7 @@ def institution_names(authorships: Column) -> Column:
     return F.array_distinct(
         F.flatten(
             F.transform(
-                authorships,
-                lambda a: F.filter(
-                    F.transform(a["institutions"], lambda i: i["display_name"]),
-                    lambda n: n.isNotNull() & (n != ""),
-                ),
+                authorships, lambda a: _or_none(_display_names(a["institutions"]), "string")
             )
         )
     )
@@ -330,7 +342,7 @@ def authors_page(
                 a["author"]["id"].alias("openalex_id"),
                 a["author_position"].alias("position"),
                 a["is_corresponding"].alias("is_corresponding"),
-                F.transform(a["institutions"], lambda i: i["display_name"]).alias("institutions"),
+                _or_none(_display_names(a["institutions"]), "string").alias("institutions"),
             ),
         ).alias("authors"),
         institutions.alias("page_institutions"),

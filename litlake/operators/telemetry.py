@@ -56,10 +56,10 @@ def classify_errors(log: DataFrame) -> DataFrame:
     """
     status, provider = F.col("status"), F.col("provider")
     say = lambda *parts: F.concat(provider, *parts)
-    code = status.cast("string")
+    code, body = status.cast("string"), F.coalesce("body", F.lit(""))
     error = (
         F.when(F.col("failure") == "timeout", say(F.lit(" request timed out. Transient — retry.")))
-        .when(F.col("failure") == "network", say(F.lit(" network error: "), F.col("body")))
+        .when(F.col("failure") == "network", say(F.lit(" network error: "), body))
         .when(status == 429, say(F.lit(" rate limit (HTTP 429). Transient — wait and retry.")))
         .when(
             status.between(500, 599),
@@ -67,7 +67,7 @@ def classify_errors(log: DataFrame) -> DataFrame:
         )
         .when(
             status >= 400,
-            say(F.lit(" HTTP "), code, F.lit(": "), F.substr("body", F.lit(1), F.lit(BODY_CHARS))),
+            say(F.lit(" HTTP "), code, F.lit(": "), F.substr(body, F.lit(1), F.lit(BODY_CHARS))),
         )
     )
     return log.select(

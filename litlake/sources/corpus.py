@@ -21,8 +21,10 @@ def read_markdown_corpus(spark: SparkSession, root: str, namespace: str | None =
     files = spark.read.text(path, wholetext=True).select(
         F.make_valid_utf8("value").alias("markdown"), F.col("_metadata.file_path").alias("_path")
     )
-    ns = F.url_decode(F.regexp_extract("_path", r"/([^/]+)/markdown/[^/]+$", 1))
-    name = F.url_decode(F.regexp_extract("_path", r"/markdown/([^/]+)\.md$", 1))
+    # file_path is percent-encoded but keeps a plain plus sign
+    plain = lambda p: F.url_decode(F.replace(F.regexp_extract("_path", p, 1), F.lit("+"), F.lit("%2B")))
+    ns = plain(r"/([^/]+)/markdown/[^/]+$")
+    name = plain(r"/markdown/([^/]+)\.md$")
     return files.select(ns.alias("namespace"), name.alias("stem"), "markdown").select(
         "namespace",
         "stem",

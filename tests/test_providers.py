@@ -133,13 +133,13 @@ def test_openalex_and_crossref_answers(spark, tmp_path):
 
 
 def test_markdown_files_and_pdfs(spark, tmp_path):
-    for ns, name, body in [("arxiv", "hep-th_9901001.md", b"# T\n"), ("manual", "a b.md", b"bad \xff byte"), ("arxiv", "x.txt", b"no")]:
+    for ns, name, body in [("arxiv", "hep-th_9901001.md", b"# T\n"), ("manual", "a+b c.md", b"bad \xff byte"), ("arxiv", "x.txt", b"no")]:
         folder = tmp_path / "store" / ns / "markdown"
         folder.mkdir(parents=True, exist_ok=True)
         (folder / name).write_bytes(body)
     root = str(tmp_path / "store")
     got = {r.canonical_id: r.markdown for r in files.read_markdown_corpus(spark, root).collect()}
-    assert got == {"hep-th/9901001": "# T\n", "a b": "bad � byte"}
+    assert got == {"hep-th/9901001": "# T\n", "a+b c": "bad � byte"}
     assert files.read_markdown_corpus(spark, root, "manual").count() == 1
     pdfs = tmp_path / "pdfs"
     pdfs.mkdir()
@@ -213,6 +213,7 @@ def test_error_classes_and_delays(spark):
     log = spark.createDataFrame(
         [(0, "arXiv", 429, "7", "", None), (1, "arXiv", 429, "soon", "", None), (2, "arXiv", 503, None, "", None),
          (3, "arXiv", 404, None, "b" * 300, None), (4, "arXiv", None, None, "reset", "network"),
+         (9, "arXiv", 404, None, None, None),
          (5, "arXiv", None, None, "", "timeout"), (6, "arXiv", 200, None, "", None), (7, "arXiv", 429, "999", "", None),
          (8, "arXiv", 429, "-1", "", None)],
         "id int, provider string, status int, retry_after string, body string, failure string",
@@ -223,5 +224,29 @@ def test_error_classes_and_delays(spark):
     assert "server error (HTTP 503)" in got[2].error
     assert got[3].error == "arXiv HTTP 404: " + "b" * 200
     assert got[4].error == "arXiv network error: reset" and "timed out" in got[5].error and got[6].error is None
+    assert got[9].error == "arXiv HTTP 404: "
     waits = {r.id: r.delay for r in telemetry.retry_delay(log, 2.0).collect()}
-    assert waits == {0: 7.0, 1: 2.0, 2: 2.0, 3: None, 4: 2.0, 5: 2.0, 6: None, 7: 60.0, 8: 2.0}
+    assert waits == {0: 7.0, 1: 2.0, 2: 2.0, 3: None, 4: 2.0, 5: 2.0, 6: None, 7: 60.0, 8: 2.0, 9: None}
+
+
+def test_author_pages_and_profiles(spark, tmp_path):
+    author = lambda n, *inst: {"author": {"display_name": n}, "institutions": [{"display_name": i} for i in inst]}
+    work = {"doi": "https://doi.org/10.1/A", "authorships": [author("A", "U", None), author("B", "V", "U"), author("C", "", "W"), {"author": {"display_name": "D"}}]}
+    read = dumps.read_openalex(spark, write(tmp_path, "w", json.dumps(work)))
+    pages = [metadata.authors_page(read, p, 2).first() for p in (1, 2, 3)]
+    assert [[a.name for a in p.authors] for p in pages] == [["A", "B"], ["C", "D"], []]
+    assert [p.has_more for p in pages] == [True, False, False]
+    assert [p.page_institutions for p in pages] == [["U", "V"], ["W"], []]
+    assert [a.institutions for a in pages[0].authors] == [["U"], ["V", "U"]] and pages[2].author_count == 4
+    people = [
+        {"id": "A1", "display_name": "N", "topics": [{"display_name": f"t{i}", "count": 9 - i} for i in range(7)],
+         "affiliations": [{"institution": {"display_name": "U"}, "years": [2003, 2001]}, {"institution": {"display_name": "V"}}],
+         "last_known_institutions": [{"display_name": ""}, {"display_name": "U"}], "summary_stats": {"h_index": 3}},
+        {"id": "A2", "display_name": "M"},
+    ]
+    raw = dumps.read_openalex(spark, write(tmp_path, "a", "\n".join(map(json.dumps, people))), "authors")
+    full, bare = metadata.author_profiles(raw).orderBy("openalex_id").collect()
+    assert [t.name for t in full.top_topics] == ["t0", "t1", "t2", "t3", "t4"] and full.h_index == 3
+    assert [(a.institution, a.years) for a in full.affiliations] == [("U", [2001, 2003]), ("V", [])]
+    assert full.current_institutions == ["U"]
+    assert (bare.top_topics, bare.affiliations, bare.current_institutions, bare.h_index) == ([], [], [], None)
