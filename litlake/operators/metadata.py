@@ -280,8 +280,9 @@ def follow_published(preprints: DataFrame, works: DataFrame) -> DataFrame:
 def batch_metadata(requests: DataFrame, papers: DataFrame) -> DataFrame:
     """One row per input position with the paper's metadata or an error row.
 
-    ``requests(pos, raw)`` keeps duplicates; ``papers`` is :func:`all_metadata`.
-    All providers are answered by one join on (source, canonical id).
+    ``requests(pos, raw)`` keeps duplicates; ``papers`` is :func:`all_metadata`
+    over record tables, which hold a paper once. All providers are answered by
+    one join on (source, canonical id).
     """
     asked = resolve_identifiers(requests, "raw").select(
         "pos",
