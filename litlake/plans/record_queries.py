@@ -191,6 +191,25 @@ def upsert_records(spark, sf_dir):
     return good.unionByName(bad).select(*KEY, "payload", _time("stored_at"))
 
 
+@query(
+    "append_records",
+    sql.with_(
+        sql.STORE,
+        LATEST,
+        body=f"""SELECT namespace, entity, key, {_time_sql('ts', 'stored_at')} FROM latest
+WHERE event_type <> 'error'""",
+    ),
+)
+def append_records(spark, sf_dir):
+    """Two appended batches, folded together and read."""
+    root = scratch_path(spark, "store")
+    store.append_records(_puts(spark, sf_dir, "view", "click", "signup"), root, 1, BUCKETS)
+    store.append_records(_puts(spark, sf_dir, "purchase", "error"), root, 2, BUCKETS)
+    store.compact_records(spark, root)
+    good, _ = store.read_records(spark, root)
+    return good.select(*KEY, _time("stored_at"))
+
+
 @query(
     "read_records",
     sql.with_(

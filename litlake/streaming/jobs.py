@@ -13,7 +13,7 @@ from litlake.operators.records import (
     seconds,
 )
 from litlake.operators.telemetry import METRICS
-from litlake.sources.records import BUCKETS, upsert_records
+from litlake.sources.records import BUCKETS, append_records
 
 
 def stream_counters(log: DataFrame, window: str = "1 hour", watermark: str = "1 day") -> DataFrame:
@@ -47,11 +47,14 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Continuous put into the record store, newest entry wins.
 
-    A batch that is replayed after a failure gives the same store again,
-    because the merge depends on the entries alone.
+    Batches are appended, so their cost follows their own size. A batch that is
+    replayed after a failure adds the same entries, which readers see once;
+    ``compact_records`` folds the batches together now and then.
     """
     return (
-        records.writeStream.foreachBatch(lambda batch, _: upsert_records(batch, root, buckets))
+        records.writeStream.foreachBatch(
+            lambda batch, number: append_records(batch, root, number + 1, buckets)
+        )
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
