@@ -11,7 +11,8 @@ from litlake.operators.normalize import normalize_citations
 from litlake.plans import sql, views
 from litlake.plans.registry import query
 
-DOI = F.col("citing").alias("doi")
+def _citing():
+    return F.col("citing").alias("doi")
 
 
 @query(
@@ -50,9 +51,9 @@ def counts(spark, sf_dir):
     )
     return op.reference_counts(
         asked,
-        views.crossref_edges(spark, sf_dir).select(DOI),
+        views.crossref_edges(spark, sf_dir).select(_citing()),
         views.known_dois(spark, sf_dir, "crossref"),
-        views.edges(spark, sf_dir).select(DOI),
+        views.edges(spark, sf_dir).select(_citing()),
         views.known_dois(spark, sf_dir, "opencitations"),
     )
 

@@ -28,3 +28,11 @@ def test_every_oracle_has_a_query():
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_registry_loads_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    assert subprocess.run([sys.executable, "-c", code]).returncode == 0
