@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from litlake.functions.identifiers import canonical_doi
 from litlake.functions.text import blank_to_null
-from litlake.operators.spread import paginate, salted_join
+from litlake.operators.spread import page_columns, page_items, paginate, salted_join
 
 PAGE_SIZE = 20
 MAX_PAGE_SIZE = 50
@@ -127,30 +127,28 @@ def references_page(
     """A page of every DOI's reference list from the chosen (or better) source.
 
     Both lists are cut to the page first; choosing the source then touches at
-    most one page per DOI and source.
+    most one page per DOI and source. Totals are the counts already at hand.
     """
     size = _page_size(page_size)
     rows = crossref_refs.withColumn("_source", F.lit("crossref")).unionByName(
         opencitations_refs.withColumn("_source", F.lit("opencitations")), allowMissingColumns=True
     )
-    shown = [c for c in rows.columns if c not in ("citing", "_source")]
-    pages = paginate(rows, ["citing", "_source"], [F.col(c) for c in order], page, size, shown)
+    columns = [c for c in rows.columns if c not in ("citing", "_source")]
+    pages = page_items(rows, ["citing", "_source"], [F.col(c) for c in order], page, size, columns)
     if source == "auto":
-        chosen = best_reference_source(counts).where(F.col("error").isNull()).select(
-            F.col("doi").alias("citing"), F.col("best_source").alias("_source")
-        )
+        chosen = best_reference_source(counts).where(F.col("error").isNull())
+        picked, total = F.col("best_source"), F.col("best_count")
     else:
-        chosen = counts.where(F.col(f"{source}_count").isNotNull()).select(
-            F.col("doi").alias("citing"), F.lit(source).alias("_source")
-        )
-    return chosen.join(pages, ["citing", "_source"], "left").select(
-        F.col("citing").alias("doi"),
-        "_source",
-        F.coalesce("total", F.lit(0)).alias("total"),
-        F.lit(page).alias("page"),
-        F.lit(size).alias("page_size"),
-        F.coalesce("has_more", F.lit(False)).alias("has_more"),
-        F.col("items").alias("references"),
+        total = F.col(f"{source}_count")
+        chosen, picked = counts.where(total.isNotNull()), F.lit(source)
+    wanted = chosen.select(
+        F.col("doi").alias("citing"), picked.alias("_source"), total.alias("total")
+    )
+    shown = page_columns(rows, columns, page, size)
+    return (
+        wanted.join(pages, ["citing", "_source"], "left")
+        .select("citing", "_source", "total", *(c.alias(n) for n, c in shown.items()))
+        .withColumnsRenamed({"citing": "doi", "items": "references"})
     )
 
 

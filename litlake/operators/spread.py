@@ -32,7 +32,7 @@ def first_n_per_key(
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
-def paginate(
+def page_items(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
@@ -40,28 +40,54 @@ def paginate(
     page_size: int,
     columns: Sequence[str],
 ) -> DataFrame:
-    """One page per key: ``total, page, page_size, has_more, items``.
+    """The rows of one page per key as an ordered array ``items``.
 
-    Totals come from a partially aggregated count. The rows of the page come
-    from a group limit, so at most ``page * page_size`` rows per key and map
-    task are shuffled. A page past the end is an empty list.
+    A group limit lets at most ``page * page_size`` rows per key and map task
+    reach the shuffle. Keys without rows on the page are absent.
     """
     start, end = (page - 1) * page_size, page * page_size
-    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
     rows = first_n_per_key(df, keys, order, end, "_rank").where(F.col("_rank") > start)
-    items = rows.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_rank", F.struct(*columns).alias("item")))).alias(
-            "_rows"
+    return (
+        rows.groupBy(*keys)
+        .agg(
+            F.array_sort(
+                F.collect_list(F.struct("_rank", F.struct(*columns).alias("item")))
+            ).alias("_rows")
         )
+        .select(*keys, F.transform("_rows", lambda r: r["item"]).alias("items"))
     )
+
+
+def page_columns(
+    df: DataFrame, columns: Sequence[str], page: int, page_size: int
+) -> dict[str, Column]:
+    """Page columns beside ``total`` and ``items``; a page past the end is an empty list."""
     empty = F.array().cast(_array_of(df, columns))
+    return {
+        "page": F.lit(page),
+        "page_size": F.lit(page_size),
+        "has_more": F.col("total") > page * page_size,
+        "items": F.coalesce("items", empty),
+    }
+
+
+def paginate(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    page: int,
+    page_size: int,
+    columns: Sequence[str],
+) -> DataFrame:
+    """One page per key: ``total, page, page_size, has_more, items``.
+
+    Totals are a partially aggregated count of all rows of a key.
+    """
+    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
+    items = page_items(df, keys, order, page, page_size, columns)
+    shown = page_columns(df, columns, page, page_size)
     return totals.join(items, list(keys), "left").select(
-        *keys,
-        "total",
-        F.lit(page).alias("page"),
-        F.lit(page_size).alias("page_size"),
-        (F.col("total") > end).alias("has_more"),
-        F.coalesce(F.transform("_rows", lambda r: r["item"]), empty).alias("items"),
+        *keys, "total", *(c.alias(n) for n, c in shown.items())
     )
 
 

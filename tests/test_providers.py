@@ -250,3 +250,20 @@ def test_author_pages_and_profiles(spark, tmp_path):
     assert [(a.institution, a.years) for a in full.affiliations] == [("U", [2001, 2003]), ("V", [])]
     assert full.current_institutions == ["U"]
     assert (bare.top_topics, bare.affiliations, bare.current_institutions, bare.h_index) == ([], [], [], None)
+
+
+def test_reference_pages(spark):
+    doi = lambda *d: spark.createDataFrame([(x,) for x in d], "doi string")
+    cr = spark.createDataFrame([("a", i, f"c{i}") for i in range(5)], "citing string, pos int, ref string")
+    oc = spark.createDataFrame([("a", 0, "o0"), ("b", 1, "o1"), ("b", 0, "o0")], "citing string, pos int, cited string")
+    known = doi("a", "b", "empty")
+    named = lambda df: df.select(F.col("citing").alias("doi"))
+    counts = graph.reference_counts(doi("a", "b", "empty", "lost"), named(cr), known, named(oc), known)
+    page = lambda n, **k: {r.doi: r for r in graph.references_page(counts, cr, oc, ["pos"], n, 2, **k).collect()}
+    first = page(1)
+    assert [x.ref for x in first["a"].references] == ["c0", "c1"] and first["a"].has_more and first["a"].total == 5
+    assert (first["b"]._source, [x.cited for x in first["b"].references]) == ("opencitations", ["o0", "o1"])
+    assert first["b"].has_more is False and first["empty"].references == [] and "lost" not in first
+    assert [x.ref for x in page(3)["a"].references] == ["c4"] and page(9)["a"].references == []
+    pinned = page(1, source="opencitations")
+    assert (pinned["a"].total, [x.cited for x in pinned["a"].references]) == (1, ["o0"])
