@@ -27,3 +27,29 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litlake.llm.quality import quality
 
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litlake.llm.decontamination import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Rules of the url query, and words of a host that put it on the block list.
+RULES = (
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+)
+BAD_WORDS = ("adult", "ads", "bets", "casino", "pills", "spam", "porn", "warez")
+
+
+@query
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litlake.llm.url_filter import Rule, judge_urls
+
+    rules = [Rule(*r) for r in RULES]
+    return judge_urls(table(spark, sf_dir, "pages"), rules, BAD_WORDS)
