@@ -53,3 +53,19 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rules = [Rule(*r) for r in RULES]
     return judge_urls(table(spark, sf_dir, "pages"), rules, BAD_WORDS)
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litlake.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def _sql():
+    from litlake.llm.mixing import MIX_SQL
+
+    ORACLES["op7_mixing"] = MIX_SQL
+
+
+_sql()
