@@ -160,24 +160,23 @@ def train(toxic: list[bytes], ordinary: list[bytes], seed: int = 7) -> ToxicityM
 def training_sample(
     docs: DataFrame, labels: DataFrame, label: str, use: Column, max_docs: dict[int, int]
 ) -> dict[int, list[str]]:
-    """Distinct texts of labelled documents by class, a bounded sample by hash.
+    """Distinct texts of labelled documents by class, a bounded sample by hash of the id.
 
-    At most ``max_docs`` texts of a class leave the cluster, each cut to
-    ``MAX_BYTES``; this bounds what the driver fits, and nothing else.
+    ``use`` is a condition on doc_id. Labels choose at most ``max_docs`` ids of a
+    class; only these ids, whose number is that bound, are broadcast to the
+    documents, and their texts, each cut to ``MAX_BYTES``, come to the driver. This
+    bounds what is fitted, and nothing else.
     """
-    texts = only(docs, doc_id="long", text="string").where(use & (F.length("text") > 0))
-    marks = only(labels, doc_id="long", **{label: "int"}).where(F.col(label).isin(0, 1))
+    texts = only(docs, doc_id="long", text="string").where(F.length("text") > 0)
+    marks = only(labels, doc_id="long", **{label: "int"}).where(F.col(label).isin(0, 1) & use)
     marks = marks.groupBy("doc_id").agg(F.max(label).alias("mark"))
-    rows = (
-        texts.select("doc_id", F.substring("text", 1, MAX_BYTES).alias("text"))
-        .join(marks, "doc_id")
-        .select("mark", "text", F.xxhash64("text").alias("place"))
-    )
     out: dict[int, list[str]] = {}
     for mark, most in max_docs.items():
-        sample = rows.where(F.col("mark") == mark).orderBy("place").limit(most)
-        out[mark] = [r.text for r in sample.select("text").distinct().collect()]
-        out[mark].sort()
+        ids = marks.where(F.col("mark") == mark).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.select("doc_id").limit(most)
+        rows = texts.join(F.broadcast(ids), "doc_id", "left_semi").limit(2 * most)
+        found = rows.select(F.substring("text", 1, MAX_BYTES).alias("text")).collect()
+        out[mark] = sorted({r.text for r in found})
         random.Random(mark).shuffle(out[mark])
     return out
 
