@@ -69,3 +69,11 @@ def _sql():
 
 
 _sql()
+
+
+@query
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litlake.llm.near_duplicates import duplicate_groups
+
+    groups = duplicate_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "n_shingles", "component_id")
