@@ -26,8 +26,8 @@ from litlake.llm import compression as zc
 from litlake.llm.common import LOWER, only, utf8
 
 #: Labelled documents that a class may give to training, and bytes of each of them.
-MAX_DOCS = {1: 4000, 0: 8000}
-MAX_BYTES = 8192
+MAX_DOCS = {1: 4000, 0: 6000}
+MAX_BYTES = 4096
 WINDOW = 64
 GRAM = 5
 SHARED_BYTES = 16384
@@ -81,25 +81,36 @@ def _codes(data: bytes, size: int, pad: int = 0) -> np.ndarray:
     return out
 
 
-def _in_documents(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Gram codes and the number of texts that hold each."""
-    each = [np.unique(_codes(data, GRAM)) for data in texts]
-    return np.unique(np.concatenate(each or [np.zeros(0, np.uint64)]), return_counts=True)
-
-
 def _toxic_grams(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
     """Codes of the grams that many more toxic texts hold, in differing surroundings."""
-    grams, held = _in_documents(toxic)
-    code = np.concatenate([_codes(d, GRAM) for d in toxic])
-    place = np.concatenate([_codes(d, GRAM, 6) for d in toxic])
-    first = np.unique(place, return_index=True)[1]
-    surroundings = np.zeros(len(grams), np.int64)
-    np.add.at(surroundings, np.searchsorted(grams, code[first]), 1)
-    others, other_held = _in_documents(ordinary)
-    at = np.minimum(np.searchsorted(others, grams), max(0, len(others) - 1))
-    common = np.where(others[at] == grams, other_held[at], 0) if len(others) else 0
+    least = max(3, min(LEAST_SEEN, len(toxic) // 40))
+    each = [np.unique(_codes(data, GRAM)) for data in toxic]
+    grams, held = np.unique(np.concatenate(each), return_counts=True)
+    del each
+    grams, held = grams[held >= least], held[held >= least]
+    if not len(grams):
+        return grams
+    common = _held(ordinary, grams)
     ratio = (held / len(toxic)) / ((common + 1) / len(ordinary))
-    return grams[(surroundings >= LEAST_SEEN) & (held >= LEAST_SEEN) & (ratio >= LEAST_RATIO)]
+    grams = grams[ratio >= LEAST_RATIO]
+    places = [np.zeros((0, 2), np.uint64)]
+    for data in toxic:
+        code = _codes(data, GRAM)
+        kept = np.isin(code, grams)
+        places.append(np.stack([code[kept], _codes(data, GRAM, 6)[kept]], 1))
+    differing = np.unique(np.concatenate(places), axis=0)[:, 0]
+    codes, surroundings = np.unique(differing, return_counts=True)
+    return codes[surroundings >= least]
+
+
+def _held(texts: list[bytes], grams: np.ndarray) -> np.ndarray:
+    """For each of the (sorted) grams, the number of texts that hold it."""
+    count = np.zeros(len(grams), np.int64)
+    for data in texts:
+        own = np.unique(_codes(data, GRAM))
+        at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+        count[at[grams[at] == own]] += 1
+    return count
 
 
 def _pieces(data: bytes, grams: np.ndarray) -> list[bytes]:
