@@ -77,3 +77,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     groups = duplicate_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litlake.llm.suffix_dedup import repeated_bytes
+
+    return repeated_bytes(table(spark, sf_dir, "documents"))
