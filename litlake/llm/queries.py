@@ -84,3 +84,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litlake.llm.suffix_dedup import repeated_bytes
 
     return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litlake.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
