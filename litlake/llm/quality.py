@@ -8,6 +8,7 @@ labelled texts which the dictionaries it used had not seen.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,7 +43,7 @@ class QualityModel:
 
 
 def _coder(dictionary: bytes) -> zstandard.ZstdCompressor:
-    if not dictionary:
+    if len(dictionary) < 8:
         return zc.coder(b"")
     content = zstandard.ZstdCompressionDict(dictionary)
     content.precompute_compress(level=zc.LEVEL)
@@ -55,10 +56,11 @@ def _coder(dictionary: bytes) -> zstandard.ZstdCompressor:
     )
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
+def _dictionary(texts: list[bytes], trained: bool) -> bytes:
+    """A trained dictionary; where there is too little to train on, the texts' end itself."""
+    if not trained:
+        return b"".join(texts)[-DICTIONARY_BYTES:]
     parts = [p for t in texts for p in zc.windows(t, WINDOW)]
-    if sum(map(len, parts)) < 16 * DICTIONARY_BYTES:  # too little to train on: the text itself
-        return b""
     return zstandard.train_dictionary(DICTIONARY_BYTES, parts, k=SEGMENT, d=MATCH).as_bytes()
 
 
@@ -79,14 +81,15 @@ def train(good: list[bytes], bad: list[bytes]) -> QualityModel:
     if not good or not bad:
         flat = 0.999 if good else 0.001
         return QualityModel(b"", b"", float(np.log(flat / (1 - flat))), np.zeros(2))
+    trained = min(sum(map(len, good)), sum(map(len, bad))) >= 32 * DICTIONARY_BYTES
     rows, labels = [], []
     for half in (0, 1):
-        coders = _coder(_dictionary(good[half::2])), _coder(_dictionary(bad[half::2]))
+        coders = [_coder(_dictionary(texts[half::2], trained)) for texts in (good, bad)]
         for label, texts in ((1, good[1 - half :: 2]), (0, bad[1 - half :: 2])):
             rows += [_features(t, *coders) for t in texts]
             labels += [label] * len(texts[:])
     intercept, slope = zc.fit_logistic(np.array(rows), np.array(labels, float))
-    return QualityModel(_dictionary(good), _dictionary(bad), intercept, slope)
+    return QualityModel(_dictionary(good, trained), _dictionary(bad, trained), intercept, slope)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, use: Column) -> QualityModel:
@@ -106,8 +109,6 @@ def score_column(model: QualityModel, text: Column) -> Column:
             found = [_features(utf8(t), good, bad) for t in texts.to_pylist()]
             yield pa.array(zc.logistic(np.array(found).reshape(-1, 2), *weights))
 
-    from collections.abc import Iterator
-
     scores.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(scores, "double")(text.cast("string"))
 

@@ -91,3 +91,17 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litlake.llm.neighbours import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litlake.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litlake.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages"))
