@@ -36,6 +36,7 @@ TOXIC_BYTES = 6144
 LEAST_SEEN = 12
 #: ... and its share of toxic documents is so many times that of ordinary ones.
 LEAST_RATIO = 8.0
+FOLDS = 4
 #: Pieces of the dictionary that may repeat one gram.
 MOST_REPEATS = 3
 
@@ -145,24 +146,30 @@ def _dictionaries(toxic: list[bytes], ordinary: list[bytes], seed: int) -> tuple
     return shared + own, shared + rest[: len(own)]
 
 
+def _fold(texts: list[bytes], fold: int) -> tuple[list[bytes], list[bytes]]:
+    """Texts outside a fold, and inside it; a lone text is on both sides."""
+    outside = [t for i, t in enumerate(texts) if i % FOLDS != fold]
+    return outside or texts, texts[fold::FOLDS]
+
+
 def train(toxic: list[bytes], ordinary: list[bytes], seed: int = 7) -> ToxicityModel:
     """Dictionaries from all given texts; the curve from texts that its own dictionaries never saw.
 
-    Each class is cut in two. Dictionaries of one half score the other, and the
-    curve is fitted to both; then the dictionaries are built anew from everything.
+    Each class is cut in FOLDS. Dictionaries of all folds but one score that one, and
+    the curve is fitted to all; then the dictionaries are built anew from everything.
     With a class missing, the curve is flat at the share of toxic texts.
     """
     if not toxic or not ordinary:
         flat = 0.999 if toxic else 0.001
         return ToxicityModel(b"", b"", float(np.log(flat / (1 - flat))), np.zeros(5))
     rows, labels = [], []
-    for half in (0, 1):
-        d_toxic, d_ordinary = _dictionaries(toxic[half::2], ordinary[half::2], seed)
+    for fold in range(FOLDS):
+        seen, unseen = zip(*(_fold(texts, fold) for texts in (toxic, ordinary)), strict=True)
+        d_toxic, d_ordinary = _dictionaries(*seen, seed)
         coders = zc.coder(d_ordinary), zc.coder(d_toxic)
-        for label, texts in ((1, toxic[1 - half :: 2]), (0, ordinary[1 - half :: 2])):
-            for data in texts:
-                rows.append(_features(data, *coders))
-                labels.append(label)
+        for label, texts in zip((1, 0), unseen, strict=True):
+            rows += [_features(data, *coders) for data in texts]
+            labels += [label] * len(texts)
     intercept, slope = zc.fit_logistic(np.array(rows), np.array(labels, dtype=float))
     d_toxic, d_ordinary = _dictionaries(toxic, ordinary, seed)
     return ToxicityModel(d_toxic, d_ordinary, intercept, slope)
