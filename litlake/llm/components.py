@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     at least half of the vertices that still have edges go. Minima combine before
     the shuffle, hence a vertex with very many edges isn't one task's work.
     """
-    both = edges.select("u", "v").where("u <> v").distinct()
+    both = written(edges.select("u", "v").where("u <> v").distinct(), "links")
     both = written(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     labels = None
     while not both.isEmpty():

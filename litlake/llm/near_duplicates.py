@@ -71,8 +71,8 @@ def shingles(text: str | None, size: int, cache: _WordHashes) -> np.ndarray:
     n = len(words) - size + 1
     out = np.zeros(n, np.uint64)
     for k in range(size):
-        out = _mixed(out + codes[k : k + n] + np.uint64(k + 1))
-    return np.unique(out)
+        out = out * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
+    return np.unique(_mixed(out))
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -103,10 +103,8 @@ class Bands:
 def sketch(tokens: np.ndarray, parts: int) -> np.ndarray:
     """Parity bits: ``parts`` rows of PART_BITS bits as 64-bit words."""
     bit = (tokens % np.uint64(parts * PART_BITS)).astype(np.int64)
-    odd = np.flatnonzero(np.bincount(bit, minlength=parts * PART_BITS) & 1)
-    flat = np.zeros(parts * PART_BITS // 64, np.uint64)
-    np.bitwise_xor.at(flat, odd >> 6, np.uint64(1) << (odd & 63).astype(np.uint64))
-    return flat.reshape(parts, -1)
+    odd = (np.bincount(bit, minlength=parts * PART_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64).reshape(parts, -1)
 
 
 def part_keys(tokens: np.ndarray, bands: Bands) -> np.ndarray:
@@ -249,36 +247,40 @@ def _shared(keys: DataFrame) -> DataFrame:
     return keys.mapInArrow(rows, "key long, u long, v long")
 
 
-def _tokens(texts: DataFrame, names: DataFrame, size: int) -> DataFrame:
-    """(node, tokens) of the named nodes; ``names`` has one (doc_id, node) for each."""
+def _named_texts(texts: DataFrame, names: DataFrame, size: int) -> DataFrame:
+    """(node, text) of the named nodes; ``names`` has one (doc_id, node) for each.
+
+    Texts travel, not shingles: they are smaller, and compress.
+    """
     found = texts.join(names, "doc_id").select("node", "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _WordHashes()
+        cache, seen = _WordHashes(), set()
         for batch in batches:
-            keep, tokens = [], []
-            for node, text in zip(*(batch.column(c) for c in ("node", "text")), strict=True):
-                own = shingles(text.as_py(), size, cache)
-                if len(own) and node_of(own) == node.as_py():  # ids may repeat with other texts
-                    keep.append(node.as_py())
-                    tokens.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keep, pa.int64()), pa.array(tokens, pa.binary())], ["node", "tokens"]
-            )
+            node, text = batch.column("node").to_pylist(), batch.column("text")
+            keep = []  # rows may repeat, and ids with other texts
+            for i, name in enumerate(node):
+                own = shingles(text[i].as_py(), size, cache) if name not in seen else ()
+                keep.append(len(own) > 0 and node_of(own) == name)
+                if keep[-1]:
+                    seen.add(name)
+            if len(seen) > REMEMBER:
+                seen.clear()
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return found.mapInArrow(rows, "node long, tokens binary")
+    return found.mapInArrow(rows, "node long, text string")
 
 
-def _verified(pairs: DataFrame, tokens: DataFrame, t: Fraction) -> DataFrame:
-    left = tokens.select(F.col("node").alias("u"), F.col("tokens").alias("a"))
-    right = tokens.select(F.col("node").alias("v"), F.col("tokens").alias("b"))
+def _verified(pairs: DataFrame, named: DataFrame, size: int, t: Fraction) -> DataFrame:
+    left = named.select(F.col("node").alias("u"), F.col("text").alias("a"))
+    right = named.select(F.col("node").alias("v"), F.col("text").alias("b"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _WordHashes()
         for batch in batches:
-            a, b = batch.column("a"), batch.column("b")
             ok = [
-                similar(*(np.frombuffer(x[i].as_py(), np.uint64) for x in (a, b)), t)
-                for i in range(batch.num_rows)
+                similar(shingles(a.as_py(), size, cache), shingles(b.as_py(), size, cache), t)
+                for a, b in zip(batch.column("a"), batch.column("b"), strict=True)
             ]
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
@@ -320,10 +322,12 @@ def forest(nodes: list[int], sets: list[np.ndarray], split: int, bands: Bands) -
     return links
 
 
-def _hot_links(members: DataFrame, tokens: DataFrame, t: Fraction) -> DataFrame:
-    """Links between nodes of parts that many share, block by block."""
-    sized = members.join(tokens.select(F.col("node"), (F.octet_length("tokens") / 8).alias("n")), "node")
-    counts = sized.groupBy("key").agg(
+def _hot_links(members: DataFrame, named: DataFrame, size: int, t: Fraction) -> DataFrame:
+    """Links between nodes of parts that many share, block by block.
+
+    ``members`` has key, node, and n, the node's number of shingles.
+    """
+    counts = members.groupBy("key").agg(
         F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")
     )
     dealt = members.join(counts, "key")
@@ -337,13 +341,14 @@ def _hot_links(members: DataFrame, tokens: DataFrame, t: Fraction) -> DataFrame:
         F.least("block", "with").alias("one"),
         F.greatest("block", "with").alias("two"),
         "block",
-    ).join(tokens, "node")
+    ).join(named, "node")
 
     def links(group: pa.Table) -> pa.Table:
         same = group.column("one")[0].as_py() == group.column("two")[0].as_py()
         rows = group.sort_by([("block", "ascending"), ("node", "ascending")])
         nodes = rows.column("node").to_pylist()
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("tokens")]
+        cache = _WordHashes()
+        sets = [shingles(x.as_py(), size, cache) for x in rows.column("text")]
         first = rows.column("block")[0].as_py()
         split = len(nodes) if same else sum(b == first for b in rows.column("block").to_pylist())
         lone = not same and split == len(nodes)
@@ -376,7 +381,9 @@ def duplicate_groups(
     """
     texts = only(docs, doc_id="long", text="string")
     rows = written(_nodes(texts, size), "nodes")
-    known = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    known = rows.where("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("least"), F.first("n_shingles").alias("n")
+    )
     known = written(known, "known")
     hot = _hot_keys(texts, size, similarity)
     keys = _keys(texts, size, similarity, hot, salts)
@@ -384,19 +391,22 @@ def duplicate_groups(
     dealt = keys.repartition("key", "salt").sortWithinPartitions("key", "salt", "node")
     shared = written(_shared(dealt.select("key", "salt", "node", is_hot.alias("hot"))), "shared")
     pairs = shared.where("key is null").select("u", "v").distinct()
+    pairs = written(pairs, "pairs")
     members = shared.where("key is not null").select("key", F.col("u").alias("node")).distinct()
+    members = written(members.join(known.select("node", "n"), "node"), "members")
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v"))
     wanted = wanted.union(members.select("node")).distinct()
     names = known.join(wanted, "node", "left_semi").where("least is not null")
     names = names.select(F.col("least").alias("doc_id"), "node")
-    tokens = written(_tokens(texts, names, size).dropDuplicates(["node"]), "tokens")
-    links = _verified(pairs, tokens, similarity).union(_hot_links(members, tokens, similarity))
-    labels = components(links)
-    named = known.join(labels, known["node"] == labels["vertex"], "left").select(
+    named = written(_named_texts(texts, names, size), "named")
+    links = _verified(pairs, named, size, similarity)
+    links = links.union(_hot_links(members, named, size, similarity))
+    labels = components(written(links, "links"))
+    groups = known.join(labels, known["node"] == labels["vertex"], "left").select(
         "node", "least", F.coalesce("component", "node").alias("component")
     )
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_node = named.join(least, "component").select("node", "component_id")
+    least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_node = groups.join(least, "component").select("node", "component_id")
     lone = rows.where("node is null").select(
         "doc_id", "n_shingles", "node", F.col("doc_id").alias("component_id")
     )
