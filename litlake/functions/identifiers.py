@@ -54,7 +54,8 @@ def preprint_doi(c: Column) -> Column:
 
 
 def bare_arxiv(c: Column) -> Column:
-    text = strip(c)
+    """arXiv id without spaces, a ``doi:`` mark or the address around it."""
+    text = F.regexp_replace(strip(c), r"(?i)^doi:\s*", "")
     from_url = F.regexp_extract(text, ARXIV_URL, 1)
     return F.when(from_url != "", from_url).otherwise(text)
 

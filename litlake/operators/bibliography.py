@@ -74,7 +74,14 @@ def entry_type(work_type: Column) -> Column:
     return out
 
 
+ENTRY = ("_source", "_canonical_id", "bibtex")
+
+
 def bibtex_openalex(works: DataFrame) -> DataFrame:
+    return _openalex(works).select(*ENTRY)
+
+
+def _openalex(works: DataFrame) -> DataFrame:
     kind = entry_type(F.col("type"))
     names = F.transform("authorships", lambda a: a["author"]["display_name"])
     url = F.col("doi")
@@ -108,11 +115,17 @@ def bibtex_openalex(works: DataFrame) -> DataFrame:
     return works.select(
         F.lit("openalex").alias("_source"),
         ids.canonical_doi(url).alias("_canonical_id"),
+        F.coalesce(ids.canonical_doi(url), F.col("ids.openalex"), "title").alias("_key"),
+        F.coalesce(F.col("publication_date").cast("string"), F.lit("")).alias("_date"),
         _entry(kind, key, fields).alias("bibtex"),
     )
 
 
 def bibtex_arxiv(papers: DataFrame) -> DataFrame:
+    return _arxiv(papers).select(*ENTRY)
+
+
+def _arxiv(papers: DataFrame) -> DataFrame:
     names = F.transform("authors", lambda a: a["name"])
     journal = blank_to_null(F.col("journal_ref"))
     eprint = F.regexp_replace(arxiv_id_of(F.col("id")), r"v\d+$", "")
@@ -132,11 +145,17 @@ def bibtex_arxiv(papers: DataFrame) -> DataFrame:
     return papers.select(
         F.lit("arxiv").alias("_source"),
         ids.canonical_arxiv(arxiv_id_of(F.col("id"))).alias("_canonical_id"),
+        F.coalesce(ids.canonical_arxiv(arxiv_id_of(F.col("id"))), "title").alias("_key"),
+        F.coalesce(F.col("published").cast("string"), F.lit("")).alias("_date"),
         _entry(kind, key, fields).alias("bibtex"),
     )
 
 
 def bibtex_biorxiv(papers: DataFrame) -> DataFrame:
+    return _biorxiv(papers).select(*ENTRY)
+
+
+def _biorxiv(papers: DataFrame) -> DataFrame:
     names = F.transform("authors", lambda a: a["name"])
     published = blank_to_null(F.col("published_doi"))
     preprint = published.isNull()
@@ -160,18 +179,21 @@ def bibtex_biorxiv(papers: DataFrame) -> DataFrame:
     return papers.select(
         F.lit("biorxiv").alias("_source"),
         F.lower(ids.preprint_doi(F.col("doi"))).alias("_canonical_id"),
+        F.coalesce(F.lower(ids.preprint_doi(F.col("doi"))), "title").alias("_key"),
+        F.coalesce(F.col("date").cast("string"), F.lit("")).alias("_date"),
         _entry(kind, key, fields).alias("bibtex"),
     )
 
 
 def all_entries(arxiv: DataFrame, biorxiv: DataFrame, works: DataFrame) -> DataFrame:
-    """Entries of all providers, one per source and canonical id."""
-    return (
-        bibtex_arxiv(arxiv)
-        .unionByName(bibtex_biorxiv(biorxiv))
-        .unionByName(bibtex_openalex(works))
-        .groupBy("_source", "_canonical_id")
-        .agg(F.min("bibtex").alias("bibtex"))
+    """Entries of all providers, one per source and paper: that of its newest record.
+
+    A paper is its canonical id, or without one the provider's own id, or the title.
+    """
+    rows = _arxiv(arxiv).unionByName(_biorxiv(biorxiv)).unionByName(_openalex(works))
+    newest = F.max(F.struct("_date", "bibtex", "_canonical_id")).alias("_r")
+    return rows.groupBy("_source", "_key").agg(newest).select(
+        "_source", "_r._canonical_id", "_r.bibtex"
     )
 
 

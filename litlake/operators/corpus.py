@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from litlake.operators.identifiers import resolve_identifiers
 from litlake.operators.normalize import clean_converted_markdown
 from litlake.operators.sections import DOC, document_key
-from litlake.operators.spread import first_per_key, match_keys, salted_join
+from litlake.operators.spread import keyed_join, match_keys
 
 DECODE_ERROR = "Could not decode the file as UTF-8. Re-save it as UTF-8 and retry."
 
@@ -21,24 +21,29 @@ def import_markdown(files: DataFrame, corpus: DataFrame) -> tuple[DataFrame, Dat
 
     ``files(pos, identifier, content binary)``. Text that is not UTF-8 is
     reported, never stored. A document that is already stored wins over new
-    bytes; among new files for one id the earliest wins. File contents are cut
-    to one per id before they are shuffled; outcomes use narrow rows.
+    bytes; among new files for one id the earliest wins, and the later ones find
+    it stored. Who wins is settled on narrow rows; contents are read for winners only.
     """
     routed = resolve_identifiers(files, "identifier").withColumn(
         "_valid", F.is_valid_utf8(F.col("content").cast("string"))
     )
-    stored = corpus.select(document_key().alias("_doc"), F.lit(True).alias("_stored"))
     narrow = routed.select("pos", "identifier", *DOC, document_key().alias("_doc"), "_valid")
-    known = salted_join(narrow, stored, "_doc", "left", spread=["pos"])
+    stored = corpus.select(document_key().alias("_doc"), F.lit(True).alias("_stored"))
+    first = narrow.groupBy("_doc").agg(F.min(F.when(F.col("_valid"), F.col("pos"))).alias("_first"))
+    known = keyed_join(keyed_join(narrow, stored.distinct(), "_doc"), first, "_doc")
+    stored_before = F.coalesce("_stored", F.lit(False)) | F.coalesce(
+        F.col("_first") < F.col("pos"), F.lit(False)
+    )
     outcome = known.select(
         "pos",
         "identifier",
         *DOC,
-        F.coalesce("_stored", F.lit(False)).alias("cached"),
-        F.when(F.col("_stored").isNull() & ~F.col("_valid"), F.lit(DECODE_ERROR)).alias("error"),
+        stored_before.alias("cached"),
+        F.when(~stored_before & ~F.col("_valid"), F.lit(DECODE_ERROR)).alias("error"),
     )
-    first = first_per_key(routed.where("_valid"), DOC, [F.col("pos").asc()])
-    fresh = match_keys(first, corpus, DOC, "left_anti").select(
+    winners = first.where("_first is not null").join(stored, "_doc", "left_anti")
+    winners = winners.select(F.col("_first").alias("pos"))
+    fresh = routed.join(winners, "pos", "left_semi").select(
         *DOC, F.decode("content", "UTF-8").alias("markdown")
     )
     return corpus.select(*DOC, "markdown").unionByName(fresh), outcome

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from litlake.functions import text as tx
 from litlake.operators.sections import DOC
+from litlake.operators.spread import at_least_one
 
 SIDE = 60
-MAX_MATCHES = 100
 
 
 def find_in_documents(
@@ -25,7 +25,7 @@ def find_in_documents(
     back to the section slices. The whole search runs inside each document's
     row; an empty query gives no rows.
     """
-    limit = min(max(max_results, 1), MAX_MATCHES)
+    limit = at_least_one("max_results", max_results)
     if not query:
         corpus = corpus.where(F.lit(False))
     pattern = tx.literal_pattern(

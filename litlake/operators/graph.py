@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 
 from litlake.functions.identifiers import canonical_doi
 from litlake.functions.text import blank_to_null
-from litlake.operators.spread import page_columns, page_items, paginate, salted_join
+from litlake.operators.spread import (
+    at_least_one,
+    first_per_key,
+    keyed_join,
+    page_columns,
+    page_items,
+    paginate,
+)
 
 PAGE_SIZE = 20
-MAX_PAGE_SIZE = 50
 FAILED = "No record from this source"
 BOTH_FAILED = "Both reference sources failed for this DOI."
 
@@ -107,12 +113,15 @@ def best_reference_source(counts: DataFrame) -> DataFrame:
     )
 
 
-def citation_counts(edges: DataFrame) -> DataFrame:
-    return edges.groupBy(F.col("cited").alias("doi")).agg(F.count(F.lit(1)).alias("citation_count"))
-
-
-def _page_size(n: int) -> int:
-    return min(max(n, 1), MAX_PAGE_SIZE)
+def citation_counts(edges: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Citations of every ``asked`` DOI, 0 where nothing cites it, or of every cited one."""
+    counts = edges.groupBy(F.col("cited").alias("doi")).agg(
+        F.count(F.lit(1)).alias("citation_count")
+    )
+    if asked is None:
+        return counts
+    found = asked.select("doi").distinct().join(counts, "doi", "left")
+    return found.select("doi", F.coalesce("citation_count", F.lit(0)).alias("citation_count"))
 
 
 def references_page(
@@ -127,27 +136,32 @@ def references_page(
     """A page of every DOI's reference list from the chosen (or better) source.
 
     Both lists are cut to the page first; choosing the source then touches at
-    most one page per DOI and source. Totals are the counts already at hand.
+    most one page per DOI and source. Totals are the counts already at hand. A DOI
+    that the chosen source lacks, or both, has an ``error`` and an empty page.
     """
-    size = _page_size(page_size)
+    at_least_one("page", page)
+    size = at_least_one("page_size", page_size)
     rows = crossref_refs.withColumn("_source", F.lit("crossref")).unionByName(
         opencitations_refs.withColumn("_source", F.lit("opencitations")), allowMissingColumns=True
     )
     columns = [c for c in rows.columns if c not in ("citing", "_source")]
     pages = page_items(rows, ["citing", "_source"], [F.col(c) for c in order], page, size, columns)
     if source == "auto":
-        chosen = best_reference_source(counts).where(F.col("error").isNull())
-        picked, total = F.col("best_source"), F.col("best_count")
+        chosen = best_reference_source(counts)
+        picked, total, error = F.col("best_source"), F.col("best_count"), F.col("error")
     else:
-        total = F.col(f"{source}_count")
-        chosen, picked = counts.where(total.isNotNull()), F.lit(source)
+        chosen, picked, total = counts, F.lit(source), F.col(f"{source}_count")
+        error = F.when(total.isNull(), F.lit(FAILED))
     wanted = chosen.select(
-        F.col("doi").alias("citing"), picked.alias("_source"), total.alias("total")
+        F.col("doi").alias("citing"),
+        picked.alias("_source"),
+        total.alias("total"),
+        error.alias("error"),
     )
     shown = page_columns(rows, columns, page, size)
     return (
         wanted.join(pages, ["citing", "_source"], "left")
-        .select("citing", "_source", "total", *(c.alias(n) for n, c in shown.items()))
+        .select("citing", "_source", "total", *(c.alias(n) for n, c in shown.items()), "error")
         .withColumnsRenamed({"citing": "doi", "items": "references"})
     )
 
@@ -158,11 +172,30 @@ def citations_page(
     columns: Sequence[str],
     page: int = 1,
     page_size: int = PAGE_SIZE,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
-    """A page of every cited DOI's incoming citations."""
-    return paginate(
-        edges, ["cited"], [F.col(c) for c in order], page, _page_size(page_size), columns
+    """A page of the incoming citations of every ``asked`` DOI, or of every cited one.
+
+    An asked DOI that nothing cites has total 0 and an empty page.
+    """
+    size = at_least_one("page_size", page_size)
+    pages = paginate(
+        edges, ["cited"], [F.col(c) for c in order], at_least_one("page", page), size, columns
     ).withColumnsRenamed({"cited": "doi", "items": "citations"})
+    if asked is None:
+        return pages
+    shown = page_columns(edges, columns, page, size) | {"total": F.coalesce("total", F.lit(0))}
+    missing = F.col("citations")
+    empty = F.coalesce(missing, F.array().cast(pages.schema["citations"].dataType))
+    joined = asked.select("doi").distinct().join(pages.select("doi", "total", "citations"), "doi", "left")
+    return joined.select(
+        "doi",
+        shown["total"].alias("total"),
+        shown["page"].alias("page"),
+        shown["page_size"].alias("page_size"),
+        (F.coalesce("total", F.lit(0)) > page * size).alias("has_more"),
+        empty.alias("citations"),
+    )
 
 
 def enrich_references(
@@ -170,8 +203,9 @@ def enrich_references(
 ) -> DataFrame:
     """Every edge with the metadata of the paper it cites; unknown papers stay null.
 
-    A few papers draw a large share of all citations, so those keys are salted.
-    ``papers`` holds ``_canonical_id`` once per paper.
+    A few papers draw a large share of all citations; adaptive execution splits
+    them. Of several records of one paper one answers, by a fixed order.
     """
-    keyed = papers.withColumnRenamed("_canonical_id", "cited")
-    return salted_join(edges, keyed, "cited", "left", spread=spread)
+    keyed = papers.withColumnRenamed("_canonical_id", "cited").where("cited is not null")
+    keyed = first_per_key(keyed, ["cited"], [F.to_json(F.struct(*keyed.columns)).asc()])
+    return keyed_join(edges, keyed, "cited", "left", spread=spread)

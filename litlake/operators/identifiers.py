@@ -87,11 +87,16 @@ def storage_names(df: DataFrame) -> DataFrame:
 def plan_downloads(df: DataFrame, col: str = "raw") -> DataFrame:
     """PDF address where one can be derived from the id alone, else error + hint.
 
-    Preprints take their version from an optional ``version`` column (1 if
-    absent). arXiv addresses come from an optional ``links`` column, as the
+    Preprints take version and server from optional ``version`` and ``server``
+    columns, as their record has them; without these, version 1 and the server that
+    an address names, else bioRxiv. arXiv addresses come from an optional ``links`` column, as the
     paper's record lists them, and otherwise follow from the bare id.
     """
     resolved = resolve_identifiers(df, col)
+    on_med = F.coalesce(F.lower(F.col("server")) == "medrxiv", F.lit(False)) if "server" in df.columns else (
+        F.coalesce(F.lower(F.col(col)).contains("medrxiv.org"), F.lit(False))
+    )
+    server = F.when(on_med, F.lit("medrxiv")).otherwise(F.lit("biorxiv"))
     version = F.coalesce(F.col("version"), F.lit("1")) if "version" in df.columns else F.lit("1")
     url = (
         F.when(
@@ -107,7 +112,9 @@ def plan_downloads(df: DataFrame, col: str = "raw") -> DataFrame:
         .when(
             F.col("namespace") == "biorxiv",
             F.concat(
-                F.lit("https://www.biorxiv.org/content/"),
+                F.lit("https://www."),
+                server,
+                F.lit(".org/content/"),
                 F.col("normalized"),
                 F.lit("v"),
                 version,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from litlake.functions import identifiers as ids
 from litlake.functions.text import blank_to_null
 from litlake.operators.identifiers import resolve_identifiers
-from litlake.operators.spread import salted_join
+from litlake.operators.spread import at_least_one, first_per_key, keyed_join
 
 HINTS = {
     "arxiv": "Check the arXiv ID format (e.g. 2301.00001) or search by title.",
@@ -215,8 +215,11 @@ def page_status(titles: DataFrame, summaries: DataFrame) -> DataFrame:
         F.col("url").alias("_url"),
         F.col("description").alias("_description"),
     )
+    known = known.where(F.col("_title_key").isNotNull())
+    order = [F.col(c).asc_nulls_last() for c in ("_page_title", "_url", "_type", "_description")]
+    known = first_per_key(known, ["_title_key"], order)
     asked = titles.withColumn("_title_key", ids.title_key(F.col("title")))
-    joined = salted_join(asked, known, "_title_key", "left", spread=["request_id"])
+    joined = keyed_join(asked, known, "_title_key", "left", spread=["request_id"])
     found = F.coalesce("_found", F.lit(False))
     return joined.select(
         "request_id",
@@ -249,7 +252,10 @@ def follow_published(preprints: DataFrame, works: DataFrame) -> DataFrame:
     journal = journal.select(
         F.col("_canonical_id").alias("_work_key"), F.struct(*journal.columns).alias("_work")
     )
-    joined = salted_join(own, journal, "_work_key", "left", spread=["_canonical_id"])
+    journal = journal.where(F.col("_work_key").isNotNull())
+    newest = F.col("_work.publication_date").desc_nulls_last()
+    journal = first_per_key(journal, ["_work_key"], [newest, F.to_json("_work").asc()])
+    joined = keyed_join(own, journal, "_work_key", "left", spread=["_canonical_id"])
     found = F.col("_work").isNotNull()
     from_work = {
         "title", "doi", "publication_year", "publication_date", "type", "language", "venue",
@@ -277,12 +283,19 @@ def follow_published(preprints: DataFrame, works: DataFrame) -> DataFrame:
     return joined.select(*out)
 
 
+def _newest(papers: DataFrame, key: str) -> DataFrame:
+    """One record per key: that with the latest date, the rest of the record breaking ties."""
+    dates = [c for c in ("publication_date", "date", "updated", "published") if c in papers.columns]
+    latest = F.coalesce(*dates, F.lit("")).desc() if dates else F.lit(0).desc()
+    return first_per_key(papers, [key], [latest, F.to_json(F.struct(*papers.columns)).asc()])
+
+
 def batch_metadata(requests: DataFrame, papers: DataFrame) -> DataFrame:
     """One row per input position with the paper's metadata or an error row.
 
     ``requests(pos, raw)`` keeps duplicates; ``papers`` is :func:`all_metadata`
-    over record tables, which hold a paper once. All providers are answered by
-    one join on (source, canonical id).
+    over record tables; of several records of one paper the newest answers. All
+    providers are answered by one join on (source, canonical id).
     """
     asked = resolve_identifiers(requests, "raw").select(
         "pos",
@@ -291,7 +304,8 @@ def batch_metadata(requests: DataFrame, papers: DataFrame) -> DataFrame:
         F.concat_ws("\x00", "source", "canonical_id").alias("_paper"),
     )
     keyed = papers.withColumn("_paper", F.concat_ws("\x00", "_source", "_canonical_id"))
-    joined = salted_join(asked, keyed, "_paper", "left", spread=["pos"])
+    keyed = _newest(keyed.where(F.col("_canonical_id").isNotNull()), "_paper")
+    joined = keyed_join(asked, keyed, "_paper", "left", spread=["pos"])
     missing = F.col("_source").isNull()
     hint = F.lit(UNKNOWN_HINT)
     for source, text in HINTS.items():
@@ -307,7 +321,7 @@ def batch_metadata(requests: DataFrame, papers: DataFrame) -> DataFrame:
             ),
         ).alias("error"),
         F.when(missing, hint).alias("suggestion"),
-    ).orderBy("pos")
+    )
 
 
 def institution_names(authorships: Column) -> Column:
@@ -325,8 +339,8 @@ def authors_page(
     works: DataFrame, page: int = 1, page_size: int = AUTHORS_PER_PAGE
 ) -> DataFrame:
     """A page of every work's author list with the institutions of that page."""
-    size = min(max(page_size, 1), AUTHORS_PER_PAGE)
-    start = (max(page, 1) - 1) * size
+    size = at_least_one("page_size", page_size)
+    start = (at_least_one("page", page) - 1) * size
     shown = F.slice("authorships", start + 1, size)
     institutions = institution_names(shown)
     return works.select(
@@ -355,8 +369,8 @@ def plain_authors_page(
     papers: DataFrame, source: str, page: int = 1, page_size: int = AUTHORS_PER_PAGE
 ) -> DataFrame:
     """Author page of preprints, whose authors carry no institutions."""
-    size = min(max(page_size, 1), AUTHORS_PER_PAGE)
-    start = (max(page, 1) - 1) * size
+    size = at_least_one("page_size", page_size)
+    start = (at_least_one("page", page) - 1) * size
     key = (
         ids.canonical_arxiv(arxiv_id_of(F.col("id")))
         if source == "arxiv"

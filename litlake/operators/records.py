@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litlake.functions.identifiers import canonical_doi
-from litlake.operators.spread import first_per_key, match_keys, salted_join, with_ordinal
+from litlake.operators.spread import first_per_key, match_keys, keyed_join, with_ordinal
 
 KEY = ["namespace", "entity", "key"]
 
@@ -86,7 +86,7 @@ def ttl_lookup(
     """
     state = store_state(records, negatives)
     when_type = dict(state.dtypes)["stored_at"]
-    joined = salted_join(
+    joined = keyed_join(
         requests.withColumn("_key", _entry_key()),
         state.select(_entry_key().alias("_key"), "stored_at", "expires_at"),
         "_key",

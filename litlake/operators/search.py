@@ -16,9 +16,7 @@ from litlake.operators.sections import DOC
 from litlake.operators.spread import (
     first_n_per_key,
     first_per_key,
-    fits,
-    heavy_keys,
-    salted_join,
+    at_least_one,
 )
 from litlake.session import pin
 
@@ -26,16 +24,6 @@ from litlake.session import pin
 K1 = 1.5
 B = 0.75
 SNIPPET = 200
-MAX_TOP_K = 50
-MAX_ARXIV = 50
-MAX_CROSSREF = 20
-MAX_PAGES = 10
-# A query term list up to this length is broadcast (a few megabytes).
-BROADCAST_TERMS = 100_000
-
-
-def clamp(n: int, top: int) -> int:
-    return min(max(n, 1), top)
 
 
 def query_terms(query: str) -> list[str]:
@@ -147,7 +135,7 @@ def search_index(
 def _top(scored: DataFrame, top_k: int) -> DataFrame:
     return scored.orderBy(
         F.col("score").desc(), "namespace", stem(F.col("canonical_id"))
-    ).limit(clamp(top_k, MAX_TOP_K))
+    ).limit(at_least_one("top_k", top_k))
 
 
 def rank_documents(
@@ -261,7 +249,7 @@ def bm25_search(
     Ranking runs on slim rows; text is read again for the top documents only.
     """
     ranked = pin(rank_documents(corpus, query, top_k, namespace), "top").limit(
-        clamp(top_k, MAX_TOP_K)
+        at_least_one("top_k", top_k)
     )
     return describe_hits(ranked, corpus, query)
 
@@ -296,41 +284,42 @@ def describe_hits(ranked: DataFrame, corpus: DataFrame, query: str) -> DataFrame
 def bm25_batch(index: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
     """Many queries over one stored index: ``(query_id, rank, doc, score)``.
 
-    ``queries(query_id, query)`` are tokenised like documents. Their term list
-    is broadcast when a count shows that it is short; a longer one is joined by
-    term, with frequent terms salted over documents. Per query a group limit
-    keeps ``top_k`` rows per task before the shuffle.
+    ``queries(query_id, query)`` are tokenised like documents. Postings
+    meet the term list by a join that adaptive execution broadcasts where the list
+    is small, and splits where a term is frequent. Per query a group limit keeps ``top_k`` rows per task before the shuffle.
     """
     asked = queries.select(
         "query_id", F.explode(F.array_distinct(tx.tokens(F.col("query")))).alias("term")
     )
-    if fits(asked, BROADCAST_TERMS):
-
-        def meet(postings: DataFrame, terms: DataFrame, how: str) -> DataFrame:
-            return postings.join(F.broadcast(terms), "term", how)
-
-    else:
-        hot = heavy_keys(index, "term")
-
-        def meet(postings: DataFrame, terms: DataFrame, how: str) -> DataFrame:
-            return salted_join(postings, terms, "term", how, spread=DOC, hot=hot)
-
-    hits = meet(index, asked.select("term").distinct(), "left_semi")
+    hits = index.join(asked.select("term").distinct(), "term", "left_semi")
     n = corpus_size(index).select(F.struct("n_docs", "avgdl")).scalar()
     weights = document_frequency(hits).withColumn("_n", n).select(
         "term", idf(F.col("_n.n_docs"), F.col("df")).alias("idf"), "_n.avgdl"
     )
     scored = (
-        meet(index, asked.join(weights, "term"), "inner")
+        index.join(asked.join(weights, "term"), "term")
         .groupBy("query_id", *DOC)
         .agg(
-            F.sum(
-                term_score(F.col("idf"), F.col("tf"), F.col("doc_len"), F.col("avgdl"))
-            ).alias("score")
+            # Summed in the order of the terms, so that equal documents score alike in every run.
+            F.array_sort(
+                F.collect_list(
+                    F.struct(
+                        "term",
+                        term_score(
+                            F.col("idf"), F.col("tf"), F.col("doc_len"), F.col("avgdl")
+                        ).alias("part"),
+                    )
+                )
+            ).alias("_parts")
+        )
+        .select(
+            "query_id",
+            *DOC,
+            F.aggregate("_parts", F.lit(0.0), lambda s, x: s + x["part"]).alias("score"),
         )
     )
-    order = [F.round("score", 9).desc(), F.col("namespace"), stem(F.col("canonical_id"))]
-    return first_n_per_key(scored, ["query_id"], order, clamp(top_k, MAX_TOP_K), "rank").select(
+    order = [F.col("score").desc(), F.col("namespace"), stem(F.col("canonical_id"))]
+    return first_n_per_key(scored, ["query_id"], order, at_least_one("top_k", top_k), "rank").select(
         "query_id", "rank", *DOC, "score"
     )
 
@@ -369,7 +358,7 @@ def search_papers(
     return (
         triage_arxiv(found)
         .orderBy("arxiv_id")
-        .limit(clamp(max_results, MAX_ARXIV))
+        .limit(at_least_one("max_results", max_results))
         .withColumn("total_results", total)
     )
 
@@ -388,7 +377,7 @@ def search_titles(
         F.col("DOI").alias("canonical_id"),
         F.concat_ws(" ", F.array_join("title", " "), F.array_join(names, " ")).alias("markdown"),
     )
-    size = clamp(rows, MAX_CROSSREF)
+    size = at_least_one("rows", rows)
     ranked = pin(rank_documents(records, query, size), "titles").limit(size)
     shown = works.join(
         F.broadcast(ranked.select(F.col("canonical_id").alias("DOI"), "score")), "DOI"
@@ -409,5 +398,5 @@ def search_pages(summaries: DataFrame, prefix: str, limit: int = 5) -> DataFrame
         summaries.where(F.lower("title").startswith(prefix.lower()))
         .select("title", "url")
         .orderBy("title", "url")
-        .limit(clamp(limit, MAX_PAGES))
+        .limit(at_least_one("limit", limit))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litlake.functions import text as tx
-from litlake.operators.spread import match_keys, salted_join
+from litlake.operators.spread import match_keys, keyed_join
 from litlake.session import pin
 
 DOC = ["namespace", "canonical_id"]
@@ -107,7 +107,7 @@ def select_sections(
         document_key().alias("_doc"), tx.section_array(F.col("markdown")).alias("_sections")
     )
     asked = requests.withColumn("_doc", document_key())
-    joined = salted_join(asked, docs, "_doc", "left", spread=["request_id"])
+    joined = keyed_join(asked, docs, "_doc", "left", spread=["request_id"])
 
     number = F.col("section").try_cast("int")
     numeric = F.col("section").rlike(r"^\s*[+-]?\d+\s*$")
@@ -157,7 +157,7 @@ def section_at_offset(corpus: DataFrame, offsets: DataFrame) -> DataFrame:
     wanted = match_keys(corpus, offsets, DOC, "left_semi")
     docs = wanted.select(document_key().alias("_doc"), "markdown")
     asked = offsets.withColumn("_doc", document_key())
-    joined = salted_join(asked, docs, "_doc", "left", spread=["offset"])
+    joined = keyed_join(asked, docs, "_doc", "left", spread=["offset"])
     return joined.select(
         *offsets.columns, tx.section_at(F.col("markdown"), F.col("offset")).alias("section")
     )

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from litlake.session import pin
 
-HOT_SHARE = 0.02
 SALTS = 32
+# Rows per key up to which Spark turns a row number filter into a limit before the shuffle.
+GROUP_LIMIT = 1000
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -42,11 +43,20 @@ def page_items(
 ) -> DataFrame:
     """The rows of one page per key as an ordered array ``items``.
 
-    A group limit lets at most ``page * page_size`` rows per key and map task
-    reach the shuffle. Keys without rows on the page are absent.
+    Up to GROUP_LIMIT rows deep, a group limit lets at most ``page * page_size``
+    rows per key and map task reach the shuffle. Deeper pages number the rows of
+    a key in range pieces, so that no task sorts a whole hot key. Keys without
+    rows on the page are absent. ``order`` should be total.
     """
     start, end = (page - 1) * page_size, page * page_size
-    rows = first_n_per_key(df, keys, order, end, "_rank").where(F.col("_rank") > start)
+    if end <= GROUP_LIMIT:
+        rows = first_n_per_key(df, keys, order, end, "_rank")
+    else:
+        names = [f"_order{i}" for i in range(len(order))]
+        placed = df.withColumns(dict(zip(names, order, strict=True)))
+        numbered = with_ordinal(placed, names, keys, "_rank").withColumn("_rank", F.col("_rank") + 1)
+        rows = numbered.where(F.col("_rank") <= end).drop(*names)
+    rows = rows.where(F.col("_rank") > start)
     return (
         rows.groupBy(*keys)
         .agg(
@@ -66,7 +76,7 @@ def page_columns(
     return {
         "page": F.lit(page),
         "page_size": F.lit(page_size),
-        "has_more": F.col("total") > page * page_size,
+        "has_more": F.coalesce(F.col("total") > page * page_size, F.lit(False)),
         "items": F.coalesce("items", empty),
     }
 
@@ -132,58 +142,52 @@ def with_ordinal(
     )
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
-
-
-# A key list up to this length is broadcast (some tens of megabytes).
-BROADCAST_KEYS = 500_000
+def at_least_one(name: str, n: int) -> int:
+    """A size as the caller gave it; below one is an error."""
+    if n < 1:
+        raise ValueError(f"{name} must be at least 1, not {n}")
+    return n
 
 
 def match_keys(df: DataFrame, keys: DataFrame, on: Sequence[str], how: str) -> DataFrame:
     """``left_semi`` or ``left_anti`` join of wide rows against a list of keys.
 
-    A key list that a count shows to be short is broadcast, so the wide rows
-    (texts, files) are filtered where they are read. A longer one is joined by
-    key with a shuffle.
+    Adaptive execution broadcasts a key list that turns out small, and splits
+    skewed partitions otherwise.
     """
-    keys = keys.select(*on).distinct()
-    return df.join(F.broadcast(keys) if fits(keys, BROADCAST_KEYS) else keys, list(on), how)
+    return df.join(keys.select(*on).distinct(), list(on), how)
 
 
-def heavy_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
-    """Keys that may hold at least ``share`` of the rows: at most about ``1/share`` values.
-
-    One pass with a frequent-items sketch; it can name extra keys but misses
-    none, and join results do not depend on which keys are named.
-    """
-    found = df.select(F.col(key).alias("k")).where("k is not null").stat.freqItems(["k"], share)
-    return list(found.first()[0] or [])
-
-
-def salted_join(
+def keyed_join(
     many: DataFrame,
     one: DataFrame,
     key: str,
     how: str = "left",
     *,
-    spread: Sequence[str],
-    hot: Sequence | None = None,
+    spread: Sequence[str] = (),
+    hot: Sequence = (),
     salts: int = SALTS,
 ) -> DataFrame:
-    """Equi-join whose hot ``key`` values are split over ``salts`` tasks.
+    """Equi-join of many rows with at most a few rows per key.
 
-    Only heavy keys and nulls are salted: their rows of ``many`` take a salt
-    from the hash of the identity columns ``spread``, and matching rows of
-    ``one`` are copied once per salt. Other keys join as usual.
+    Rows of ``many`` without a key don't enter the shuffle: a left or anti join
+    passes them through beside it. Skewed keys are split by adaptive execution; keys
+    named in ``hot``, from stored statistics, are dealt over ``salts`` tasks by
+    the hash of the columns ``spread``, and their rows of ``one`` are copied
+    once per salt. No job runs to plan the join.
     """
-    hot = heavy_keys(many, key) if hot is None else list(hot)
-    is_hot = F.col(key).isin(*hot) if hot else F.lit(False)
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    left = many.withColumn(
-        "_salt", F.when(F.col(key).isNull() | is_hot, salt).otherwise(F.lit(0))
-    )
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = one.withColumn("_salt", F.explode(copies) if hot else F.lit(0))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    keyed = many.where(F.col(key).isNotNull())
+    one = one.where(F.col(key).isNotNull())
+    if hot:
+        is_hot = F.col(key).isin(*hot)
+        salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+        copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1)))
+        keyed = keyed.withColumn("_salt", F.when(is_hot, salt).otherwise(F.lit(0)))
+        one = one.withColumn("_salt", F.explode(F.coalesce(copies, F.array(F.lit(0)))))
+        joined = keyed.join(one, [key, "_salt"], how).drop("_salt")
+    else:
+        joined = keyed.join(one, key, how)
+    if how not in ("left", "left_anti"):
+        return joined
+    rest = many.where(F.col(key).isNull())
+    return joined.unionByName(rest, allowMissingColumns=True)

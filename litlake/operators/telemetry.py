@@ -22,14 +22,15 @@ BODY_CHARS = 200
 CAP_FACTOR = 30
 
 
-def counters_snapshot(log: DataFrame) -> DataFrame:
-    """One row per provider with every counter; a stale read counts as a miss."""
+def metric_counts() -> list[Column]:
+    """Every counter of a log as an aggregate; a stale read counts as a miss."""
     metric = F.when(F.col("metric") == "stale", F.lit("cache_misses")).otherwise(F.col("metric"))
-    return (
-        log.withColumn("metric", metric)
-        .groupBy("provider")
-        .agg(*(F.count(F.when(F.col("metric") == m, 1)).alias(m) for m in METRICS))
-    )
+    return [F.count(F.when(metric == m, 1)).alias(m) for m in METRICS]
+
+
+def counters_snapshot(log: DataFrame) -> DataFrame:
+    """One row per provider with every counter."""
+    return log.groupBy("provider").agg(*metric_counts())
 
 
 def in_flight(log: DataFrame, at: str) -> DataFrame:
@@ -44,8 +45,9 @@ def in_flight(log: DataFrame, at: str) -> DataFrame:
 
 def retry_after_seconds(raw: Column) -> Column:
     """Numeric header value above zero, else null; date forms are not read."""
-    value = raw.try_cast("double")
-    return F.when(value > 0, value)
+    number = F.trim(raw).rlike(r"^[+]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$")
+    value = F.when(number, F.trim(raw).try_cast("double"))
+    return F.when((value > 0) & ~F.isnan(value), value)
 
 
 def classify_errors(log: DataFrame) -> DataFrame:

@@ -88,14 +88,27 @@ def best_reference_source(spark, sf_dir):
     return op.best_reference_source(counts(spark, sf_dir))
 
 
+# Every part, and as many papers that nothing cites.
+ASKED_PARTS = """asked AS (
+  SELECT unnest(['10.1234/p' || p_partkey, '10.1234/none' || p_partkey]) AS doi FROM part)"""
+
+
+def asked_parts(spark, sf_dir):
+    key = F.col("p_partkey").cast("string")
+    both = [F.concat(F.lit(start), key) for start in ("10.1234/p", "10.1234/none")]
+    return views.table(spark, sf_dir, "part").select(F.explode(F.array(*both)).alias("doi"))
+
+
 @query(
     "citation_counts",
     sql.with_(
-        sql.EDGES, body="SELECT cited AS doi, count(*) AS citation_count FROM edges GROUP BY cited"
+        sql.EDGES,
+        ASKED_PARTS,
+        body="SELECT doi, count(citing) AS citation_count FROM asked LEFT JOIN edges ON cited = doi GROUP BY doi",
     ),
 )
 def citation_counts(spark, sf_dir):
-    return op.citation_counts(views.edges(spark, sf_dir))
+    return op.citation_counts(views.edges(spark, sf_dir), asked_parts(spark, sf_dir))
 
 
 def _page_sql(listed: str, key: str, size: int, page: int, item: str) -> str:
@@ -124,9 +137,9 @@ ORDER = [*views.EDGE_ORDER, "ord"]
         """listed AS (
   SELECT 'crossref' AS src, * FROM crossref_edges UNION ALL SELECT 'opencitations', * FROM edges)""",
         _page_sql("listed", "citing, src", 3, 1, "cited || ' ' || line"),
-        body="""SELECT doi, best_source AS _source, coalesce(total, 0) AS total, 1 AS page, 3 AS page_size,
-  coalesce(total > 3, false) AS has_more, coalesce(items, '') AS items
-FROM best LEFT JOIN pages ON doi = citing AND best_source = src WHERE error IS NULL""",
+        body="""SELECT doi, best_source AS _source, CASE WHEN error IS NULL THEN coalesce(total, 0) END AS total, 1 AS page, 3 AS page_size,
+  coalesce(total > 3, false) AS has_more, coalesce(items, '') AS items, error
+FROM best LEFT JOIN pages ON doi = citing AND best_source = src""",
     ),
 )
 def references_page(spark, sf_dir):
@@ -149,14 +162,23 @@ def references_page(spark, sf_dir):
     "citations_page",
     sql.with_(
         sql.EDGES,
+        ASKED_PARTS,
         _page_sql("edges", "cited", 5, 2, "citing || ' ' || creation"),
-        body="""SELECT cited AS doi, total, 2 AS page, 5 AS page_size, total > 10 AS has_more, coalesce(items, '') AS items
-FROM pages""",
+        body="""SELECT doi, coalesce(total, 0) AS total, 2 AS page, 5 AS page_size, coalesce(total > 10, false) AS has_more,
+  coalesce(items, '') AS items
+FROM asked LEFT JOIN pages ON cited = doi""",
     ),
 )
 def citations_page(spark, sf_dir):
     return (
-        op.citations_page(views.edges(spark, sf_dir), ORDER, ["citing", "creation"], 2, 5)
+        op.citations_page(
+            views.edges(spark, sf_dir),
+            ORDER,
+            ["citing", "creation"],
+            2,
+            5,
+            asked_parts(spark, sf_dir),
+        )
         .withColumn("items", _joined("citations", "citing", "creation"))
         .drop("citations")
     )

@@ -35,11 +35,22 @@ def build_session(app: str = "litlake", master: str | None = None, **conf: str)
 _local_roots: dict[str, str] = {}
 
 
+def _is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; a local one only where none is set."""
+    """The shared folder named by the session.
+
+    Without the setting a temporary folder serves on a local master, where driver
+    and tasks share the disk; on a cluster that is an error.
+    """
     shared = spark.conf.get(CHECKPOINT_CONF, None)
     if shared:
         return shared.rstrip("/")
+    if not _is_local(spark):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_roots:
         _local_roots[app] = tempfile.mkdtemp(prefix="spark-")
@@ -47,22 +58,19 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/litlake/{label}-{uuid.uuid4().hex}"
-
+    """A new path below the session's own part of the shared folder."""
+    return f"{_own_root(spark)}/{label}-{uuid.uuid4().hex}"
 
-_scan_splits: dict[str, int] = {}
 
+def _own_root(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/litlake/{spark.sparkContext.applicationId}"
 
-def balanced(df: DataFrame, path: str) -> DataFrame:
-    """Spread the small table read from ``path`` over all cores.
 
-    A big table is split into more scan partitions than there are cores and is
-    returned as it is; only a few files with one row group each are repartitioned.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if path not in _scan_splits:
-        _scan_splits[path] = df.rdd.getNumPartitions()
-    return df if _scan_splits[path] >= cores else df.repartition(cores)
+def release_scratch(spark: SparkSession) -> None:
+    """Remove everything this session has pinned; call it when its results are written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pin(df: DataFrame, label: str = "pinned") -> DataFrame:

@@ -49,12 +49,18 @@ def read_corpus(spark: SparkSession, root: str, namespace: str | None = None) ->
     return df.where(F.col("namespace") == namespace) if namespace else df
 
 
-def read_pdf_blobs(spark: SparkSession, path: str, max_bytes: int = MAX_PDF_BYTES) -> DataFrame:
+def read_pdf_blobs(
+    spark: SparkSession,
+    path: str,
+    max_bytes: int = MAX_PDF_BYTES,
+    expected: DataFrame | None = None,
+) -> DataFrame:
     """PDF files with ``content``; rejects keep an ``error`` and no content.
 
     The size check comes first and only needs the listing; over-size files are
-    never opened. Files of zero length do not appear: Spark's file sources skip
-    them when they plan the scan.
+    never opened. Spark's file sources skip files of zero length when they plan the
+    scan; with a manifest ``expected(path)``, each of its files that the scan
+    doesn't show is a reject row of length 0.
     """
     files = (
         spark.read.format("binaryFile")
@@ -74,4 +80,15 @@ def read_pdf_blobs(spark: SparkSession, path: str, max_bytes: int = MAX_PDF_BYTE
         F.when(is_pdf, F.col("content")).alias("content"),
         F.when(~is_pdf, F.lit("Not a PDF: missing %PDF- header")).alias("error"),
     )
-    return readable.unionByName(too_big)
+    found = readable.unionByName(too_big)
+    if expected is None:
+        return found
+    missing = expected.select("path").distinct().join(files.select("path"), "path", "left_anti")
+    return found.unionByName(
+        missing.select(
+            "path",
+            F.lit(0).cast("long").alias("length"),
+            F.lit(None).cast("binary").alias("content"),
+            F.lit("Empty or missing file").alias("error"),
+        )
+    )

@@ -12,7 +12,7 @@ from litlake.operators.records import (
     _per_namespace,
     seconds,
 )
-from litlake.operators.telemetry import METRICS
+from litlake.operators.telemetry import METRICS, metric_counts
 from litlake.sources.records import BUCKETS, append_records
 
 
@@ -25,7 +25,7 @@ def stream_counters(log: DataFrame, window: str = "1 hour", watermark: str = "1
     return (
         log.withWatermark("ts", watermark)
         .groupBy(F.window("ts", window).alias("w"), "provider")
-        .agg(*(F.count(F.when(F.col("metric") == m, 1)).alias(m) for m in METRICS))
+        .agg(*metric_counts())
         .select(F.col("w.start").alias("window_start"), "provider", *METRICS)
     )
 
@@ -43,20 +43,25 @@ def coalesce_requests(stream: DataFrame, horizon: str = "10 minutes") -> DataFra
 
 
 def ingest_stream(
-    records: DataFrame, root: str, checkpoint: str, buckets: int = BUCKETS
+    records: DataFrame,
+    root: str,
+    checkpoint: str,
+    buckets: int = BUCKETS,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Continuous put into the record store, newest entry wins.
 
     Batches are appended, so their cost follows their own size. A batch that is
     replayed after a failure adds the same entries, which readers see once;
-    ``compact_records`` folds the batches together now and then.
+    ``compact_records`` folds the batches together now and then. ``trigger`` is
+    that of the stream, by default everything there is and then an end.
     """
     return (
         records.writeStream.foreachBatch(
             lambda batch, number: append_records(batch, root, number + 1, buckets)
         )
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 

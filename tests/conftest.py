@@ -19,12 +19,16 @@ def make_session():
             "spark.driver.memory": "8g",
             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="spark-"),
             "spark.log.level": "ERROR",
+            "spark.checkpoint.dir": "file://" + tempfile.mkdtemp(prefix="spark-"),
         },
     )
 
 
 @pytest.fixture(scope="session")
 def spark():
+    from litlake.session import release_scratch
+
     session = make_session()
     yield session
+    release_scratch(session)
     session.stop()

@@ -19,29 +19,24 @@ def skewed(spark, n=3000):
     return spark.createDataFrame(data, "id long, key string"), data
 
 
-def test_heavy_keys_finds_the_hot_one_and_stays_short(spark):
-    df, _ = skewed(spark)
-    found = spread.heavy_keys(df, "key")
-    assert "hot" in found and len(found) <= 2 / spread.HOT_SHARE
-
-
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_salted_join_equals_plain_join(spark, how):
+@pytest.mark.parametrize("hot", [(), ("hot",)])
+def test_keyed_join_equals_plain_join(spark, how, hot):
     df, _ = skewed(spark)
     one = spark.createDataFrame([("hot", 1), ("k1", 2), ("k1", 3), ("zz", 4), (None, 5)], "key string, v int")
-    salted = spread.salted_join(df, one, "key", how, spread=["id"])
+    salted = spread.keyed_join(df, one, "key", how, spread=["id"], hot=hot)
     plain = df.join(one, "key", how)
     order = lambda d: sorted(map(tuple, d.select(*plain.columns).collect()), key=repr)
     assert order(salted) == order(plain)
 
 
-def test_salted_join_splits_the_hot_key(spark):
+def test_keyed_join_splits_a_known_hot_key(spark):
     df, _ = skewed(spark)
     one = spark.createDataFrame([("hot", 1)], "key string, v int")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = spread.salted_join(df, one, "key", "inner", spread=["id"])
+        joined = spread.keyed_join(df, one, "key", "inner", spread=["id"], hot=["hot"])
         sizes = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -98,15 +93,25 @@ def test_pages(spark):
 def test_match_keys_both_ways(spark):
     df, _ = skewed(spark)
     keys = spark.createDataFrame([("hot",), ("hot",), ("k5",)], "key string")
-    for limit in (spread.BROADCAST_KEYS, 0):
-        spread.BROADCAST_KEYS, kept = limit, spread.BROADCAST_KEYS
-        try:
-            semi = spread.match_keys(df, keys, ["key"], "left_semi").count()
-            anti = spread.match_keys(df, keys, ["key"], "left_anti").count()
-        finally:
-            spread.BROADCAST_KEYS = kept
-        assert semi == df.where("key in ('hot', 'k5')").count()
-        assert semi + anti == df.count()
+    semi = spread.match_keys(df, keys, ["key"], "left_semi").count()
+    anti = spread.match_keys(df, keys, ["key"], "left_anti").count()
+    assert semi == df.where("key in ('hot', 'k5')").count()
+    assert semi + anti == df.count()
+
+
+def test_null_keys_stay_out_of_the_join(spark):
+    df, _ = skewed(spark)
+    sparse = df.withColumn("key", F.when(F.col("id") % 10 < 3, F.col("key")))
+    one = spark.createDataFrame([("hot", 1), (None, 5)], "key string, v int")
+    joined = spread.keyed_join(sparse, one, "key")
+    assert "isnotnull(key" in plan_of(joined) and joined.count() == sparse.count()
+    assert joined.where("key is null and v is not null").count() == 0
+
+
+def test_deep_pages_number_a_hot_key_in_pieces(spark):
+    rows = spark.range(3000).select(F.lit("hot").alias("key"), (F.col("id") * 7 % 3000).alias("n"))
+    (got,) = spread.page_items(rows, ["key"], [F.col("n")], 21, 100, ["n"]).collect()
+    assert [x.n for x in got["items"]] == list(range(2000, 2100))
 
 
 def plan_of(df) -> str:
