@@ -168,60 +168,3 @@ def _overlap(begin: Column, end: Column) -> Column:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: how many words of each document the mix takes."""
     return mix(docs)
-
-
-#: The same rows in DuckDB's SQL, over ``documents``.
-MIX_SQL = r"""
-WITH RECURSIVE sizes AS (
-  SELECT doc_id, coalesce('0' || source, '1') AS source_key,
-         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
-  FROM documents),
-sources AS (
-  SELECT source_key, source_size,
-         CASE (row_number() OVER (ORDER BY source_key) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
-  FROM (SELECT source_key, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source_key)),
-levels(k, level) AS (
-  SELECT 0, sum(source_size)::DOUBLE / sum(weight) FROM sources
-  UNION ALL
-  SELECT k + 1, (SELECT (sum(s.source_size) - coalesce(sum(3 * s.source_size) FILTER (3 * s.source_size < level * s.weight), 0))::DOUBLE
-                        / sum(s.weight) FILTER (3 * s.source_size >= level * s.weight) FROM sources s)
-  FROM levels WHERE k < 40),
-targets AS (
-  SELECT source_key, source_size, least((3 * source_size)::DOUBLE, level * weight) AS target
-  FROM sources, (SELECT level FROM levels WHERE k = 40)),
-dealt AS (
-  SELECT z.*, t.source_size, t.target, md5('17|' || coalesce(doc_id::VARCHAR, 'null')) AS place,
-         ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT
-           % greatest(ceil(t.source_size / 1000000), 1)::BIGINT AS shard
-  FROM sizes z JOIN targets t USING (source_key)),
-cells AS (
-  SELECT source_key, shard, cell_size, aim, floor(aim / 256 + 0.5)::BIGINT AS base
-  FROM (SELECT source_key, shard, sum(size)::BIGINT AS cell_size,
-               CASE WHEN first(source_size) > 0 THEN first(target) * sum(size) / first(source_size) ELSE 0 END AS aim
-        FROM dealt GROUP BY source_key, shard)),
-missing AS (SELECT (round(sum(aim) / 256) - sum(base))::BIGINT AS m FROM cells),
-ups AS (
-  SELECT source_key, shard, count(*) AS more FROM (
-    SELECT source_key, shard, row_number() OVER (ORDER BY aim / (2 * (base + step) + 1) DESC, source_key, shard, step) AS r
-    FROM cells, (SELECT unnest(range(0, greatest((SELECT m FROM missing), 0))) AS step))
-  WHERE r <= (SELECT m FROM missing) GROUP BY source_key, shard),
-downs AS (
-  SELECT source_key, shard, count(*) AS less FROM (
-    SELECT source_key, shard, row_number() OVER (ORDER BY aim / (2 * (base - step) + 1), source_key, shard, step) AS r
-    FROM cells, (SELECT unnest(range(1, greatest(-(SELECT m FROM missing), 0) + 1)) AS step) WHERE step <= base)
-  WHERE r <= -(SELECT m FROM missing) GROUP BY source_key, shard),
-quotas AS (
-  SELECT c.*, greatest(ceil(cell_size / 256), 1)::BIGINT AS blocks,
-         least(base + coalesce(more, 0) - coalesce(less, 0), 3 * greatest(ceil(cell_size / 256), 1)::BIGINT) AS quota,
-         ('0x' || substr(md5('17|' || source_key || '|' || shard::VARCHAR), 1, 8))::BIGINT
-           % greatest(ceil(cell_size / 256), 1)::BIGINT AS opening
-  FROM cells c LEFT JOIN ups USING (source_key, shard) LEFT JOIN downs USING (source_key, shard)),
-placed AS (
-  SELECT *, sum(size) OVER (PARTITION BY source_key, shard ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
-  FROM dealt)
-SELECT p.doc_id, p.size, p.source_size, p.target,
-       ((q.quota // q.blocks) * p.size
-        + greatest(least(upto, (opening + quota % blocks) * 256) - greatest(upto - p.size, opening * 256), 0)
-        + greatest(least(upto, (opening + quota % blocks - blocks) * 256) - (upto - p.size), 0))::BIGINT AS taken
-FROM placed p JOIN quotas q USING (source_key, shard)
-"""

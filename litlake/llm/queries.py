@@ -1,13 +1,24 @@
-"""The registered queries of this subpackage; each runs over its whole tables."""
+"""The registered queries of this subpackage; each runs over its whole tables.
+
+Scores of classifiers, text extraction, repeated bytes and approximate neighbours
+have no SQL; they are tested against brute force, exact round trips or held-out rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from litlake.llm import sql
 from litlake.llm.common import table
 
 QUERIES = {}
-ORACLES = {}
+ORACLES = {
+    "op4_decontamination": sql.CONTAMINATION,
+    "op5_jaccard_join": sql.DUPLICATE_GROUPS,
+    "op7_mixing": sql.MIX,
+    "op8_url_filter": sql.URLS,
+    "op9_warc": sql.WARC,
+}
 
 
 def query(fn):
@@ -62,15 +73,6 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-def _sql():
-    from litlake.llm.mixing import MIX_SQL
-
-    ORACLES["op7_mixing"] = MIX_SQL
-
-
-_sql()
-
-
 @query
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litlake.llm.near_duplicates import duplicate_groups
