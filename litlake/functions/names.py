@@ -25,7 +25,7 @@ def _folding() -> tuple[str, str]:
     """
     mapped, dropped = [], []
     for cp in range(0x80, sys.maxunicode + 1):
-        if 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xDFFF or cp > 0xFFFF:
+        if 0xD800 <= cp <= 0xDFFF:
             continue
         ch = chr(cp)
         base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
@@ -37,19 +37,36 @@ def _folding() -> tuple[str, str]:
     return sources, "".join(base for _, base in mapped)
 
 
-# Common letters that unfold to several; derived, not listed by hand.
-_LIGATURES = {
-    ch: unicodedata.normalize("NFKD", ch)
-    for ch in map(chr, [*range(0xFB00, 0xFB07), 0x132, 0x133, 0x1C4, 0x1C7, 0x1CA, 0x1F1])
-}
+@cache
+def _unfolding() -> dict[str, str]:
+    """Characters that decompose to several base characters, Hangul syllables aside."""
+    found = {}
+    for cp in range(0x80, sys.maxunicode + 1):
+        if 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xDFFF:
+            continue
+        base = "".join(
+            c for c in unicodedata.normalize("NFKD", chr(cp)) if not unicodedata.combining(c)
+        )
+        if len(base) > 1:
+            found[chr(cp)] = base
+    return found
 
 
 def fold_accents(c: Column) -> Column:
+    """Drop accents and unfold compatibility characters, one or several for one.
+
+    Text with a character that unfolds to several is rebuilt character by
+    character; all other text takes one ``translate``. Hangul syllables stay whole.
+    """
     source, target = _folding()
-    folded = F.translate(c, source, target)
-    for ch, expanded in _LIGATURES.items():
-        folded = F.replace(folded, F.lit(ch), F.lit(expanded))
-    return folded
+    several = _unfolding()
+    listed = "\x01".join(f"{ch}\x02{base}" for ch, base in several.items())
+    table = F.str_to_map(F.lit(listed), F.lit("\x01"), F.lit("\x02"))
+    rebuilt = F.array_join(
+        F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), ""
+    )
+    rare = "[" + "".join(several) + "]"
+    return F.translate(F.when(c.rlike(rare), rebuilt).otherwise(c), source, target)
 
 
 def _surname_start(parts: Column) -> Column:

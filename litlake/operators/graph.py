@@ -20,6 +20,7 @@ from litlake.operators.spread import (
 
 PAGE_SIZE = 20
 FAILED = "No record from this source"
+# Fixed value: a message text that clients read.
 BOTH_FAILED = "Both reference sources failed for this DOI."
 
 # Provider field name -> reference field name.

@@ -136,7 +136,7 @@ def _or_none(items: Column, kind: str) -> Column:
     return F.coalesce(items, F.array().cast(f"array<{kind}>"))
 
 
-def author_profiles(df: DataFrame) -> DataFrame:
+def author_profiles(df: DataFrame, top_topics: int = TOP_TOPICS) -> DataFrame:
     return df.select(
         F.col("display_name").alias("name"),
         F.col("id").alias("openalex_id"),
@@ -150,7 +150,7 @@ def author_profiles(df: DataFrame) -> DataFrame:
         ),
         _or_none(
             F.transform(
-                F.slice("topics", 1, TOP_TOPICS),
+                F.slice("topics", 1, top_topics),
                 lambda t: F.struct(t["display_name"].alias("name"), t["count"].alias("count")),
             ),
             "struct<name:string,count:int>",

@@ -79,8 +79,9 @@ def ttl_lookup(
     negatives: DataFrame,
     now: str,
     ttl: Column | None = None,
+    force: bool = False,
 ) -> DataFrame:
-    """Add ``stored_at, expires_at, status`` to every request.
+    """Add ``stored_at, expires_at, status`` to every request; with ``force`` all are misses.
 
     ``request_id`` identifies a request row; popular keys are salted.
     """
@@ -94,6 +95,7 @@ def ttl_lookup(
         spread=["request_id"],
     )
     status = status_at(F.lit(now).cast(when_type), ttl_seconds() if ttl is None else ttl)
+    status = F.lit("miss") if force else status
     return joined.select(*requests.columns, "stored_at", "expires_at", status.alias("status"))
 
 
@@ -143,18 +145,20 @@ def plan_batches(
     ttl: Column | None = None,
     size: int = BATCH_SIZE,
     raw: str = "raw",
+    force: bool = False,
 ) -> DataFrame:
     """Chunk the keys that must be fetched, in first-request order.
 
     ``requests(pos, raw)`` are canonicalised and de-duplicated, keys answered
     by ``state(key, stored_at, expires_at)`` are dropped, the rest is numbered
-    without a global sort in one task and cut into batches of ``size``.
+    without a global sort in one task and cut into batches of ``size``. With
+    ``force`` no key counts as answered.
     """
     keyed = first_seen(requests.select("pos", canonical_doi(F.col(raw)).alias("key")), "key")
     limit = F.lit(TTL_SECONDS["openalex"]) if ttl is None else ttl
     when_type = dict(state.dtypes)["stored_at"]
     answered = state.where(status_at(F.lit(now).cast(when_type), limit) != "miss")
-    missing = keyed.join(answered.select("key"), "key", "left_anti")
+    missing = keyed if force else keyed.join(answered.select("key"), "key", "left_anti")
     numbered = with_ordinal(missing, ["pos"])
     return (
         numbered.groupBy(F.floor(F.col("ordinal") / size).alias("batch"))

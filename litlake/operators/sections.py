@@ -47,6 +47,7 @@ def section_totals(sections: DataFrame) -> DataFrame:
 def slice_of(content: Column, offset: Column, max_chars: Column) -> dict[str, Column]:
     """Columns of one slice of a section text, with the bounds checks."""
     total = F.length(content)
+    # Message texts that clients read.
     error = (
         F.when(max_chars <= 0, F.concat(F.lit("max_chars must be positive, got "), max_chars.cast("string")))
         .when(offset < 0, F.concat(F.lit("offset must be non-negative, got "), offset.cast("string")))
@@ -69,9 +70,11 @@ def slice_of(content: Column, offset: Column, max_chars: Column) -> dict[str, Co
 
 
 def slice_sections(sections: DataFrame, offset: int = 0, max_chars: int = DEFAULT_SLICE) -> DataFrame:
-    """The same slice of every section."""
+    """The same slice of every section, beside the size of the whole section."""
     parts = slice_of(F.col("content"), F.lit(offset), F.lit(max_chars))
-    return sections.select(*DOC, "index", "title", *(c.alias(n) for n, c in parts.items()))
+    return sections.select(
+        *DOC, "index", "title", "approx_tokens", *(c.alias(n) for n, c in parts.items())
+    )
 
 
 def chunk_sections(sections: DataFrame, max_chars: int = DEFAULT_SLICE) -> DataFrame:

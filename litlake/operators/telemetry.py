@@ -50,12 +50,13 @@ def retry_after_seconds(raw: Column) -> Column:
     return F.when((value > 0) & ~F.isnan(value), value)
 
 
-def classify_errors(log: DataFrame) -> DataFrame:
+def classify_errors(log: DataFrame, body_chars: int = BODY_CHARS) -> DataFrame:
     """Error text per request outcome.
 
     ``log(provider, status, retry_after, body, failure)``; ``failure`` is
     ``timeout``, ``network`` or null. Successes have no error.
     """
+    # Message texts that clients of the log read.
     status, provider = F.col("status"), F.col("provider")
     say = lambda *parts: F.concat(provider, *parts)
     code, body = status.cast("string"), F.coalesce("body", F.lit(""))
@@ -69,7 +70,7 @@ def classify_errors(log: DataFrame) -> DataFrame:
         )
         .when(
             status >= 400,
-            say(F.lit(" HTTP "), code, F.lit(": "), F.substr(body, F.lit(1), F.lit(BODY_CHARS))),
+            say(F.lit(" HTTP "), code, F.lit(": "), F.substr(body, F.lit(1), F.lit(body_chars))),
         )
     )
     return log.select(

@@ -48,7 +48,7 @@ def section_totals(spark, sf_dir):
 @query(
     "slice_section",
     _with_sections(
-        body="""SELECT namespace, canonical_id, index, title,
+        body="""SELECT namespace, canonical_id, index, title, approx_tokens,
   CASE WHEN ok THEN content[101:400] END AS content, CASE WHEN ok THEN 100 END AS offset,
   CASE WHEN ok THEN least(400, n) - 100 END AS chars_returned, CASE WHEN ok THEN n END AS total_chars,
   CASE WHEN ok THEN n > 400 END AS has_more, CASE WHEN n > 400 THEN 400 END AS next_offset,

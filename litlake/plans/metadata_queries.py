@@ -279,9 +279,9 @@ def read_crossref(spark, sf_dir):
     "read_opencitations",
     sql.with_(
         sql.EDGES,
-        body="""SELECT 'references' AS direction, cited AS doi, creation, journal_sc = 'yes' AS journal_self_citation,
-  count(*) AS n FROM edges GROUP BY ALL
-UNION ALL SELECT 'citations', citing, creation, journal_sc = 'yes', count(*) FROM edges GROUP BY ALL""",
+        body="""SELECT 'references' AS direction, citing AS asked, cited AS doi, creation,
+  journal_sc = 'yes' AS journal_self_citation, count(*) AS n FROM edges GROUP BY ALL
+UNION ALL SELECT 'citations', cited, citing, creation, journal_sc = 'yes', count(*) FROM edges GROUP BY ALL""",
     ),
 )
 def read_opencitations(spark, sf_dir):
@@ -304,7 +304,9 @@ def read_opencitations(spark, sf_dir):
     return (
         both[0]
         .unionByName(both[1])
-        .groupBy("direction", F.col("ids")["doi"].alias("doi"), "creation", "journal_self_citation")
+        .groupBy(
+            "direction", "asked", F.col("ids")["doi"].alias("doi"), "creation", "journal_self_citation"
+        )
         .agg(F.count(F.lit(1)).alias("n"))
     )
 

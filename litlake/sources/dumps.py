@@ -100,11 +100,22 @@ def read_crossref(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_opencitations(spark: SparkSession, path: str, direction: str) -> DataFrame:
-    """Raw edge records; references carry the cited side's ids, citations the citing side's."""
+    """Raw edge records with the DOI they were asked for.
+
+    References carry the cited side's ``ids`` and were asked by the citing side,
+    citations the other way round; ``asked`` is that side's DOI.
+    """
     field = {"references": "cited", "citations": "citing"}[direction]
     edges = spark.read.schema(OPENCITATIONS_EDGE).json(path)
+    near = {"cited": "citing", "citing": "cited"}[field]
+    doi = F.regexp_extract(near, r"(?:^|\s)doi:(\S+)", 1)
     return edges.select(
-        "oci", F.col(field).alias("ids"), "creation", "journal_sc", "author_sc"
+        "oci",
+        F.when(doi != "", F.lower(doi)).alias("asked"),
+        F.col(field).alias("ids"),
+        "creation",
+        "journal_sc",
+        "author_sc",
     )
 
 

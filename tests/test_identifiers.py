@@ -11,15 +11,15 @@ SPELLINGS = [
     ("2301.00001v2", "arxiv", "arxiv", "2301.00001"),
     ("https://arxiv.org/abs/2301.00001v3", "arxiv", "arxiv", "2301.00001"),
     ("http://arxiv.org/pdf/2301.00001.pdf", "arxiv", "arxiv", "2301.00001"),
-    ("hep-th/9901001v1", "arxiv", "arxiv", "hep-th/9901001"),
+    ("hep-th/0412345v1", "arxiv", "arxiv", "hep-th/0412345"),
     ("math.GT/0309136", None, "manual", "math.gt/0309136"),
-    ("HEP-TH/9901001", None, "manual", "hep-th/9901001"),
-    ("10.1101/2024.01.01.573838", "biorxiv", "biorxiv", "10.1101/2024.01.01.573838"),
-    ("DOI:10.1101/2024.01.01.573838", "biorxiv", "biorxiv", "10.1101/2024.01.01.573838"),
+    ("HEP-TH/0412345", None, "manual", "hep-th/0412345"),
+    ("10.1101/2022.05.06.123457", "biorxiv", "biorxiv", "10.1101/2022.05.06.123457"),
+    ("DOI:10.1101/2022.05.06.123457", "biorxiv", "biorxiv", "10.1101/2022.05.06.123457"),
     ("https://www.biorxiv.org/content/10.1101/2024.05v3.full.pdf", "biorxiv", "biorxiv", "10.1101/2024.05"),
     ("https://medrxiv.org/content/10.1101/2020.01v2.full", "biorxiv", "biorxiv", "10.1101/2020.01"),
-    ("10.18653/v1/2023.acl-long.1", "openalex", "acl_anthology", "10.18653/v1/2023.acl-long.1"),
-    ("10.18653/V1/2023.acl-long.1", "openalex", "manual", "10.18653/v1/2023.acl-long.1"),
+    ("10.18653/v1/2019.demo-short.17", "openalex", "acl_anthology", "10.18653/v1/2019.demo-short.17"),
+    ("10.18653/V1/2019.demo-short.17", "openalex", "manual", "10.18653/v1/2019.demo-short.17"),
     ("https://doi.org/10.1234/ABC", "openalex", "manual", "10.1234/abc"),
     ("  doi:10.1234/ABC ", "openalex", "manual", "10.1234/abc"),
     ("https://dx.doi.org/10.1234/ABC", "openalex", "manual", "10.1234/abc"),
@@ -39,7 +39,7 @@ def test_routes(spark):
 @pytest.mark.parametrize(
     "namespace, stem, restored",
     [
-        ("arxiv", "hep-th_9901001", "hep-th/9901001"),
+        ("arxiv", "hep-th_0412345", "hep-th/0412345"),
         ("arxiv", "cs_0301001", "cs_0301001"),
         ("arxiv", "2301.00001", "2301.00001"),
         ("biorxiv", "10.1101_2024_05", "10.1101/2024_05"),
@@ -61,11 +61,11 @@ def test_author_keys(spark):
 
 
 def test_download_plan(spark):
-    raw = ["hep-th/9901001", "10.1101/x", "doi:10.18653/v1/2023.acl-long.1", "10.1234/a"]
+    raw = ["hep-th/0412345", "10.1101/x", "doi:10.18653/v1/2019.demo-short.17", "10.1234/a"]
     got = {r.raw: r for r in plan_downloads(spark.createDataFrame([(r,) for r in raw], "raw string")).collect()}
-    assert got[raw[0]].pdf_url == "https://arxiv.org/pdf/hep-th/9901001"
+    assert got[raw[0]].pdf_url == "https://arxiv.org/pdf/hep-th/0412345"
     assert got[raw[1]].pdf_url == "https://www.biorxiv.org/content/10.1101/xv1.full.pdf"
-    assert got[raw[2]].pdf_url == "https://aclanthology.org/2023.acl-long.1.pdf"
+    assert got[raw[2]].pdf_url == "https://aclanthology.org/2019.demo-short.17.pdf"
     assert got[raw[3]].pdf_url is None and got[raw[3]].error and got[raw[3]].suggestion
 
 

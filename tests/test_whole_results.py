@@ -148,3 +148,40 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
         session.scratch_root(Session())
     Context.master = "local[2]"
     assert session.scratch_root(Session())
+
+
+@pytest.mark.parametrize(
+    "text, folded",
+    [("\U0001d400bc", "Abc"), ("\u00bdx", "1\u20442x"), ("\u3392", "MHz"), ("\ufb01n \u00e9", "fin e"), (None, None), ("plain", "plain")],
+)
+def test_folding_covers_all_code_points(spark, text, folded):
+    from litlake.functions.names import fold_accents
+
+    row = spark.createDataFrame([(text,)], "s string").select(fold_accents(F.col("s")).alias("f")).first()
+    assert row.f == folded
+
+
+@pytest.mark.parametrize(
+    "raw, canonical",
+    [
+        ("https://arxiv.org/abs/2401.12345v2", "2401.12345"),
+        ("http://arxiv.org/pdf/math/0301234.pdf", "math/0301234"),
+        ("https://www.medrxiv.org/content/10.1101/2020.02.02.900001v2.full.pdf", "10.1101/2020.02.02.900001"),
+        ("https://biorxiv.org/content/10.1101/2020.02.02.900001.full", "10.1101/2020.02.02.900001"),
+        ("https://example.org/abs/2401.12345", "https://example.org/abs/2401.12345"),
+    ],
+)
+def test_addresses(spark, raw, canonical):
+    row = resolve_identifiers(spark.createDataFrame([(raw,)], "raw string"), "raw").first()
+    assert row.canonical_id == canonical
+
+
+def test_asked_side_of_citation_dumps(spark, tmp_path):
+    import json
+
+    from litlake.sources import dumps
+
+    edge = {"oci": "1", "citing": "omid:br/1 doi:10.1/A", "cited": "doi:10.1/b x:y", "creation": "2020", "journal_sc": "no", "author_sc": "no"}
+    (tmp_path / "e.json").write_text(json.dumps(edge))
+    sides = {d: dumps.read_opencitations(spark, str(tmp_path), d).first().asked for d in ("references", "citations")}
+    assert sides == {"references": "10.1/a", "citations": "10.1/b"}
