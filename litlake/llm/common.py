@@ -78,6 +78,19 @@ def utf8(text: str | None) -> bytes:
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+#: Rows of narrow keys that may be broadcast: some tens of megabytes at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def if_small(keys: DataFrame) -> DataFrame:
+    """``keys``, written once and marked for broadcast if it has at most BROADCAST_ROWS rows.
+
+    For rows of a few numbers. More of them join by a shuffle, with the same result.
+    """
+    keys = written(keys, "keys")
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def kept_columns(docs: DataFrame, keep: Column) -> DataFrame:
     """Rows of ``docs`` for which ``keep`` holds, with their own columns only."""
     return docs.where(keep).select(*docs.columns)

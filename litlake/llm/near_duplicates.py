@@ -25,12 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litlake.llm.common import LOWER, only, unused, utf8, written
+from litlake.llm.common import LOWER, if_small, only, unused, utf8, written
 from litlake.llm.components import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-SHINGLE = 3
-SIMILARITY = Fraction(9, 10)
+SHINGLE = 5
+SIMILARITY = Fraction(8, 10)
 #: Ratio of the largest to the smallest set size of a band.
 BAND = 1.5
 #: Bits of one part of a sketch.
@@ -397,7 +397,7 @@ def duplicate_groups(
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v"))
     wanted = wanted.union(members.select("node")).distinct()
     names = known.join(wanted, "node", "left_semi").where("least is not null")
-    names = names.select(F.col("least").alias("doc_id"), "node")
+    names = if_small(names.select(F.col("least").alias("doc_id"), "node"))
     named = written(_named_texts(texts, names, size), "named")
     links = _verified(pairs, named, size, similarity)
     links = links.union(_hot_links(members, named, size, similarity))
@@ -420,12 +420,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that repeat that id stay as often as they have different texts; one row of
     equal ones stays. Documents without words stay.
     """
-    groups = duplicate_groups(docs)
-    keep = groups.where("doc_id <=> component_id").select("doc_id").distinct()
-    mark = unused(docs, "kept_id")
-    keep = keep.select(F.col("doc_id").alias(mark))
-    stays = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep[mark]), "left_semi")
-    return stays.dropDuplicates() if _repeats(docs) else stays
+    groups = written(duplicate_groups(docs), "groups")
+    stays = F.max(F.expr("doc_id <=> component_id")).alias("stays")
+    mark = unused(docs, "dropped_id")
+    dropped = groups.groupBy("doc_id").agg(stays).where("not stays")
+    dropped = if_small(dropped.select(F.col("doc_id").alias(mark)))
+    left = docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(F.col(mark)), "left_anti")
+    return left.dropDuplicates() if _repeats(docs) else left
 
 
 def _repeats(docs: DataFrame) -> bool:

@@ -6,6 +6,8 @@ have no SQL; they are tested against brute force, exact round trips or held-out
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 
 from litlake.llm import sql
@@ -77,7 +79,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litlake.llm.near_duplicates import duplicate_groups
 
-    groups = duplicate_groups(table(spark, sf_dir, "documents"))
+    groups = duplicate_groups(table(spark, sf_dir, "documents"), size=3, similarity=Fraction(9, 10))
     return groups.select("doc_id", "n_shingles", "component_id")
 
 

@@ -78,9 +78,9 @@ def shingle_set(text, size=3):
     return frozenset(tuple(words[i : i + size]) for i in range(len(words) - size + 1))
 
 
-def duplicate_groups(rows, num=9, den=10):
+def duplicate_groups(rows, size=5, num=8, den=10):
     """(doc_id, n_shingles, component_id) by comparing all pairs of sets."""
-    sets = [shingle_set(t) for _, t in rows]
+    sets = [shingle_set(t, size) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(i):

@@ -1,10 +1,12 @@
 """Operators over documents against brute force, odd cases included."""
 
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from litlake.llm import decontamination, mixing, near_duplicates, quality, suffix_dedup, toxicity
+from litlake.llm import common, decontamination, mixing, near_duplicates, quality, suffix_dedup, toxicity
 from litlake.llm.components import components
 from tests.llm import cases
 
@@ -23,12 +25,15 @@ def plain(df):
     return [tuple(r) for r in df.collect()]
 
 
-@pytest.mark.parametrize("few, block", [(16, 500_000), (1, 300)])
-def test_duplicate_groups(docs, rows, few, block, monkeypatch):
+@pytest.mark.parametrize("few, block, broadcast", [(16, 500_000, 10**6), (1, 300, 0)])
+@pytest.mark.parametrize("size, num", [(5, 8), (3, 9)])
+def test_duplicate_groups(docs, rows, few, block, broadcast, size, num, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", block)
     monkeypatch.setattr(near_duplicates, "FEW", few)
-    got = near_duplicates.duplicate_groups(docs).select("doc_id", "n_shingles", "component_id")
-    assert cases.same(plain(got), cases.duplicate_groups(rows))
+    got = near_duplicates.duplicate_groups(docs, size, Fraction(num, 10))
+    got = got.select("doc_id", "n_shingles", "component_id")
+    assert cases.same(plain(got), cases.duplicate_groups(rows, size, num))
 
 
 def test_duplicate_groups_of_nothing(docs):
@@ -50,7 +55,7 @@ def test_near_copies_of_one_text(spark):
 
 
 def test_parts_bound_the_difference():
-    bands = near_duplicates.Bands()
+    bands = near_duplicates.Bands(Fraction(9, 10))
     for n in [*range(1, 400), 5000, 123_457]:
         for m in {n, int(n / 0.9), int(n * 0.95 / 0.9)}:
             if 10 * n >= 9 * m >= 9 * n:
