@@ -162,13 +162,22 @@ def first_title(md: Column) -> Column:
     return _heading_title(F.get(heads, F.lit(0)))
 
 
+def section_starts(md: Column) -> Column:
+    """``(pos, title)`` of every level-1/2 heading, in order; small beside the text."""
+    heads = F.filter(match_spans(md, HEADING), lambda h: _heading_level(h["match"]) <= 2)
+    return F.transform(
+        heads, lambda h: F.struct(h["pos"].alias("pos"), _heading_title(h["match"]).alias("title"))
+    )
+
+
+def title_at(starts: Column, offset: Column) -> Column:
+    """Title of the last of ``section_starts`` at or before ``offset``."""
+    return F.try_element_at(F.filter(starts, lambda h: h["pos"] <= offset), F.lit(-1))["title"]
+
+
 def section_at(md: Column, offset: Column) -> Column:
     """Title of the last level-1/2 heading that starts at or before ``offset``."""
-    heads = F.filter(
-        match_spans(md, HEADING),
-        lambda h: (_heading_level(h["match"]) <= 2) & (h["pos"] <= offset),
-    )
-    return _heading_title(F.try_element_at(heads, F.lit(-1))["match"])
+    return title_at(section_starts(md), offset)
 
 
 def section_array(md: Column) -> Column:

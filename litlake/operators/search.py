@@ -237,8 +237,8 @@ def snippets(
 
 
 def _bounded_text(hits: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Texts of the ranked documents; ``hits`` carries a limit, so it is broadcast."""
-    return corpus.join(F.broadcast(hits), DOC)
+    """Texts of the ranked documents; how they join is left to the size of ``hits``."""
+    return corpus.join(hits, DOC)
 
 
 def bm25_search(

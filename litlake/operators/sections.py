@@ -156,13 +156,17 @@ def titles(corpus: DataFrame) -> DataFrame:
 
 
 def section_at_offset(corpus: DataFrame, offsets: DataFrame) -> DataFrame:
-    """``offsets(namespace, canonical_id, offset)`` with the section they fall in."""
-    wanted = match_keys(corpus, offsets, DOC, "left_semi")
-    docs = wanted.select(document_key().alias("_doc"), "markdown")
+    """``offsets(namespace, canonical_id, offset)`` with the section they fall in.
+
+    A document's headings go to its requests, not its text.
+    """
+    docs = corpus.select(
+        document_key().alias("_doc"), tx.section_starts(F.col("markdown")).alias("_starts")
+    )
     asked = offsets.withColumn("_doc", document_key())
-    joined = keyed_join(asked, docs, "_doc", "left", spread=["offset"])
+    joined = keyed_join(asked, docs, "_doc")
     return joined.select(
-        *offsets.columns, tx.section_at(F.col("markdown"), F.col("offset")).alias("section")
+        *offsets.columns, tx.title_at(F.col("_starts"), F.col("offset")).alias("section")
     )
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from litlake.operators import telemetry as op
 from litlake.operators.metadata import tag_errors
-from litlake.operators.records import status_at, ttl_seconds
 from litlake.plans import sql, views
 from litlake.plans.registry import query
 from litlake.session import scratch_path
@@ -232,8 +231,4 @@ def ttl_state(spark, sf_dir):
         )
     )
     rows = _drain(jobs.ttl_state(feed), "update", spark, "ttl")
-    state = rows.groupBy("namespace", "entity", "key").agg(
-        F.max("stored_at").alias("stored_at"), F.max("expires_at").alias("expires_at")
-    )
-    now = F.lit(views.NOW).cast("timestamp_ntz").cast("timestamp")
-    return state.select("namespace", "entity", "key", status_at(now, ttl_seconds()).alias("status"))
+    return jobs.ttl_status(rows, F.lit(views.NOW).cast("timestamp_ntz").cast("timestamp"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,6 +11,8 @@ from litlake.operators.records import (
     NEGATIVE_TTL_SECONDS,
     _per_namespace,
     seconds,
+    status_at,
+    ttl_seconds,
 )
 from litlake.operators.telemetry import METRICS, metric_counts
 from litlake.sources.records import BUCKETS, append_records
@@ -66,12 +68,34 @@ def ingest_stream(
     )
 
 
+def ttl_status(state: DataFrame, now: Column, never_stale: DataFrame | None = None) -> DataFrame:
+    """``hit``, ``negative`` or ``miss`` per key, from rows of ``ttl_state``.
+
+    The state of namespaces without an age limit leaves the stream with the
+    watermark too; ``never_stale(namespace, entity, key, stored_at)``, their entries
+    in the record store, answers for those.
+    """
+    rows = state.select("namespace", "entity", "key", "stored_at", "expires_at")
+    if never_stale is not None:
+        kept = never_stale.where(ttl_seconds().isNull())
+        rows = rows.unionByName(
+            kept.select("namespace", "entity", "key", "stored_at"), allowMissingColumns=True
+        )
+    newest = rows.groupBy("namespace", "entity", "key").agg(
+        F.max("stored_at").alias("stored_at"), F.max("expires_at").alias("expires_at")
+    )
+    return newest.select(
+        "namespace", "entity", "key", status_at(now, ttl_seconds()).alias("status")
+    )
+
+
 def ttl_state(feed: DataFrame, longest_ttl: str = "30 days", bucket: str = "1 day") -> DataFrame:
     """Freshness state per key from a feed of ``put`` and ``negative`` entries.
 
     ``feed(namespace, entity, key, at, kind)``. State is one row per key and
     day; once the watermark, which trails by the longest age limit, passes a
-    day, all its entries are stale and leave the state. Maxima combine map-side,
+    day, all its entries are stale, those of namespaces without an age limit
+    excepted, and leave the state; ``ttl_status`` turns rows into answers. Maxima combine map-side,
     so a key that is written all the time is not one task's work.
     """
     life = _per_namespace(NEGATIVE_TTL_BY_NAMESPACE, NEGATIVE_TTL_SECONDS)
