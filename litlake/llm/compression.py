@@ -38,15 +38,18 @@ def gains(parts: list[bytes], against: zstandard.ZstdCompressor, own: zstandard.
     return np.array([len(against.compress(p)) - len(own.compress(p)) for p in parts], dtype=float)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60):
+def fit_logistic(
+    x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-3, steps: int = 60
+):
     """Weights of a logistic curve over the columns of ``x`` (intercept first), by Newton steps."""
+    weight = np.ones(len(x)) if weight is None else weight
     mean, scale = x.mean(0), x.std(0) + 1e-9
     a = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])
     w = np.zeros(a.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (p - y) + ridge * len(x) * w * (np.arange(len(w)) > 0)
-        hess = (a * (p * (1 - p) + 1e-6)[:, None]).T @ a + ridge * len(x) * np.eye(len(w))
+        grad = a.T @ (weight * (p - y)) + ridge * len(x) * w * (np.arange(len(w)) > 0)
+        hess = (a * (weight * p * (1 - p) + 1e-6)[:, None]).T @ a + ridge * len(x) * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-8:

@@ -29,16 +29,19 @@ from litlake.llm.common import LOWER, only, utf8
 MAX_DOCS = {1: 4000, 0: 6000}
 MAX_BYTES = 4096
 WINDOW = 64
-GRAM = 5
+#: Bytes a window must save to count, one threshold each.
+GAINS = (1, 2, 3, 4, 5, 6, 8, 10)
+FEATURES = 3 * len(GAINS) + 1
+GRAM = 4
 SHARED_BYTES = 16384
-TOXIC_BYTES = 6144
+TOXIC_BYTES = 2048
 #: A gram is toxic if this many different surroundings of it were seen ...
-LEAST_SEEN = 12
+LEAST_SEEN = 40
 #: ... and its share of toxic documents is so many times that of ordinary ones.
-LEAST_RATIO = 8.0
+LEAST_RATIO = 10.0
 FOLDS = 4
 #: Pieces of the dictionary that may repeat one gram.
-MOST_REPEATS = 3
+MOST_REPEATS = 1
 
 
 @dataclass(frozen=True)
@@ -57,18 +60,13 @@ def normal(text: str | None) -> bytes:
 
 
 def _features(data: bytes, ordinary, toxic) -> tuple[float, ...]:
+    """How many windows gain so many bytes, in number and as a share; zeros without windows."""
     gain = zc.gains(zc.windows(data, WINDOW), ordinary, toxic)
     if not len(gain):
-        return (0.0,) * 5
-    high = np.sort(gain)[-3:]
-    over = np.maximum(gain - 1, 0)
-    return (
-        float(over.sum() / len(gain)),
-        float((gain >= 2).mean()),
-        float((gain >= 4).mean()),
-        float(np.log1p((gain >= 3).sum())),
-        float(np.clip(high.mean(), -4, 12)),
-    )
+        return (0.0,) * FEATURES
+    over = np.array([(gain >= g).sum() for g in GAINS], float)
+    share = over / len(gain)
+    return (*np.sqrt(share), *np.log1p(over), *share, float(np.log(len(gain))))
 
 
 def _codes(data: bytes, size: int, pad: int = 0) -> np.ndarray:
@@ -84,7 +82,7 @@ def _codes(data: bytes, size: int, pad: int = 0) -> np.ndarray:
 
 def _toxic_grams(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
     """Codes of the grams that many more toxic texts hold, in differing surroundings."""
-    least = max(3, min(LEAST_SEEN, len(toxic) // 40))
+    least = max(3, min(LEAST_SEEN, len(toxic) // 100))
     each = [np.unique(_codes(data, GRAM)) for data in toxic]
     grams, held = np.unique(np.concatenate(each), return_counts=True)
     del each
@@ -152,16 +150,19 @@ def _fold(texts: list[bytes], fold: int) -> tuple[list[bytes], list[bytes]]:
     return outside or texts, texts[fold::FOLDS]
 
 
-def train(toxic: list[bytes], ordinary: list[bytes], seed: int = 7) -> ToxicityModel:
+def train(
+    toxic: list[bytes], ordinary: list[bytes], share: float | None = None, seed: int = 7
+) -> ToxicityModel:
     """Dictionaries from all given texts; the curve from texts that its own dictionaries never saw.
 
     Each class is cut in FOLDS. Dictionaries of all folds but one score that one, and
     the curve is fitted to all; then the dictionaries are built anew from everything.
-    With a class missing, the curve is flat at the share of toxic texts.
+    ``share`` is that of toxic texts among the labelled ones, if the sample's differs;
+    the fit is weighted so. With a class missing, the curve is flat.
     """
     if not toxic or not ordinary:
         flat = 0.999 if toxic else 0.001
-        return ToxicityModel(b"", b"", float(np.log(flat / (1 - flat))), np.zeros(5))
+        return ToxicityModel(b"", b"", float(np.log(flat / (1 - flat))), np.zeros(FEATURES))
     rows, labels = [], []
     for fold in range(FOLDS):
         seen, unseen = zip(*(_fold(texts, fold) for texts in (toxic, ordinary)), strict=True)
@@ -170,7 +171,10 @@ def train(toxic: list[bytes], ordinary: list[bytes], seed: int = 7) -> ToxicityM
         for label, texts in zip((1, 0), unseen, strict=True):
             rows += [_features(data, *coders) for data in texts]
             labels += [label] * len(texts)
-    intercept, slope = zc.fit_logistic(np.array(rows), np.array(labels, dtype=float))
+    y = np.array(labels, float)
+    share = y.mean() if share is None else share
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    intercept, slope = zc.fit_logistic(np.array(rows), y, weight)
     d_toxic, d_ordinary = _dictionaries(toxic, ordinary, seed)
     return ToxicityModel(d_toxic, d_ordinary, intercept, slope)
 
@@ -202,7 +206,9 @@ def training_sample(
 def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column) -> ToxicityModel:
     """A model of ``labels.toxic``, learnt from rows of ``docs`` for which ``use`` holds."""
     sample = training_sample(docs, labels, "toxic", use, MAX_DOCS)
-    return train([normal(t) for t in sample[1]], [normal(t) for t in sample[0]])
+    marks = only(labels, doc_id="long", toxic="int").where(F.col("toxic").isin(0, 1) & use)
+    share = marks.agg(F.avg("toxic")).first()[0]
+    return train([normal(t) for t in sample[1]], [normal(t) for t in sample[0]], share)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
@@ -218,7 +224,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> Da
         ordinary, toxic = model.coders()
         for batch in batches:
             found = [_features(normal(t.as_py()), ordinary, toxic) for t in batch.column("_text")]
-            score = zc.logistic(np.array(found).reshape(-1, 5), model.intercept, model.slope)
+            score = zc.logistic(np.array(found).reshape(-1, FEATURES), model.intercept, model.slope)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in keep] + [pa.array(score)], names=[*keep, "score"]
             )
