@@ -91,11 +91,6 @@ def if_small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
-def kept_columns(docs: DataFrame, keep: Column) -> DataFrame:
-    """Rows of ``docs`` for which ``keep`` holds, with their own columns only."""
-    return docs.where(keep).select(*docs.columns)
-
-
 def unused(df: DataFrame, name: str) -> str:
     """``name``, lengthened until ``df`` has no such column (case aside)."""
     taken = {c.lower() for c in df.columns}

@@ -9,13 +9,13 @@ all bits of some part: parts are the join keys, pairs that meet are checked by
 Hamming distance and then on the sets themselves.
 
 Equal sets are one node from the start. Shared parts with few nodes give pairs;
-those with many are dealt in blocks of nodes to tasks that compare sketches,
-verify, and return a spanning forest of the links, never all pairs.
+those with many join their nodes to clusters, and a cluster is dealt in blocks of
+nodes to tasks that compare sketches, verify, and return a spanning forest of the
+links, never all pairs.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from litlake.llm.common import LOWER, if_small, only, unused, utf8, written
 from litlake.llm.components import components
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SHINGLE = 5
 SIMILARITY = Fraction(8, 10)
 #: Ratio of the largest to the smallest set size of a band.
@@ -59,7 +58,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, size: int, cache: _WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; shorter texts are one shingle."""
-    words = WORD.findall(utf8(text).translate(LOWER))
+    words = utf8(text).translate(LOWER).split()  # at 0x20 and 0x09 to 0x0D, as bytes do
     if not words:
         return np.zeros(0, np.uint64)
     if len(words) < size:
@@ -72,7 +71,8 @@ def shingles(text: str | None, size: int, cache: _WordHashes) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     for k in range(size):
         out = out * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
-    return np.unique(_mixed(out))
+    out = np.sort(_mixed(out))
+    return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -102,9 +102,10 @@ class Bands:
 
 def sketch(tokens: np.ndarray, parts: int) -> np.ndarray:
     """Parity bits: ``parts`` rows of PART_BITS bits as 64-bit words."""
-    bit = (tokens % np.uint64(parts * PART_BITS)).astype(np.int64)
-    odd = (np.bincount(bit, minlength=parts * PART_BITS) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view(np.uint64).reshape(parts, -1)
+    bit = tokens % np.uint64(parts * PART_BITS)
+    flat = np.zeros(parts * PART_BITS // 64, np.uint64)
+    np.bitwise_xor.at(flat, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return flat.reshape(parts, -1)
 
 
 def part_keys(tokens: np.ndarray, bands: Bands) -> np.ndarray:
@@ -294,16 +295,9 @@ def forest(nodes: list[int], sets: list[np.ndarray], split: int, bands: Bands) -
 
     The first ``split`` sets are one block, the others a second one; with no second
     block all pairs of the first count, else those across. Sketches of the band of
-    the larger set bound how far two sets differ before the sets are compared.
+    the largest set bound how far two sets differ before the sets are compared.
     """
-    parent = list(range(len(sets)))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    component = np.arange(len(sets))
     sizes = np.array([len(s) for s in sets])
     parts = bands.parts(max(bands.of(int(sizes.max()))))
     flat = np.array([sketch(s, parts).ravel() for s in sets])
@@ -311,22 +305,34 @@ def forest(nodes: list[int], sets: list[np.ndarray], split: int, bands: Bands) -
     across = split < len(sets)
     for i in range(split):
         others = np.arange(split if across else i + 1, len(sets))
+        others = others[component[others] != component[i]]
+        # Sizes alone rule most pairs out, then the sketches.
+        small, large = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+        others = others[bands.t.denominator * small >= bands.t.numerator * large]
         if not len(others):
             continue
         apart = np.bitwise_count(flat[others] ^ flat[i]).sum(1)
         bound = float((1 - bands.t) / (1 + bands.t)) * (sizes[others] + sizes[i]) + 1e-6
-        for j in others[apart <= bound]:
-            if root(i) != root(int(j)) and similar(sets[i], sets[int(j)], bands.t):
-                parent[root(i)] = root(int(j))
+        near = others[apart <= bound]
+        for j in near[np.argsort(apart[apart <= bound], kind="stable")]:
+            if component[j] != component[i] and similar(sets[i], sets[int(j)], bands.t):
+                component[component == component[j]] = component[i]
                 links.append((nodes[i], nodes[int(j)]))
     return links
 
 
 def _hot_links(members: DataFrame, named: DataFrame, size: int, t: Fraction) -> DataFrame:
-    """Links between nodes of parts that many share, block by block.
+    """Links between nodes of parts that many share, cluster by cluster and block by block.
 
-    ``members`` has key, node, and n, the node's number of shingles.
+    ``members`` has key, node, and n, the node's number of shingles. Nodes that share
+    such parts, directly or through others, are one cluster: a node then travels with
+    its cluster once, not with each of its parts.
     """
+    first = members.groupBy("key").agg(F.min("node").alias("v"))
+    clusters = components(members.join(first, "key").select(F.col("node").alias("u"), "v"))
+    sizes = members.select("node", "n").distinct()
+    members = clusters.select(F.col("component").alias("key"), F.col("vertex").alias("node"))
+    members = written(members.join(sizes, "node"), "clusters")
     counts = members.groupBy("key").agg(
         F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")
     )
@@ -362,8 +368,9 @@ def _hot_links(members: DataFrame, named: DataFrame, size: int, t: Fraction) ->
 def _hot_keys(texts: DataFrame, size: int, t: Fraction) -> frozenset[int]:
     """Parts that more than HOT_SHARE of a sample of documents hold; at most parts / share many."""
     sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    counts = _keys(sample, size, t, frozenset(), 1).groupBy("key").agg(F.count("*").alias("n"))
-    # A task gives equal sets once, so a part counts the different sets that hold it.
+    counts = _keys(sample, size, t, frozenset(), 1).groupBy("key").agg(
+        F.count_distinct("node").alias("n")
+    )
     total = sample.count()
     found = counts.where(F.col("n") >= max(50, HOT_SHARE * total)).select("key").limit(20_000)
     return frozenset(r.key for r in found.collect())
@@ -426,7 +433,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     dropped = groups.groupBy("doc_id").agg(stays).where("not stays")
     dropped = if_small(dropped.select(F.col("doc_id").alias(mark)))
     left = docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(F.col(mark)), "left_anti")
-    return left.dropDuplicates() if _repeats(docs) else left
+    return left.dropDuplicates(["doc_id", "text"]) if _repeats(docs) else left
 
 
 def _repeats(docs: DataFrame) -> bool:
