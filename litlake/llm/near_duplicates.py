@@ -5,13 +5,12 @@ similarity t or more differ in at most (1 - t) / (1 + t) of their summed sizes.
 Per size band, a sketch has one more part than sets of that band may differ by;
 a shingle flips one bit of one part. The Hamming distance of two sketches is at
 most the number of shingles in which the sets differ, so similar sets agree in
-all bits of some part: parts are the join keys, pairs that meet are checked by
-Hamming distance and then on the sets themselves.
+all bits of some part: parts are the join keys.
 
-Equal sets are one node from the start. Shared parts with few nodes give pairs;
-those with many join their nodes to clusters, and a cluster is dealt in blocks of
-nodes to tasks that compare sketches, verify, and return a spanning forest of the
-links, never all pairs.
+Equal sets are one node from the start. Nodes that share parts, directly or through
+others, are a cluster. A cluster is dealt in blocks of nodes to tasks that compare
+sizes, then Hamming distances of sketches, then the sets themselves, and return a
+spanning forest of the links, never all pairs.
 """
 
 from __future__ import annotations
@@ -34,7 +33,7 @@ SIMILARITY = Fraction(8, 10)
 BAND = 1.5
 #: Bits of one part of a sketch.
 PART_BITS = 256
-#: Nodes that may share a part and still be listed as pairs.
+#: Nodes of one part that are held together; more go through row by row.
 FEW = 16
 #: Shingles that one block of nodes may hold, two blocks being one task's work.
 BLOCK_SHINGLES = 500_000
@@ -180,7 +179,8 @@ def _keys(texts: DataFrame, size: int, t: Fraction, hot: frozenset[int], salts:
 
 
 def _shared(keys: DataFrame) -> DataFrame:
-    """Rows (key, u, v): pairs of a key with few nodes (key null); else its members, v null.
+    """Rows (key, u, v): the first node of a key with each other one (key null) where they
+    are few; else the key's members, v null.
 
     Rows of a key and salt arrive together and in order. No more than FEW of them are
     held at a time: a longer run goes through row by row.
@@ -196,11 +196,10 @@ def _shared(keys: DataFrame) -> DataFrame:
         def flush(key):
             nonlocal many, held
             if not many and key is not None:
-                for i, v in enumerate(held):
-                    for u in held[:i]:
-                        if (u, v) not in seen:
-                            seen.add((u, v))
-                            out.append((None, u, v))
+                for v in held[1:]:
+                    if (held[0], v) not in seen:
+                        seen.add((held[0], v))
+                        out.append((None, held[0], v))
                 if len(seen) > REMEMBER:
                     seen.clear()
             held, many = [], False
@@ -272,24 +271,6 @@ def _named_texts(texts: DataFrame, names: DataFrame, size: int) -> DataFrame:
     return found.mapInArrow(rows, "node long, text string")
 
 
-def _verified(pairs: DataFrame, named: DataFrame, size: int, t: Fraction) -> DataFrame:
-    left = named.select(F.col("node").alias("u"), F.col("text").alias("a"))
-    right = named.select(F.col("node").alias("v"), F.col("text").alias("b"))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _WordHashes()
-        for batch in batches:
-            ok = [
-                similar(shingles(a.as_py(), size, cache), shingles(b.as_py(), size, cache), t)
-                for a, b in zip(batch.column("a"), batch.column("b"), strict=True)
-            ]
-            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(
-        rows, "u long, v long"
-    )
-
-
 def forest(nodes: list[int], sets: list[np.ndarray], split: int, bands: Bands) -> list[tuple[int, int]]:
     """Links that join all similar sets, none within a component already joined.
 
@@ -321,18 +302,22 @@ def forest(nodes: list[int], sets: list[np.ndarray], split: int, bands: Bands) -
     return links
 
 
-def _hot_links(members: DataFrame, named: DataFrame, size: int, t: Fraction) -> DataFrame:
-    """Links between nodes of parts that many share, cluster by cluster and block by block.
+def _clusters(shared: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, node, n): nodes that share parts, directly or through others, under one key."""
+    few = shared.where("key is null").select("u", "v")
+    members = shared.where("key is not null").select("key", F.col("u").alias("node"))
+    first = members.groupBy("key").agg(F.min("node").alias("v"))
+    many = members.join(first, "key").select(F.col("node").alias("u"), "v")
+    clusters = components(few.union(many))
+    named = clusters.select(F.col("component").alias("key"), F.col("vertex").alias("node"))
+    return written(named.join(known.select("node", "n"), "node"), "clusters")
+
 
-    ``members`` has key, node, and n, the node's number of shingles. Nodes that share
-    such parts, directly or through others, are one cluster: a node then travels with
-    its cluster once, not with each of its parts.
+def _links(members: DataFrame, named: DataFrame, size: int, t: Fraction) -> DataFrame:
+    """Links inside the clusters of ``members``, block by block.
+
+    A node travels with its cluster, not with each of its parts or pairs.
     """
-    first = members.groupBy("key").agg(F.min("node").alias("v"))
-    clusters = components(members.join(first, "key").select(F.col("node").alias("u"), "v"))
-    sizes = members.select("node", "n").distinct()
-    members = clusters.select(F.col("component").alias("key"), F.col("vertex").alias("node"))
-    members = written(members.join(sizes, "node"), "clusters")
     counts = members.groupBy("key").agg(
         F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")
     )
@@ -397,17 +382,11 @@ def duplicate_groups(
     is_hot = F.col("key").isin(*hot) if hot else F.lit(False)
     dealt = keys.repartition("key", "salt").sortWithinPartitions("key", "salt", "node")
     shared = written(_shared(dealt.select("key", "salt", "node", is_hot.alias("hot"))), "shared")
-    pairs = shared.where("key is null").select("u", "v").distinct()
-    pairs = written(pairs, "pairs")
-    members = shared.where("key is not null").select("key", F.col("u").alias("node")).distinct()
-    members = written(members.join(known.select("node", "n"), "node"), "members")
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v"))
-    wanted = wanted.union(members.select("node")).distinct()
-    names = known.join(wanted, "node", "left_semi").where("least is not null")
-    names = if_small(names.select(F.col("least").alias("doc_id"), "node"))
-    named = written(_named_texts(texts, names, size), "named")
-    links = _verified(pairs, named, size, similarity)
-    links = links.union(_hot_links(members, named, size, similarity))
+    members = _clusters(shared, known)
+    names = known.join(members.select("node").distinct(), "node", "left_semi")
+    names = names.where("least is not null").select(F.col("least").alias("doc_id"), "node")
+    named = written(_named_texts(texts, if_small(names), size), "named")
+    links = _links(members, named, size, similarity)
     labels = components(written(links, "links"))
     groups = known.join(labels, known["node"] == labels["vertex"], "left").select(
         "node", "least", F.coalesce("component", "node").alias("component")
