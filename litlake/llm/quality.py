@@ -21,7 +21,7 @@ from litlake.llm import compression as zc
 from litlake.llm.common import only, table, unused, utf8
 from litlake.llm.toxicity import held_out, training_sample
 
-#: Labelled documents that a class may give to training (bytes of each: toxicity.MAX_BYTES).
+#: Labelled documents that a class may give to training (their bytes in all: toxicity.SAMPLE_BYTES).
 MAX_DOCS = {1: 2500, 0: 2500}
 WINDOW = 512
 DICTIONARY_BYTES = 32768

@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from litlake.llm import compression as zc
 from litlake.llm.common import LOWER, only, utf8
 
-#: Labelled documents that a class may give to training, and bytes of each of them.
+#: Labelled documents that a class may give to training, each with its whole text.
 MAX_DOCS = {1: 4000, 0: 6000}
-MAX_BYTES = 4096
+#: No further document of a class is taken once its texts have so many bytes.
+SAMPLE_BYTES = 32 << 20
 WINDOW = 64
 #: Bytes a window must save to count, one threshold each.
 GAINS = (1, 2, 3, 4, 5, 6, 8, 10)
@@ -137,7 +138,10 @@ def _dictionaries(toxic: list[bytes], ordinary: list[bytes], seed: int) -> tuple
             room -= len(piece)
     # zstandard reaches the end of a dictionary at the least cost: the most frequent go last.
     own = b"".join(reversed(chosen))
-    cuts = [d[i : i + 64] for d in ordinary for i in range(0, min(len(d), 640), 64)]
+    cuts = []
+    for d in ordinary:
+        starts = range(0, len(d), 64)
+        cuts += [d[i : i + 64] for i in rng.sample(starts, min(10, len(starts)))]
     rng.shuffle(cuts)
     body = b"".join(cuts)
     shared, rest = body[:SHARED_BYTES], body[SHARED_BYTES:]
@@ -182,22 +186,32 @@ def train(
 def training_sample(
     docs: DataFrame, labels: DataFrame, label: str, use: Column, max_docs: dict[int, int]
 ) -> dict[int, list[str]]:
-    """Distinct texts of labelled documents by class, a bounded sample by hash of the id.
+    """Distinct whole texts of labelled documents by class, a bounded sample by hash of the id.
 
     ``use`` is a condition on doc_id. Labels choose at most ``max_docs`` ids of a
-    class; only these ids, whose number is that bound, are broadcast to the
-    documents, and their texts, each cut to ``MAX_BYTES``, come to the driver. This
-    bounds what is fitted, and nothing else.
+    class. Their texts come to the driver in the order of the hash until a class
+    has ``SAMPLE_BYTES``, the last one whole too, at most twice ``max_docs`` where
+    ids repeat. This bounds the rows that are fitted, never a text.
     """
     texts = only(docs, doc_id="long", text="string").where(F.length("text") > 0)
+    texts = texts.withColumn("key", F.xxhash64("text"))
     marks = only(labels, doc_id="long", **{label: "int"}).where(F.col(label).isin(0, 1) & use)
     marks = marks.groupBy("doc_id").agg(F.max(label).alias("mark"))
+    order = F.xxhash64("doc_id"), "doc_id"
     out: dict[int, list[str]] = {}
     for mark, most in max_docs.items():
-        ids = marks.where(F.col("mark") == mark).orderBy(F.xxhash64("doc_id"), "doc_id")
-        ids = ids.select("doc_id").limit(most)
-        rows = texts.join(F.broadcast(ids), "doc_id", "left_semi").limit(2 * most)
-        found = rows.select(F.substring("text", 1, MAX_BYTES).alias("text")).collect()
+        ids = marks.where(F.col("mark") == mark).orderBy(*order).select("doc_id").limit(most)
+        sizes = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+        sizes = sizes.select("doc_id", "key", F.octet_length("text").alias("size")).distinct()
+        chosen, total = [], 0
+        for r in sizes.orderBy(*order, "key", "size").limit(2 * most).collect():
+            if total >= SAMPLE_BYTES:
+                break
+            chosen.append((r.doc_id, r.key))
+            total += r.size
+        named = docs.sparkSession.createDataFrame(chosen, "doc_id long, key long")
+        rows = texts.join(F.broadcast(named), ["doc_id", "key"], "left_semi")
+        found = rows.groupBy("doc_id", "key").agg(F.first("text").alias("text")).collect()
         out[mark] = sorted({r.text for r in found})
         random.Random(mark).shuffle(out[mark])
     return out

@@ -254,3 +254,27 @@ def test_labels_outside_training_change_nothing(spark):
     held = toxicity.held_out("doc_id", 5, 0)
     other = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert plain(toxicity.toxicity(docs, labels).orderBy("doc_id")) == plain(toxicity.toxicity(docs, other).orderBy("doc_id"))
+
+
+@pytest.mark.parametrize(
+    "operator, label", [(toxicity.toxicity, "toxic"), (quality.quality, "quality")]
+)
+def test_training_reads_whole_texts(spark, operator, label):
+    """What marks a class stands behind the first 4,096 characters, in training and in held-out texts."""
+    docs, labels = labelled(spark)
+    lead = F.udf(lambda i: cases.prose(1000 + i, 700)[:5000] + " ", "string")
+    docs = docs.withColumn("text", F.concat(lead("doc_id"), F.repeat(F.concat("text", F.lit(" ")), 3)))
+    truth = {r.doc_id: r[label] for r in labels.collect()}
+    held = [r for r in operator(docs, labels).collect() if r.held_out]
+    assert len(held) > 30 and np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.9
+
+
+def test_training_sample_bounds_rows_not_texts(spark, monkeypatch):
+    rows = [(i, f"{i} " + "word " * 2000) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    for most, count in ((toxicity.SAMPLE_BYTES, 5), (10_000, 1), (25_000, 3)):
+        monkeypatch.setattr(toxicity, "SAMPLE_BYTES", most)
+        got = toxicity.training_sample(docs, labels, "toxic", F.lit(True), {1: 5, 0: 5})
+        assert [len(got[m]) for m in (0, 1)] == [count, count]
+        assert set(got[0] + got[1]) <= {t for _, t in rows}
