@@ -4,8 +4,11 @@ Markup is cut into blocks; elements that are never text or never the article
 (scripts, menus, forms, adverts, comments, ...) give no blocks. The first pass
 labels blocks by stop-word density, length and link density as good or bad, or
 leaves short and middling ones open; the second gives open blocks the label of
-their nearest decided neighbours. Blocks of an article or main element start
-from the assumption that they are text.
+their nearest decided neighbours. All blocks go through the same rules; article
+and main elements only lower their thresholds, and only where they hold the
+larger part of the page's text (a teaser card is an article too). On a page in
+none of the languages of the stop words, density says nothing, and length and
+links decide.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +26,8 @@ from litlake.llm.common import only
 
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.2, 0.3
+#: Density from which a block of an article is text.
+STOP_IN_ARTICLE = 0.1
 LINKS, LINKS_IN_ARTICLE = 0.2, 0.6
 
 TOKEN = re.compile(
@@ -174,29 +179,53 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def first_pass(block: Block, has_article: bool) -> str:
-    """good, bad, or open."""
+def stop_words(text: str) -> tuple[int, int]:
+    """Number of stop words and of all words."""
+    words = WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def known_language(found: list[Block]) -> bool:
+    """Whether the page's blocks of plain text, taken together, have the stop words of prose."""
+    counts = [stop_words(b.text) for b in found if len(b.text) >= SHORT and b.links <= LINKS * len(b.text)]
+    return sum(n for n, _ in counts) >= STOP_LOW * max(1, sum(n for _, n in counts))
+
+
+def first_pass(block: Block, known: bool) -> str:
+    """good, bad, or open; ``known`` is that of the page's language."""
     length = len(block.text)
     links = block.links / length
-    if block.article:
-        if links > LINKS_IN_ARTICLE:
-            return "bad"
-        return "good" if block.heading or length >= SHORT else "open"
-    if has_article or links > LINKS or "\N{COPYRIGHT SIGN}" in block.text:
+    if links > (LINKS_IN_ARTICLE if block.article else LINKS):
         return "bad"
     if length < SHORT:
-        return "bad" if block.links else "open"
-    words = WORD.findall(block.text.lower())
-    density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        if block.article:
+            return "good" if block.heading else "open"
+        return "bad" if block.links or "\N{COPYRIGHT SIGN}" in block.text else "open"
+    if not known:
+        return "good" if block.article or length > LONG else "open"
+    n, words = stop_words(block.text)
+    density = n / max(1, words)
+    if block.article:
+        if density >= STOP_IN_ARTICLE:
+            return "good"
+        return "bad" if links > LINKS else "open"
     if density >= STOP_HIGH:
         return "good" if length > LONG else "open"
     return "open" if density >= STOP_LOW else "bad"
 
 
+def without_teasers(found: list[Block], known: bool) -> list[Block]:
+    """``found``, with no block of an article where more text stands outside of articles."""
+    inside = sum(len(b.text) - b.links for b in found if b.article)
+    outside = sum(len(b.text) for b in found if not b.article and first_pass(b, known) == "good")
+    return found if inside >= outside else [replace(b, article=False) for b in found]
+
+
 def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
     """Open blocks take the label of their decided neighbours, of the nearer one if these differ.
 
-    The edges of an article count as good, those of a page as bad.
+    The edges of an article count as good, those of a page as bad. Between a good and
+    a bad one at equal distance, a heading follows the block below, all else is kept.
     """
     out = []
     before = {}
@@ -223,7 +252,7 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
         if sides[0][1] == sides[1][1]:
             out.append(sides[0][1])
         elif sides[0][0] == sides[1][0]:
-            out.append(True)
+            out.append(sides[1][1] or not block.heading)
         else:
             out.append(min(sides)[1])
     return out
@@ -231,8 +260,9 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    has_article = any(b.article for b in found)
-    labels = [first_pass(b, has_article) for b in found]
+    known = known_language(found)
+    found = without_teasers(found, known)
+    labels = [first_pass(b, known) for b in found]
     kept = second_pass(found, labels)
     return "\n".join(b.text for b, keep in zip(found, kept, strict=True) if keep)
 

@@ -40,6 +40,39 @@ def test_main_text(body, expected):
     assert html_text.main_text(page(body) if "<!-- no" not in body else f"<body>{body}") == expected
 
 
+PROSE = f"{ARTICLE} {ARTICLE}"
+POLISH = "Lis oraz pies byli przy końcu drogi gdy zapadł zmrok, więc musieli wracać przez las. " * 3
+CODES = " ".join(f"part{chr(97 + i % 26)} model" for i in range(30))
+
+
+@pytest.mark.parametrize(
+    "body, expected",
+    [
+        # Main text in divs beside one teaser card.
+        (
+            f"<div><h1>T</h1><p>{PROSE}</p><p>{PROSE} a</p></div>"
+            "<article><h3>More</h3><p>A card. <a href=x>Read on</a></p></article>",
+            f"T\n{PROSE}\n{PROSE} a",
+        ),
+        # Text on either side of the edge of an article.
+        (f"<div><p>{PROSE}</p></div><article><p>{ARTICLE}</p><p>{PROSE}</p></article>", f"{PROSE}\n{ARTICLE}\n{PROSE}"),
+        # A long block with a copyright sign, and a short one.
+        (f"<p>{PROSE} \N{COPYRIGHT SIGN} law</p><p>\N{COPYRIGHT SIGN} a.org</p>", f"{PROSE} \N{COPYRIGHT SIGN} law"),
+        # A language without stop words here, with and without an article.
+        (f"<div><p>{POLISH}</p></div><div><a href=a>Dom</a></div>", POLISH.strip()),
+        (f"<article><p>{POLISH}</p></article>", POLISH.strip()),
+        ("<p>" + "狐狸和狗在路的尽头。" * 30 + "</p>", "狐狸和狗在路的尽头。" * 30),
+        # Density decides inside an article and outside: part lists, the inner one with links.
+        (
+            f"<article><p>{PROSE}</p><p>{PROSE} a</p><div>{CODES} <a href=x>{CODES[:200]}</a></div></article><div>{CODES}</div>",
+            f"{PROSE}\n{PROSE} a",
+        ),
+    ],
+)
+def test_all_blocks_are_judged(body, expected):
+    assert html_text.main_text(page(body)) == expected
+
+
 @pytest.mark.parametrize("cut", range(0, 400, 7))
 def test_cut_pages_do_not_fail(cut):
     whole = page(f"<article><p title='a>b'>{ARTICLE} &amp; &eacute;</p><script>x</script><!-- c --><p>end</article>")
