@@ -251,8 +251,10 @@ def _shared(keys: DataFrame) -> DataFrame:
 def _named_texts(texts: DataFrame, names: DataFrame, size: int) -> DataFrame:
     """(node, text) of the named nodes; ``names`` has one (doc_id, node) for each.
 
-    Texts travel, not shingles: they are smaller, and compress.
+    Texts travel, not shingles: they are smaller, and compress. Nodes with a null id,
+    which only rows without an id hold, are looked up among these rows by node.
     """
+    by_node = _texts_without_id(texts, names.where("doc_id is null").select("node"), size)
     found = texts.join(names, "doc_id").select("node", "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +271,29 @@ def _named_texts(texts: DataFrame, names: DataFrame, size: int) -> DataFrame:
                 seen.clear()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return found.mapInArrow(rows, "node long, text string")
+    return found.mapInArrow(rows, "node long, text string").unionByName(by_node)
+
+
+def _texts_without_id(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, text) of ``nodes``, one row each, from the rows with a null id."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, seen = _WordHashes(), set()
+        for batch in batches:
+            node = []
+            for text in batch.column("text"):
+                own = shingles(text.as_py(), size, cache)
+                name = node_of(own) if len(own) else None
+                node.append(None if name in seen else name)
+                seen.add(name)
+            if len(seen) > REMEMBER:
+                seen.clear()
+            found = pa.array(node, pa.int64())
+            out = pa.RecordBatch.from_arrays([found, batch.column("text")], ["node", "text"])
+            yield out.filter(found.is_valid())
+
+    found = texts.where("doc_id is null").mapInArrow(rows, "node long, text string")
+    return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
 
 def _verified(pairs: DataFrame, named: DataFrame, size: int, t: Fraction) -> DataFrame:
@@ -403,7 +427,7 @@ def duplicate_groups(
     members = written(members.join(known.select("node", "n"), "node"), "members")
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v"))
     wanted = wanted.union(members.select("node")).distinct()
-    names = known.join(wanted, "node", "left_semi").where("least is not null")
+    names = known.join(wanted, "node", "left_semi")
     names = if_small(names.select(F.col("least").alias("doc_id"), "node"))
     named = written(_named_texts(texts, names, size), "named")
     links = _verified(pairs, named, size, similarity)

@@ -54,6 +54,28 @@ def test_near_copies_of_one_text(spark):
     assert cases.same(plain(got), cases.duplicate_groups(rows))
 
 
+def without_ids():
+    """Near copies, two of them without an id; one of these alone links 1 and 2."""
+    base = cases.prose(31, 200).split()
+    changed = [" ".join([*base[:at], *(f"x{at + k}" for k in range(n)), *base[at + n :]]) for at, n in ((0, 24), (0, 12), (0, 0))]
+    other = cases.prose(32, 90)
+    rows = [(1, changed[0]), (None, changed[1]), (2, changed[2]), (5, other), (None, other + " end")]
+    return [*rows, (None, cases.prose(33, 90)), (None, cases.prose(33, 90) + " end")]
+
+
+@pytest.mark.parametrize("few, block, broadcast", [(16, 500_000, 10**6), (1, 300, 0)])
+def test_near_copies_without_id(spark, few, block, broadcast, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(near_duplicates, "FEW", few)
+    rows = without_ids()
+    expected = cases.duplicate_groups(rows, 3, 8)
+    assert [c for _, _, c in expected] == [1, 1, 1, 5, 5, None, None]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_duplicates.duplicate_groups(docs, 3, Fraction(8, 10))
+    assert cases.same(plain(got.select("doc_id", "n_shingles", "component_id")), expected)
+
+
 def test_parts_bound_the_difference():
     bands = near_duplicates.Bands(Fraction(9, 10))
     for n in [*range(1, 400), 5000, 123_457]:
