@@ -131,8 +131,13 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: ``docs`` without the rows that ``quality`` rejects."""
+    """Pipeline stage: ``docs`` without the rows that ``quality`` rejects.
+
+    Without labelled texts of both classes nothing is known of any row: all stay.
+    """
     model = fit_quality(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 4, 2))
+    if not (model.good and model.bad):
+        return docs
     score = unused(docs, "score")
     scored = docs.withColumn(score, score_column(model, docs["text"]))
     return scored.where(F.col(score) >= THRESHOLD).select(*docs.columns)

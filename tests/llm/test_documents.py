@@ -300,3 +300,10 @@ def test_training_sample_bounds_rows_not_texts(spark, monkeypatch):
         got = toxicity.training_sample(docs, labels, "toxic", F.lit(True), {1: 5, 0: 5})
         assert [len(got[m]) for m in (0, 1)] == [count, count]
         assert set(got[0] + got[1]) <= {t for _, t in rows}
+
+
+@pytest.mark.parametrize("marks", ["false", "quality = 1", "quality = 0"])
+def test_quality_stage_without_both_classes(spark, tmp_path, marks):
+    docs, labels = labelled(spark)
+    labels.where(marks).write.parquet(f"{tmp_path}/labels.parquet")
+    assert quality.drop_low_quality(spark, docs, str(tmp_path)).count() == docs.count()
