@@ -109,3 +109,24 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litlake.llm.warc import archive_round_trip
 
     return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litlake.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litlake.llm.packing import packed_pieces
+
+    return packed_pieces(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litlake.llm.prefix_trie import rebuilt_trie
+
+    return rebuilt_trie(table(spark, sf_dir, "conversations"))
