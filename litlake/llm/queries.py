@@ -20,6 +20,7 @@ ORACLES = {
     "op7_mixing": sql.MIX,
     "op8_url_filter": sql.URLS,
     "op9_warc": sql.WARC,
+    "op13_prefix_trie": sql.PREFIX_TRIE,
 }
 
 

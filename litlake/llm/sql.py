@@ -141,3 +141,40 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id IS DISTINCT FROM response AND payload_bytes >= 1000 THEN response END AS refers_to
 FROM rows LEFT JOIN newest USING (payload_digest)
 """
+
+#: The checksum of a decimal id, bit by bit: DuckDB has no crc32.
+PREFIX_TRIE = """
+WITH RECURSIVE crc AS (
+  SELECT conv_id, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                            lambda s, k: xor(s >> 1, 3988292384 * (s & 1)))), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+original AS (
+  SELECT conv_id, list(turn_ ORDER BY turn NULLS FIRST, role, text) AS turns FROM (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           {'r': coalesce(role, ''), 't': coalesce(text, '')} AS turn_
+    FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(b.turns, [])[1:h], o.turns[h + 1:]) AS s
+  FROM original o JOIN crc USING (conv_id)
+  LEFT JOIN original b ON b.conv_id = o.conv_id - o.conv_id % 5),
+prefixes AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS depth FROM rebuilt),
+nodes AS (
+  SELECT depth, s[1:depth] AS seq, count(*) AS n, min(conv_id) AS least,
+         coalesce(string_agg(CASE WHEN len(s) = depth THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '') AS ends
+  FROM prefixes GROUP BY ALL),
+own AS (
+  SELECT *, CASE WHEN depth = 0 THEN 0 ELSE (n - 1) * octet_length(encode(seq[depth].t)) END AS saved,
+         CASE WHEN depth > 0 THEN seq[1:depth - 1] END AS above
+  FROM nodes),
+children AS (SELECT above AS seq, count(*) AS n_children FROM own WHERE depth > 0 GROUP BY 1),
+counted AS (SELECT o.*, coalesce(n_children, 0) AS n_children FROM own o LEFT JOIN children USING (seq)),
+totals AS (
+  SELECT seq, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM (
+    SELECT c.seq[1:k] AS seq, n_children, saved FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM counted) c)
+  GROUP BY 1)
+SELECT c.least AS conv_id, c.depth, p.least AS parent_conv_id, c.n AS n_convs, c.n_children,
+       n_leaves, saved_tokens, sha256(c.ends) AS ends_sha256
+FROM counted c JOIN totals USING (seq) LEFT JOIN counted p ON p.seq = c.above
+"""
