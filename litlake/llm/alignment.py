@@ -144,8 +144,8 @@ class Block:
         self.times.append(times)
         self.entries += len(pairs)
 
-    def full(self) -> bool:
-        return len(self.docs) >= BLOCK_DOCS or self.entries >= BLOCK_ENTRIES
+    def full(self, entries: int) -> bool:
+        return len(self.docs) >= BLOCK_DOCS or self.entries >= entries
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int32()] + [pa.int64()] * 5 + [pa.string()]
@@ -211,7 +211,12 @@ def _set_bits(bits: bytes) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little"))
 
 
-def postings(docs: DataFrame, name_a: str = VOCABULARY_A, name_b: str = VOCABULARY_B) -> DataFrame:
+def postings(
+    docs: DataFrame,
+    name_a: str = VOCABULARY_A,
+    name_b: str = VOCABULARY_B,
+    entries: int = BLOCK_ENTRIES,
+) -> DataFrame:
     """One row per document (pair null), and one per pair, block and plane, written once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +228,7 @@ def postings(docs: DataFrame, name_a: str = VOCABULARY_A, name_b: str = VOCABULA
             parts = align.texts([t or "" for t in texts])
             for doc_id, text, found in zip(batch.column("doc_id").to_pylist(), texts, parts, strict=True):
                 block.add(doc_id, found if text else [])
-                if block.full():
+                if block.full(entries):
                     yield from block.batches()
                     number += 1
                     block = Block(number)
@@ -249,14 +254,19 @@ def pair_counts(found: DataFrame) -> DataFrame:
     )
 
 
-def align(docs: DataFrame, name_a: str = VOCABULARY_A, name_b: str = VOCABULARY_B) -> DataFrame:
+def align(
+    docs: DataFrame,
+    name_a: str = VOCABULARY_A,
+    name_b: str = VOCABULARY_B,
+    entries: int = BLOCK_ENTRIES,
+) -> DataFrame:
     """Per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     Null and empty texts, and those that a tokenizer doesn't give back byte by byte,
     have zeros and an empty ``groups_sha256``. Every row counts, repeated rows and
     ids and null ids included. An empty table gives an empty result.
     """
-    found = postings(docs, name_a, name_b)
+    found = postings(docs, name_a, name_b, entries)
     counts = written(pair_counts(found), "pairs")
     # At most one row per id of B.
     best = counts.groupBy("b_id").agg(F.max("n_links").alias("most"))

@@ -9,6 +9,7 @@ the emptiest bins, and the group's last bin is cut into lengths that need no pad
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from math import ceil
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litlake.llm.common import only, written
-from litlake.llm.tokens import Remembered, tokenizer
+from litlake.llm.tokens import Remembered, lower_words, tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 #: The id that ends every document.
@@ -32,6 +33,8 @@ GROUP_TOKENS = 1 << 20
 #: Gaps of fewer tokens stay padding: no document is cut for them.
 LEAST_CUT = 16
 SEED = 17
+#: Words that a worker remembers.
+REMEMBER = 400_000
 
 _PIECES = (
     "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -132,10 +135,11 @@ def without_gaps(bins: list[list[Cut]], size: int, least: int = LEAST_CUT) -> li
 def _encoder(vocabulary: str) -> Remembered:
     model = tokenizer(vocabulary, False)
 
-    def encode(ws: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch_fast(ws, add_special_tokens=False)]
+    def encode(ws: list[bytes]) -> list[bytes]:
+        found = model.encode_batch_fast([w.decode() for w in ws], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
 
-    return Remembered(encode)
+    return Remembered(encode, lower_words, REMEMBER)
 
 
 def _batch(rows: list[tuple], extra: dict[str, pa.DataType]) -> pa.RecordBatch:

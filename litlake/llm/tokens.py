@@ -2,7 +2,7 @@
 
 The tokenizers used here never join what a single space separates: cut before every
 single space between two characters that aren't white space, a text's ids are the ids
-of its words in order. Words repeat, so each task remembers a bounded number of them.
+of its words in order. Words repeat, so each worker remembers a bounded number of them.
 Runs of white space, and texts without any, stay whole inside a word.
 """
 
@@ -14,8 +14,12 @@ from collections.abc import Callable, Iterator
 from functools import cache
 from typing import Any
 
+from litlake.llm.common import LOWER
+
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Words that a task remembers, and their greatest length.
+#: Words of a vocabulary without case and white space: also cut around one mark between ASCII letters.
+_MARK = re.compile(rb"[.,;:!?](?<=[a-z].)(?=[\sa-z]|\Z)")
+#: Words that a worker remembers (and as many that it remembered before), and their greatest length.
 REMEMBER, LONGEST = 150_000, 64
 #: Characters of text that are cut to words at a time; a longer text is cut alone.
 AT_ONCE = 1 << 20
@@ -51,13 +55,32 @@ def words(text: str) -> list[str]:
     return _CUT.split(text)
 
 
+def lower_words(text: str) -> list[bytes]:
+    """Words for a vocabulary that folds case, drops white space and keeps letters from marks.
+
+    ASCII letters are folded before the cut, so that words repeat more. A text that
+    may hold special tokens stays whole.
+    """
+    raw = text.encode()
+    if b"<|" in raw:
+        return [raw]
+    return _MARK.sub(rb" \g<0> ", raw.translate(LOWER)).split()
+
+
 class Remembered:
     """What ``compute`` gives for a list of words, remembered for later texts."""
 
-    def __init__(self, compute: Callable[[list[str]], list[Any]]):
+    def __init__(
+        self,
+        compute: Callable[[list], list[Any]],
+        cut: Callable[[str], list] = words,
+        remember: int = REMEMBER,
+    ):
         self.compute = compute
-        self.known: dict[str, Any] = {}
-        self.older: dict[str, Any] = {}
+        self.cut = cut
+        self.remember = remember
+        self.known: dict[Any, Any] = {}
+        self.older: dict[Any, Any] = {}
 
     def texts(self, texts: list[str]) -> Iterator[list[Any]]:
         """Per text, the results of its words in order."""
@@ -71,17 +94,20 @@ class Remembered:
         yield from self._run(run)
 
     def _run(self, texts: list[str]) -> Iterator[list[Any]]:
-        cut = [words(t) for t in texts]
+        cut = [self.cut(t) for t in texts]
         asked = set().union(*cut).difference(self.known)
-        if len(self.known) + len(asked) > REMEMBER:
+        if len(self.known) + len(asked) > self.remember:
             # Words that are asked for again come back from the older half; the others go.
             self.known, self.older = {}, self.known
             asked = set().union(*cut)
         known, older = self.known, self.older
         missing = sorted(w for w in asked if w not in older)
         found = dict(zip(missing, self.compute(missing), strict=True)) if missing else {}
+        long_ones = {}
         for w in asked:
-            if len(w) <= LONGEST:
-                known[w] = found[w] if w in found else older[w]
+            (known if len(w) <= LONGEST else long_ones)[w] = found[w] if w in found else older[w]
         for ws in cut:
-            yield [known[w] if w in known else found[w] for w in ws]
+            if long_ones:
+                yield [known[w] if w in known else long_ones[w] for w in ws]
+            else:
+                yield list(map(known.__getitem__, ws))
