@@ -98,7 +98,7 @@ class Word:
 
 @cache
 def aligner(name_a: str = VOCABULARY_A, name_b: str = VOCABULARY_B) -> Remembered:
-    """Alignments of words; None for one that a tokenizer doesn't give back byte by byte.
+    """Alignments of words; False for one that a tokenizer doesn't give back byte by byte.
 
     Both tokenizers cut at the single spaces between words, so both end tokens there and
     neither groups nor links go across. A worker keeps what it remembers for later tasks.
@@ -106,7 +106,7 @@ def aligner(name_a: str = VOCABULARY_A, name_b: str = VOCABULARY_B) -> Remembere
     model_a, model_b = tokenizer(name_a, True), piece_model(name_b)
     bytes_a, bytes_b = bytes_of_a(name_a), bytes_of_b(name_b)
 
-    def align(ws: list[str]) -> list[Word | None]:
+    def align(ws: list[str]) -> list[Word | bool]:
         of_a = model_a.encode_batch_fast([" " + w for w in ws], add_special_tokens=False)
         of_b = model_b.encode(ws, num_threads=1)
         out = []
@@ -114,7 +114,7 @@ def aligner(name_a: str = VOCABULARY_A, name_b: str = VOCABULARY_B) -> Remembere
             a, whole = a.ids, b" " + w.encode()
             parts_a, parts_b = [bytes_a[i] for i in a], [bytes_b[i] for i in b]
             same = b"".join(parts_a) == whole and b"".join(parts_b) == whole
-            out.append(Word(a, b, list(map(len, parts_a)), list(map(len, parts_b))) if same else None)
+            out.append(Word(a, b, list(map(len, parts_a)), list(map(len, parts_b))) if same else False)
         return out
 
     return Remembered(align)
@@ -130,9 +130,9 @@ class Block:
         self.times: list[np.ndarray] = []
         self.entries = 0
 
-    def add(self, doc_id: int | None, parts: list[Word | None]) -> None:
+    def add(self, doc_id: int | None, parts: list[Word | bool]) -> None:
         place = len(self.docs)
-        if None in parts:
+        if False in parts:
             parts = []
         n_a, n_b = sum(w.n_a for w in parts), sum(w.n_b for w in parts)
         links = np.frombuffer(b"".join([w.pairs for w in parts]), "<u4")

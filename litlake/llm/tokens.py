@@ -68,7 +68,7 @@ def lower_words(text: str) -> list[bytes]:
 
 
 class Remembered:
-    """What ``compute`` gives for a list of words, remembered for later texts."""
+    """What ``compute`` gives for a list of words (never None), remembered for later texts."""
 
     def __init__(
         self,
@@ -95,19 +95,23 @@ class Remembered:
 
     def _run(self, texts: list[str]) -> Iterator[list[Any]]:
         cut = [self.cut(t) for t in texts]
-        asked = set().union(*cut).difference(self.known)
-        if len(self.known) + len(asked) > self.remember:
+        if len(self.known) > self.remember:
             # Words that are asked for again come back from the older half; the others go.
             self.known, self.older = {}, self.known
-            asked = set().union(*cut)
         known, older = self.known, self.older
-        missing = sorted(w for w in asked if w not in older)
+        get = known.get
+        results = [list(map(get, ws)) for ws in cut]
+        unknown = {
+            w for ws, r in zip(cut, results, strict=True) if None in r for w, x in zip(ws, r, strict=True) if x is None
+        }
+        missing = [w for w in unknown if w not in older]
         found = dict(zip(missing, self.compute(missing), strict=True)) if missing else {}
-        long_ones = {}
-        for w in asked:
-            (known if len(w) <= LONGEST else long_ones)[w] = found[w] if w in found else older[w]
-        for ws in cut:
-            if long_ones:
-                yield [known[w] if w in known else long_ones[w] for w in ws]
-            else:
-                yield list(map(known.__getitem__, ws))
+        for w in unknown:
+            if w not in found:
+                found[w] = older[w]
+            if len(w) <= LONGEST:
+                known[w] = found[w]
+        for ws, r in zip(cut, results, strict=True):
+            if None in r:
+                r = [found[w] if x is None else x for w, x in zip(ws, r, strict=True)]
+            yield r
