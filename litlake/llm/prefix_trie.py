@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from litlake.llm.common import only, shared_path, written
+from litlake.llm.common import only, written
 from litlake.operators.spread import with_ordinal
 
 #: Longest piece that is one row; longer conversations are chains of such pieces.
@@ -54,7 +54,8 @@ def ordered_turns(conversations: DataFrame) -> DataFrame:
         F.octet_length(text).cast("long").alias("n_bytes"),
     )
     placed = with_ordinal(rows, ["turn", "role", "head", "c1", "c2"], ["conv_id"], "place")
-    return placed.select("conv_id", F.col("place").cast("long").alias("place"), "c1", "c2", "n_bytes")
+    placed = placed.select("conv_id", F.col("place").cast("long").alias("place"), "c1", "c2", "n_bytes")
+    return written(placed, "turns")
 
 
 def rebuilt_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,9 +67,7 @@ def rebuilt_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     c = F.col("conv_id")
     members = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
     h = F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(HEADS))
-    members = written(
-        members.select("conv_id", "n", h.alias("h"), (c - F.pmod(c, F.lit(FAMILY))).alias("base")), "members"
-    )
+    members = members.select("conv_id", "n", h.alias("h"), (c - F.pmod(c, F.lit(FAMILY))).alias("base"))
     firsts = members.where(c == F.col("base")).select("base", F.col("n").alias("base_n"))
     members = members.join(firsts, "base", "left").select(
         "conv_id", "h", "base", F.least("h", F.coalesce("base_n", F.lit(0))).alias("taken")
@@ -103,12 +102,11 @@ def _pieces(turns: DataFrame) -> DataFrame:
     )
     pieces = pieces.withColumn("items", F.transform("items", lambda x: x.dropFields("place")))
     pieces = written(pieces.withColumn("size", F.size("items")), "pieces")
+    if not pieces.agg(F.coalesce(F.max("lo"), F.lit(0))).first()[0]:
+        return pieces.withColumns({"r1": F.lit(0).cast("long"), "r2": F.lit(0).cast("long")})
     before = W.partitionBy("conv_id").orderBy("lo").rowsBetween(W.unboundedPreceding, -1)
-    long_ones = pieces.where(F.col("lo") > 0).select("conv_id").distinct()
-    chained = pieces.join(long_ones, "conv_id", "left_semi")
     name = {r: F.coalesce(F.bit_xor(x).over(before), F.lit(0)) for r, x in (("r1", "x1"), ("r2", "x2"))}
-    alone = pieces.join(long_ones, "conv_id", "left_anti").withColumns({r: F.lit(0).cast("long") for r in name})
-    return written(alone.unionByName(chained.withColumns(name)), "pieces")
+    return written(pieces.withColumns(name), "pieces")
 
 
 def _distinct(pieces: DataFrame) -> DataFrame:
@@ -167,11 +165,8 @@ def _place_of_use(depth: Column) -> Column:
 
 
 def _by_use(rows: DataFrame, label: str) -> DataFrame:
-    """Written in folders by level of use, so that a level reads its own rows only."""
-    path = shared_path(rows.sparkSession, label)
-    rows = rows.withColumn("use", _place_of_use(F.col("depth")).cast("long"))
-    rows.write.partitionBy("use").parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    """Written with the level that grafts each node, which a scan can be filtered by."""
+    return written(rows.withColumn("use", _place_of_use(F.col("depth")).cast("long")), label)
 
 
 def _grafts(level: DataFrame, below: DataFrame, step: int) -> DataFrame:
