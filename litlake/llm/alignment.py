@@ -12,7 +12,6 @@ to its documents, block by block. What is shuffled is bitmaps, never one row per
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,6 +30,8 @@ VOCABULARY_B = "piece_bpe_32k.model"
 BLOCK_DOCS, BLOCK_ENTRIES = 1 << 16, 1_000_000
 #: Documents up to which a bitmap is stored as sorted 16-bit places.
 SPARSE = 4096
+#: Words that a worker remembers.
+REMEMBER = 250_000
 
 _DOC = "block long, place int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 _BITS = "pair long, plane int, n int, places binary"
@@ -66,34 +67,8 @@ def bytes_of_b(name: str) -> list[bytes]:
     ]
 
 
-class Word:
-    """Alignment of one word: numbers, its groups as text, and one ``a << 16 | b`` per link."""
-
-    __slots__ = ("groups", "n_a", "n_b", "n_groups", "pairs")
-
-    def __init__(self, a: list[int], b: list[int], len_a: list[int], len_b: list[int]):
-        links, groups = [], []
-        i = j = first_a = first_b = 0
-        end_a, end_b = len_a[0], len_b[0]
-        while True:
-            # Between two neighbouring ends lie one token of A and one of B: a link.
-            links.append(a[i] << 16 | b[j])
-            if end_a == end_b:
-                own = ",".join(map(str, a[first_a : i + 1])), ",".join(map(str, b[first_b : j + 1]))
-                groups.append("|".join(own))
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    break
-                first_a, first_b = i, j
-                end_a, end_b = end_a + len_a[i], end_b + len_b[j]
-            elif end_a < end_b:
-                i += 1
-                end_a += len_a[i]
-            else:
-                j += 1
-                end_b += len_b[j]
-        self.n_a, self.n_b, self.n_groups = len(a), len(b), len(groups)
-        self.groups, self.pairs = ";".join(groups).encode(), array("I", links).tobytes()
+#: A word's alignment: tokens of A, of B, groups, the groups as text, one ``a << 16 | b`` per link.
+Word = tuple[int, int, int, bytes, bytes]
 
 
 @cache
@@ -101,23 +76,65 @@ def aligner(name_a: str = VOCABULARY_A, name_b: str = VOCABULARY_B) -> Remembere
     """Alignments of words; False for one that a tokenizer doesn't give back byte by byte.
 
     Both tokenizers cut at the single spaces between words, so both end tokens there and
-    neither groups nor links go across. A worker keeps what it remembers for later tasks.
+    neither groups nor links go across. Words without white space at their ends go through
+    the tokenizers many at a time. A worker keeps what it remembers for later tasks.
     """
     model_a, model_b = tokenizer(name_a, True), piece_model(name_b)
     bytes_a, bytes_b = bytes_of_a(name_a), bytes_of_b(name_b)
+    sizes = [np.array([len(x) for x in of]) for of in (bytes_a, bytes_b)]
+
+    def together(ws: list[str], a: list[int], b: list[int]) -> list[Word] | None:
+        """Words that follow one another with a space before each; None if bytes or ends don't fit."""
+        whole = "".join([f" {w}" for w in ws]).encode()
+        if b"".join([bytes_a[i] for i in a]) != whole or b"".join([bytes_b[i] for i in b]) != whole:
+            return None
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        ends_a, ends_b = np.cumsum(sizes[0][a]), np.cumsum(sizes[1][b])
+        last = np.cumsum([len(w.encode()) + 1 for w in ws])
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        stops = [np.searchsorted(e, last) for e in (ends_a, ends_b, common)]
+        if (common[stops[2]] != last).any():
+            return None
+        ends = np.union1d(ends_a, ends_b)
+        # Between two neighbouring ends lie one token of A and one of B: a link.
+        links = a[np.searchsorted(ends_a, ends)] << 16 | b[np.searchsorted(ends_b, ends)]
+        raw = links.astype("<u4").tobytes()
+        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        to_a = (np.searchsorted(ends_a, common) + 1).tolist()
+        to_b = (np.searchsorted(ends_b, common) + 1).tolist()
+        groups, i, j = [], 0, 0
+        for p, q in zip(to_a, to_b, strict=True):
+            one = p - i == 1 == q - j
+            groups.append(
+                f"{text_a[i]}|{text_b[j]}" if one else f"{','.join(text_a[i:p])}|{','.join(text_b[j:q])}"
+            )
+            i, j = p, q
+        at = [(s + 1).tolist() for s in (*stops, np.searchsorted(ends, last))]
+        out, before = [], (0, 0, 0, 0)
+        for to in zip(*at, strict=True):
+            n_a, n_b, n_groups = (x - y for x, y in zip(to[:3], before, strict=False))
+            own = ";".join(groups[before[2] : to[2]]).encode()
+            out.append((n_a, n_b, n_groups, own, raw[4 * before[3] : 4 * to[3]]))
+            before = to
+        return out
+
+    def encoded(texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+        """Ids of each text with a space before it."""
+        of_a = model_a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)
+        yield from zip((e.ids for e in of_a), model_b.encode(texts, num_threads=1), strict=True)
 
     def align(ws: list[str]) -> list[Word | bool]:
-        of_a = model_a.encode_batch_fast([" " + w for w in ws], add_special_tokens=False)
-        of_b = model_b.encode(ws, num_threads=1)
-        out = []
-        for w, a, b in zip(ws, of_a, of_b, strict=True):
-            a, whole = a.ids, b" " + w.encode()
-            parts_a, parts_b = [bytes_a[i] for i in a], [bytes_b[i] for i in b]
-            same = b"".join(parts_a) == whole and b"".join(parts_b) == whole
-            out.append(Word(a, b, list(map(len, parts_a)), list(map(len, parts_b))) if same else False)
-        return out
+        plain = [w for w in ws if w and not w[0].isspace() and not w[-1].isspace()]
+        runs = [plain[i : i + 100] for i in range(0, len(plain), 100)]
+        found: dict[str, Word | bool] = {}
+        for run, ids in zip(runs, encoded([" ".join(r) for r in runs]), strict=True):
+            found.update(zip(run, together(run, *ids) or (), strict=False))
+        rest = [w for w in ws if w not in found]
+        for w, ids in zip(rest, encoded(rest), strict=True):
+            found[w] = (together([w], *ids) or [False])[0]
+        return [found[w] for w in ws]
 
-    return Remembered(align)
+    return Remembered(align, remember=REMEMBER)
 
 
 class Block:
@@ -132,12 +149,13 @@ class Block:
 
     def add(self, doc_id: int | None, parts: list[Word | bool]) -> None:
         place = len(self.docs)
-        if False in parts:
-            parts = []
-        n_a, n_b = sum(w.n_a for w in parts), sum(w.n_b for w in parts)
-        links = np.frombuffer(b"".join([w.pairs for w in parts]), "<u4")
-        digest = hashlib.sha256(b";".join([w.groups for w in parts])).hexdigest() if parts else ""
-        n_groups = sum(w.n_groups for w in parts)
+        n_a = n_b = n_groups = 0
+        digest, links = "", b""
+        if parts and False not in parts:
+            ns_a, ns_b, ns_groups, groups, pairs = zip(*parts, strict=True)
+            n_a, n_b, n_groups = sum(ns_a), sum(ns_b), sum(ns_groups)
+            digest, links = hashlib.sha256(b";".join(groups)).hexdigest(), b"".join(pairs)
+        links = np.frombuffer(links, "<u4")
         self.docs.append((self.number, place, doc_id, n_a, n_b, n_groups, len(links), digest))
         pairs, times = np.unique(links, return_counts=True)
         self.pairs.append(pairs)
@@ -274,7 +292,8 @@ def align(
         "pair", "n_links", (F.col("n_links") == F.col("most")).alias("best")
     )
     bits = found.where("pair is not null").select("block", "pair", "plane", "n", "places")
-    scored = bits.join(scores, "pair").select(F.col("block").alias("home"), "plane", "n", "places", "n_links", "best")
+    # The pairs grow with the corpus: one plan at every size, nothing to broadcast.
+    scored = bits.join(scores.hint("merge"), "pair").select(F.col("block").alias("home"), "plane", "n", "places", "n_links", "best")
     rows = found.where("pair is null").select(*(c.split()[0] for c in _DOC.split(", ")))
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
