@@ -121,29 +121,37 @@ def match_spans(text: Column, pattern: str, limit: int | None = None) -> Column:
         found = F.slice(found, 1, limit)
 
     def spans(m: Column) -> Column:
-        steps = F.zip_with(
-            F.slice(pieces, F.lit(1), F.size(m)),
-            m,
-            lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("match")),
+        lengths = F.zip_with(
+            F.slice(pieces, F.lit(1), F.size(m)), m, lambda gap, hit: F.length(gap) + F.length(hit)
         )
-        start = F.struct(
-            F.lit(0).alias("at"),
-            F.array().cast("array<struct<pos:int,match:string>>").alias("out"),
+        return F.zip_with(
+            running_sums(lengths),
+            m,
+            lambda end, hit: F.struct((end - F.length(hit)).alias("pos"), hit.alias("match")),
         )
+
+    return let(found, spans)
+
+
+def running_sums(lengths: Column) -> Column:
+    """Sums of an int array up to each element.
+
+    Each step adds what lies 1, 2, 4, ... places before, so an array of n is copied log2(n)
+    times, not once per element.
+    """
+
+    def sums(values: Column) -> Column:
+        steps = F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")
         return F.aggregate(
-            steps,
-            start,
-            lambda acc, x: F.struct(
-                (acc["at"] + x["gap"] + F.length(x["match"])).alias("at"),
-                F.concat(
-                    acc["out"],
-                    F.array(F.struct((acc["at"] + x["gap"]).alias("pos"), x["match"].alias("match"))),
-                ).alias("out"),
+            F.sequence(F.lit(0), steps),
+            values,
+            lambda acc, k: F.transform(
+                acc,
+                lambda x, i: x + F.coalesce(F.get(acc, i - F.pow(F.lit(2), k).cast("int")), F.lit(0)),
             ),
-            lambda acc: acc["out"],
         )
 
-    return let(found, spans)
+    return let(lengths, sums)
 
 
 def _heading_level(heading: Column) -> Column:

@@ -195,14 +195,18 @@ def crossref_year() -> Column:
     return F.get(F.get(date["date-parts"], F.lit(0)), F.lit(0))
 
 
-def triage_crossref(df: DataFrame) -> DataFrame:
-    return df.select(
+def crossref_triage_columns() -> list[Column]:
+    return [
         F.col("DOI").alias("doi"),
         F.get("title", F.lit(0)).alias("title"),
         crossref_first_author(F.col("author")).alias("first_author"),
         F.greatest(F.size("author"), F.lit(0)).alias("author_count"),
         crossref_year().alias("year"),
-    )
+    ]
+
+
+def triage_crossref(df: DataFrame) -> DataFrame:
+    return df.select(*crossref_triage_columns())
 
 
 def page_status(titles: DataFrame, summaries: DataFrame) -> DataFrame:

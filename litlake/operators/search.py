@@ -5,19 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from litlake.functions import text as tx
 from litlake.functions.identifiers import stem
-from litlake.operators.metadata import triage_arxiv, triage_crossref
+from litlake.operators.metadata import crossref_triage_columns, crossref_year, triage_arxiv
 from litlake.operators.sections import DOC
-from litlake.operators.spread import (
-    first_n_per_key,
-    first_per_key,
-    at_least_one,
-)
+from litlake.operators.spread import at_least_one, first_per_key
 from litlake.session import pin
 
 # Ranking constants, snippet width and result caps.
@@ -88,50 +84,6 @@ def term_score(idf_: Column, tf: Column, doc_len: Column, avgdl: Column) -> Colu
     return idf_ * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * doc_len / avgdl))
 
 
-def build_index(corpus: DataFrame, path: str) -> None:
-    """Persist postings clustered by term, and the corpus size beside them.
-
-    Range clustering on (term, document) spreads a common term over several
-    files and lets a search read only the row groups of its own terms.
-    """
-    index = pin(term_index(corpus), "postings")
-    index.repartitionByRange("term", *DOC).sortWithinPartitions("term", *DOC).write.mode(
-        "overwrite"
-    ).parquet(f"{path}/postings")
-    corpus_size(index).write.mode("overwrite").parquet(f"{path}/size")
-
-
-def read_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/size")
-
-
-def search_index(
-    postings: DataFrame, size: DataFrame, query: str, top_k: int = 10
-) -> DataFrame:
-    """Rank with a stored index: only the query's postings are read."""
-    terms = query_terms(query)
-    hits = postings.where(F.col("term").isin(*terms) if terms else F.lit(False))
-    n = size.select(F.struct("n_docs", "avgdl")).scalar()
-    # One row per query term, so at most as many rows as the query has words.
-    weights = (
-        hits.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .withColumn("_n", n)
-        .select("term", idf(F.col("_n.n_docs"), F.col("df")).alias("idf"), "_n.avgdl")
-        .limit(max(len(terms), 1))
-    )
-    scored = (
-        hits.join(F.broadcast(weights), "term")
-        .groupBy(*DOC)
-        .agg(
-            F.sum(
-                term_score(F.col("idf"), F.col("tf"), F.col("doc_len"), F.col("avgdl"))
-            ).alias("score")
-        )
-    )
-    return _top(scored.where("score > 0"), top_k)
-
-
 def _top(scored: DataFrame, top_k: int) -> DataFrame:
     return scored.orderBy(
         F.col("score").desc(), "namespace", stem(F.col("canonical_id"))
@@ -141,14 +93,19 @@ def _top(scored: DataFrame, top_k: int) -> DataFrame:
 def rank_documents(
     corpus: DataFrame, query: str, top_k: int = 10, namespace: str | None = None
 ) -> DataFrame:
-    """Top documents of a query by BM25, ``(doc, score)``.
+    """Top documents of a query by BM25, ``(doc, score)``."""
+    if namespace:
+        corpus = corpus.where(F.col("namespace") == namespace)
+    return _top(matching(corpus, query, DOC), top_k)
+
+
+def matching(corpus: DataFrame, query: str, keep: Sequence[str]) -> DataFrame:
+    """Rows whose ``markdown`` has a term of the query: the columns ``keep`` and ``score``.
 
     One pass over the text leaves a slim row per document: its length and the
     counts of the query's terms. Statistics and scores both read those rows.
     """
     terms = query_terms(query)
-    if namespace:
-        corpus = corpus.where(F.col("namespace") == namespace)
     if not terms:
         corpus = corpus.where(F.lit(False))
 
@@ -164,46 +121,43 @@ def rank_documents(
     # The length filter comes after the write: pushed below the projection it
     # would tokenise every text a second time.
     slim = pin(
-        corpus.select(*DOC, tx.let(tx.tokens(F.col("markdown")), counts).alias("_c")).select(
-            *DOC, "_c.doc_len", "_c.tf"
+        corpus.select(*keep, tx.let(tx.tokens(F.col("markdown")), counts).alias("_c")).select(
+            *keep, F.col("_c.doc_len").alias("_len"), F.col("_c.tf").alias("_tf")
         ),
         "ranked",
-    ).where("doc_len > 0")
+    ).where("_len > 0")
     stats = slim.agg(
         F.struct(
             F.count(F.lit(1)).alias("n_docs"),
-            (F.sum("doc_len") / F.count(F.lit(1))).alias("avgdl"),
+            (F.sum("_len") / F.count(F.lit(1))).alias("avgdl"),
             F.array(
-                *(F.count(F.when(F.get("tf", F.lit(i)) > 0, 1)) for i in range(max(len(terms), 1)))
+                *(F.count(F.when(F.get("_tf", F.lit(i)) > 0, 1)) for i in range(max(len(terms), 1)))
             ).alias("df"),
         )
     ).scalar()
-    weighed = slim.where(F.exists("tf", lambda n: n > 0)).withColumn("_s", stats)
+    weighed = slim.where(F.exists("_tf", lambda n: n > 0)).withColumn("_s", stats)
     score = F.lit(0.0)
     for i in range(len(terms)):
-        tf = F.get("tf", F.lit(i))
+        tf = F.get("_tf", F.lit(i))
         weight = idf(F.col("_s.n_docs"), F.get("_s.df", F.lit(i)))
         score = score + F.when(
-            tf > 0, term_score(weight, tf, F.col("doc_len"), F.col("_s.avgdl"))
+            tf > 0, term_score(weight, tf, F.col("_len"), F.col("_s.avgdl"))
         ).otherwise(0.0)
-    return _top(weighed.select(*DOC, score.alias("score")).where("score > 0"), top_k)
+    return weighed.select(*keep, score.alias("score")).where("score > 0")
 
 
 def _term_pattern(term: str) -> str:
     return tx.literal_pattern(term, whole_words=True)
 
 
-def snippets(
-    hits: DataFrame, corpus: DataFrame, terms: Sequence[str], window: int = SNIPPET
-) -> DataFrame:
-    """Add ``snippet`` and ``snippet_offset`` to a bounded list of ranked documents.
+def snippets(docs: DataFrame, terms: Sequence[str], window: int = SNIPPET) -> DataFrame:
+    """Add ``snippet`` and ``snippet_offset`` to a bounded list of ranked documents with texts.
 
     The offset is the term occurrence with most distinct terms within half a
     window, the earliest on ties. Without any occurrence the head of the
     document is shown and the offset is null.
     """
     half = window // 2
-    docs = _bounded_text(hits, corpus)
     lowered = F.lower("markdown")
     runs = [
         F.struct(
@@ -236,11 +190,6 @@ def snippets(
     return docs.join(best, DOC, "left").withColumn("snippet", snippet)
 
 
-def _bounded_text(hits: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Texts of the ranked documents; how they join is left to the size of ``hits``."""
-    return corpus.join(hits, DOC)
-
-
 def bm25_search(
     corpus: DataFrame, query: str, top_k: int = 10, namespace: str | None = None
 ) -> DataFrame:
@@ -248,13 +197,35 @@ def bm25_search(
 
     Ranking runs on slim rows; text is read again for the top documents only.
     """
-    ranked = pin(rank_documents(corpus, query, top_k, namespace), "top").limit(
-        at_least_one("top_k", top_k)
+    ranked = rank_documents(corpus, query, top_k, namespace).collect()
+    return describe_texts(fetch_texts(corpus, ranked), query)
+
+
+def fetch_texts(corpus: DataFrame, ranked: Sequence[Row]) -> DataFrame:
+    """Texts and scores of ranked documents, at most as many as the search was asked for.
+
+    Their names go to the scan as lists, so a corpus that is stored in the order of its
+    names, or with filters on them (``write_clustered``), gives up only the row groups
+    that hold one.
+    """
+    scores = {(r.namespace, r.canonical_id): r.score for r in ranked}
+    empty = F.lit(None).cast("map<struct<n:string,c:string>,double>")
+    key = F.struct(F.col("namespace").alias("n"), F.col("canonical_id").alias("c"))
+    pairs = [
+        x
+        for (n, c), v in scores.items()
+        for x in (F.struct(F.lit(n).alias("n"), F.lit(c).alias("c")), F.lit(v))
+    ]
+    score = (F.create_map(*pairs) if pairs else empty)[key]
+    wanted = F.col("namespace").isin(*{n for n, _ in scores}) & F.col("canonical_id").isin(
+        *{c for _, c in scores}
     )
-    return describe_hits(ranked, corpus, query)
+    found = corpus.where(wanted if scores else F.lit(False)).select(*DOC, "markdown", score.alias("score"))
+    return pin(found.where("score is not null"), "fetched")
 
 
-def describe_hits(ranked: DataFrame, corpus: DataFrame, query: str) -> DataFrame:
+def describe_texts(ranked: DataFrame, query: str) -> DataFrame:
+    """Title, snippet, section and size of ranked documents (namespace, canonical_id, score, markdown)."""
     terms = query_terms(query)
     if not terms:
         return ranked.where(F.lit(False)).select(
@@ -265,7 +236,7 @@ def describe_hits(ranked: DataFrame, corpus: DataFrame, query: str) -> DataFrame
         )
     md = F.col("markdown")
     return (
-        snippets(ranked, corpus, terms)
+        snippets(ranked, terms)
         .select(
             *DOC,
             "score",
@@ -281,49 +252,6 @@ def describe_hits(ranked: DataFrame, corpus: DataFrame, query: str) -> DataFrame
     )
 
 
-def bm25_batch(index: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
-    """Many queries over one stored index: ``(query_id, rank, doc, score)``.
-
-    ``queries(query_id, query)`` are tokenised like documents. Postings
-    meet the term list by a join that adaptive execution broadcasts where the list
-    is small, and splits where a term is frequent. Per query a group limit keeps ``top_k`` rows per task before the shuffle.
-    """
-    asked = queries.select(
-        "query_id", F.explode(F.array_distinct(tx.tokens(F.col("query")))).alias("term")
-    )
-    hits = index.join(asked.select("term").distinct(), "term", "left_semi")
-    n = corpus_size(index).select(F.struct("n_docs", "avgdl")).scalar()
-    weights = document_frequency(hits).withColumn("_n", n).select(
-        "term", idf(F.col("_n.n_docs"), F.col("df")).alias("idf"), "_n.avgdl"
-    )
-    scored = (
-        index.join(asked.join(weights, "term"), "term")
-        .groupBy("query_id", *DOC)
-        .agg(
-            # Summed in the order of the terms, so that equal documents score alike in every run.
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        "term",
-                        term_score(
-                            F.col("idf"), F.col("tf"), F.col("doc_len"), F.col("avgdl")
-                        ).alias("part"),
-                    )
-                )
-            ).alias("_parts")
-        )
-        .select(
-            "query_id",
-            *DOC,
-            F.aggregate("_parts", F.lit(0.0), lambda s, x: s + x["part"]).alias("score"),
-        )
-    )
-    order = [F.col("score").desc(), F.col("namespace"), stem(F.col("canonical_id"))]
-    return first_n_per_key(scored, ["query_id"], order, at_least_one("top_k", top_k), "rank").select(
-        "query_id", "rank", *DOC, "score"
-    )
-
-
 def search_papers(
     papers: DataFrame,
     ti: str | None = None,
@@ -366,29 +294,24 @@ def search_papers(
 def search_titles(
     works: DataFrame, query: str, year: int | None = None, rows: int = 5
 ) -> DataFrame:
-    """Bibliographic search over titles and author names, optionally in one year."""
-    from litlake.operators.metadata import crossref_year
+    """Bibliographic search over titles and author names, optionally in one year.
 
+    One row per record, records with one DOI or without any included; ``total_results``
+    counts all records that match, not only the rows shown.
+    """
     if year is not None:
         works = works.where(crossref_year() == year)
     names = F.transform("author", lambda a: F.concat_ws(" ", a["given"], a["family"]))
-    records = works.select(
-        F.lit("crossref").alias("namespace"),
-        F.col("DOI").alias("canonical_id"),
-        F.concat_ws(" ", F.array_join("title", " "), F.array_join(names, " ")).alias("markdown"),
-    )
-    size = at_least_one("rows", rows)
-    ranked = pin(rank_documents(records, query, size), "titles").limit(size)
-    shown = works.join(
-        F.broadcast(ranked.select(F.col("canonical_id").alias("DOI"), "score")), "DOI"
-    )
-    slim = triage_crossref(shown).join(
-        F.broadcast(ranked.select(F.col("canonical_id").alias("doi"), "score")), "doi"
-    )
-    total = ranked.agg(F.count(F.lit(1))).scalar()
+    text = F.concat_ws(" ", F.array_join("title", " "), F.array_join(names, " "))
+    # What is shown goes through the ranking with its row: records may share a DOI or have none.
+    records = works.select(*crossref_triage_columns(), text.alias("markdown"))
+    shown = ["doi", "title", "first_author", "author_count", "year"]
+    found = matching(records, query, shown)
+    total = found.agg(F.count(F.lit(1))).scalar()
+    ties = [F.col(c).asc_nulls_last() for c in shown[1:]]
     return (
-        slim.orderBy(F.col("score").desc(), "doi")
-        .select("doi", "title", "first_author", "author_count", "year", "score")
+        found.orderBy(F.col("score").desc(), stem(F.col("doi")).asc_nulls_last(), *ties)
+        .limit(at_least_one("rows", rows))
         .withColumn("total_results", total)
     )
 

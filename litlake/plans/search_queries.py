@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from litlake.operators import search
+from litlake.operators import index, search
 from litlake.plans import sql, views
 from litlake.plans.registry import query
 from litlake.session import pin, scratch_path
@@ -109,9 +109,7 @@ sections_of AS (
   FROM best JOIN heads USING (namespace, canonical_id) WHERE start_at <= pos GROUP BY namespace, canonical_id)"""
 
 
-@query(
-    "bm25_search",
-    sql.with_(
+DESCRIBED = sql.with_(
         sql.CORPUS,
         sql.POSTINGS,
         sql.SECTIONS,
@@ -123,18 +121,48 @@ sections_of AS (
   {sql.strip("regexp_replace(line, '^#+', '')")} AS section, length(markdown) AS char_count
 FROM ranked JOIN corpus USING (namespace, canonical_id) LEFT JOIN best USING (namespace, canonical_id)
 LEFT JOIN sections_of USING (namespace, canonical_id)""",
-    ),
-)
+    )
+
+
+@query("bm25_search", DESCRIBED)
 def bm25_search(spark, sf_dir):
     return search.bm25_search(views.corpus(spark, sf_dir), QUERY, 20)
 
 
 @query("bm25_stored_index", _ranked())
 def bm25_stored_index(spark, sf_dir):
+    built = _stored(spark, sf_dir)
+    return index.search_index(built, QUERY, 10).withColumn("score", F.round("score", 6))
+
+
+def _stored(spark, sf_dir):
+    """An index that was added to twice: odd documents first, then the even ones."""
     path = scratch_path(spark, "index")
-    search.build_index(views.corpus(spark, sf_dir), path)
-    postings, size = search.read_index(spark, path)
-    return search.search_index(postings, size, QUERY, 10).withColumn("score", F.round("score", 6))
+    corpus = views.corpus(spark, sf_dir)
+    index.add_documents(spark, path, corpus.where("doc_id % 2 = 1"))
+    return index.add_documents(spark, path, corpus.where("doc_id % 2 = 0"))
+
+
+@query("bm25_index_namespace", _ranked("namespace = 'arxiv'", 20))
+def bm25_index_namespace(spark, sf_dir):
+    built = _stored(spark, sf_dir)
+    found = index.search_index(built, QUERY, 20, namespace="arxiv", prune=True)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("bm25_index_removed", _ranked("doc_id % 3 <> 0", 20))
+def bm25_index_removed(spark, sf_dir):
+    """Every third document removed again, then the segments merged."""
+    built = _stored(spark, sf_dir)
+    gone = views.corpus(spark, sf_dir).where("doc_id % 3 = 0")
+    index.remove_documents(spark, built.path, gone)
+    merged = index.merge_segments(spark, built.path)
+    return index.search_index(merged, QUERY, 20).withColumn("score", F.round("score", 6))
+
+
+@query("bm25_index_described", DESCRIBED)
+def bm25_index_described(spark, sf_dir):
+    return index.search_described(_stored(spark, sf_dir), QUERY, 20)
 
 
 @query(
@@ -154,11 +182,11 @@ scored AS (
     ),
 )
 def bm25_batch(spark, sf_dir):
-    index = _index(spark, sf_dir)
+    built = index.add_documents(spark, scratch_path(spark, "index"), views.corpus(spark, sf_dir))
     queries = views.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query")
     )
-    return search.bm25_batch(index, queries, 10).withColumn("score", F.round("score", 6))
+    return index.search_batch(built, queries, 10).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -192,11 +220,12 @@ corpus AS (SELECT * FROM bib WHERE year = 1997)""",
         sql.POSTINGS,
         f"""top AS (
   SELECT canonical_id, sum({sql.SCORE}) AS score FROM postings JOIN dfs USING (term), size
-  WHERE term IN ('the', 'tion', 'family', 'er') GROUP BY canonical_id ORDER BY score DESC, replace(canonical_id, '/', '_') LIMIT 5)""",
+  WHERE term IN ('the', 'tion', 'family', 'er') GROUP BY canonical_id),
+shown AS (SELECT * FROM top ORDER BY score DESC, replace(canonical_id, '/', '_') LIMIT 5)""",
         body="""SELECT canonical_id AS doi, title,
   CASE WHEN len(names) >= 2 THEN names[2] END AS first_author, len(names) AS author_count, year,
   round(score, 6) AS score, (SELECT count(*) FROM top) AS total_results
-FROM top JOIN bib USING (canonical_id)""",
+FROM shown JOIN bib USING (canonical_id)""",
     ),
 )
 def search_titles(spark, sf_dir):
