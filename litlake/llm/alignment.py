@@ -125,10 +125,12 @@ def aligner(name_a: str = VOCABULARY_A, name_b: str = VOCABULARY_B) -> Remembere
 
     def align(ws: list[str]) -> list[Word | bool]:
         plain = [w for w in ws if w and not w[0].isspace() and not w[-1].isspace()]
-        runs = [plain[i : i + 100] for i in range(0, len(plain), 100)]
         found: dict[str, Word | bool] = {}
-        for run, ids in zip(runs, encoded([" ".join(r) for r in runs]), strict=True):
-            found.update(zip(run, together(run, *ids) or (), strict=False))
+        for i in range(0, len(plain), 2000):
+            some = plain[i : i + 2000]
+            runs = [some[k : k + 100] for k in range(0, len(some), 100)]
+            for run, ids in zip(runs, encoded([" ".join(r) for r in runs]), strict=True):
+                found.update(zip(run, together(run, *ids) or (), strict=False))
         rest = [w for w in ws if w not in found]
         for w, ids in zip(rest, encoded(rest), strict=True):
             found[w] = (together([w], *ids) or [False])[0]

@@ -36,7 +36,7 @@ SEED = 17
 #: A word that is one token, and in no other word.
 MARK = "~"
 #: Words that a worker remembers.
-REMEMBER = 400_000
+REMEMBER = 200_000
 
 _PIECES = (
     "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -150,13 +150,15 @@ def _encoder(vocabulary: str) -> Remembered:
         odd = [w for w in ws if MARK.encode() in w or b"<|" in w]
         apart = dict(zip(odd, singly(odd), strict=True))
         plain = [w for w in ws if w not in apart]
-        runs = [plain[i : i + 100] for i in range(0, len(plain), 100)]
-        joined = [f" {MARK} ".join(w.decode() for w in run) for run in runs]
-        for run, e in zip(runs, model.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            at, raw = (4 * np.flatnonzero(ids == mark[0])).tolist(), ids.tobytes()
-            parts = (raw[i:j] for i, j in zip([0, *(k + 4 for k in at)], [*at, len(raw)], strict=True))
-            apart.update(zip(run, parts, strict=True))
+        for i in range(0, len(plain), 2000):
+            some = plain[i : i + 2000]
+            runs = [some[k : k + 100] for k in range(0, len(some), 100)]
+            joined = [f" {MARK} ".join(w.decode() for w in run) for run in runs]
+            for run, e in zip(runs, model.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                at, raw = (4 * np.flatnonzero(ids == mark[0])).tolist(), ids.tobytes()
+                parts = (raw[k:n] for k, n in zip([0, *(k + 4 for k in at)], [*at, len(raw)], strict=True))
+                apart.update(zip(run, parts, strict=True))
         return [apart[w] for w in ws]
 
     return Remembered(encode, lower_words, REMEMBER)

@@ -22,7 +22,7 @@ _MARK = re.compile(rb"[.,;:!?](?<=[a-z].)(?=[\sa-z]|\Z)")
 #: Words that a worker remembers (and as many that it remembered before), and their greatest length.
 REMEMBER, LONGEST = 150_000, 64
 #: Characters of text that are cut to words at a time; a longer text is cut alone.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
 
 
 def public_path(name: str) -> str:
