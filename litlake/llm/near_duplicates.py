@@ -1,15 +1,20 @@
 """N-gram Jaccard join by parity sketches.
 
 A document is the set of its word shingles, one 64-bit hash each. Two sets with
-similarity t or more differ in at most (1 - t) / (1 + t) of their summed sizes.
-Per size band, a sketch has one more part than sets of that band may differ by;
-a shingle flips one bit of one part. The Hamming distance of two sketches is at
-most the number of shingles in which the sets differ, so similar sets agree in
-all bits of some part: parts are the join keys, pairs that meet are checked by
-Hamming distance and then on the sets themselves.
-
-Equal sets are one node from the start. Shared parts with few nodes give pairs;
-those with many join their nodes to clusters, and a cluster is dealt in blocks of
+similarity t or more differ in at most d = (1 - t) / (1 + t) of their summed sizes.
+Per size band, a sketch has more than d parts; a shingle flips one bit of one part, so a
+shingle in which two sets differ changes one part, and similar sets agree in
+all bits of at least parts - d parts. Parts are the join keys.
+
+Parts that no shingle flipped are alike in all sets, so they are no keys: a set with
+fewer of them than parts - d agrees with each similar set in another part as well. A set with more
+deals its shingles anew, with another hash, and so does any set that it agrees with
+in such parts only; few sets do so twice.
+
+Pairs that meet are tested by their sizes and by the Hamming distance of two short sketches, which
+is at most the number of shingles in which the sets differ, before any text moves; then the sets
+themselves are compared. Equal sets are one node from the start. Shared parts with few nodes give
+pairs; those with many join their nodes to clusters, and a cluster is dealt in blocks of
 nodes to tasks that compare sketches, verify, and return a spanning forest of the
 links, never all pairs.
 """
@@ -31,9 +36,13 @@ from litlake.llm.components import components
 SHINGLE = 5
 SIMILARITY = Fraction(8, 10)
 #: Ratio of the largest to the smallest set size of a band.
-BAND = 1.5
-#: Bits of one part of a sketch.
-PART_BITS = 256
+BAND = 1.2
+#: Bits of one part of a sketch; a part is kept as a hash of the bits that are set.
+PART_BITS = 1 << 20
+#: Times that a set is dealt anew before empty parts are keys after all.
+DEALS = 8
+#: Bits of the sketch that two sets are compared by.
+SKETCH_BITS = 1024
 #: Nodes that may share a part and still be listed as pairs.
 FEW = 16
 #: Shingles that one block of nodes may hold, two blocks being one task's work.
@@ -81,44 +90,78 @@ def node_of(tokens: np.ndarray) -> int:
 
 
 class Bands:
-    """Size bands, and the number of parts that sketches of a band have."""
+    """Size bands, and how many parts the sketches of a band have."""
 
     def __init__(self, similarity: Fraction = SIMILARITY):
         self.t = similarity
         self.edges = [1]
         while self.edges[-1] < 1 << 40:
             self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * BAND)))
+        self._parts: dict[int, int] = {}
 
-    def of(self, n: int) -> list[int]:
-        """The band of a set of ``n``, and the next one if partners may stand there."""
-        own = int(np.searchsorted(self.edges, n, side="right")) - 1
-        reach = n / self.t >= self.edges[own + 1]
-        return [own, own + 1] if reach else [own]
+    def of(self, n: int) -> range:
+        """The band of a set of ``n``, and all in which a larger partner may stand."""
+        own, last = np.searchsorted(self.edges, [n, n * self.t.denominator // self.t.numerator], side="right")
+        return range(int(own) - 1, int(last))
+
+    def apart(self, band: int) -> int:
+        """How many shingles two similar sets of a band may differ in."""
+        return int((1 - self.t) / (1 + self.t) * 2 * (self.edges[band + 1] - 1))
 
     def parts(self, band: int) -> int:
-        largest = self.edges[band + 1] - 1
-        return int((1 - self.t) / (1 + self.t) * 2 * largest) + 1
+        """More parts than ``apart``, and so many more that a set seldom has as many empty ones."""
+        if band not in self._parts:
+            least = self.apart(band) + 1
+            smallest = float(self.edges[band] * self.t)
+            self._parts[band] = least
+            for parts in range(least, 2 * least + 1):
+                empty = parts * np.exp(-smallest / parts)
+                if empty + 2 * np.sqrt(empty) < parts - least + 1:
+                    self._parts[band] = parts
+                    break
+        return self._parts[band]
+
+
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parity bits of a set: SKETCH_BITS bits as 64-bit words."""
+    odd = np.bincount((tokens % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
 
+def most_apart(sizes: np.ndarray | int, t: Fraction) -> np.ndarray:
+    """How many shingles two similar sets of these summed sizes may differ in."""
+    return sizes * (t.denominator - t.numerator) // (t.denominator + t.numerator)
 
-def sketch(tokens: np.ndarray, parts: int) -> np.ndarray:
-    """Parity bits: ``parts`` rows of PART_BITS bits as 64-bit words."""
-    bit = tokens % np.uint64(parts * PART_BITS)
-    flat = np.zeros(parts * PART_BITS // 64, np.uint64)
-    np.bitwise_xor.at(flat, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-    return flat.reshape(parts, -1)
+
+def _part_values(tokens: np.ndarray, parts: int) -> np.ndarray:
+    """Per part a hash of its odd bits, 0 without any; ``tokens`` are sorted, and so are their parts."""
+    part = (tokens >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    bits = _mixed(tokens % np.uint64(PART_BITS) + np.uint64(1))  # a bit hit twice cancels out
+    start = np.searchsorted(part, np.arange(parts, dtype=np.uint64))
+    values = np.bitwise_xor.reduceat(bits, np.minimum(start, len(bits) - 1))
+    values[np.r_[start[1:], len(bits)] == start] = 0
+    return values
 
 
 def part_keys(tokens: np.ndarray, bands: Bands) -> np.ndarray:
-    """Join keys of a set: one per part of its sketch, in each of its bands."""
+    """Join keys of a set: one per part of its sketch that isn't empty, in each of its bands."""
     keys = []
     for band in bands.of(len(tokens)):
         parts = bands.parts(band)
-        place = np.arange(parts, dtype=np.uint64) + np.uint64(band << 48)
-        key = _mixed(place)
-        for word in sketch(tokens, parts).T:
-            key = _mixed(key + word)
-        keys.append(key)
-    return np.concatenate(keys).view(np.int64)
+        surely = parts - bands.apart(band)
+        place = np.arange(parts, dtype=np.uint64) + np.uint64(band << 40)
+        dealt = tokens
+        for deal in range(DEALS):
+            values = _part_values(dealt, parts)
+            some = values != 0
+            last = parts - some.sum() < surely
+            if not last and deal == DEALS - 1:
+                some[:] = True
+            keys.append(_mixed(_mixed(values[some]) + place[some] + np.uint64(deal << 56)))
+            if last:
+                break
+            dealt = np.sort(_mixed(tokens + np.uint64(deal + 1)))
+    return np.unique(np.concatenate(keys)).view(np.int64)
 
 
 def similar(a: np.ndarray, b: np.ndarray, t: Fraction) -> bool:
@@ -129,26 +172,29 @@ def similar(a: np.ndarray, b: np.ndarray, t: Fraction) -> bool:
 
 
 def _nodes(texts: DataFrame, size: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, node (null without words)."""
+    """Per row: doc_id, text_hash, n_shingles, node and sketch (null without words)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _WordHashes()
         for batch in batches:
-            n, node = [], []
+            n, node, bits = [], [], []
             for text in batch.column("text"):
                 tokens = shingles(text.as_py(), size, cache)
                 n.append(len(tokens))
                 node.append(node_of(tokens) if len(tokens) else None)
+                bits.append(sketch(tokens).tobytes() if len(tokens) else None)
+            columns = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64())],
-                ["doc_id", "n_shingles", "node"],
+                [batch.column("doc_id"), batch.column("text_hash"), *columns],
+                ["doc_id", "text_hash", "n_shingles", "node", "sketch"],
             )
 
-    return texts.mapInArrow(rows, "doc_id long, n_shingles long, node long")
+    kinds = "doc_id long, text_hash long, n_shingles long, node long, sketch binary"
+    return texts.mapInArrow(rows, kinds)
 
 
 def _keys(texts: DataFrame, size: int, t: Fraction, hot: frozenset[int], salts: int) -> DataFrame:
-    """(key, salt, node) of every set; a set that the task has just seen is left out.
+    """(key, salt, node, hot) of every set; a set that the task has just seen is left out.
 
     Hot keys are spread over ``salts`` salts by node, all others have salt 0.
     """
@@ -169,14 +215,15 @@ def _keys(texts: DataFrame, size: int, t: Fraction, hot: frozenset[int], salts:
                 nodes.append(np.full(len(keys[-1]), node, np.int64))
             if keys:
                 key, node = np.concatenate(keys), np.concatenate(nodes)
-                salt = np.where(np.isin(key, heavy), node % salts, 0) if len(heavy) else node * 0
+                listed = np.isin(key, heavy)
+                salt = np.where(listed, node % salts, 0)
                 for i in range(0, len(key), 100_000):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x[i : i + 100_000]) for x in (key, salt, node)],
-                        ["key", "salt", "node"],
+                        [pa.array(x[i : i + 100_000]) for x in (key, salt, node, listed)],
+                        ["key", "salt", "node", "hot"],
                     )
 
-    return texts.mapInArrow(rows, "key long, salt long, node long")
+    return texts.mapInArrow(rows, "key long, salt long, node long, hot boolean")
 
 
 def _shared(keys: DataFrame) -> DataFrame:
@@ -248,52 +295,36 @@ def _shared(keys: DataFrame) -> DataFrame:
     return keys.mapInArrow(rows, "key long, u long, v long")
 
 
-def _named_texts(texts: DataFrame, names: DataFrame, size: int) -> DataFrame:
-    """(node, text) of the named nodes; ``names`` has one (doc_id, node) for each.
+def _named_texts(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(node, text) of the named nodes, one row each.
 
-    Texts travel, not shingles: they are smaller, and compress. Nodes with a null id,
-    which only rows without an id hold, are looked up among these rows by node.
+    ``names`` has (doc_id, text_hash, node, copies): a row of the node, and how often
+    the table repeats it. Texts travel, not shingles: they are smaller, and compress.
     """
-    by_node = _texts_without_id(texts, names.where("doc_id is null").select("node"), size)
-    found = texts.join(names, "doc_id").select("node", "text")
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen = _WordHashes(), set()
-        for batch in batches:
-            node, text = batch.column("node").to_pylist(), batch.column("text")
-            keep = []  # rows may repeat, and ids with other texts
-            for i, name in enumerate(node):
-                own = shingles(text[i].as_py(), size, cache) if name not in seen else ()
-                keep.append(len(own) > 0 and node_of(own) == name)
-                if keep[-1]:
-                    seen.add(name)
-            if len(seen) > REMEMBER:
-                seen.clear()
-            yield batch.filter(pa.array(keep, pa.bool_()))
+    doc, text_hash = unused(texts, "named_id"), unused(texts, "named_hash")
+    names = names.withColumnsRenamed({"doc_id": doc, "text_hash": text_hash})
+    same = (F.col("text_hash") == F.col(text_hash)) & F.col("doc_id").eqNullSafe(F.col(doc))
+    found = texts.join(names, same).select("node", "text", "copies")
+    repeated = found.where("copies > 1").groupBy("node").agg(F.first("text").alias("text"))
+    return found.where("copies = 1").select("node", "text").unionByName(repeated)
 
-    return found.mapInArrow(rows, "node long, text string").unionByName(by_node)
 
-
-def _texts_without_id(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, text) of ``nodes``, one row each, from the rows with a null id."""
+def _near(pairs: DataFrame, known: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs whose sizes and sketches allow the similarity ``t``."""
+    sides = [known.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "uv"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen = _WordHashes(), set()
         for batch in batches:
-            node = []
-            for text in batch.column("text"):
-                own = shingles(text.as_py(), size, cache)
-                name = node_of(own) if len(own) else None
-                node.append(None if name in seen else name)
-                seen.add(name)
-            if len(seen) > REMEMBER:
-                seen.clear()
-            found = pa.array(node, pa.int64())
-            out = pa.RecordBatch.from_arrays([found, batch.column("text")], ["node", "text"])
-            yield out.filter(found.is_valid())
+            nu, nv = (batch.column(c).to_numpy() for c in ("nu", "nv"))
+            bits = [
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(nu), -1)
+                for c in ("su", "sv")
+            ]
+            ok = t.denominator * np.minimum(nu, nv) >= t.numerator * np.maximum(nu, nv)
+            ok &= np.bitwise_count(bits[0] ^ bits[1]).sum(1) <= most_apart(nu + nv, t)
+            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    found = texts.where("doc_id is null").mapInArrow(rows, "node long, text string")
-    return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    return pairs.join(sides[0], "u").join(sides[1], "v").mapInArrow(rows, "u long, v long")
 
 
 def _verified(pairs: DataFrame, named: DataFrame, size: int, t: Fraction) -> DataFrame:
@@ -314,17 +345,16 @@ def _verified(pairs: DataFrame, named: DataFrame, size: int, t: Fraction) -> Dat
     )
 
 
-def forest(nodes: list[int], sets: list[np.ndarray], split: int, bands: Bands) -> list[tuple[int, int]]:
+def forest(nodes: list[int], sets: list[np.ndarray], split: int, t: Fraction) -> list[tuple[int, int]]:
     """Links that join all similar sets, none within a component already joined.
 
     The first ``split`` sets are one block, the others a second one; with no second
-    block all pairs of the first count, else those across. Sketches of the band of
-    the largest set bound how far two sets differ before the sets are compared.
+    block all pairs of the first count, else those across. Short sketches bound how far two
+    sets differ before the sets are compared.
     """
     component = np.arange(len(sets))
     sizes = np.array([len(s) for s in sets])
-    parts = bands.parts(max(bands.of(int(sizes.max()))))
-    flat = np.array([sketch(s, parts).ravel() for s in sets])
+    flat = np.array([sketch(s) for s in sets])
     links = []
     across = split < len(sets)
     for i in range(split):
@@ -332,14 +362,14 @@ def forest(nodes: list[int], sets: list[np.ndarray], split: int, bands: Bands) -
         others = others[component[others] != component[i]]
         # Sizes alone rule most pairs out, then the sketches.
         small, large = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
-        others = others[bands.t.denominator * small >= bands.t.numerator * large]
+        others = others[t.denominator * small >= t.numerator * large]
         if not len(others):
             continue
         apart = np.bitwise_count(flat[others] ^ flat[i]).sum(1)
-        bound = float((1 - bands.t) / (1 + bands.t)) * (sizes[others] + sizes[i]) + 1e-6
-        near = others[apart <= bound]
-        for j in near[np.argsort(apart[apart <= bound], kind="stable")]:
-            if component[j] != component[i] and similar(sets[i], sets[int(j)], bands.t):
+        near = apart <= most_apart(sizes[others] + sizes[i], t)
+        others, apart = others[near], apart[near]
+        for j in others[np.argsort(apart, kind="stable")]:
+            if component[j] != component[i] and similar(sets[i], sets[int(j)], t):
                 component[component == component[j]] = component[i]
                 links.append((nodes[i], nodes[int(j)]))
     return links
@@ -382,7 +412,7 @@ def _hot_links(members: DataFrame, named: DataFrame, size: int, t: Fraction) ->
         first = rows.column("block")[0].as_py()
         split = len(nodes) if same else sum(b == first for b in rows.column("block").to_pylist())
         lone = not same and split == len(nodes)
-        found = [] if lone else forest(nodes, sets, split, Bands(t))
+        found = [] if lone else forest(nodes, sets, split, t)
         u, v = zip(*found, strict=True) if found else ((), ())
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
@@ -403,62 +433,68 @@ def _hot_keys(texts: DataFrame, size: int, t: Fraction) -> frozenset[int]:
 def duplicate_groups(
     docs: DataFrame, size: int = SHINGLE, similarity: Fraction = SIMILARITY, salts: int = 64
 ) -> DataFrame:
-    """Per document: doc_id, n_shingles, node, component_id.
+    """Per document: doc_id, text_hash, n_shingles, node, component, component_id.
 
     Every row gives one row, repeated ids included. Null and empty texts and texts
     of white space have no shingles and no links: their component is their own id.
     Equal sets link. A null id never names a component; a component of null ids
     alone has null. An empty table gives an empty result.
     """
-    texts = only(docs, doc_id="long", text="string")
+    texts = only(docs, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text"))
     rows = written(_nodes(texts, size), "nodes")
-    known = rows.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("least"), F.first("n_shingles").alias("n")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "copies")
+    known = rows.where("node is not null").groupBy("node", "doc_id", "text_hash").agg(
+        F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
     )
-    known = written(known, "known")
+    known = known.groupBy("node").agg(
+        F.min(row).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
+    )
+    known = written(known.select("node", "n", "sketch", "row.doc_id", "row.text_hash", "row.copies"), "known")
     hot = _hot_keys(texts, size, similarity)
     keys = _keys(texts, size, similarity, hot, salts)
-    is_hot = F.col("key").isin(*hot) if hot else F.lit(False)
     dealt = keys.repartition("key", "salt").sortWithinPartitions("key", "salt", "node")
-    shared = written(_shared(dealt.select("key", "salt", "node", is_hot.alias("hot"))), "shared")
+    shared = written(_shared(dealt), "shared")
     pairs = shared.where("key is null").select("u", "v").distinct()
-    pairs = written(pairs, "pairs")
+    pairs = written(_near(pairs, known, similarity), "pairs")
     members = shared.where("key is not null").select("key", F.col("u").alias("node")).distinct()
     members = written(members.join(known.select("node", "n"), "node"), "members")
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v"))
     wanted = wanted.union(members.select("node")).distinct()
-    names = known.join(wanted, "node", "left_semi")
-    names = if_small(names.select(F.col("least").alias("doc_id"), "node"))
-    named = written(_named_texts(texts, names, size), "named")
+    names = known.select("doc_id", "text_hash", "node", "copies").join(wanted, "node", "left_semi")
+    named = written(_named_texts(texts, if_small(names)), "named")
     links = _verified(pairs, named, size, similarity)
     links = links.union(_hot_links(members, named, size, similarity))
     labels = components(written(links, "links"))
     groups = known.join(labels, known["node"] == labels["vertex"], "left").select(
-        "node", "least", F.coalesce("component", "node").alias("component")
+        "node", F.col("doc_id").alias("least"), F.coalesce("component", "node").alias("component")
     )
     least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_node = groups.join(least, "component").select("node", "component_id")
+    by_node = groups.join(least, "component").select("node", "component", "component_id")
+    columns = ["doc_id", "text_hash", "n_shingles", "node"]
     lone = rows.where("node is null").select(
-        "doc_id", "n_shingles", "node", F.col("doc_id").alias("component_id")
+        *columns, F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id")
     )
     linked = rows.where("node is not null").join(by_node, "node")
-    return lone.unionByName(linked.select("doc_id", "n_shingles", "node", "component_id"))
+    return lone.unionByName(linked.select(*columns, "component", "component_id"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component one document stays, that with its smallest id.
+    """Pipeline stage: of each component one row stays, that with its smallest id.
 
-    Rows that repeat that id stay as often as they have different texts; one row of
-    equal ones stays. Documents without words stay.
+    Where several texts of a component carry that id, that with the smallest hash stays; of repeated
+    rows one stays. Rows without an id stay only where no row of their component has
+    one. Documents without words stay.
     """
     groups = written(duplicate_groups(docs), "groups")
-    stays = F.max(F.expr("doc_id <=> component_id")).alias("stays")
-    mark = unused(docs, "dropped_id")
-    dropped = groups.groupBy("doc_id").agg(stays).where("not stays")
-    dropped = if_small(dropped.select(F.col("doc_id").alias(mark)))
-    left = docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(F.col(mark)), "left_anti")
-    return left.dropDuplicates(["doc_id", "text"]) if _repeats(docs) else left
-
-
-def _repeats(docs: DataFrame) -> bool:
-    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    texts = groups.where("component is not null").groupBy("component", "doc_id", "text_hash")
+    texts = written(texts.agg(F.count(F.lit(1)).alias("copies")), "texts")
+    first = texts.groupBy("component").agg(F.min(row).alias("first"))
+    doc, text_hash, own = unused(docs, "dropped_id"), unused(docs, "dropped_hash"), unused(docs, "own_hash")
+    dropped = texts.join(first, "component").where(row != F.col("first"))
+    dropped = if_small(dropped.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash)))
+    hashed = docs.withColumn(own, F.xxhash64(docs["text"].cast("string")))
+    same = (F.col(own) == F.col(text_hash)) & hashed["doc_id"].cast("long").eqNullSafe(F.col(doc))
+    left = hashed.join(dropped, same, "left_anti").drop(own)
+    repeated = not texts.where("copies > 1").isEmpty()
+    return left.dropDuplicates(["doc_id", "text"]) if repeated else left

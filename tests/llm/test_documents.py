@@ -26,7 +26,7 @@ def plain(df):
 
 
 @pytest.mark.parametrize("few, block, broadcast", [(16, 500_000, 10**6), (1, 300, 0)])
-@pytest.mark.parametrize("size, num", [(5, 8), (3, 9)])
+@pytest.mark.parametrize("size, num", [(5, 8), (3, 9), (2, 5)])
 def test_duplicate_groups(docs, rows, few, block, broadcast, size, num, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", block)
@@ -76,14 +76,47 @@ def test_near_copies_without_id(spark, few, block, broadcast, monkeypatch):
     assert cases.same(plain(got.select("doc_id", "n_shingles", "component_id")), expected)
 
 
-def test_parts_bound_the_difference():
-    bands = near_duplicates.Bands(Fraction(9, 10))
+@pytest.mark.parametrize("t", [Fraction(1, 2), Fraction(8, 10), Fraction(9, 10)])
+def test_parts_bound_the_difference(t):
+    bands = near_duplicates.Bands(t)
     for n in [*range(1, 400), 5000, 123_457]:
-        for m in {n, int(n / 0.9), int(n * 0.95 / 0.9)}:
-            if 10 * n >= 9 * m >= 9 * n:
+        for m in {n, int(n / t), int(n * (1 + t) / 2 / t)}:
+            if m >= n >= t * m:
                 shared = set(bands.of(n)) & set(bands.of(m))
-                most = (n + m) / 19
-                assert shared and any(bands.parts(b) > most for b in shared)
+                most = (n + m) * (1 - t) / (1 + t)
+                assert shared and any(bands.apart(b) >= int(most) and bands.parts(b) > most for b in shared)
+
+
+def token_sets(rng, n):
+    return np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+
+
+@pytest.mark.parametrize("t", [Fraction(1, 2), Fraction(8, 10), Fraction(9, 10)])
+def test_similar_sets_share_a_key(t):
+    """Every pair just similar enough meets in some part, however small or uneven the sets."""
+    bands, rng = near_duplicates.Bands(t), np.random.default_rng(4)
+    for n in [*range(1, 60), 97, 200, 350]:
+        for _ in range(12):
+            both = token_sets(rng, n)
+            union = n * t.denominator // t.numerator
+            more = token_sets(rng, max(union - n, 0))
+            cut = rng.integers(0, len(more) + 1)
+            a, b = np.union1d(both, more[:cut]), np.union1d(both, more[cut:])
+            assert near_duplicates.similar(a, b, t)
+            keys = [near_duplicates.part_keys(x, bands) for x in (a, b)]
+            assert len(np.intersect1d(*keys))
+            bits = np.bitwise_count(near_duplicates.sketch(a) ^ near_duplicates.sketch(b)).sum()
+            assert bits <= near_duplicates.most_apart(len(a) + len(b), t)
+
+
+@pytest.mark.parametrize("t", [Fraction(8, 10), Fraction(9, 10)])
+def test_unrelated_sets_meet_nowhere(t):
+    """Parts without shingles are no keys: 5,000 unrelated sets share next to none."""
+    bands, rng = near_duplicates.Bands(t), np.random.default_rng(5)
+    sizes = rng.integers(1, 400, 5000)
+    keys = np.concatenate([near_duplicates.part_keys(token_sets(rng, n), bands) for n in sizes])
+    _, times = np.unique(keys, return_counts=True)
+    assert times.max() <= 2 and (times > 1).sum() < 50
 
 
 def test_hamming_distance_is_a_lower_bound():
@@ -91,7 +124,7 @@ def test_hamming_distance_is_a_lower_bound():
     for _ in range(20):
         a, b = (np.unique(rng.integers(0, 400, 150).astype(np.uint64) * np.uint64(2654435761)) for _ in "ab")
         differ = len(np.setxor1d(a, b))
-        bits = np.bitwise_count(near_duplicates.sketch(a, 9) ^ near_duplicates.sketch(b, 9)).sum()
+        bits = np.bitwise_count(near_duplicates.sketch(a) ^ near_duplicates.sketch(b)).sum()
         assert bits <= differ
 
 
@@ -102,6 +135,18 @@ def test_near_duplicate_stage(spark, docs, rows):
     assert {r.doc_id for r in kept.collect()} == {c for _, _, c in groups} | {None}
 
 
+def test_near_duplicates_of_one_id(spark):
+    """An id with many texts: rows are told apart, one of each component stays."""
+    texts = [cases.prose(40 + i // 2, 90) + (" end" if i % 2 else "") for i in range(12)]
+    rows = [(3, t) for t in texts] + [(2, texts[0]), (2, texts[0]), (None, texts[5]), (None, ""), (3, texts[9])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_duplicates.duplicate_groups(docs).select("doc_id", "n_shingles", "component_id")
+    assert cases.same(plain(got), cases.duplicate_groups(rows))
+    kept = plain(near_duplicates.drop_near_duplicates(spark, docs, ""))
+    assert (None, "") in kept and (2, texts[0]) in kept and len(kept) == 7
+    assert len({t[:60] for _, t in kept}) == 7
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 150), (7, 7), (9, 8)]
     got = {r.vertex: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
