@@ -36,7 +36,7 @@ SEED = 17
 #: A word that is one token, and in no other word.
 MARK = "~"
 #: Words that a worker remembers.
-REMEMBER = 200_000
+REMEMBER = 400_000
 
 _PIECES = (
     "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
