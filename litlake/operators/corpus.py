@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import multiprocessing
+import threading
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,28 +55,98 @@ def import_markdown(files: DataFrame, corpus: DataFrame) -> tuple[DataFrame, Dat
 Converter = Callable[[bytes], str]
 
 
+#: Seconds that one conversion may take.
+TIME_LIMIT = 1800.0
+
+
+class Isolated:
+    """A converter in a child process of the worker, one file at a time.
+
+    A file that takes longer than ``limit`` seconds, or that ends the process, costs
+    its own conversion only: the child is killed and the next file gets a new one.
+    """
+
+    def __init__(self, converter: Converter, limit: float):
+        self.converter = converter
+        self.limit = limit
+        self.child = None
+        self.pipe = None
+
+    def _start(self) -> None:
+        context = multiprocessing.get_context("fork")  # the converter needn't be importable
+        self.pipe, other = context.Pipe()
+        self.child = context.Process(target=self._serve, args=(other, self.pipe), daemon=True)
+        self.child.start()
+        other.close()
+
+    def _serve(self, pipe, parents) -> None:
+        parents.close()  # so that the end of the worker is seen here
+        with contextlib.suppress(EOFError):
+            while True:
+                blob = pipe.recv_bytes()
+                try:
+                    answer = (self.converter(blob), None)
+                except Exception as exc:  # a bad file must not fail the job
+                    answer = (None, f"Conversion failed: {exc}")
+                pipe.send(answer)
+
+    def __call__(self, blob: bytes) -> tuple[str | None, str | None]:
+        if self.child is None or not self.child.is_alive():
+            self.close()
+            self._start()
+        try:
+            # The child reads as we write; a child that never reads is caught by the limit too.
+            sender = threading.Thread(target=self._send, args=(blob,), daemon=True)
+            sender.start()
+            if self.pipe.poll(self.limit):
+                return self.pipe.recv()
+            error = f"Conversion failed: no result within {self.limit:g} seconds"
+        except (EOFError, OSError):
+            error = "Conversion failed: the converter's process ended"
+        self.close()
+        return None, error
+
+    def _send(self, blob: bytes) -> None:
+        with contextlib.suppress(OSError):
+            self.pipe.send_bytes(blob)
+
+    def close(self) -> None:
+        if self.child is not None:
+            self.child.kill()
+            self.child.join()
+            self.pipe.close()
+            self.child = None
+
+
 def convert_documents(
-    blobs: DataFrame, corpus: DataFrame, converter: Converter, force: bool = False
+    blobs: DataFrame,
+    corpus: DataFrame,
+    converter: Converter,
+    force: bool = False,
+    time_limit: float = TIME_LIMIT,
 ) -> DataFrame:
     """Convert blobs that have no text yet: ``(doc, markdown, error)``.
 
-    ``converter`` is a plain function from bytes to markdown; it runs in Arrow
-    batches on the executors, and its failures become error rows. With
-    ``force`` stored documents are converted again.
+    ``converter`` is a plain function from bytes to markdown. It runs in a process beside each
+    executor's worker; failures, crashes and conversions beyond ``time_limit`` seconds become error
+    rows. Arrow batches are bounded in bytes (``spark.sql.execution.arrow.maxBytesPerBatch``), so large
+    blobs come one at a time. With ``force`` stored documents are converted again.
     """
     todo = blobs if force else match_keys(blobs, corpus, DOC, "left_anti")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts, errors = [], []
-            for blob in batch["content"]:
-                try:
-                    texts.append(converter(bytes(blob)))
-                    errors.append(None)
-                except Exception as exc:  # a bad file must not fail the job
-                    texts.append(None)
-                    errors.append(f"Conversion failed: {exc}")
-            yield batch[DOC].assign(markdown=texts, error=errors)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        convert = Isolated(converter, time_limit)
+        try:
+            for batch in batches:
+                for i, blob in enumerate(batch.column("content")):
+                    text, error = (None, "Conversion failed: no content")
+                    if blob.is_valid:
+                        text, error = convert(blob.as_py())
+                    own = [batch.column(c).slice(i, 1) for c in DOC]
+                    found = [pa.array([text], pa.string()), pa.array([error], pa.string())]
+                    yield pa.RecordBatch.from_arrays([*own, *found], [*DOC, "markdown", "error"])
+        finally:
+            convert.close()
 
     schema = "namespace string, canonical_id string, markdown string, error string"
-    return clean_converted_markdown(todo.select(*DOC, "content").mapInPandas(run, schema))
+    return clean_converted_markdown(todo.select(*DOC, "content").mapInArrow(run, schema))

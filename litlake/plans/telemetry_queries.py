@@ -230,5 +230,5 @@ def ttl_state(spark, sf_dir):
             F.when(kind == "error", "negative").otherwise("put").alias("kind"),
         )
     )
-    rows = _drain(jobs.ttl_state(feed), "update", spark, "ttl")
+    rows = _drain(jobs.ttl_state(feed, "30 days"), "update", spark, "ttl")
     return jobs.ttl_status(rows, F.lit(views.NOW).cast("timestamp_ntz").cast("timestamp"))

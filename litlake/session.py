@@ -25,6 +25,8 @@ def build_session(app: str = "litlake", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Large texts and files reach Python a few at a time.
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
         **conf,
     }
     for key, value in settings.items():

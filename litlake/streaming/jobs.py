@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from litlake.operators.records import (
     NEGATIVE_TTL_BY_NAMESPACE,
     NEGATIVE_TTL_SECONDS,
     _per_namespace,
-    seconds,
     status_at,
     ttl_seconds,
 )
@@ -32,14 +34,31 @@ def stream_counters(log: DataFrame, window: str = "1 hour", watermark: str = "1
     )
 
 
-def coalesce_requests(stream: DataFrame, horizon: str = "10 minutes") -> DataFrame:
+#: Parts that the requests of one key are dealt to before they meet.
+SALTS = 16
+#: Pieces of a horizon in which a part passes one request on.
+PIECES = 8
+
+
+def coalesce_requests(stream: DataFrame, horizon: str = "10 minutes", salts: int = SALTS) -> DataFrame:
     """One request per (kind, key) within the horizon; repeats join the first.
 
-    Only the two key columns and the time are shuffled and kept as state.
+    Two steps, each with its own state. A key's requests are dealt over ``salts`` tasks, which pass on one
+    per piece of the horizon; what passes, at most ``salts`` rows per key and piece, meets by key. So
+    a key with most of the rows is not one task's work. A request that is the first one
+    after a horizon has ended, in the piece in which it ended, may join those before.
+    Only the key columns and the time are shuffled and kept as state.
     """
+    length = F.expr(f"CAST(INTERVAL {horizon} AS INTERVAL DAY TO SECOND)")
+    whole = F.unix_micros(F.lit("1970-01-01").cast("timestamp") + length)
+    micros = F.greatest(whole / PIECES, F.lit(1))
+    piece = F.floor(F.unix_micros("ts") / micros)
     return (
         stream.select("ts", "kind", "key")
         .withWatermark("ts", horizon)
+        .withColumns({"_salt": F.pmod(F.xxhash64("ts"), F.lit(salts)), "_piece": piece})
+        .dropDuplicatesWithinWatermark(["kind", "key", "_salt", "_piece"])
+        .select("ts", "kind", "key")
         .dropDuplicatesWithinWatermark(["kind", "key"])
     )
 
@@ -68,20 +87,13 @@ def ingest_stream(
     )
 
 
-def ttl_status(state: DataFrame, now: Column, never_stale: DataFrame | None = None) -> DataFrame:
+def ttl_status(state: DataFrame, now: Column) -> DataFrame:
     """``hit``, ``negative`` or ``miss`` per key, from rows of ``ttl_state``.
 
-    The state of namespaces without an age limit leaves the stream with the
-    watermark too; ``never_stale(namespace, entity, key, stored_at)``, their entries
-    in the record store, answers for those.
+    A key's rows only grow, so their maxima are its newest state; the maxima combine
+    before the shuffle.
     """
-    rows = state.select("namespace", "entity", "key", "stored_at", "expires_at")
-    if never_stale is not None:
-        kept = never_stale.where(ttl_seconds().isNull())
-        rows = rows.unionByName(
-            kept.select("namespace", "entity", "key", "stored_at"), allowMissingColumns=True
-        )
-    newest = rows.groupBy("namespace", "entity", "key").agg(
+    newest = state.groupBy("namespace", "entity", "key").agg(
         F.max("stored_at").alias("stored_at"), F.max("expires_at").alias("expires_at")
     )
     return newest.select(
@@ -89,24 +101,95 @@ def ttl_status(state: DataFrame, now: Column, never_stale: DataFrame | None = No
     )
 
 
-def ttl_state(feed: DataFrame, longest_ttl: str = "30 days", bucket: str = "1 day") -> DataFrame:
-    """Freshness state per key from a feed of ``put`` and ``negative`` entries.
+#: Stands for "never" among times in microseconds.
+NEVER = (1 << 63) - 1
+
+_FRESHNESS = (
+    "namespace string, entity string, key string, salt int, stored_at timestamp, expires_at timestamp, fresh boolean"
+)
 
-    ``feed(namespace, entity, key, at, kind)``. State is one row per key and
-    day; once the watermark, which trails by the longest age limit, passes a
-    day, all its entries are stale, those of namespaces without an age limit
-    excepted, and leave the state; ``ttl_status`` turns rows into answers. Maxima combine map-side,
-    so a key that is written all the time is not one task's work.
+
+class Freshness(StatefulProcessor):
+    """Newest entry and newest "not found" of a key, until both are stale.
+
+    State and input times are microseconds. An event-time timer stands at the moment at which the key's last
+    entry becomes stale; when it fires and nothing newer came, the state goes. Entries of
+    namespaces without an age limit set no timer and stay.
     """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("newest", "stored long, stale long, expires long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        newest = self.state.get() or (None, None, None)
+        for batch in rows:
+            seen = [batch[c].max() for c in ("stored", "stale", "expires")]
+            newest = tuple(_later(a, b) for a, b in zip(newest, seen))
+        self.state.update(newest)
+        if (end := _end(newest)) != NEVER:
+            self.handle.registerTimer(end // 1000 + 1)
+        yield self._row(key, newest, True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        newest = self.state.get()
+        if newest is None or _end(newest) // 1000 + 1 > expiredTimerInfo.getExpiryTimeInMs():
+            return  # a newer entry has a timer of its own
+        self.state.clear()
+        yield self._row(key, newest, False)
+
+    def close(self) -> None:
+        pass
+
+    def _row(self, key, newest, fresh: bool) -> pd.DataFrame:
+        names = ["namespace", "entity", "key", "salt"]
+        times = {
+            "stored_at": pd.to_datetime([newest[0]], unit="us", utc=True),
+            "expires_at": pd.to_datetime([newest[2]], unit="us", utc=True),
+        }
+        return pd.DataFrame({**{n: [k] for n, k in zip(names, key)}, **times, "fresh": [fresh]})
+
+
+def _later(a: int | None, b: float | None) -> int | None:
+    known = [int(x) for x in (a, b) if x is not None and not pd.isna(x)]
+    return max(known) if known else None
+
+
+def _end(newest: tuple) -> int:
+    return max(x for x in (newest[1], newest[2], 0) if x is not None)
+
+
+def ttl_state(feed: DataFrame, lateness: str = "1 day", salts: int = SALTS) -> DataFrame:
+    """Freshness per key from a feed of ``put`` and ``negative`` entries, as keyed state.
+
+    ``feed(namespace, entity, key, at, kind)``. Every change gives a row with the newest times of the
+    key; a row with ``fresh`` false says that the watermark, which trails by ``lateness``, has passed the
+    key's last age limit and its state is gone. Keys of namespaces without an age limit stay.
+    ``ttl_status`` turns rows into answers. A key's entries are dealt over ``salts``
+    states, so one that is written all the time is not one task's work. Needs the state store that
+    holds timers, which is set here for streams started later in the session.
+    """
+    spark = feed.sparkSession
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
     life = _per_namespace(NEGATIVE_TTL_BY_NAMESPACE, NEGATIVE_TTL_SECONDS)
     put, negative = F.col("kind") == "put", F.col("kind") == "negative"
+    at = F.unix_micros("at")
+    million = F.lit(1_000_000)
     return (
-        feed.withColumn("expires", F.when(negative, F.col("at") + seconds(life)))
-        .withWatermark("at", longest_ttl)
-        .groupBy("namespace", "entity", "key", F.window("at", bucket).alias("w"))
-        .agg(
-            F.max(F.when(put, F.col("at"))).alias("stored_at"),
-            F.max("expires").alias("expires_at"),
+        feed.withWatermark("at", lateness)
+        .select(
+            "namespace",
+            "entity",
+            "key",
+            F.pmod(F.xxhash64("at"), F.lit(salts)).cast("int").alias("salt"),
+            "at",
+            F.when(put, at).alias("stored"),
+            F.when(put, F.coalesce(at + ttl_seconds() * million, F.lit(NEVER))).alias("stale"),
+            F.when(negative, at + life * million).alias("expires"),
         )
-        .select("namespace", "entity", "key", F.col("w.start").alias("day"), "stored_at", "expires_at")
+        .groupBy("namespace", "entity", "key", "salt")
+        .transformWithStateInPandas(Freshness(), _FRESHNESS, "Update", "EventTime")
     )

@@ -1,6 +1,8 @@
 """Metadata joins and corpus jobs on small fixtures."""
 
 import json
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +110,36 @@ def test_convert_skips_stored_unless_forced(spark):
     assert jobs.convert_documents(blobs, stored, bytes.decode, force=True).count() == 3
 
 
+def test_conversion_is_isolated(spark):
+    """A converter that hangs, and one that ends its process, cost their own file only."""
+
+    def converter(blob):
+        if blob == b"hang":
+            time.sleep(60)
+        if blob == b"crash":
+            os._exit(3)
+        if blob == b"fail":
+            raise ValueError("no")
+        return f"{len(blob)} {blob[:5].decode()}"
+
+    files = {"a": b"first", "h": b"hang", "b": b"second", "c": b"crash", "f": b"fail", "d": b"x" * 3_000_000, "n": None}
+    rows = [("m", k, v) for k, v in files.items()]
+    blobs = spark.createDataFrame(rows, DOC + ", content binary").coalesce(1)
+    stored = spark.createDataFrame([], "namespace string, canonical_id string, markdown string")
+    began = time.monotonic()
+    found = jobs.convert_documents(blobs, stored, converter, time_limit=2.0).collect()
+    assert time.monotonic() - began < 40
+    got = {r.canonical_id: (r.markdown, r.error) for r in found}
+    assert {k: v[0] for k, v in got.items() if v[0]} == {"a": "5 first", "b": "6 secon", "d": "3000000 xxxxx"}
+    errors = {k: v[1].removeprefix("Conversion failed: ") for k, v in got.items() if v[1]}
+    assert errors == {
+        "h": "no result within 2 seconds",
+        "c": "the converter's process ended",
+        "f": "no",
+        "n": "no content",
+    }
+
+
 def test_refresh_only_stale(spark):
     corpus = spark.createDataFrame([("m", k, f"## {k}\ntext") for k in "abcd"], DOC + ", markdown string")
     index = sections.section_index(corpus)

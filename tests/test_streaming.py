@@ -75,3 +75,52 @@ def test_ttl_state_over_batches(spark, feed, tmp_path):
     negative = F.when(F.col("kind") == "negative", F.col("ts") + F.expr("interval 1 hour"))
     want = whole.groupBy("key").agg(F.max(put).alias("s"), F.max(negative).alias("e"))
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_ttl_state_after_a_restart(spark, tmp_path):
+    """State comes back from the checkpoint; timers clear it; namespaces without a limit keep theirs."""
+    kinds = "namespace string, entity string, key string, at timestamp, kind string"
+    rows = [
+        [("arxiv", "p", "a", "2024-01-01 00:00:00", "put"), ("manual", "p", "m", "2024-01-01 00:00:00", "put")],
+        [("arxiv", "p", "n", "2024-01-02 00:00:00", "negative"), ("arxiv", "p", "a", "2023-12-31 23:00:00", "put")],
+        [("arxiv", "p", "late", "2024-03-01 00:00:00", "put")],
+        [("arxiv", "p", "late", "2024-03-02 00:00:00", "put")],
+    ]
+    out = tmp_path / "out"
+
+    def drained(batch):
+        spark.createDataFrame(batch, "namespace string, entity string, key string, t string, kind string").selectExpr(
+            "namespace", "entity", "key", "CAST(t AS timestamp) AS at", "kind"
+        ).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        live = spark.readStream.schema(kinds).parquet(str(tmp_path / "in"))
+        before = len(list(out.glob("batch=*"))) if out.exists() else 0
+        drain(jobs.ttl_state(live, "1 hour", 1), "update", tmp_path)
+        assert len(list(out.glob("batch=*"))) > before
+        return spark.read.parquet(str(out))
+
+    found = None
+    for batch in rows:  # every turn is a new query on the same checkpoint
+        found = drained(batch)
+    assert {r.key for r in found.where("not fresh").collect()} == {"a", "n"}
+
+    def statuses(now):
+        at = F.lit(now).cast("timestamp")
+        return {r.key: r.status for r in jobs.ttl_status(found, at).collect()}
+
+    assert statuses("2024-01-02 00:30:00") == {"a": "hit", "m": "hit", "n": "negative", "late": "hit"}
+    assert statuses("2024-03-02 00:00:00") == {"a": "miss", "m": "hit", "n": "miss", "late": "hit"}
+
+
+def test_a_hot_key_is_spread(spark, tmp_path):
+    """Most requests ask for one key: it passes once, and its rows are dealt over many tasks."""
+    rows = spark.range(6000).selectExpr(
+        "timestamp_micros(1700000000000000 + id * 1000) AS ts", "'get' AS kind",
+        "IF(id % 10 < 6, 'hot', CONCAT('k', id % 50)) AS key",
+    )
+    rows.write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    got = drain(jobs.coalesce_requests(live, "10 minutes"), "append", tmp_path)
+    expected = sorted(r.key for r in rows.select("key").distinct().collect())
+    assert sorted(r.key for r in got.collect()) == expected
+    dealt = rows.where("key = 'hot'").selectExpr(f"pmod(xxhash64(ts), {jobs.SALTS}) AS salt").groupBy("salt").count()
+    assert dealt.agg(F.max("count")).first()[0] < 3600 / jobs.SALTS * 1.5
