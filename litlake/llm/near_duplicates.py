@@ -50,7 +50,7 @@ BLOCK_SHINGLES = 500_000
 #: One document in so many is looked at to find hot parts; they are only dealt differently.
 SAMPLE, HOT_SHARE = 64, 0.002
 #: Entries of a per-task memory of what was seen; it only saves repeated rows.
-REMEMBER = 500_000
+REMEMBER = 200_000
 
 
 class _WordHashes(dict):
