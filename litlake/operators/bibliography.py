@@ -115,7 +115,7 @@ def _openalex(works: DataFrame) -> DataFrame:
     return works.select(
         F.lit("openalex").alias("_source"),
         ids.canonical_doi(url).alias("_canonical_id"),
-        F.coalesce(ids.canonical_doi(url), F.col("ids.openalex"), "title").alias("_key"),
+        F.coalesce(ids.canonical_doi(url), F.col("ids.openalex")).alias("_key"),
         F.coalesce(F.col("publication_date").cast("string"), F.lit("")).alias("_date"),
         _entry(kind, key, fields).alias("bibtex"),
     )
@@ -145,7 +145,7 @@ def _arxiv(papers: DataFrame) -> DataFrame:
     return papers.select(
         F.lit("arxiv").alias("_source"),
         ids.canonical_arxiv(arxiv_id_of(F.col("id"))).alias("_canonical_id"),
-        F.coalesce(ids.canonical_arxiv(arxiv_id_of(F.col("id"))), "title").alias("_key"),
+        ids.canonical_arxiv(arxiv_id_of(F.col("id"))).alias("_key"),
         F.coalesce(F.col("published").cast("string"), F.lit("")).alias("_date"),
         _entry(kind, key, fields).alias("bibtex"),
     )
@@ -179,21 +179,30 @@ def _biorxiv(papers: DataFrame) -> DataFrame:
     return papers.select(
         F.lit("biorxiv").alias("_source"),
         F.lower(ids.preprint_doi(F.col("doi"))).alias("_canonical_id"),
-        F.coalesce(F.lower(ids.preprint_doi(F.col("doi"))), "title").alias("_key"),
+        F.lower(ids.preprint_doi(F.col("doi"))).alias("_key"),
         F.coalesce(F.col("date").cast("string"), F.lit("")).alias("_date"),
         _entry(kind, key, fields).alias("bibtex"),
     )
 
 
+#: Which provider's entry a paper gets that several have: the one its id is routed to.
+PREFERRED = ("openalex", "biorxiv", "arxiv")
+
+
 def all_entries(arxiv: DataFrame, biorxiv: DataFrame, works: DataFrame) -> DataFrame:
-    """Entries of all providers, one per source and paper: that of its newest record.
+    """Entries of all providers, one per paper: that of the newest record of one provider.
 
-    A paper is its canonical id, or without one the provider's own id, or the title.
+    A paper is its canonical id, or without one the provider's own id. A record with neither is a
+    paper of its own, whatever its title. Where several providers have a paper, its
+    preprint server's entry is taken.
     """
     rows = _arxiv(arxiv).unionByName(_biorxiv(biorxiv)).unionByName(_openalex(works))
-    newest = F.max(F.struct("_date", "bibtex", "_canonical_id")).alias("_r")
-    return rows.groupBy("_source", "_key").agg(newest).select(
-        "_source", "_r._canonical_id", "_r.bibtex"
+    rank = F.array_position(F.array(*(F.lit(s) for s in PREFERRED)), F.col("_source"))
+    best = F.max(F.struct(rank.alias("rank"), "_date", "bibtex", "_source", "_canonical_id")).alias("_r")
+    columns = ["_source", "_canonical_id", "bibtex"]
+    known = rows.where("_key is not null").groupBy("_key").agg(best)
+    return known.select(*(f"_r.{c}" for c in columns)).unionByName(
+        rows.where("_key is null").select(*columns)
     )
 
 

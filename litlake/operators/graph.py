@@ -15,6 +15,8 @@ from litlake.operators.spread import (
     keyed_join,
     page_columns,
     page_items,
+    store_ordinals,
+    stored_page_items,
     paginate,
 )
 
@@ -142,11 +144,22 @@ def references_page(
     """
     at_least_one("page", page)
     size = at_least_one("page_size", page_size)
-    rows = crossref_refs.withColumn("_source", F.lit("crossref")).unionByName(
-        opencitations_refs.withColumn("_source", F.lit("opencitations")), allowMissingColumns=True
-    )
+    rows = _both_sources(crossref_refs, opencitations_refs)
     columns = [c for c in rows.columns if c not in ("citing", "_source")]
     pages = page_items(rows, ["citing", "_source"], [F.col(c) for c in order], page, size, columns)
+    return _chosen_pages(counts, pages, page_columns(rows, columns, page, size), source)
+
+
+def _both_sources(crossref_refs: DataFrame, opencitations_refs: DataFrame) -> DataFrame:
+    return crossref_refs.withColumn("_source", F.lit("crossref")).unionByName(
+        opencitations_refs.withColumn("_source", F.lit("opencitations")), allowMissingColumns=True
+    )
+
+
+def _chosen_pages(
+    counts: DataFrame, pages: DataFrame, shown: dict[str, Column], source: str
+) -> DataFrame:
+    """One page per DOI of ``counts``, from ``pages`` by (citing, source)."""
     if source == "auto":
         chosen = best_reference_source(counts)
         picked, total, error = F.col("best_source"), F.col("best_count"), F.col("error")
@@ -159,7 +172,6 @@ def references_page(
         total.alias("total"),
         error.alias("error"),
     )
-    shown = page_columns(rows, columns, page, size)
     return (
         wanted.join(pages, ["citing", "_source"], "left")
         .select("citing", "_source", "total", *(c.alias(n) for n, c in shown.items()), "error")
@@ -167,6 +179,34 @@ def references_page(
     )
 
 
+def store_references(
+    crossref_refs: DataFrame, opencitations_refs: DataFrame, path: str, order: Sequence[str]
+) -> DataFrame:
+    """Both reference lists with the place of each reference in its paper's list, stored once.
+
+    What ``stored_references_page`` reads; places are numbered in range pieces, so a
+    paper with very many references isn't one task's work.
+    """
+    rows = _both_sources(crossref_refs, opencitations_refs)
+    return store_ordinals(rows, path, ["citing", "_source"], order)
+
+
+def stored_references_page(
+    counts: DataFrame,
+    stored: DataFrame,
+    page: int = 1,
+    page_size: int = PAGE_SIZE,
+    source: str = "auto",
+) -> DataFrame:
+    """``references_page`` from a table of ``store_references``: a deep page costs what a first one does."""
+    at_least_one("page", page)
+    size = at_least_one("page_size", page_size)
+    keys = ["citing", "_source"]
+    columns = [c for c in stored.columns if c not in (*keys, "ordinal", "ordinal_block")]
+    pages = stored_page_items(stored, keys, page, size, columns)
+    return _chosen_pages(counts, pages, page_columns(stored, columns, page, size), source)
+
+
 def citations_page(
     edges: DataFrame,
     order: Sequence[str],
@@ -208,5 +248,5 @@ def enrich_references(
     them. Of several records of one paper one answers, by a fixed order.
     """
     keyed = papers.withColumnRenamed("_canonical_id", "cited").where("cited is not null")
-    keyed = first_per_key(keyed, ["cited"], [F.to_json(F.struct(*keyed.columns)).asc()])
+    keyed = first_per_key(keyed, ["cited"], [F.xxhash64(*keyed.columns).asc()])
     return keyed_join(edges, keyed, "cited", "left", spread=spread)

@@ -97,14 +97,15 @@ class Index:
         return n, total / n if n else 0.0
 
 
-def _files(spark: SparkSession, path: str):
+def files_at(spark: SparkSession, path: str):
+    """The JVM, ``path`` and its file system."""
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     return jvm, place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
-    _, place, files = _files(spark, f"{path}/versions")
+    _, place, files = files_at(spark, f"{path}/versions")
     if not files.exists(place):
         return []
     names = [s.getPath().getName() for s in files.listStatus(place)]
@@ -118,7 +119,7 @@ def _publish(spark: SparkSession, path: str, version: int, segments, removals, s
         "removals": list(removals),
         "sizes": sizes,
     }
-    jvm, target, files = _files(spark, f"{path}/versions/{version:09d}.json")
+    jvm, target, files = files_at(spark, f"{path}/versions/{version:09d}.json")
     draft = jvm.org.apache.hadoop.fs.Path(f"{path}/versions/_{uuid.uuid4().hex}")
     out = files.create(draft, False)
     out.write(bytearray(json.dumps(listed).encode()))
@@ -135,7 +136,7 @@ def open_index(spark: SparkSession, path: str, version: int | None = None) -> In
     if version is None and not known:
         return Index(spark, path, 0, (), (), {})
     version = known[-1] if version is None else version
-    _, place, files = _files(spark, f"{path}/versions/{version:09d}.json")
+    _, place, files = files_at(spark, f"{path}/versions/{version:09d}.json")
     stream = files.open(place)
     listed = json.loads(bytes(stream.readAllBytes()).decode())
     stream.close()
@@ -218,7 +219,7 @@ def add_documents(
     segment = _store_segment(spark, path, _listed(corpus), _buckets(spark, buckets))
     removals = list(index.removals)
     paths = [f"{path}/segments/{segment.name}/sizes"]
-    if index.segments:
+    if index.segments:  # a removal is looked for only where something is stored
         keys = spark.read.parquet(f"{path}/segments/{segment.name}/docs").select(*DOC).distinct()
         removal = _store_removal(index, keys)
         if removal:
@@ -251,6 +252,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def _store_removal(index: Index, keys: DataFrame) -> str | None:
     """Write the documents that ``keys`` names, with their statistics negated; None without any."""
+    if not index.segments:
+        return None
     name = uuid.uuid4().hex
     root = f"{index.path}/removals/{name}"
     gone = _union(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from litlake.functions import identifiers as ids
 from litlake.functions.text import blank_to_null
 from litlake.operators.identifiers import resolve_identifiers
+from litlake.sources.buckets import write_bucketed
 from litlake.operators.spread import at_least_one, first_per_key, keyed_join
 
 HINTS = {
@@ -257,8 +258,7 @@ def follow_published(preprints: DataFrame, works: DataFrame) -> DataFrame:
         F.col("_canonical_id").alias("_work_key"), F.struct(*journal.columns).alias("_work")
     )
     journal = journal.where(F.col("_work_key").isNotNull())
-    newest = F.col("_work.publication_date").desc_nulls_last()
-    journal = first_per_key(journal, ["_work_key"], [newest, F.to_json("_work").asc()])
+    journal = newest_per_key(journal, ["_work_key"], F.col("_work.publication_date"))
     joined = keyed_join(own, journal, "_work_key", "left", spread=["_canonical_id"])
     found = F.col("_work").isNotNull()
     from_work = {
@@ -287,11 +287,34 @@ def follow_published(preprints: DataFrame, works: DataFrame) -> DataFrame:
     return joined.select(*out)
 
 
-def _newest(papers: DataFrame, key: str) -> DataFrame:
-    """One record per key: that with the latest date, the rest of the record breaking ties."""
+def newest_per_key(df: DataFrame, keys: list[str], date: Column) -> DataFrame:
+    """One record per key: that with the latest date, a hash of the record breaking ties.
+
+    What is compared is a date and a number, however wide the records are.
+    """
+    return first_per_key(df, keys, [date.desc_nulls_last(), F.xxhash64(*df.columns).asc()])
+
+
+def _latest(papers: DataFrame, key: str) -> DataFrame:
     dates = [c for c in ("publication_date", "date", "updated", "published") if c in papers.columns]
-    latest = F.coalesce(*dates, F.lit("")).desc() if dates else F.lit(0).desc()
-    return first_per_key(papers, [key], [latest, F.to_json(F.struct(*papers.columns)).asc()])
+    return newest_per_key(papers, [key], F.coalesce(*dates, F.lit("")) if dates else F.lit(""))
+
+
+def _with_paper_key(papers: DataFrame) -> DataFrame:
+    keyed = papers.withColumn("_paper", F.concat_ws("\x00", "_source", "_canonical_id"))
+    return _latest(keyed.where(F.col("_canonical_id").isNotNull()), "_paper")
+
+
+def store_papers(papers: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
+    """Newest record per paper of :func:`all_metadata`, bucketed by paper for ``batch_metadata``.
+
+    Written once, then asked many times: a join on the table sorts and shuffles the
+    requests only. ``buckets`` (by default the session's shuffle partitions) shouldn't be
+    fewer than those.
+    """
+    spark = papers.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return write_bucketed(_with_paper_key(papers), path, "_paper", buckets, ["_paper"])
 
 
 def batch_metadata(requests: DataFrame, papers: DataFrame) -> DataFrame:
@@ -299,7 +322,8 @@ def batch_metadata(requests: DataFrame, papers: DataFrame) -> DataFrame:
 
     ``requests(pos, raw)`` keeps duplicates; ``papers`` is :func:`all_metadata`
     over record tables; of several records of one paper the newest answers. All
-    providers are answered by one join on (source, canonical id).
+    providers are answered by one join on (source, canonical id). A table of
+    :func:`store_papers` has one record per paper already and isn't shuffled.
     """
     asked = resolve_identifiers(requests, "raw").select(
         "pos",
@@ -307,8 +331,9 @@ def batch_metadata(requests: DataFrame, papers: DataFrame) -> DataFrame:
         F.col("source").alias("_want"),
         F.concat_ws("\x00", "source", "canonical_id").alias("_paper"),
     )
-    keyed = papers.withColumn("_paper", F.concat_ws("\x00", "_source", "_canonical_id"))
-    keyed = _newest(keyed.where(F.col("_canonical_id").isNotNull()), "_paper")
+    stored = "_paper" in papers.columns
+    keyed = papers if stored else _with_paper_key(papers)
+    shown = [c for c in papers.columns if c != "_paper"]
     joined = keyed_join(asked, keyed, "_paper", "left", spread=["pos"])
     missing = F.col("_source").isNull()
     hint = F.lit(UNKNOWN_HINT)
@@ -317,7 +342,7 @@ def batch_metadata(requests: DataFrame, papers: DataFrame) -> DataFrame:
     return joined.select(
         "pos",
         "_input",
-        *papers.columns,
+        *shown,
         F.when(
             missing,
             F.when(F.col("_want").isNull(), F.lit(UNKNOWN_ERROR)).otherwise(

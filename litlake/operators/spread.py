@@ -142,6 +142,43 @@ def with_ordinal(
     )
 
 
+#: Places of one clustering block of ``store_ordinals``.
+ORDINAL_BLOCK = 50
+
+
+def store_ordinals(
+    df: DataFrame, path: str, keys: Sequence[str], order: Sequence[str]
+) -> DataFrame:
+    """``df`` with the 0-based ``ordinal`` of each row within its key, written clustered by place.
+
+    Rows of one block of places lie together, ordered by key, so a page of all keys
+    or of one key is a range that the scan skips everything else for.
+    """
+    numbered = with_ordinal(df, order, keys)
+    block = F.floor(F.col("ordinal") / ORDINAL_BLOCK).alias("ordinal_block")
+    clustered = ["ordinal_block", *keys, "ordinal"]
+    numbered.select("*", block).repartitionByRange(*clustered).sortWithinPartitions(
+        *clustered
+    ).write.mode("overwrite").option("parquet.block.size", str(16 << 20)).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def stored_page_items(
+    stored: DataFrame, keys: Sequence[str], page: int, page_size: int, columns: Sequence[str]
+) -> DataFrame:
+    """``page_items`` of a table of ``store_ordinals``: no row outside the page is read twice or ranked."""
+    start, end = (page - 1) * page_size, page * page_size
+    block, place = F.col("ordinal_block"), F.col("ordinal")
+    rows = stored.where((block >= start // ORDINAL_BLOCK) & (block <= (end - 1) // ORDINAL_BLOCK))
+    rows = rows.where((place >= start) & (place < end))
+    item = F.struct("ordinal", F.struct(*columns).alias("item"))
+    return (
+        rows.groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(item)).alias("_rows"))
+        .select(*keys, F.transform("_rows", lambda r: r["item"]).alias("items"))
+    )
+
+
 def at_least_one(name: str, n: int) -> int:
     """A size as the caller gave it; below one is an error."""
     if n < 1:

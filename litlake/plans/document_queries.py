@@ -8,6 +8,7 @@ from litlake.operators import find, sections as op
 from litlake.operators.normalize import clean_converted_markdown
 from litlake.plans import sql, views
 from litlake.plans.registry import query
+from litlake.session import scratch_path
 
 DOC = ["namespace", "canonical_id"]
 
@@ -241,3 +242,45 @@ def find_whole_words(spark, sf_dir):
     return find.find_in_documents(
         views.corpus(spark, sf_dir), "that", 100, case_sensitive=True, whole_words=True
     )
+
+
+_CHANGED_CORPUS = """was AS (SELECT * FROM corpus WHERE doc_id % 10 <> 9),
+now AS (
+  SELECT namespace, canonical_id, doc_id,
+    CASE WHEN doc_id % 7 = 0 THEN markdown || chr(10) || '## Added' || chr(10) || 'new words' ELSE markdown END AS markdown
+  FROM corpus WHERE doc_id % 11 <> 0)"""
+
+
+@query(
+    "changed_documents",
+    sql.with_(
+        sql.CORPUS,
+        _CHANGED_CORPUS,
+        sql.SECTIONS.replace("FROM corpus)", "FROM now)"),
+        body="""SELECT coalesce(n.namespace, w.namespace) AS namespace, coalesce(n.canonical_id, w.canonical_id) AS canonical_id,
+  CASE WHEN w.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change,
+  (SELECT count(*) FROM sections s WHERE s.namespace = n.namespace AND s.canonical_id = n.canonical_id) AS n_sections
+FROM now n FULL JOIN was w ON n.doc_id = w.doc_id
+WHERE w.doc_id IS NULL OR n.doc_id IS NULL OR n.markdown <> w.markdown""",
+    ),
+)
+def changed_documents(spark, sf_dir):
+    """A corpus that was derived from once, then lost, gained and changed documents."""
+    from litlake.operators import changes
+    from litlake.sources.corpus import write_clustered
+
+    root = scratch_path(spark, "derived")
+    whole = views.corpus(spark, sf_dir)
+    d = F.col("doc_id")
+    longer = F.when(d % 7 == 0, F.concat("markdown", F.lit("\n## Added\nnew words"))).otherwise(
+        F.col("markdown")
+    )
+    states = [whole.where(d % 10 != 9), whole.where(d % 11 != 0).withColumn("markdown", longer)]
+    for i, state in enumerate(states):
+        write_clustered(state, f"{root}/corpus-{i}")
+        found = changes.apply_changes(spark, root, spark.read.parquet(f"{root}/corpus-{i}"))
+    stored = changes.current_sections(spark, root)
+    counted = stored.select("namespace", "canonical_id", F.size("sections").alias("n_sections"))
+    return found.join(counted, ["namespace", "canonical_id"], "left").select(
+        "namespace", "canonical_id", "change", F.coalesce("n_sections", F.lit(0)).cast("long").alias("n_sections")
+    )

@@ -10,6 +10,7 @@ from litlake.operators.metadata import unified_metadata
 from litlake.operators.normalize import normalize_citations
 from litlake.plans import sql, views
 from litlake.plans.registry import query
+from litlake.session import scratch_path
 
 def _citing():
     return F.col("citing").alias("doi")
@@ -129,19 +130,19 @@ def _joined(items: str, *fields: str):
 ORDER = [*views.EDGE_ORDER, "ord"]
 
 
-@query(
-    "references_page",
-    sql.with_(
-        *_COUNTS,
-        BEST,
-        """listed AS (
+REFERENCES_PAGE = sql.with_(
+    *_COUNTS,
+    BEST,
+    """listed AS (
   SELECT 'crossref' AS src, * FROM crossref_edges UNION ALL SELECT 'opencitations', * FROM edges)""",
-        _page_sql("listed", "citing, src", 3, 1, "cited || ' ' || line"),
-        body="""SELECT doi, best_source AS _source, CASE WHEN error IS NULL THEN coalesce(total, 0) END AS total, 1 AS page, 3 AS page_size,
+    _page_sql("listed", "citing, src", 3, 1, "cited || ' ' || line"),
+    body="""SELECT doi, best_source AS _source, CASE WHEN error IS NULL THEN coalesce(total, 0) END AS total, 1 AS page, 3 AS page_size,
   coalesce(total > 3, false) AS has_more, coalesce(items, '') AS items, error
 FROM best LEFT JOIN pages ON doi = citing AND best_source = src""",
-    ),
 )
+
+
+@query("references_page", REFERENCES_PAGE)
 def references_page(spark, sf_dir):
     columns = ["citing", "cited", *ORDER]
     return (
@@ -158,6 +159,21 @@ def references_page(spark, sf_dir):
     )
 
 
+@query("stored_references_page", REFERENCES_PAGE)
+def stored_references_page(spark, sf_dir):
+    """The same pages from references stored with their places."""
+    columns = ["citing", "cited", *ORDER]
+    stored = op.store_references(
+        views.crossref_edges(spark, sf_dir).select(*columns),
+        views.edges(spark, sf_dir).select(*columns),
+        scratch_path(spark, "references"),
+        ORDER,
+    )
+    pages = op.stored_references_page(counts(spark, sf_dir), stored, 1, 3)
+    joined = F.coalesce(_joined("references", "cited", "line"), F.lit(""))
+    return pages.withColumn("items", joined).drop("references")
+
+
 @query(
     "citations_page",
     sql.with_(

@@ -187,8 +187,8 @@ FROM latest""",
     ),
 )
 def upsert_records(spark, sf_dir):
-    good, bad = store.read_records(spark, _two_batches(spark, sf_dir))
-    return good.unionByName(bad).select(*KEY, "payload", _time("stored_at"))
+    rows = store.judged_records(spark, _two_batches(spark, sf_dir))
+    return rows.select(*KEY, "payload", _time("stored_at"))
 
 
 @query(
@@ -220,7 +220,5 @@ WHERE namespace = 'crossref'""",
     ),
 )
 def read_records(spark, sf_dir):
-    good, bad = store.read_records(spark, _two_batches(spark, sf_dir), "crossref", "papers")
-    return good.select(*KEY, F.lit(False).alias("quarantined")).unionByName(
-        bad.select(*KEY, F.lit(True).alias("quarantined"))
-    )
+    rows = store.judged_records(spark, _two_batches(spark, sf_dir), "crossref", "papers")
+    return rows.select(*KEY, "quarantined")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from litlake.functions import text as tx
-from litlake.operators.bibliography import ENTRY_TYPES
 from litlake.plans.views import CORPUS_NAMESPACES, METRIC_OF_EVENT, NAMESPACES, STATUSES
 
 
@@ -86,12 +84,20 @@ CORPUS = f"""corpus AS (
     doc_id
   FROM documents)"""
 
-_STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
+# The words that are never index terms.
+_STOP = ", ".join(
+    f"'{w}'"
+    for w in (
+    "a an the and or but of to in on at for with by from as is are was were be been being "
+    "this that these those it its we our their them they he she his her i you your if then "
+    "than so such into about over under between"
+    ).split()
+)
 
 
 def tokens(c: str) -> str:
     return (
-        f"list_filter(regexp_extract_all(lower({c}), '{tx.TOKEN}'), "
+        f"list_filter(regexp_extract_all(lower({c}), '[a-z0-9][a-z0-9\\-.]*[a-z0-9]|[a-z0-9]'), "
         f"lambda t: length(t) > 1 AND NOT list_contains([{_STOP}], t))"
     )
 
@@ -172,7 +178,13 @@ counts AS (
   SELECT asked.doi, cr.n AS crossref_count, oc.n AS opencitations_count
   FROM asked LEFT JOIN cr ON asked.doi = cr.doi LEFT JOIN oc ON asked.doi = oc.doi)"""
 
-_TYPES = ", ".join(f"'{t}'" for t in ENTRY_TYPES)
+# Kinds of works, in the order in which the works view deals them.
+WORK_TYPES = (
+    "article", "review", "letter", "editorial", "erratum", "preprint", "posted-content",
+    "book", "book-chapter", "monograph", "dissertation", "proceedings-article", "proceedings",
+    "report", "standard", "dataset", "other",
+)
+_TYPES = ", ".join(f"'{t}'" for t in WORK_TYPES)
 
 NAMES = """list_filter([
       concat_ws(' ', w[7], {particle}, w[8]), coalesce(w[9], ''), concat_ws(' ', w[10], w[11])],
@@ -185,14 +197,14 @@ def author_names(k: str) -> str:
 
 
 WORKS = f"""src AS (
-  SELECT o_orderkey AS k, doc_id, {words('text')} AS w, lang, o_orderdate, o_orderstatus, n_name, c_mktsegment
-  FROM documents JOIN orders ON doc_id = o_orderkey
-  JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+  SELECT doc_id AS k, doc_id, {words('text')} AS w, lang, o_orderdate, o_orderstatus, n_name, c_mktsegment
+  FROM documents LEFT JOIN orders ON doc_id = o_orderkey
+  LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey),
 works AS (
   SELECT k, 'https://doi.org/10.1234/O' || k AS doi, '10.1234/o' || k AS canonical_id,
     array_to_string(w[1:6], ' ') AS title, array_to_string(w, ' ') AS abstract,
     year(o_orderdate) AS publication_year, strftime(o_orderdate, '%Y-%m-%d') AS publication_date,
-    [{_TYPES}][k % {len(ENTRY_TYPES)} + 1] AS type, lang AS language, c_mktsegment AS venue, n_name,
+    [{_TYPES}][k % {len(WORK_TYPES)} + 1] AS type, lang AS language, c_mktsegment AS venue, n_name,
     c_mktsegment, o_orderstatus = 'O' AS is_oa, lower(o_orderstatus) AS oa_status,
     'https://oa.example/' || k AS oa_url, {author_names('k')} AS names
   FROM src)"""

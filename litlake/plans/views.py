@@ -182,13 +182,13 @@ def inverted_index(text: Column) -> Column:
 
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Work records: documents joined to the order, customer and nation of their number."""
-    k = F.col("o_orderkey")
+    """Work records: every document, with the order, customer and nation of its number if there are."""
+    k = F.col("doc_id")
     joined = (
         table(spark, sf_dir, "documents")
-        .join(table(spark, sf_dir, "orders"), F.col("doc_id") == k)
-        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(table(spark, sf_dir, "orders"), k == F.col("o_orderkey"), "left")
+        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     )
     inst = lambda *names: F.array(*(F.struct(n.alias("display_name")) for n in names))
     institutions = F.array(

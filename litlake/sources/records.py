@@ -48,12 +48,12 @@ def _incoming(df: DataFrame, seq: int, buckets: int) -> DataFrame:
     ).withColumn("bucket", _bucket(buckets))
 
 
-def read_records(
+def judged_records(
     spark: SparkSession, root: str, namespace: str | None = None, entity: str | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """``(records, quarantined)``: rows whose payload is not JSON count as absent.
+) -> DataFrame:
+    """The newest entry of each key, with ``quarantined``: its payload is not JSON.
 
-    Only the asked partitions are scanned; each key gives its newest entry.
+    Only the asked partitions are scanned, once.
     """
     df = _stored(spark, root)
     if namespace:
@@ -61,8 +61,19 @@ def read_records(
     if entity:
         df = df.where(F.col("entity") == entity)
     rows = first_per_key(df, KEY, _newest()).drop("bucket", "seq")
-    good = F.try_parse_json("payload").isNotNull()
-    return rows.where(good), rows.where(~good)
+    return rows.withColumn("quarantined", F.try_parse_json("payload").isNull())
+
+
+def read_records(
+    spark: SparkSession, root: str, namespace: str | None = None, entity: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``(records, quarantined)``: rows whose payload is not JSON count as absent.
+
+    Each of the two scans the store; who wants both takes :func:`judged_records`.
+    """
+    rows = judged_records(spark, root, namespace, entity)
+    good, bad = rows.where("not quarantined"), rows.where("quarantined")
+    return good.drop("quarantined"), bad.drop("quarantined")
 
 
 def append_records(df: DataFrame, root: str, seq: int, buckets: int = BUCKETS) -> None:
