@@ -1,7 +1,10 @@
 """Main text of web pages by two passes of block rules.
 
 Markup is cut into blocks; elements that are never text or never the article
-(scripts, menus, forms, adverts, comments, ...) give no blocks. The first pass
+(scripts, menus, buttons, ...) give no blocks. Forms, and elements with a class, id or role
+of adverts, comments and the like, are regions: whether one goes is decided when the whole
+page is known, and a region that holds the page's main article, or most of its
+text, is only a wrapper with such a word in its name. The first pass
 labels blocks by stop-word density, length and link density as good or bad, or
 leaves short and middling ones open; the second gives open blocks the label of
 their nearest decided neighbours. All blocks go through the same rules; article
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -43,7 +47,7 @@ WORD = re.compile(r"[^\W\d_]+")
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = RAW | set(
-    "head nav footer aside form button select option menu dialog template svg math object canvas audio "
+    "head nav footer aside button select option menu dialog template svg math object canvas audio "
     "video map fieldset".split()
 )
 BLOCKS = set(
@@ -80,38 +84,68 @@ STOP_WORDS = set(
 )
 
 
+#: Characters of text outside of all plainly marked regions from which these aren't the page.
+PROSE = 200
+
+
 @dataclass
 class Block:
     text: str
     links: int
     article: bool
     heading: bool
+    region: int = -1
+    #: The outermost article or main element that holds the block.
+    element: int = -1
+
+
+@dataclass
+class Region:
+    """An element that may not be the article: the region around it, and whether its mark is a whole name."""
+
+    outer: int
+    plain: bool
+    plain_inside: bool
+    text: int = 0
 
 
 def _attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)}
 
 
-def _dropped(name: str, rest: str, in_article: bool) -> bool:
-    """Whether an element holds no article text."""
+def _dropped(name: str, found: dict[str, str], in_article: bool) -> bool:
+    """Whether an element is never shown, or never text of an article."""
     if name in DROPPED or (name == "header" and not in_article):
         return True
-    if not rest.strip() or name in ("html", "body") or name in ARTICLE:
+    if name in ("html", "body") or name in ARTICLE:
         return False
-    found = _attributes(rest)
     if "hidden" in found or found.get("aria-hidden") == "true":
         return True
-    if "display:none" in found.get("style", "").replace(" ", "").lower():
-        return True
-    words = re.split(r"[^a-z]+", " ".join(found.get(k, "") for k in ("class", "id", "role")).lower())
-    return any(w in MARKS or (w in OUTER_MARKS and not in_article) for w in words)
+    return "display:none" in found.get("style", "").replace(" ", "").lower()
+
+
+def _marked(name: str, found: dict[str, str], in_article: bool) -> str:
+    """"plain" for an element that a class, id or role calls what isn't the article; "part" where
+    such a word is one of several in the name; else empty."""
+    if name in ("html", "body") or name in ARTICLE:
+        return ""
+    marks = MARKS if in_article else MARKS | OUTER_MARKS
+    names = " ".join(found.get(k, "") for k in ("class", "id", "role")).lower().split()
+    if any(n in marks for n in names):
+        return "plain"
+    if any(w in marks for n in names for w in re.split(r"[^a-z]+", n)):
+        return "part"
+    return "part" if name == "form" else ""
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order, without those of dropped elements."""
+    """The blocks of a page in order, without those of dropped elements and regions."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, in an article
+    regions: list[Region] = []
+    stack: list[tuple[str, bool, bool, int, int]] = []  # name, dropped, in an article, region, element
+    open_names: Counter[str] = Counter()
     parts: list[str] = []
+    element_regions: list[int] = []  # per outermost article or main element, the region around it
     links = 0
     heading = False
 
@@ -119,7 +153,8 @@ def blocks(page: str) -> list[Block]:
         nonlocal parts, links, heading
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, links, bool(stack) and stack[-1][2], heading))
+            _, _, article, region, element = stack[-1] if stack else ("", False, False, -1, -1)
+            out.append(Block(text, links, article, heading, region, element))
         parts, links, heading = [], 0, False
 
     def add(raw: str):
@@ -127,14 +162,20 @@ def blocks(page: str) -> list[Block]:
         if raw and not (stack and stack[-1][1]):
             text = html.unescape(raw)
             parts.append(text)
-            if any(name == "a" for name, _, _ in stack):
+            if open_names["a"]:
                 links += len(" ".join(text.split()))
 
     def close_to(i: int):
-        if any(name in BLOCKS for name, _, _ in stack[i:]):
+        if any(entry[0] in BLOCKS for entry in stack[i:]):
             flush()
+        open_names.subtract(entry[0] for entry in stack[i:])
         del stack[i:]
 
+    def last_open(name: str) -> int | None:
+        if not open_names[name]:
+            return None
+        return next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name)
+
     at = 0
     while at < len(page):
         tag = TOKEN.search(page, at)
@@ -147,17 +188,15 @@ def blocks(page: str) -> list[Block]:
         if not name or not tag["end"]:
             continue
         if tag["close"]:
-            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            found = last_open(name)
             if found is not None:
                 close_to(found)
             elif name in BLOCKS:
                 flush()
             continue
         if name in BLOCKS:
-            if name == "p":
-                open_p = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-                inner = {n for n, _, _ in stack[open_p:]} if open_p is not None else set()
-                if open_p is not None and not inner & (BLOCKS - {"p"}):
+            if name == "p" and (open_p := last_open("p")) is not None:
+                if not {entry[0] for entry in stack[open_p:]} & (BLOCKS - {"p"}):
                     close_to(open_p)
             flush()
             heading = name in HEADINGS
@@ -165,18 +204,67 @@ def blocks(page: str) -> list[Block]:
             parts.append(" ")
         if name in VOID:
             continue
-        dropped, in_article = stack[-1][1:] if stack else (False, False)
+        _, dropped, in_article, region, element = stack[-1] if stack else ("", False, False, -1, -1)
         if not dropped:
-            dropped = _dropped(name, tag["rest"], in_article)
+            attributes = _attributes(tag["rest"]) if tag["rest"].strip() else {}
+            dropped = _dropped(name, attributes, in_article)
+            mark = "" if dropped else _marked(name, attributes, in_article)
+            if mark and name not in BLOCKS:
+                dropped = True  # inside a line of text
+            elif mark:
+                inside = mark == "plain" or (region >= 0 and regions[region].plain_inside)
+                regions.append(Region(region, mark == "plain", inside))
+                region = len(regions) - 1
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
         if dropped and name in BLOCKS | DROPPED:
             flush()
-        stack.append((name, dropped, in_article or name in ARTICLE))
+        if name in ARTICLE and element < 0:
+            element = len(element_regions)
+            element_regions.append(region)
+        stack.append((name, dropped, in_article or name in ARTICLE, region, element))
+        open_names[name] += 1
     flush()
-    return out
+    return without_regions(out, regions, element_regions)
+
+
+def without_regions(found: list[Block], regions: list[Region], element_regions: list[int]) -> list[Block]:
+    """``found`` without the blocks of regions that aren't the article.
+
+    The main article is the article or main element with most text outside of plainly marked
+    regions. A region stays if it holds that; or, on a page without one, if it holds most
+    of the text. A plainly marked one goes as well wherever there is text outside of such regions.
+    """
+    if not regions:
+        return found
+    sizes = [len(b.text) - b.links for b in found]
+    plain = [b.region >= 0 and regions[b.region].plain_inside for b in found]
+    strict = sum(n for n, p in zip(sizes, plain, strict=True) if not p) >= PROSE
+    texts: Counter[int] = Counter()
+    for b, n, p in zip(found, sizes, plain, strict=True):
+        if b.region >= 0:
+            regions[b.region].text += n
+        if b.element >= 0 and not (strict and p):
+            texts[b.element] += n
+    main = max(texts, key=lambda e: texts[e], default=None)
+    if main is not None and not strict and 2 * texts[main] <= sum(sizes):
+        main = None  # all is marked: an article among it must be most of the page
+    holds = set()
+    around = -1 if main is None else element_regions[main]
+    while around >= 0:
+        holds.add(around)
+        around = regions[around].outer
+    for r in reversed(regions):
+        if r.outer >= 0:
+            regions[r.outer].text += r.text
+    stays: list[bool] = []
+    for i, r in enumerate(regions):
+        most = main is None and 2 * r.text > sum(sizes)
+        kept = not (strict and r.plain) and (i in holds or most)
+        stays.append(kept and (r.outer < 0 or stays[r.outer]))
+    return [b for b in found if b.region < 0 or stays[b.region]]
 
 
 def stop_words(text: str) -> tuple[int, int]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import time
 
 import numpy as np
 import pytest
@@ -41,6 +42,33 @@ def test_main_text(body, expected):
 
 
 PROSE = f"{ARTICLE} {ARTICLE}"
+WRAPPERS = [
+    '<div class="content has-sidebar">',
+    '<div class="post comments-open">',
+    '<section class="social-science">',
+    '<div id="search-results">',
+    '<div class="no-ads">',
+    "<form>",
+    '<div class="widget">',
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("inner", ["{}", "<main>{}</main>", "<article>{}</article>"])
+def test_wrappers_keep_their_article(wrapper, inner):
+    """A word in the name of what holds the page costs nothing; comments beside it still go."""
+    text = inner.format(f"<h1>T</h1><p>{PROSE}</p><p>{PROSE} b</p><div class='share-bar'>Share this now</div>")
+    name = wrapper[1:].split()[0].rstrip(">")
+    body = f"{wrapper}{text}</{name}><div class='comments'><article><p>{PROSE} c</p></article></div>"
+    assert html_text.main_text(page(body)) == f"T\n{PROSE}\n{PROSE} b"
+
+
+def test_unclosed_elements_cost_no_square():
+    began = time.process_time()
+    html_text.main_text("<b>x" * 20_000 + "</i></p>" * 20_000)
+    assert time.process_time() - began < 2
+
+
 POLISH = "Lis oraz pies byli przy końcu drogi gdy zapadł zmrok, więc musieli wracać przez las. " * 3
 CODES = " ".join(f"part{chr(97 + i % 26)} model" for i in range(30))
 
@@ -210,3 +238,24 @@ def test_neighbours(spark):
 
 def test_stop_ratio():
     assert neighbours.stop_ratio(0.05, 8) == pytest.approx(15.507, abs=1e-3)
+
+
+def test_equal_vectors_come_in_the_order_of_their_ids(spark):
+    """Scores don't depend on where a vector stands, so ties are ties."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((3, 37))
+    rows = [(i, base[i % 3].tolist()) for i in range(700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in neighbours.nearest(df, every=35).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert len(got) == 20
+    for q, found in got.items():
+        scores = [s for _, s in found]
+        assert scores == sorted(scores, reverse=True)
+        for score in set(scores):
+            same = [v for v, s in found if s == score]
+            assert same == sorted(same)
+        alike = [i for i in range(700) if i % 3 == q % 3 and i != q]
+        if found[0][0] % 3 == q % 3:
+            assert [v for v, _ in found] == alike[:20]
