@@ -45,7 +45,7 @@ class QualityModel:
 def _coder(dictionary: bytes) -> zstandard.ZstdCompressor:
     if len(dictionary) < 8:
         return zc.coder(b"")
-    content = zstandard.ZstdCompressionDict(dictionary)
+    content = zstandard.ZstdCompressionDict(dictionary)  # trained or, for lack of text, plain
     content.precompute_compress(level=zc.LEVEL)
     return zstandard.ZstdCompressor(
         level=zc.LEVEL,
@@ -56,12 +56,17 @@ def _coder(dictionary: bytes) -> zstandard.ZstdCompressor:
     )
 
 
-def _dictionary(texts: list[bytes], trained: bool) -> bytes:
-    """A trained dictionary; where there is too little to train on, the texts' end itself."""
-    if not trained:
-        return b"".join(texts)[-DICTIONARY_BYTES:]
+def _dictionary(texts: list[bytes]) -> bytes:
+    """A dictionary trained on all windows of the texts, smaller where there is little text.
+
+    Too few windows to train on (some kilobytes in all) are the dictionary themselves.
+    """
     parts = [p for t in texts for p in zc.windows(t, WINDOW)]
-    return zstandard.train_dictionary(DICTIONARY_BYTES, parts, k=SEGMENT, d=MATCH).as_bytes()
+    size = min(DICTIONARY_BYTES, max(1024, sum(map(len, parts)) // 8))
+    try:
+        return zstandard.train_dictionary(size, parts, k=SEGMENT, d=MATCH).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(texts)
 
 
 def _features(data: bytes, good, bad) -> tuple[float, float]:
@@ -81,15 +86,14 @@ def train(good: list[bytes], bad: list[bytes]) -> QualityModel:
     if not good or not bad:
         flat = 0.999 if good else 0.001
         return QualityModel(b"", b"", float(np.log(flat / (1 - flat))), np.zeros(2))
-    trained = min(sum(map(len, good)), sum(map(len, bad))) >= 32 * DICTIONARY_BYTES
     rows, labels = [], []
     for half in (0, 1):
-        coders = [_coder(_dictionary(texts[half::2], trained)) for texts in (good, bad)]
+        coders = [_coder(_dictionary(texts[half::2])) for texts in (good, bad)]
         for label, texts in ((1, good[1 - half :: 2]), (0, bad[1 - half :: 2])):
             rows += [_features(t, *coders) for t in texts]
             labels += [label] * len(texts[:])
     intercept, slope = zc.fit_logistic(np.array(rows), np.array(labels, float))
-    return QualityModel(_dictionary(good, trained), _dictionary(bad, trained), intercept, slope)
+    return QualityModel(_dictionary(good), _dictionary(bad), intercept, slope)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, use: Column) -> QualityModel:
