@@ -9,7 +9,6 @@ the emptiest bins, and the group's last bin is cut into lengths that need no pad
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 from functools import cache
 from math import ceil
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litlake.llm.common import only, written
-from litlake.llm.tokens import Remembered, lower_words, tokenizer
+from litlake.llm.tokens import Remembered, is_lean, lean_tokenizer, lower_words, tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 #: The id that ends every document.
@@ -133,33 +132,48 @@ def without_gaps(bins: list[list[Cut]], size: int, least: int = LEAST_CUT) -> li
     return full
 
 
+def _kind(vocabulary: str) -> np.dtype:
+    """The narrowest type that holds the ids."""
+    return np.dtype("<u2" if tokenizer(vocabulary, False).get_vocab_size() <= 1 << 16 else "<u4")
+
+
+def _wide(ids: bytes, n: int) -> bytes:
+    """``n`` ids as little-endian 32 bits."""
+    return np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4").tobytes()
+
+
 @cache
 def _encoder(vocabulary: str) -> Remembered:
-    model = tokenizer(vocabulary, False)
-
+    """Ids of words, in the narrowest type. A worker keeps what it remembers for later tasks."""
+    model, lean, kind = tokenizer(vocabulary, False), lean_tokenizer(vocabulary), _kind(vocabulary)
     mark = model.encode(MARK, add_special_tokens=False).ids
     if len(mark) != 1:
         raise ValueError(f"{MARK} must be one token")
 
-    def singly(ws: list[bytes]) -> list[bytes]:
-        found = model.encode_batch_fast([w.decode() for w in ws], add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+    def together(ws: list[bytes], texts: list[str], with_model) -> Iterator[tuple[bytes, bytes]]:
+        # Many words go in one call, with a mark between them that is a token of its own.
+        for i in range(0, len(ws), 2000):
+            runs = [(ws[k : k + 100], texts[k : k + 100]) for k in range(i, min(i + 2000, len(ws)), 100)]
+            joined = [f" {MARK} ".join(run) for _, run in runs]
+            found = with_model.encode_batch_fast(joined, add_special_tokens=False)
+            for (run, _), e in zip(runs, found, strict=True):
+                ids = np.array(e.ids, kind)
+                at, raw, size = np.flatnonzero(ids == mark[0]), ids.tobytes(), kind.itemsize
+                ends = [*(size * at).tolist(), len(raw)]
+                starts = [0, *(size * at + size).tolist()]
+                yield from zip(run, (raw[k:n] for k, n in zip(starts, ends, strict=True)), strict=True)
 
     def encode(ws: list[bytes]) -> list[bytes]:
-        # Many words go in one call, with a mark between them that is a token of its own.
-        odd = [w for w in ws if MARK.encode() in w or b"<|" in w]
-        apart = dict(zip(odd, singly(odd), strict=True))
-        plain = [w for w in ws if w not in apart]
-        for i in range(0, len(plain), 2000):
-            some = plain[i : i + 2000]
-            runs = [some[k : k + 100] for k in range(0, len(some), 100)]
-            joined = [f" {MARK} ".join(w.decode() for w in run) for run in runs]
-            for run, e in zip(runs, model.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
-                at, raw = (4 * np.flatnonzero(ids == mark[0])).tolist(), ids.tobytes()
-                parts = (raw[k:n] for k, n in zip([0, *(k + 4 for k in at)], [*at, len(raw)], strict=True))
-                apart.update(zip(run, parts, strict=True))
-        return [apart[w] for w in ws]
+        texts = {w: w.decode() for w in ws}
+        found = {}
+        plain = [w for w in ws if is_lean(texts[w])]
+        found.update(together(plain, [texts[w] for w in plain], lean))
+        rest = [w for w in ws if w not in found and MARK.encode() not in w and b"<|" not in w]
+        found.update(together(rest, [texts[w] for w in rest], model))
+        odd = [w for w in ws if w not in found]
+        for w, e in zip(odd, model.encode_batch_fast([texts[w] for w in odd], add_special_tokens=False), strict=True):
+            found[w] = np.array(e.ids, kind).tobytes()
+        return [found[w] for w in ws]
 
     return Remembered(encode, lower_words, REMEMBER)
 
@@ -172,27 +186,32 @@ def _batch(rows: list[tuple], extra: dict[str, pa.DataType]) -> pa.RecordBatch:
 
 
 def tokenised(docs: DataFrame, vocabulary: str, length: int) -> DataFrame:
-    """Pieces of whole texts: full ones with a sequence of their own, the rest with a random ``draw``."""
+    """Pieces of whole texts: full ones with a sequence of their own, the rest with a random ``draw``.
+
+    Ids of the rest, which move, are in the narrowest type that holds them.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(vocabulary), np.array([END], "<u4").tobytes()
+        encoder, kind = _encoder(vocabulary), _kind(vocabulary)
+        end, size = np.array([END], kind).tobytes(), kind.itemsize
         task, n_rows, n_full = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
             texts = [t.as_py() or "" for t in batch.column("text")]
             out, held = [], 0
             for name, parts in zip(names, encoder.texts(texts), strict=True):
-                ids = b"".join([*parts, end])
-                total = len(ids) // 4
+                parts.append(end)
+                ids = b"".join(parts)
+                total = len(ids) // size
                 for start in range(0, total - length + 1, length):
-                    piece = ids[4 * start : 4 * (start + length)]
+                    piece = _wide(ids[size * start : size * (start + length)], length)
                     # Odd numbers: those of groups are even.
                     sequence = 2 * (task << 36 | n_full) + 1
                     n_full += 1
                     out.append((name, start, length, total, sequence, 0, piece, None))
                 if rest := total % length:
                     draw = xxhash.xxh3_64_intdigest(n_rows.to_bytes(8) + task.to_bytes(8), seed=SEED) >> 1
-                    out.append((name, total - rest, rest, total, None, None, ids[4 * (total - rest) :], draw))
+                    out.append((name, total - rest, rest, total, None, None, ids[size * (total - rest) :], draw))
                 n_rows += 1
                 held += len(ids)
                 if held > 1 << 22:
@@ -231,7 +250,9 @@ def pack(
             offset = 0
             for item, first, n in cuts:
                 doc_id, start, total = (c[item] for c in columns)
-                piece = ids[item].as_py()[4 * first : 4 * (first + n)]
+                own = ids[item].as_py()
+                size = len(own) // lengths[item]
+                piece = _wide(own[size * first : size * (first + n)], n)
                 rows.append((doc_id, start + first, n, total, 2 * (name << 24 | number), offset, piece))
                 offset += n
         return pa.Table.from_batches([_batch(rows, {})])

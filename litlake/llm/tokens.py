@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
 from typing import Any
@@ -17,8 +18,11 @@ from typing import Any
 from litlake.llm.common import LOWER
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Words of a vocabulary without case and white space: also cut around one mark between ASCII letters.
-_MARK = re.compile(rb"[.,;:!?](?<=[a-z].)(?=[\sa-z]|\Z)")
+#: Words of a vocabulary without case and white space: also cut around a stop or comma after an ASCII letter.
+_MARKS = [
+    (re.compile(rb"\.(?<=[a-z]\.)(?=[\sa-z]|\Z)"), b" . "),
+    (re.compile(rb",(?<=[a-z],)(?=[\sa-z]|\Z)"), b" , "),
+]
 #: Words that a worker remembers (and as many that it remembered before), and their greatest length.
 REMEMBER, LONGEST = 150_000, 64
 #: Characters of text that are cut to words at a time; a longer text is cut alone.
@@ -43,6 +47,28 @@ def tokenizer(name: str, specials_are_text: bool):
     return loaded
 
 
+@cache
+def lean_tokenizer(name: str):
+    """The same vocabulary for words of lower-case letters in composed form, white space between them.
+
+    Case, composition and the cut at marks have nothing to do on such words.
+    """
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    loaded = Tokenizer.from_file(name if os.path.sep in name else public_path(name))
+    loaded.normalizer = normalizers.Sequence([])
+    loaded.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+    )
+    return loaded
+
+
+def is_lean(word: str) -> bool:
+    """Whether ``lean_tokenizer`` gives a word's ids."""
+    return word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)
+
+
 @cache
 def piece_model(name: str):
     import sentencepiece
@@ -64,7 +90,10 @@ def lower_words(text: str) -> list[bytes]:
     raw = text.encode()
     if b"<|" in raw:
         return [raw]
-    return _MARK.sub(rb" \g<0> ", raw.translate(LOWER)).split()
+    raw = raw.translate(LOWER)
+    for mark, apart in _MARKS:
+        raw = mark.sub(apart, raw)
+    return raw.split()
 
 
 class Remembered:

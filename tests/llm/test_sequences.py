@@ -46,7 +46,7 @@ def test_words_are_encoded_as_in_their_text(rows):
     model = tokens.tokenizer(packing.VOCABULARY, False)
     for text, parts in zip(texts, packing._encoder(packing.VOCABULARY).texts(texts), strict=True):
         expected = model.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(b"".join(parts), "<u4").tolist() == expected
+        assert np.frombuffer(b"".join(parts), "<u2").tolist() == expected
 
 
 def test_remembered_words_come_back(monkeypatch):
