@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litlake.llm.common import LOWER, only, table, unused, utf8
+from litlake.llm.common import LOWER, only, table, unused, utf8, written
 
 WINDOW = 13
 INDEX_BYTES = 16_000_000
@@ -113,15 +113,22 @@ def hits_column(spark: SparkSession, items: list[tuple[str, str | None]], text:
     return F.arrow_udf(find, HITS)(text)
 
 
-def _parts(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The benchmark in parts of about ``most`` bytes at most; one part if it is small."""
+def _parts(benchmark: DataFrame, most: int) -> tuple[int, Iterator[list[tuple[str, str | None]]]]:
+    """Number of parts of about ``most`` bytes at most, and the parts, fetched one at a time.
+
+    Repeated rows count once; a small benchmark is one part.
+    """
     rows = only(benchmark, item_id="string", text="string").where(F.length("text") > 0)
-    rows = rows.select(F.coalesce("item_id", F.lit("")).alias("item_id"), "text")
+    rows = rows.select(F.coalesce("item_id", F.lit("")).alias("item_id"), "text").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(2 * total / most)) if total > most else 1
-    for part in range(parts):
-        own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        yield [(r.item_id, r.text) for r in own.collect()]
+
+    def fetched() -> Iterator[list[tuple[str, str | None]]]:
+        for part in range(parts):
+            own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+            yield [(r.item_id, r.text) for r in own.collect()]
+
+    return parts, fetched()
 
 
 def _merged(results: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -147,21 +154,22 @@ def with_hits(
 ) -> DataFrame:
     """``docs`` with a column ``name`` of type HITS.
 
-    A benchmark over the bound is scanned part by part; documents hit by a part
-    are united by the text's two hashes and joined to the documents.
+    A benchmark over the bound is scanned part by part: a part's hits are written before
+    the next part is fetched, so the driver holds one part. Hits of a document are united by
+    the text's two hashes and joined to the documents.
     """
     spark = docs.sparkSession
-    parts = _parts(benchmark, index_bytes)
-    first, rest = next(parts), list(parts)
+    n_parts, parts = _parts(benchmark, index_bytes)
     text = docs["text"].cast("string")
-    if not rest:
-        return docs.withColumn(name, hits_column(spark, first, text))
+    if n_parts == 1:
+        return docs.withColumn(name, hits_column(spark, next(parts), text))
     key = [F.xxhash64(text), F.crc32(text.cast("binary"))]
     found = None
-    for items in [first, *rest]:
+    for items in parts:
         part = docs.select(
             key[0].alias("_k1"), key[1].alias("_k2"), hits_column(spark, items, text).alias("_h")
         )
+        part = written(part, "hits")
         found = part if found is None else found.unionByName(part)
     united = (
         found.dropDuplicates()
