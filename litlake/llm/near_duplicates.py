@@ -12,11 +12,11 @@ deals its shingles anew, with another hash, and so does any set that it agrees w
 in such parts only; few sets do so twice.
 
 Pairs that meet are tested by their sizes and by the Hamming distance of two short sketches, which
-is at most the number of shingles in which the sets differ, before any text moves; then the sets
-themselves are compared. Equal sets are one node from the start. Shared parts with few nodes give
-pairs; those with many join their nodes to clusters, and a cluster is dealt in blocks of
-nodes to tasks that compare sketches, verify, and return a spanning forest of the
-links, never all pairs.
+is at most the number of shingles in which the sets differ, before any text moves. Equal sets
+are one node from the start. Shared parts with few nodes give pairs to test; those with many
+join all their nodes. What is joined is a cluster, dealt in blocks of nodes to tasks that
+compare sketches, then the sets themselves, and return a spanning forest of the links, never
+all pairs.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from litlake.llm.components import components
 SHINGLE = 5
 SIMILARITY = Fraction(8, 10)
 #: Ratio of the largest to the smallest set size of a band.
-BAND = 1.2
+BAND = 1.5
 #: Bits of one part of a sketch; a part is kept as a hash of the bits that are set.
 PART_BITS = 1 << 20
 #: Times that a set is dealt anew before empty parts are keys after all.
@@ -327,24 +327,6 @@ def _near(pairs: DataFrame, known: DataFrame, t: Fraction) -> DataFrame:
     return pairs.join(sides[0], "u").join(sides[1], "v").mapInArrow(rows, "u long, v long")
 
 
-def _verified(pairs: DataFrame, named: DataFrame, size: int, t: Fraction) -> DataFrame:
-    left = named.select(F.col("node").alias("u"), F.col("text").alias("a"))
-    right = named.select(F.col("node").alias("v"), F.col("text").alias("b"))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _WordHashes()
-        for batch in batches:
-            ok = [
-                similar(shingles(a.as_py(), size, cache), shingles(b.as_py(), size, cache), t)
-                for a, b in zip(batch.column("a"), batch.column("b"), strict=True)
-            ]
-            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(
-        rows, "u long, v long"
-    )
-
-
 def forest(nodes: list[int], sets: list[np.ndarray], split: int, t: Fraction) -> list[tuple[int, int]]:
     """Links that join all similar sets, none within a component already joined.
 
@@ -375,18 +357,15 @@ def forest(nodes: list[int], sets: list[np.ndarray], split: int, t: Fraction) ->
     return links
 
 
-def _hot_links(members: DataFrame, named: DataFrame, size: int, t: Fraction) -> DataFrame:
-    """Links between nodes of parts that many share, cluster by cluster and block by block.
+def _cluster_links(edges: DataFrame, known: DataFrame, named: DataFrame, size: int, t: Fraction) -> DataFrame:
+    """Links between the nodes that ``edges`` (u, v) join, cluster by cluster and block by block.
 
-    ``members`` has key, node, and n, the node's number of shingles. Nodes that share
-    such parts, directly or through others, are one cluster: a node then travels with
-    its cluster once, not with each of its parts.
+    Nodes that are joined directly or through others are one cluster: a text travels once with
+    its cluster, not with each of its pairs.
     """
-    first = members.groupBy("key").agg(F.min("node").alias("v"))
-    clusters = components(members.join(first, "key").select(F.col("node").alias("u"), "v"))
-    sizes = members.select("node", "n").distinct()
+    clusters = components(edges)
     members = clusters.select(F.col("component").alias("key"), F.col("vertex").alias("node"))
-    members = written(members.join(sizes, "node"), "clusters")
+    members = written(members.join(known.select("node", "n"), "node"), "clusters")
     counts = members.groupBy("key").agg(
         F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")
     )
@@ -457,13 +436,14 @@ def duplicate_groups(
     pairs = shared.where("key is null").select("u", "v").distinct()
     pairs = written(_near(pairs, known, similarity), "pairs")
     members = shared.where("key is not null").select("key", F.col("u").alias("node")).distinct()
-    members = written(members.join(known.select("node", "n"), "node"), "members")
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v"))
-    wanted = wanted.union(members.select("node")).distinct()
+    members = written(members, "members")
+    first = members.groupBy("key").agg(F.min("node").alias("v"))
+    edges = pairs.unionByName(members.join(first, "key").select(F.col("node").alias("u"), "v"))
+    edges = written(edges, "candidates")
+    wanted = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
     names = known.select("doc_id", "text_hash", "node", "copies").join(wanted, "node", "left_semi")
     named = written(_named_texts(texts, if_small(names)), "named")
-    links = _verified(pairs, named, size, similarity)
-    links = links.union(_hot_links(members, named, size, similarity))
+    links = _cluster_links(edges, known, named, size, similarity)
     labels = components(written(links, "links"))
     groups = known.join(labels, known["node"] == labels["vertex"], "left").select(
         "node", F.col("doc_id").alias("least"), F.coalesce("component", "node").alias("component")
