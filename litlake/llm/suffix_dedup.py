@@ -90,10 +90,13 @@ def pieces(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def _key(docs: DataFrame, text: Column, doc_id: Column) -> list[Column]:
-    """Rows with equal ids and texts share a key, and are repeats of each other anyway."""
+    """The id and 64 bits of a hash of the text, and of whether there is an id.
+
+    Rows with equal ids and texts share a key, and are repeats of each other anyway.
+    """
     return [
         F.coalesce(doc_id.cast("long"), F.lit(0).cast("long")).alias("d"),
-        F.pmod(F.xxhash64(doc_id.isNull(), text), F.lit((1 << 31) - 1)).cast("int").alias("th"),
+        F.xxhash64(doc_id.isNull(), text).alias("th"),
     ]
 
 
@@ -133,7 +136,7 @@ def _all_pieces(texts: DataFrame) -> DataFrame:
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    return texts.mapInArrow(merged, "h long, cd long, d long, th int, place long")
+    return texts.mapInArrow(merged, "h long, cd long, d long, th long, place long")
 
 
 def _dense(*keys: np.ndarray) -> np.ndarray:
@@ -210,7 +213,7 @@ def _settled(order, first, suffixes, on_cover) -> np.ndarray:
     return order
 
 
-RANGES = "d long, th int, first long, windows long"
+RANGES = "d long, th long, first long, windows long"
 
 
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -230,7 +233,7 @@ def _sorted_blocks(contexts: DataFrame) -> DataFrame:
             for a, n in _runs(mask)
         ]
         columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        kinds = (pa.int64(),) * 4
         return pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
             ["d", "th", "first", "windows"],
@@ -274,14 +277,14 @@ def _by_windows(contexts: DataFrame) -> DataFrame:
                         pa.array(one),
                         pa.array(two),
                         pa.array([r["d"]] * count, pa.int64()),
-                        pa.array([r["th"]] * count, pa.int32()),
+                        pa.array([r["th"]] * count, pa.int64()),
                         pa.array(np.arange(first, first + count)),
                         pa.array([r["once"]] * count, pa.bool_()),
                     ],
                     ["w1", "w2", "d", "th", "first", "once"],
                 )
 
-    schema = "w1 long, w2 long, d long, th int, first long, once boolean"
+    schema = "w1 long, w2 long, d long, th long, first long, once boolean"
     windows = contexts.mapInArrow(rows, schema)
     often = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     found = windows.where("once").join(often, ["w1", "w2"], "left_semi")
@@ -316,7 +319,7 @@ def _contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                     ["h", "d", "th", "place", "bytes", "once", "hot"],
                 )
 
-    schema = "h long, d long, th int, place long, bytes binary, once boolean, hot boolean"
+    schema = "h long, d long, th long, place long, bytes binary, once boolean, hot boolean"
     return texts.join(asked, ["d", "th"]).mapInArrow(rows, schema)
 
 
