@@ -13,8 +13,8 @@ in such parts only; few sets do so twice.
 
 Pairs that meet are tested by their sizes and by the Hamming distance of two short sketches, which
 is at most the number of shingles in which the sets differ, before any text moves. Equal sets
-are one node from the start. Shared parts with few nodes give pairs to test; those with many
-join all their nodes. What is joined is a cluster, dealt in blocks of nodes to tasks that
+are one node from the start. Shared parts with few nodes give pairs to test; the nodes of one with
+many are tested in blocks, and only as many pairs as join them come out. What is joined is a cluster, dealt in blocks of nodes to tasks that
 compare sketches, then the sets themselves, and return a spanning forest of the links, never
 all pairs.
 """
@@ -47,6 +47,8 @@ SKETCH_BITS = 1024
 FEW = 16
 #: Shingles that one block of nodes may hold, two blocks being one task's work.
 BLOCK_SHINGLES = 500_000
+#: Nodes of a block where sketches alone are compared.
+BLOCK_NODES = 4096
 #: One document in so many is looked at to find hot parts; they are only dealt differently.
 SAMPLE, HOT_SHARE = 64, 0.002
 #: Entries of a per-task memory of what was seen; it only saves repeated rows.
@@ -357,6 +359,84 @@ def forest(nodes: list[int], sets: list[np.ndarray], split: int, t: Fraction) ->
     return links
 
 
+def _dealt(members: DataFrame, weight: str, most: int) -> DataFrame:
+    """``members`` (key, node, ...) in blocks of about ``most`` weight, one row per pair of blocks.
+
+    The columns one, two and block are added: all pairs of a key meet in some (key, one, two).
+    """
+    counts = members.groupBy("key").agg(F.ceil(F.sum(weight) / most).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
+    dealt = members.join(counts, "key").withColumn("block", block)
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = {"one": F.least("block", "with"), "two": F.greatest("block", "with")}
+    return dealt.withColumns(pair).drop("with", "blocks")
+
+
+def near_forest(nodes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, split: int, t: Fraction) -> list[tuple[int, int]]:
+    """Pairs that join all nodes whose sizes and sketches allow the similarity ``t``.
+
+    As in ``forest``, the first ``split`` nodes meet the others, or one another if there are none.
+    """
+    component = np.arange(len(nodes))
+    across, found = split < len(nodes), []
+    for i in range(split):
+        others = np.arange(split if across else i + 1, len(nodes))
+        others = others[component[others] != component[i]]
+        small, large = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+        others = others[t.denominator * small >= t.numerator * large]
+        apart = np.bitwise_count(bits[others] ^ bits[i]).sum(1)
+        for j in others[apart <= most_apart(sizes[others] + sizes[i], t)]:
+            if component[j] != component[i]:
+                component[component == component[j]] = component[i]
+                found.append((int(nodes[i]), int(nodes[j])))
+    return found
+
+
+def _near_in_parts(members: DataFrame, known: DataFrame, t: Fraction) -> DataFrame:
+    """(u, v) that join the nodes of each shared part that sizes and sketches allow to be similar.
+
+    Many texts may hold a part because they share a passage; sketches tell them apart, so
+    that no text moves for it.
+    """
+    sketched = members.join(known.select("node", "n", "sketch"), "node").withColumn("one_each", F.lit(1))
+    dealt = _dealt(sketched, "one_each", BLOCK_NODES).drop("one_each")
+    dealt = dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "block", "node")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def pairs(run: pa.Table) -> list[tuple[int, int]]:
+            block = run.column("block").to_numpy()
+            same = run.column("one")[0] == run.column("two")[0]
+            split = len(block) if same else int((block == block[0]).sum())
+            if not same and split == len(block):
+                return []
+            bits = np.frombuffer(b"".join(run.column("sketch").to_pylist()), np.uint64).reshape(len(block), -1)
+            return near_forest(run.column("node").to_numpy(), run.column("n").to_numpy(), bits, split, t)
+
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            place = [batch.column(c).to_numpy() for c in ("key", "one", "two")]
+            new = np.any([x[1:] != x[:-1] for x in place], axis=0)
+            starts = [0, *(np.flatnonzero(new) + 1).tolist()]
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                here = tuple(int(x[a]) for x in place)
+                if here != last and held:
+                    found += pairs(pa.Table.from_batches(held))
+                    held = []
+                last = here
+                held.append(batch.slice(a, b - a))
+            if found:
+                u, v = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        if held and (found := pairs(pa.Table.from_batches(held))):
+            u, v = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return dealt.mapInArrow(rows, "u long, v long")
+
+
 def _cluster_links(edges: DataFrame, known: DataFrame, named: DataFrame, size: int, t: Fraction) -> DataFrame:
     """Links between the nodes that ``edges`` (u, v) join, cluster by cluster and block by block.
 
@@ -366,21 +446,7 @@ def _cluster_links(edges: DataFrame, known: DataFrame, named: DataFrame, size: i
     clusters = components(edges)
     members = clusters.select(F.col("component").alias("key"), F.col("vertex").alias("node"))
     members = written(members.join(known.select("node", "n"), "node"), "clusters")
-    counts = members.groupBy("key").agg(
-        F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")
-    )
-    dealt = members.join(counts, "key")
-    block = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
-    dealt = dealt.withColumn("block", block).withColumn(
-        "with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    )
-    dealt = dealt.select(
-        "key",
-        "node",
-        F.least("block", "with").alias("one"),
-        F.greatest("block", "with").alias("two"),
-        "block",
-    ).join(named, "node")
+    dealt = _dealt(members, "n", BLOCK_SHINGLES).drop("n").join(named, "node")
 
     def links(group: pa.Table) -> pa.Table:
         same = group.column("one")[0].as_py() == group.column("two")[0].as_py()
@@ -437,9 +503,7 @@ def duplicate_groups(
     pairs = written(_near(pairs, known, similarity), "pairs")
     members = shared.where("key is not null").select("key", F.col("u").alias("node")).distinct()
     members = written(members, "members")
-    first = members.groupBy("key").agg(F.min("node").alias("v"))
-    edges = pairs.unionByName(members.join(first, "key").select(F.col("node").alias("u"), "v"))
-    edges = written(edges, "candidates")
+    edges = written(pairs.unionByName(_near_in_parts(members, known, similarity)), "candidates")
     wanted = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
     names = known.select("doc_id", "text_hash", "node", "copies").join(wanted, "node", "left_semi")
     named = written(_named_texts(texts, if_small(names)), "named")

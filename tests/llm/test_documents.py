@@ -30,6 +30,7 @@ def plain(df):
 def test_duplicate_groups(docs, rows, few, block, broadcast, size, num, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(near_duplicates, "BLOCK_NODES", 4096 if block > 300 else 2)
     monkeypatch.setattr(near_duplicates, "FEW", few)
     got = near_duplicates.duplicate_groups(docs, size, Fraction(num, 10))
     got = got.select("doc_id", "n_shingles", "component_id")
@@ -67,6 +68,7 @@ def without_ids():
 def test_near_copies_without_id(spark, few, block, broadcast, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(near_duplicates, "BLOCK_NODES", 4096 if block > 300 else 2)
     monkeypatch.setattr(near_duplicates, "FEW", few)
     rows = without_ids()
     expected = cases.duplicate_groups(rows, 3, 8)
