@@ -36,8 +36,8 @@ RANGE = 256
 SEEDS = 4
 #: Rows of (query, term) that may be broadcast; more of them join by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Scores add up as whole billionths, so that the order of adding never matters.
-UNIT = 1e9
+#: Scores add up as whole trillionths, so that the order of adding never matters.
+UNIT = 1e12
 
 _TERMS = "namespace string, term string, df long"
 _SIZES = "namespace string, n_docs long, sum_len long"
@@ -292,7 +292,7 @@ def merge_segments(spark: SparkSession, path: str, buckets: int | None = None) -
     return _publish(spark, path, index.version + 1, [segment], [], sizes)
 
 
-def _billionths(score: Column) -> Column:
+def _trillionths(score: Column) -> Column:
     return F.round(score * UNIT).cast("long")
 
 
@@ -311,7 +311,7 @@ def _in_segment(
     bound = F.ceil(term_score(F.col("idf"), F.col("max_tf"), F.col("min_len"), length) * UNIT) + 1
 
     def scored(keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        part = _billionths(term_score(F.col("idf"), F.col("tf"), F.col("doc_len"), length))
+        part = _trillionths(term_score(F.col("idf"), F.col("tf"), F.col("doc_len"), length))
         docs = (
             keep(hit)
             .select("query_id", "block", "idf", F.inline("postings"))
@@ -409,7 +409,7 @@ def search_batch(
 def search_hits(
     index: Index, query: str, top_k: int = 10, namespace: str | None = None, prune: bool = False
 ) -> list[tuple[str, int, int]]:
-    """(segment, doc, billionths) of the best documents of one query, at most ``top_k`` per segment."""
+    """(segment, doc, trillionths) of the best documents of one query, at most ``top_k`` per segment."""
     at_least_one("top_k", top_k)
     terms = query_terms(query)
     if not terms or not index.segments:
