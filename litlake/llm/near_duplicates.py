@@ -41,7 +41,7 @@ BAND = 1.5
 PART_BITS = 1 << 20
 #: Times that a set is dealt anew before empty parts are keys after all.
 DEALS = 8
-#: Bits of the sketch that two sets are compared by.
+#: Least bits of the sketch that two sets are compared by; larger sets have more.
 SKETCH_BITS = 1024
 #: Nodes that may share a part and still be listed as pairs.
 FEW = 16
@@ -124,12 +124,26 @@ class Bands:
         return self._parts[band]
 
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parity bits of a set: SKETCH_BITS bits as 64-bit words."""
-    odd = np.bincount((tokens % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+def sketch_bits(n: int) -> int:
+    """Bits of the sketch of a set of ``n``: a power of two, at least ``n``."""
+    return max(SKETCH_BITS, 1 << max(n - 1, 0).bit_length())
+
+
+def sketch(tokens: np.ndarray, bits: int | None = None) -> np.ndarray:
+    """Parity bits of a set, as 64-bit words."""
+    bits = bits or sketch_bits(len(tokens))
+    odd = np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def folded(words: np.ndarray, width: int) -> np.ndarray:
+    """A sketch with fewer bits of the same set: halves laid over one another."""
+    while len(words) > width:
+        half = len(words) // 2
+        words = words[:half] ^ words[half:]
+    return words
+
+
 def most_apart(sizes: np.ndarray | int, t: Fraction) -> np.ndarray:
     """How many shingles two similar sets of these summed sizes may differ in."""
     return sizes * (t.denominator - t.numerator) // (t.denominator + t.numerator)
@@ -318,12 +332,13 @@ def _near(pairs: DataFrame, known: DataFrame, t: Fraction) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nu, nv = (batch.column(c).to_numpy() for c in ("nu", "nv"))
-            bits = [
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(nu), -1)
-                for c in ("su", "sv")
-            ]
             ok = t.denominator * np.minimum(nu, nv) >= t.numerator * np.maximum(nu, nv)
-            ok &= np.bitwise_count(bits[0] ^ bits[1]).sum(1) <= most_apart(nu + nv, t)
+            most = most_apart(nu + nv, t)
+            su, sv = batch.column("su"), batch.column("sv")
+            for i in np.flatnonzero(ok):
+                a, b = np.frombuffer(su[i].as_buffer(), np.uint64), np.frombuffer(sv[i].as_buffer(), np.uint64)
+                width = min(len(a), len(b))
+                ok[i] = np.bitwise_count(folded(a, width) ^ folded(b, width)).sum() <= most[i]
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return pairs.join(sides[0], "u").join(sides[1], "v").mapInArrow(rows, "u long, v long")
@@ -338,7 +353,8 @@ def forest(nodes: list[int], sets: list[np.ndarray], split: int, t: Fraction) ->
     """
     component = np.arange(len(sets))
     sizes = np.array([len(s) for s in sets])
-    flat = np.array([sketch(s) for s in sets])
+    bits = sketch_bits(int(sizes.min()))
+    flat = np.array([sketch(s, bits) for s in sets])
     links = []
     across = split < len(sets)
     for i in range(split):
@@ -412,7 +428,9 @@ def _near_in_parts(members: DataFrame, known: DataFrame, t: Fraction) -> DataFra
             split = len(block) if same else int((block == block[0]).sum())
             if not same and split == len(block):
                 return []
-            bits = np.frombuffer(b"".join(run.column("sketch").to_pylist()), np.uint64).reshape(len(block), -1)
+            found = [np.frombuffer(x, np.uint64) for x in run.column("sketch").to_pylist()]
+            width = min(map(len, found))  # nodes of one part are of like sizes
+            bits = np.array([folded(x, width) for x in found])
             return near_forest(run.column("node").to_numpy(), run.column("n").to_numpy(), bits, split, t)
 
         for batch in batches:

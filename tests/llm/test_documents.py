@@ -97,7 +97,7 @@ def token_sets(rng, n):
 def test_similar_sets_share_a_key(t):
     """Every pair just similar enough meets in some part, however small or uneven the sets."""
     bands, rng = near_duplicates.Bands(t), np.random.default_rng(4)
-    for n in [*range(1, 60), 97, 200, 350]:
+    for n in [*range(1, 60), 97, 200, 350, 1500]:
         for _ in range(12):
             both = token_sets(rng, n)
             union = n * t.denominator // t.numerator
@@ -107,10 +107,20 @@ def test_similar_sets_share_a_key(t):
             assert near_duplicates.similar(a, b, t)
             keys = [near_duplicates.part_keys(x, bands) for x in (a, b)]
             assert len(np.intersect1d(*keys))
-            bits = np.bitwise_count(near_duplicates.sketch(a) ^ near_duplicates.sketch(b)).sum()
+            sketches = [near_duplicates.sketch(x) for x in (a, b)]
+            width = min(map(len, sketches))
+            bits = np.bitwise_count(np.bitwise_xor(*(near_duplicates.folded(x, width) for x in sketches))).sum()
             assert bits <= near_duplicates.most_apart(len(a) + len(b), t)
 
 
+def test_folded_sketches_are_sketches():
+    tokens = token_sets(np.random.default_rng(6), 5000)
+    whole = near_duplicates.sketch(tokens)
+    assert len(whole) == 8192 // 64
+    for bits in (4096, 1024):
+        assert (near_duplicates.folded(whole, bits // 64) == near_duplicates.sketch(tokens, bits)).all()
+
+
 @pytest.mark.parametrize("t", [Fraction(8, 10), Fraction(9, 10)])
 def test_unrelated_sets_meet_nowhere(t):
     """Parts without shingles are no keys: 5,000 unrelated sets share next to none."""
