@@ -101,73 +101,111 @@ def ttl_status(state: DataFrame, now: Column) -> DataFrame:
     )
 
 
-#: Stands for "never" among times in microseconds.
+#: Stand for "never" and for "no such entry" among times in microseconds; the latter is also numpy's NaT.
 NEVER = (1 << 63) - 1
+NONE = -(1 << 63)
+
+#: States that all keys are dealt to. One holds many keys, so that a call of Python serves many.
+PARTS = 256
 
 _FRESHNESS = (
     "namespace string, entity string, key string, salt int, stored_at timestamp, expires_at timestamp, fresh boolean"
 )
+_NAMES = ["namespace", "entity", "key", "salt"]
+_TIMES = ["stored", "stale", "expires"]
 
 
 class Freshness(StatefulProcessor):
-    """Newest entry and newest "not found" of a key, until both are stale.
+    """Newest entry and newest "not found" of the keys of one part, each until both are stale.
 
-    State and input times are microseconds. An event-time timer stands at the moment at which the key's last
-    entry becomes stale; when it fires and nothing newer came, the state goes. Entries of
-    namespaces without an age limit set no timer and stay.
+    State and input times are microseconds. A part's keys lie in one value as lists of equal length. An
+    event-time timer stands at the moment at which the first of them becomes stale; when it fires, all that
+    are stale by then go. Entries of namespaces without an age limit set no timer and stay.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("newest", "stored long, stale long, expires long")
+        lists = "namespace array<string>, entity array<string>, key array<string>, salt array<int>"
+        self.state = handle.getValueState(
+            "newest", f"{lists}, stored array<long>, stale array<long>, expires array<long>"
+        )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest = self.state.get() or (None, None, None)
-        for batch in rows:
-            seen = [batch[c].max() for c in ("stored", "stale", "expires")]
-            newest = tuple(_later(a, b) for a, b in zip(newest, seen))
-        self.state.update(newest)
-        if (end := _end(newest)) != NEVER:
-            self.handle.registerTimer(end // 1000 + 1)
-        yield self._row(key, newest, True)
+        known = self._known()
+        seen = _newest([batch[_NAMES + _TIMES] for batch in rows])
+        newest = _newest([known.assign(seen=False), seen.assign(seen=True)])
+        self._keep(newest, _first_due(known))
+        yield _shown(newest[newest["seen"]], True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        newest = self.state.get()
-        if newest is None or _end(newest) // 1000 + 1 > expiredTimerInfo.getExpiryTimeInMs():
-            return  # a newer entry has a timer of its own
-        self.state.clear()
-        yield self._row(key, newest, False)
+        known = self._known()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        stale = _due(known) <= now
+        if stale.any():
+            self._keep(known[~stale], None)
+            yield _shown(known[stale], False)
 
     def close(self) -> None:
         pass
 
-    def _row(self, key, newest, fresh: bool) -> pd.DataFrame:
-        names = ["namespace", "entity", "key", "salt"]
-        times = {
-            "stored_at": pd.to_datetime([newest[0]], unit="us", utc=True),
-            "expires_at": pd.to_datetime([newest[2]], unit="us", utc=True),
-        }
-        return pd.DataFrame({**{n: [k] for n, k in zip(names, key)}, **times, "fresh": [fresh]})
+    def _known(self) -> pd.DataFrame:
+        columns = self.state.get() or ([],) * len(_NAMES + _TIMES)
+        known = pd.DataFrame(dict(zip(_NAMES + _TIMES, columns)))
+        return known.astype({"salt": "int32", **{c: "int64" for c in _TIMES}})
+
+    def _keep(self, newest: pd.DataFrame, timer: int | None) -> None:
+        """Store the keys; ``timer`` is the one that stands, if any."""
+        if newest.empty:
+            self.state.clear()
+        else:
+            names = newest[_NAMES].astype(object)
+            lists = names.where(names.notna(), None)
+            self.state.update(tuple(c.tolist() for c in (*(lists[n] for n in _NAMES), *(newest[t] for t in _TIMES))))
+        due = _first_due(newest)
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+
+
+def _newest(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    """The maxima of each key."""
+    return pd.concat(parts).groupby(_NAMES, dropna=False, sort=False, as_index=False).max()
 
 
-def _later(a: int | None, b: float | None) -> int | None:
-    known = [int(x) for x in (a, b) if x is not None and not pd.isna(x)]
-    return max(known) if known else None
+def _due(newest: pd.DataFrame) -> pd.Series:
+    """The millisecond after which a key is stale, NEVER without an age limit."""
+    end = newest[["stale", "expires"]].max(axis=1).clip(lower=0)
+    return (end // 1000 + 1).mask(end == NEVER, NEVER)
 
 
-def _end(newest: tuple) -> int:
-    return max(x for x in (newest[1], newest[2], 0) if x is not None)
+def _first_due(newest: pd.DataFrame) -> int | None:
+    due = _due(newest)
+    due = due[due != NEVER]
+    return None if due.empty else int(due.min())
 
 
-def ttl_state(feed: DataFrame, lateness: str = "1 day", salts: int = SALTS) -> DataFrame:
+def _shown(newest: pd.DataFrame, fresh: bool) -> pd.DataFrame:
+    def utc(c: str) -> pd.Series:
+        return pd.Series(newest[c].to_numpy("int64").view("datetime64[us]")).dt.tz_localize("UTC")
+
+    shown = newest[_NAMES].reset_index(drop=True)
+    return shown.assign(stored_at=utc("stored"), expires_at=utc("expires"), fresh=fresh)
+
+
+def ttl_state(
+    feed: DataFrame, lateness: str = "1 day", salts: int = SALTS, parts: int = PARTS
+) -> DataFrame:
     """Freshness per key from a feed of ``put`` and ``negative`` entries, as keyed state.
 
     ``feed(namespace, entity, key, at, kind)``. Every change gives a row with the newest times of the
     key; a row with ``fresh`` false says that the watermark, which trails by ``lateness``, has passed the
     key's last age limit and its state is gone. Keys of namespaces without an age limit stay.
     ``ttl_status`` turns rows into answers. A key's entries are dealt over ``salts``
-    states, so one that is written all the time is not one task's work. Needs the state store that
-    holds timers, which is set here for streams started later in the session.
+    salts, so one that is written all the time is not one task's work, and keys and salts over ``parts``
+    states: a batch reads and writes those that it has entries for. ``parts`` belongs to the checkpoint. Needs
+    the state store that holds timers, which is set here for streams started later in the session.
     """
     spark = feed.sparkSession
     spark.conf.set(
@@ -178,18 +216,22 @@ def ttl_state(feed: DataFrame, lateness: str = "1 day", salts: int = SALTS) -> D
     put, negative = F.col("kind") == "put", F.col("kind") == "negative"
     at = F.unix_micros("at")
     million = F.lit(1_000_000)
+    none = F.lit(NONE)
+    dealt = feed.withWatermark("at", lateness).select(
+        "namespace",
+        "entity",
+        "key",
+        F.pmod(F.xxhash64("at"), F.lit(salts)).cast("int").alias("salt"),
+        "at",
+        F.coalesce(F.when(put, at), none).alias("stored"),
+        F.coalesce(F.when(put & at.isNotNull(), F.coalesce(at + ttl_seconds() * million, F.lit(NEVER))), none).alias(
+            "stale"
+        ),
+        F.coalesce(F.when(negative, at + life * million), none).alias("expires"),
+    )
+    part = F.pmod(F.xxhash64(*_NAMES), F.lit(parts)).cast("int")
     return (
-        feed.withWatermark("at", lateness)
-        .select(
-            "namespace",
-            "entity",
-            "key",
-            F.pmod(F.xxhash64("at"), F.lit(salts)).cast("int").alias("salt"),
-            "at",
-            F.when(put, at).alias("stored"),
-            F.when(put, F.coalesce(at + ttl_seconds() * million, F.lit(NEVER))).alias("stale"),
-            F.when(negative, at + life * million).alias("expires"),
-        )
-        .groupBy("namespace", "entity", "key", "salt")
+        dealt.withColumn("part", part)
+        .groupBy("part")
         .transformWithStateInPandas(Freshness(), _FRESHNESS, "Update", "EventTime")
     )

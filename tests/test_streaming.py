@@ -124,3 +124,19 @@ def test_a_hot_key_is_spread(spark, tmp_path):
     assert sorted(r.key for r in got.collect()) == expected
     dealt = rows.where("key = 'hot'").selectExpr(f"pmod(xxhash64(ts), {jobs.SALTS}) AS salt").groupBy("salt").count()
     assert dealt.agg(F.max("count")).first()[0] < 3600 / jobs.SALTS * 1.5
+
+
+def test_ttl_state_keeps_many_keys_in_a_part(spark, tmp_path):
+    """Keys share a part's state; those without an age limit keep their exact times beside "not found" entries."""
+    rows = spark.range(1500).selectExpr(
+        "IF(id % 3 = 0, 'manual', 'arxiv') AS namespace", "'p' AS entity", "IF(id % 7 = 0, NULL, concat('k', id)) AS key",
+        "timestamp_micros(1700000000000001 + id) AS at", "IF(id % 2 = 0, 'put', 'negative') AS kind",
+    )
+    rows.write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    got = drain(jobs.ttl_state(live, "1 hour", 1, 2), "update", tmp_path)
+    at = F.when(F.col("kind") == "put", F.col("at"))
+    want = rows.groupBy("namespace", "key").agg(F.max(at).alias("s"))
+    assert sorted(map(tuple, got.select("namespace", "key", "stored_at").collect()), key=repr) == sorted(
+        map(tuple, want.collect()), key=repr
+    )
