@@ -238,3 +238,10 @@ def test_running_sums(spark, n):
     values = [i % 4 + 1 for i in range(n)]
     df = spark.createDataFrame([(values,)], "v array<int>")
     assert df.select(tx.running_sums(F.col("v"))).first()[0] == [sum(values[: i + 1]) for i in range(n)]
+
+
+def test_first_words_are_those_of_the_whole_text(spark):
+    texts = ["", "  ", "a", " a b\x1cc  d ", " x y z", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(F.slice(tx.words(F.col("t")), 1, 2).alias("w"), tx.first_words(F.col("t"), 2).alias("f")).collect()
+    assert [r.f for r in rows] == [r.w for r in rows]
