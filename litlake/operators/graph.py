@@ -46,9 +46,9 @@ def lean_reference(ref: Column) -> Column:
 
 def crossref_references(works: DataFrame) -> DataFrame:
     """One row per listed reference; ``ref_pos`` is its place in the list."""
-    exploded = works.select(
-        canonical_doi(F.col("DOI")).alias("citing"), F.posexplode("reference").alias("ref_pos", "_r")
-    )
+    # The DOI is brought to its form before the list is cut up, once per work.
+    named = works.select(canonical_doi(F.col("DOI")).alias("citing"), "reference")
+    exploded = named.select("citing", F.posexplode("reference").alias("ref_pos", "_r"))
     return exploded.select("citing", "ref_pos", lean_reference(F.col("_r")).alias("_x")).select(
         "citing", "ref_pos", "_x.*"
     )
