@@ -155,15 +155,24 @@ def _summed(index: Index, paths: list[str], keep_old: bool = True) -> dict[str,
     return total
 
 
-def _store_segment(spark: SparkSession, path: str, docs: DataFrame, buckets: int) -> Segment:
-    """Write a segment of ``docs`` (namespace, canonical_id, markdown, doc_len, terms)."""
+def _store_segment(
+    spark: SparkSession,
+    path: str,
+    docs: DataFrame,
+    buckets: int,
+    listed: Callable[[DataFrame], DataFrame] = lambda placed: placed,
+) -> Segment:
+    """Write a segment of ``docs`` (namespace, canonical_id, markdown, doc_len, terms).
+
+    ``listed`` adds what ``docs`` lacks. It runs on placed rows: finding the ranges reads ``docs`` a first time.
+    """
     segment = Segment(uuid.uuid4().hex, buckets)
     root = f"{path}/segments/{segment.name}"
     key = stem(F.col("canonical_id"))
     placed = docs.withColumn("_stem", key).repartitionByRange(buckets, "namespace", "_stem")
     placed = placed.sortWithinPartitions("namespace", "_stem").drop("_stem")
     # Numbers follow the order of names. Small row groups: a search fetches few texts.
-    placed.select(F.monotonically_increasing_id().alias("doc"), "*").write.option(
+    listed(placed).select(F.monotonically_increasing_id().alias("doc"), "*").write.option(
         "parquet.block.size", str(8 << 20)
     ).parquet(f"{root}/docs")
     stored = spark.read.parquet(f"{root}/docs")
@@ -179,7 +188,7 @@ def _store_segment(spark: SparkSession, path: str, docs: DataFrame, buckets: int
             F.count(F.lit(1)).alias("n"),
             F.max("tf").alias("max_tf"),
             F.min("doc_len").alias("min_len"),
-            F.array_sort(F.collect_list(slot)).alias("postings"),
+            F.sort_array(F.collect_list(slot)).alias("postings"),
         )
     )
     written = write_bucketed(blocks, f"{root}/postings", "block", buckets, ["term", "block"])
@@ -216,7 +225,8 @@ def add_documents(
     is replaced: its older copy is removed in the same version.
     """
     index = open_index(spark, path)
-    segment = _store_segment(spark, path, _listed(corpus), _buckets(spark, buckets))
+    texts = corpus.select(*DOC, "markdown")
+    segment = _store_segment(spark, path, texts, _buckets(spark, buckets), _listed)
     removals = list(index.removals)
     paths = [f"{path}/segments/{segment.name}/sizes"]
     if index.segments:  # a removal is looked for only where something is stored
