@@ -17,8 +17,9 @@ def read_markdown_corpus(spark: SparkSession, root: str, namespace: str | None =
     One row per file. A namespace filter narrows the file listing itself.
     Undecodable bytes are replaced, they do not fail the read.
     """
-    path = f"{root}/{namespace or '*'}/markdown/*.md"
-    files = spark.read.text(path, wholetext=True).select(
+    path = f"{root}/{namespace or '*'}/markdown"
+    # Folders are listed whole: a pattern of files would be looked up file by file.
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.md").select(
         F.make_valid_utf8("value").alias("markdown"), F.col("_metadata.file_path").alias("_path")
     )
     # file_path is percent-encoded but keeps a plain plus sign
@@ -50,12 +51,11 @@ def write_clustered(df: DataFrame, root: str, mode: str = "overwrite") -> None:
     Row groups are small, and each knows the ids it may hold: a scan for some ids
     skips the others' texts.
     """
-    named = df.select(
-        "namespace", "canonical_id", "markdown", F.sha2("markdown", 256).alias("md_sha256")
-    )
-    named.repartitionByRange("namespace", "canonical_id").sortWithinPartitions(
+    placed = df.select("namespace", "canonical_id", "markdown").repartitionByRange(
         "namespace", "canonical_id"
-    ).write.mode(mode).option("parquet.block.size", str(4 << 20)).option(
+    )
+    named = placed.sortWithinPartitions("namespace", "canonical_id")
+    named.withColumn("md_sha256", F.sha2("markdown", 256)).write.mode(mode).option("parquet.block.size", str(4 << 20)).option(
         "parquet.bloom.filter.enabled#canonical_id", "true"
     ).option("parquet.bloom.filter.expected.ndv#canonical_id", "10000").parquet(root)
 
