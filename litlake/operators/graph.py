@@ -184,8 +184,8 @@ def store_references(
 ) -> DataFrame:
     """Both reference lists with the place of each reference in its paper's list, stored once.
 
-    What ``stored_references_page`` reads; places are numbered in range pieces, so a
-    paper with very many references isn't one task's work.
+    What ``stored_references_page`` reads; the places of a paper with very many
+    references are numbered in range pieces, so that it isn't one task's work.
     """
     rows = _both_sources(crossref_refs, opencitations_refs)
     return store_ordinals(rows, path, ["citing", "_source"], order)
@@ -197,12 +197,17 @@ def stored_references_page(
     page: int = 1,
     page_size: int = PAGE_SIZE,
     source: str = "auto",
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``references_page`` from a table of ``store_references``: a deep page costs what a first one does."""
+    """``references_page`` from a table of ``store_references``: a deep page costs what a first one does.
+
+    With ``columns`` a reference has these only, and the others aren't read.
+    """
     at_least_one("page", page)
     size = at_least_one("page_size", page_size)
     keys = ["citing", "_source"]
-    columns = [c for c in stored.columns if c not in (*keys, "ordinal", "ordinal_block")]
+    if columns is None:
+        columns = [c for c in stored.columns if c not in (*keys, "ordinal", "ordinal_block")]
     pages = stored_page_items(stored, keys, page, size, columns)
     return _chosen_pages(counts, pages, page_columns(stored, columns, page, size), source)
 

@@ -169,7 +169,7 @@ def stored_references_page(spark, sf_dir):
         scratch_path(spark, "references"),
         ORDER,
     )
-    pages = op.stored_references_page(counts(spark, sf_dir), stored, 1, 3)
+    pages = op.stored_references_page(counts(spark, sf_dir), stored, 1, 3, columns=["cited", "line"])
     joined = F.coalesce(_joined("references", "cited", "line"), F.lit(""))
     return pages.withColumn("items", joined).drop("references")
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from litlake.operators import bibliography, changes, graph, index, metadata, search, sections
+from litlake.operators import bibliography, changes, graph, index, metadata, search, sections, spread
 from litlake.operators.spread import stored_page_items, store_ordinals
 from litlake.session import scratch_path
 from litlake.sources.corpus import write_clustered
@@ -146,3 +146,40 @@ def test_reference_pages_from_stored_places(spark):
     for page in (1, 3):
         expected = graph.references_page(counts, few, edges, ["line"], page, 10).collect()
         assert sorted(graph.stored_references_page(counts, stored, page, 10).collect()) == sorted(expected)
+
+
+def test_pages_show_the_asked_columns_and_read_no_others(spark):
+    edges = spark.range(90).selectExpr("CONCAT('d', id % 7) AS citing", "CONCAT('c', id) AS cited", "id AS line", "'x' AS note")
+    counts = spark.createDataFrame([(f"d{i}", 9, 40) for i in range(8)], "doi string, crossref_count long, opencitations_count long")
+    stored = graph.store_references(edges.where("line < 21"), edges, scratch_path(spark, "refs"), ["line"])
+    few = graph.stored_references_page(counts, stored, 2, 4, columns=["cited"])
+    whole = {r.doi: [(i.cited,) for i in r.references] for r in graph.stored_references_page(counts, stored, 2, 4).collect()}
+    assert {r.doi: [tuple(i) for i in r.references] for r in few.collect()} == whole
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "note" not in plan and "line" not in plan
+
+
+def test_only_rows_of_heavy_keys_are_dealt_in_pieces(spark, monkeypatch):
+    rows = spark.range(60_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN CONCAT('p', id % 1000) END AS doi", "(id * 7) % 60000 AS line"
+    )
+    dealt = []
+    in_pieces = spread.in_pieces
+    monkeypatch.setattr(spread, "in_pieces", lambda df, *a: dealt.append(df.count()) or in_pieces(df, *a))
+    expected = {}
+    for r in rows.orderBy("line").collect():
+        expected.setdefault(r.doi, []).append(r.line)
+    for numbered in (
+        store_ordinals(rows, scratch_path(spark, "heavy"), ["doi"], ["line"]),
+        spread.with_ordinal(rows, ["line"], ["doi"]),
+    ):
+        got = {}
+        for r in numbered.orderBy("ordinal").collect():
+            assert r.ordinal == len(got.setdefault(r.doi, []))
+            got[r.doi].append(r.line)
+        assert got == expected
+    assert len(dealt) == 2 and all(40_000 <= n < 41_000 for n in dealt)
+    dealt.clear()
+    light = rows.where("doi LIKE 'p%'")
+    assert store_ordinals(light, scratch_path(spark, "light"), ["doi"], ["line"]).count() == 20_000
+    assert not dealt
