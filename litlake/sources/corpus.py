@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litlake.functions.identifiers import canonical_from_stem, stem
+from litlake.sources.files import read_named
 
 MAX_PDF_BYTES = 200_000_000
 PDF_MARK = b"%PDF-"
@@ -14,23 +15,15 @@ PDF_MARK = b"%PDF-"
 def read_markdown_corpus(spark: SparkSession, root: str, namespace: str | None = None) -> DataFrame:
     """``<root>/<namespace>/markdown/*.md`` as ``(namespace, stem, canonical_id, markdown)``.
 
-    One row per file. A namespace filter narrows the file listing itself.
+    One row per file, empty ones too. A namespace filter narrows the file listing itself.
     Undecodable bytes are replaced, they do not fail the read.
     """
-    path = f"{root}/{namespace or '*'}/markdown"
-    # Folders are listed whole: a pattern of files would be looked up file by file.
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.md").select(
-        F.make_valid_utf8("value").alias("markdown"), F.col("_metadata.file_path").alias("_path")
-    )
-    # file_path is percent-encoded but keeps a plain plus sign
-    plain = lambda p: F.url_decode(F.replace(F.regexp_extract("_path", p, 1), F.lit("+"), F.lit("%2B")))
-    ns = plain(r"/([^/]+)/markdown/[^/]+$")
-    name = plain(r"/markdown/([^/]+)\.md$")
-    return files.select(ns.alias("namespace"), name.alias("stem"), "markdown").select(
+    files = read_named(spark, root, namespace, "markdown", ".md")
+    return files.select(
         "namespace",
         "stem",
         canonical_from_stem(F.col("namespace"), F.col("stem")).alias("canonical_id"),
-        "markdown",
+        F.make_valid_utf8(F.col("content").cast("string")).alias("markdown"),
     )
 
 

@@ -187,3 +187,32 @@ def test_exported_files_read_back(spark, tmp_path):
     assert files.export_markdown(corpus, root).count() == 2
     got = {(r.namespace, r.canonical_id): r.markdown for r in read_markdown_corpus(spark, root).collect()}
     assert got == {("arxiv", "hep-th/9901001"): "# é\r\n", ("manual", "a b+c%20"): "x"}
+
+
+def test_exported_files_without_text_read_back(spark, tmp_path, monkeypatch):
+    from litlake.sources import files as source
+    from litlake.sources.corpus import read_markdown_corpus
+
+    corpus = spark.createDataFrame(
+        [("arxiv", "2401.00001", ""), ("manual", "x", "y"), ("manual", "none", None), ("manual", None, "z"), ("acl_anthology", "10.18653/v1/e", "")],
+        DOC + ", markdown string",
+    )
+    root = str(tmp_path / "store")
+    assert files.export_markdown(corpus, root).count() == 3
+    (tmp_path / "store" / "no-folder").mkdir()
+    want = {("arxiv", "2401.00001", ""), ("manual", "x", "y"), ("acl_anthology", "10.18653/v1/e", "")}
+    read = lambda *a: {(r.namespace, r.canonical_id, r.markdown) for r in read_markdown_corpus(spark, root, *a).collect()}
+    assert read() == want and read("arxiv") == {("arxiv", "2401.00001", "")} and read("no-folder") == set()
+    monkeypatch.setattr(source, "_opens", lambda uri: False)  # as where only Hadoop knows the file system
+    assert read() == want and read("arxiv") == {("arxiv", "2401.00001", "")}
+
+
+def test_markdown_corpus_of_odd_documents_matches_sql(spark, tmp_path):
+    import __spark_entry__ as entry
+    from tests.compare import connect, difference, run_spark, run_sql
+
+    rows = [(1, ""), (2, ""), (3, None), (4, "a\n\nb"), (-2, "n"), (-7, ""), (None, "m"), (11, "\n")]
+    spark.createDataFrame(rows, "doc_id long, text string").toPandas().astype({"doc_id": "Int64"}).to_parquet(tmp_path / "documents.parquet")
+    name = "read_markdown_corpus"
+    got = run_spark(entry.queries()[name](spark, str(tmp_path)))
+    assert len(got[1]) == len(rows) and difference(got, run_sql(connect(str(tmp_path)), entry.oracle_sql()[name])) is None
