@@ -58,3 +58,10 @@ def test_citation_keys(spark, author, year, title, key):
 
 def test_escapes(spark):
     assert one(spark, names.escape_bibtex(F.col("c0")), "a & b_c 5% #1 $x") == r"a \& b\_c 5\% \#1 $x"
+
+
+def test_blank_names_and_capital_particles(spark):
+    assert one(spark, names.inverted_name(F.col("c0")), "  ") == ""
+    assert one(spark, names.surname_key(F.col("c0")), " \t") == "unknown"
+    assert one(spark, names.inverted_name(F.col("c0")), "Ivan VAN  Der Berg") == "VAN Der Berg, Ivan"
+    assert one(spark, names.citation_key(F.col("c0"), F.lit(1), F.lit("The andes")), "Zoë Ǆurić") == "dzuric1andes"

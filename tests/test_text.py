@@ -245,3 +245,12 @@ def test_first_words_are_those_of_the_whole_text(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     rows = df.select(F.slice(tx.words(F.col("t")), 1, 2).alias("w"), tx.first_words(F.col("t"), 2).alias("f")).collect()
     assert [r.f for r in rows] == [r.w for r in rows]
+
+
+def test_first_words_across_the_head_of_a_text(spark):
+    long = "x" * (tx.HEAD + 50)
+    texts = [" " * tx.HEAD + "a b c", f"a {long} c", f"{'b ' * 3}{long}", long, "a\n" * tx.HEAD, f"{'y' * (tx.HEAD - 2)} z {long}", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1, 2, 3, 6):
+        for r in df.select(F.slice(tx.words(F.col("t")), 1, n).alias("w"), tx.first_words(F.col("t"), n).alias("f")).collect():
+            assert r.w == r.f

@@ -185,3 +185,9 @@ def test_asked_side_of_citation_dumps(spark, tmp_path):
     (tmp_path / "e.json").write_text(json.dumps(edge))
     sides = {d: dumps.read_opencitations(spark, str(tmp_path), d).first().asked for d in ("references", "citations")}
     assert sides == {"references": "10.1/a", "citations": "10.1/b"}
+
+
+def test_texts_do_not_travel_for_titles(spark):
+    slim = views.works(spark, SF_DIR).select("doi", "title", "authorships")
+    plan = slim._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("AS title")
