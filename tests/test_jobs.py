@@ -216,3 +216,16 @@ def test_markdown_corpus_of_odd_documents_matches_sql(spark, tmp_path):
     name = "read_markdown_corpus"
     got = run_spark(entry.queries()[name](spark, str(tmp_path)))
     assert len(got[1]) == len(rows) and difference(got, run_sql(connect(str(tmp_path)), entry.oracle_sql()[name])) is None
+
+
+def test_driver_holds_no_list_of_markdown_files(spark, tmp_path):
+    from litlake.sources.corpus import read_markdown_corpus
+
+    folder = tmp_path / "manual" / "markdown"
+    folder.mkdir(parents=True)
+    for i in range(30):
+        (folder / f"{i}.md").write_text(f"text {i}")
+    read = read_markdown_corpus(spark, str(tmp_path))
+    assert read.inputFiles() == [] and read.count() == 30
+    (folder / "late.md").write_text("late")  # listed when the job runs
+    assert read.count() == 31
